@@ -54,9 +54,6 @@ class Scratch:
             self._fs().delete(self._path(f"{self.at}/{name}"), True)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
 
 def rows(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20, text: str = "text") -> Iterator[dict[str, list]]:
     """Column lists of at most about `most_bytes` of text, or one row if that is longer."""

@@ -1,11 +1,15 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
+from engram.llm.fingerprints import op9_fingerprints
 from engram.llm.packing import op8_best_fit_packing
+from engram.llm.sharding import op5_sharding
 from engram.llm.token_counts import op4_token_counts
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op5_sharding": op5_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 SQL: dict[str, str] = {}
