@@ -19,6 +19,9 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than space and line feed.
 _ODD = re.compile(r"[^\S \n]")
 _ODD_ASCII = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+#: Marks that are a piece's last match after a letter, and how keys of a text's or line's first word begin.
+_MARKS = (".", ",", ";", ":")
+_FIRST = (" ", "\n")
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -85,14 +88,43 @@ class PieceCache(dict):
             self.clear()
             self.update(self.seed)
         new = [k for k in set().union(*out) if k not in self]
-        ids = [k for k in new if isinstance(k, int)]
-        pieces = [k for k in new if not isinstance(k, int)]
-        self.update((k, self.value([k])) for k in ids)
-        if pieces:
-            got = self.tokenizer.encode_batch_fast([piece_of(k) for k in pieces], add_special_tokens=False)
-            self.update((k, self.value(x.ids)) for k, x in zip(pieces, got, strict=True))
+        if not new:
+            return out
+        # A mark after a letter at the end of a piece is cut off by the pattern: what is before it is encoded alone.
+        marked = [k for k in new if not isinstance(k, int) and k[-1:] in _MARKS and k[-2:-1].isalpha()]
+        todo = set(new).difference(marked).union(k[:-1] for k in marked if k[:-1] not in self)
+        self.update((k, self.value([k])) for k in todo if isinstance(k, int))
+        single, joined = [], []
+        for k in todo:
+            if not isinstance(k, int):
+                (joined if (w := k[1:] if k[:1] in _FIRST else k) and w.split() == [w] else single).append(k)
+        self.update(zip(single, map(self.value, self._encode([piece_of(k) for k in single])), strict=True))
+        self._encode_joined(joined)
+        if marked:
+            ends = {c: self.value(x) for c, x in zip(_MARKS, self._encode(list(_MARKS)), strict=True)}
+            self.update((k, self[k[:-1]] + ends[k[-1]]) for k in marked)
         return out
 
+    def _encode(self, pieces: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encode_joined(self, keys: list[str], width: int = 64) -> None:
+        """Encodes words in lines, one word a line: a line feed between them is always one id."""
+        if not keys:
+            return
+        feed = self._encode(["\n"])[0]
+        line = self.value(feed)
+        parts = [keys[i : i + width] for i in range(0, len(keys), width)]
+        lines = ["\n".join([k[1:] if k[:1] in _FIRST else " " + k for k in part]) for part in parts]
+        for part, ids in zip(parts, self._encode(lines), strict=True):
+            at = 0
+            ids.append(feed[0])
+            for k in part:
+                stop = ids.index(feed[0], at)
+                got = self.value(ids[at:stop])
+                self[k] = line + got if k[0] == "\n" else got
+                at = stop + 1
+
 
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
