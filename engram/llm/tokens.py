@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 from collections.abc import Callable
 
@@ -19,8 +20,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than space and line feed.
 _ODD = re.compile(r"[^\S \n]")
 _ODD_ASCII = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-#: Marks that are a piece's last match after a letter, and how keys of a text's or line's first word begin.
-_MARKS = (".", ",", ";", ":")
+#: How the keys of a text's and of a line's first word begin.
 _FIRST = (" ", "\n")
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 
@@ -65,6 +65,7 @@ class PieceCache(dict):
         super().__init__(seed or {})
         self.tokenizer, self.value, self.most, self.seed = Tokenizer.from_file(path), value, most, seed or {}
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.marks: dict[str, object] = {}
         longest = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.split = re.compile(f"({'|'.join(longest)})") if longest else None
 
@@ -90,19 +91,29 @@ class PieceCache(dict):
         new = [k for k in set().union(*out) if k not in self]
         if not new:
             return out
-        # A mark after a letter at the end of a piece is cut off by the pattern: what is before it is encoded alone.
-        marked = [k for k in new if not isinstance(k, int) and k[-1:] in _MARKS and k[-2:-1].isalpha()]
-        todo = set(new).difference(marked).union(k[:-1] for k in marked if k[:-1] not in self)
-        self.update((k, self.value([k])) for k in todo if isinstance(k, int))
+        # Marks after a letter up to the end of a piece are one match of the pattern: head and marks are encoded apart.
+        apart, todo = [], set()
+        for k in new:
+            if isinstance(k, int):
+                self[k] = self.value([k])
+                continue
+            head = k.rstrip(string.punctuation)
+            if len(head) < len(k) and head[-1:].isalpha():
+                apart.append((k, head, k[len(head) :]))
+                k = head
+            if k not in self:
+                todo.add(k)
         single, joined = [], []
         for k in todo:
-            if not isinstance(k, int):
-                (joined if (w := k[1:] if k[:1] in _FIRST else k) and w.split() == [w] else single).append(k)
+            (joined if (w := k[1:] if k[:1] in _FIRST else k) and w.split() == [w] else single).append(k)
         self.update(zip(single, map(self.value, self._encode([piece_of(k) for k in single])), strict=True))
         self._encode_joined(joined)
-        if marked:
-            ends = {c: self.value(x) for c, x in zip(_MARKS, self._encode(list(_MARKS)), strict=True)}
-            self.update((k, self[k[:-1]] + ends[k[-1]]) for k in marked)
+        if fresh := list({m for _, _, m in apart} - self.marks.keys()):
+            if len(self.marks) > self.most:
+                self.marks.clear()
+                fresh = list({m for _, _, m in apart})
+            self.marks.update(zip(fresh, map(self.value, self._encode(fresh)), strict=True))
+        self.update((k, self[head] + self.marks[m]) for k, head, m in apart)
         return out
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
