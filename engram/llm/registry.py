@@ -4,8 +4,10 @@ from engram.llm.fingerprints import op9_fingerprints
 from engram.llm.packing import op8_best_fit_packing
 from engram.llm.sharding import op5_sharding
 from engram.llm.token_counts import op4_token_counts
+from engram.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
     "op8_best_fit_packing": op8_best_fit_packing,
