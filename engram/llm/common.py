@@ -108,15 +108,19 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, number of words of each text); words are runs of bytes other than ASCII space.
+#: Bytes between words: ASCII white space, or all ASCII but letters and digits.
+BLANK = np.array([c in SPACE for c in range(256)])
+NO_WORD = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_hashes(texts: list[bytes], between: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, number of words of each text); words are runs of bytes that are not `between`.
 
     A-Z count as a-z. Words of all texts are hashed in a few passes over their joined bytes.
     """
     joined = b"\n".join([*texts, b""]).translate(LOWER)
     data = np.frombuffer(joined, dtype=np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    word = ~blank
+    word = ~between[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], word.view(np.int8), [0]))))
     begin, end = edge[::2], edge[1::2]
     ends = np.cumsum(np.array([len(x) + 1 for x in texts], dtype=np.int64))
