@@ -41,7 +41,7 @@ def token_counts(
     limit: int = 1024,
     table_size: int = 20_000,
     sample_rows: int = 400,
-    cache_size: int = 600_000,
+    cache_size: int = 1_500_000,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row of `docs`.
 
@@ -52,7 +52,7 @@ def token_counts(
     seed = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, table_size, sample_rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.PieceCache(path, len, cache_size, seed.value)
+        cache = tokens.worker_cache(path, len, cache_size, seed.value)
         get = cache.__getitem__
         for part in common.rows(batches):
             n = [sum(map(get, keys)) for keys in cache.prepare(part["text"])]

@@ -59,7 +59,7 @@ class PieceCache(dict):
     Misses are encoded in batches. When it holds `most` pieces it starts again from `seed`.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], most: int = 600_000, seed: dict | None = None):
+    def __init__(self, path: str, value: Callable[[list[int]], object], most: int = 1_500_000, seed: dict | None = None):
         from tokenizers import Tokenizer
 
         super().__init__(seed or {})
@@ -137,5 +137,18 @@ class PieceCache(dict):
                 at = stop + 1
 
 
+_SHARED: dict[tuple[str, str], PieceCache] = {}
+
+
+def worker_cache(path: str, value: Callable[[list[int]], object], most: int, seed: dict | None = None) -> PieceCache:
+    """This worker's cache for a tokenizer and a value; later tasks of the worker find it filled."""
+    name = (path, value.__name__)
+    if name not in _SHARED:
+        _SHARED[name] = PieceCache(path, value, most, seed)
+    cache = _SHARED[name]
+    cache.most, cache.seed = most, seed or {}
+    return cache
+
+
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
