@@ -149,10 +149,10 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np
         starts = np.cumsum(counts) - counts
         extra = []
         for i in short:
-            x = np.uint64(0)
-            for w in words[starts[i] : starts[i] + counts[i]]:
-                x = x * BASE + w
-            extra.append(x ^ np.uint64(int(counts[i]) * 0x5851F42D4C957F2D & (1 << 64) - 1))
+            x = int(counts[i]) * 0x5851F42D4C957F2D
+            for w in words[starts[i] : starts[i] + counts[i]].tolist():
+                x = x * int(BASE) + w
+            extra.append(x & (1 << 64) - 1)
         h, who = np.concatenate((h, mix(np.array(extra, dtype=np.uint64)))), np.concatenate((who, short))
     order = np.lexsort((h, who))
     h, who = h[order], who[order]

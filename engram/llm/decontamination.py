@@ -34,20 +34,22 @@ _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def question_answer(text: str) -> tuple[str, str]:
-    """The last sentence or line is the answer, all before it the question; a single one is both."""
+    """The last sentences or lines that have five words are the answer, all before them the question; or both are all."""
     parts = [x for x in _SENTENCES.split(text.strip()) if any(c.isalnum() for c in x)]
-    if len(parts) < 2:
-        return text, text
-    return " ".join(parts[:-1]), parts[-1]
+    for k in range(len(parts) - 1, 0, -1):
+        question, answer = " ".join(parts[:k]), " ".join(parts[k:])
+        if len(words(answer)) >= GRAM and len(words(question)) >= GRAM:
+            return question, answer
+    return text, text
 
 
 def words(text: str | None) -> np.ndarray:
     return common.word_hashes([common.utf8(text)], common.NO_WORD)[0]
 
 
-def grams(hashes: np.ndarray) -> np.ndarray:
-    """Distinct word 5-grams, one of all words if there are fewer."""
-    return common.shingle_hashes(hashes, np.array([len(hashes)]), GRAM)[0]
+def grams(hashes: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Distinct word n-grams, one of all words if there are fewer."""
+    return common.shingle_hashes(hashes, np.array([len(hashes)]), size)[0]
 
 
 @dataclass
@@ -62,7 +64,7 @@ class Index:
     block: np.ndarray
     block_max: np.ndarray
     item_of: np.ndarray
-    items: list[tuple[int, np.ndarray, np.ndarray]]
+    items: list[tuple[int, int, list[np.ndarray]]]
 
     @property
     def blocks(self) -> int:
@@ -75,7 +77,7 @@ def build(items: list[tuple[int, str]]) -> Index:
     for n, (item, text) in enumerate(items):
         hashes = words(text)
         question, answer = question_answer(text)
-        parts.append((item, grams(words(question)), grams(words(answer))))
+        parts.append((item, max(1, min(GRAM, len(hashes))), [grams(words(x), max(1, min(GRAM, len(hashes)))) for x in (question, answer)]))
         pieces = max(1, -(-len(hashes) // PASSAGE))
         for piece in np.array_split(hashes, pieces):
             if len(piece):
@@ -192,10 +194,10 @@ def _search(held, threshold: float, overlap: float):
             best: dict[tuple[int, int], tuple] = {}
             for text, first, segment, score in zip(*(x.tolist() for x in searcher.retrieve(hashes, counts)), strict=True):
                 n = int(index.item_of[segment])
-                item, question, answer = index.items[n]
+                item, size, sides = index.items[n]
                 a = begin[text] + max(0, first - around)
-                near = grams(hashes[a : min(begin[text] + counts[text], begin[text] + first + PASSAGE + around)])
-                q, r = (float(np.isin(x, near).mean()) if len(x) else 0.0 for x in (question, answer))
+                near = grams(hashes[a : min(begin[text] + counts[text], begin[text] + first + PASSAGE + around)], size)
+                q, r = (float(np.isin(x, near).mean()) for x in sides)
                 if q >= overlap and r >= overlap:
                     row = (min(q, r), score, -first, q, r, item)
                     if (text, n) not in best or row > best[text, n]:

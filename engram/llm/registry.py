@@ -1,15 +1,23 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
+from engram.llm.decontamination import op3_benchmark_decontamination
 from engram.llm.fingerprints import op9_fingerprints
+from engram.llm.near_duplicates import op6_minhash_near_dedup
 from engram.llm.packing import op8_best_fit_packing
+from engram.llm.quality import op7_quality_classifier
 from engram.llm.sharding import op5_sharding
+from engram.llm.suffix_dedup import op1_suffix_array_dedup
 from engram.llm.token_counts import op4_token_counts
 from engram.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_sharding": op5_sharding,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
 }
