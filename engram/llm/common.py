@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,19 +56,33 @@ class Scratch:
 
 
 
+def slices(batch: pa.RecordBatch, most_bytes: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most about `most_bytes` of text, or one row if that is longer."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < batch.num_rows:
+        base = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, base + most_bytes, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def rows(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20, text: str = "text") -> Iterator[dict[str, list]]:
-    """Column lists of at most about `most_bytes` of text, or one row if that is longer."""
+    """Column lists of such parts."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        at = batch.schema.get_field_index(text)
-        size = np.cumsum(np.array([len(x) if x else 0 for x in batch.column(at).to_pylist()], dtype=np.int64) + 1)
-        start = 0
-        while start < batch.num_rows:
-            base = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, base + most_bytes, side="right")))
-            yield batch.slice(start, stop - start).to_pydict()
-            start = stop
+        for part in slices(batch, most_bytes, text):
+            yield part.to_pydict()
+
+
+def keep_rows(docs: DataFrame, choose) -> DataFrame:
+    """Rows of `docs`, all columns, for which choose(list of texts) says True; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(choose(part.column("text").to_pylist()), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def table(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:

@@ -30,6 +30,7 @@ GRAM = 5
 LEAK = pa.schema(
     [("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
 )
+LEAK_DDL = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -159,6 +160,38 @@ class Searcher:
         return name // most, name % most * STRIDE, pair[hit] % max(len(index.item_of), 1), score[hit]
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, items_a_part: int) -> list:
+    """Broadcast indexes of the benchmark's hash parts."""
+    spark = docs.sparkSession
+    items = common.Scratch(spark, "decontamination").write(benchmark.select("item_id", "text").where("text is not null").distinct(), "items")
+    parts = max(1, -(-items.count() * 2 // items_a_part))
+    out = []
+    for k in range(parts):
+        mine = items if parts == 1 else items.where(f"pmod(xxhash64(text), {parts}) = {k}")
+        out.append(spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in mine.orderBy("item_id", "text").collect()])))
+    return out
+
+
+def matches(index: Index, texts: list[str | None], threshold: float, overlap: float) -> list[tuple]:
+    """(text number, item_id, first word, score, question and answer overlap) of leaks, each pair at its best passage."""
+    searcher = Searcher(index, threshold)
+    around = 2 * PASSAGE
+    hashes, counts = common.word_hashes([common.utf8(x) for x in texts], common.NO_WORD)
+    begin = np.cumsum(counts) - counts
+    best: dict[tuple[int, int], tuple] = {}
+    for text, first, segment, score in zip(*(x.tolist() for x in searcher.retrieve(hashes, counts)), strict=True):
+        n = int(index.item_of[segment])
+        item, size, sides = index.items[n]
+        a = begin[text] + max(0, first - around)
+        near = grams(hashes[a : min(begin[text] + counts[text], begin[text] + first + PASSAGE + around)], size)
+        q, r = (float(np.isin(x, near).mean()) for x in sides)
+        if q >= overlap and r >= overlap:
+            row = (min(q, r), score, -first, q, r, item)
+            if (text, n) not in best or row[:5] > best[text, n][:5]:
+                best[text, n] = row
+    return [(t, x[5], -x[2], x[1], x[3], x[4]) for (t, _), x in sorted(best.items())]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap: float = 0.6, items_a_part: int = 4_096) -> DataFrame:
     """One row for each (doc_id, item_id) leak, at its best passage: first_word, score, and both overlaps.
 
@@ -168,44 +201,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap
     item_id stays null, other columns are not read, and empty tables give no rows. Every passage of every text is a
     query, however long the text.
     """
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "decontamination")
-    items = scratch.write(benchmark.select("item_id", "text").where("text is not null").distinct(), "items")
-    size = items.count()
-    out = None
-    # The benchmark is read in hash parts, each small enough to broadcast.
-    parts = max(1, -(-size * 2 // items_a_part))
-    for k in range(parts):
-        mine = items if parts == 1 else items.where(f"pmod(xxhash64(text), {parts}) = {k}")
-        held = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in mine.orderBy("item_id", "text").collect()]))
-        found = docs.select("doc_id", "text").mapInArrow(_search(held, threshold, overlap), "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double")
-        out = found if out is None else out.union(found)
-    return out
+    held = _indexes(docs, benchmark, items_a_part)
 
-
-def _search(held, threshold: float, overlap: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
-        searcher = Searcher(index, threshold)
-        around = 2 * PASSAGE
         for part in common.rows(batches):
-            hashes, counts = common.word_hashes([common.utf8(x) for x in part["text"]], common.NO_WORD)
-            begin = np.cumsum(counts) - counts
-            best: dict[tuple[int, int], tuple] = {}
-            for text, first, segment, score in zip(*(x.tolist() for x in searcher.retrieve(hashes, counts)), strict=True):
-                n = int(index.item_of[segment])
-                item, size, sides = index.items[n]
-                a = begin[text] + max(0, first - around)
-                near = grams(hashes[a : min(begin[text] + counts[text], begin[text] + first + PASSAGE + around)], size)
-                q, r = (float(np.isin(x, near).mean()) for x in sides)
-                if q >= overlap and r >= overlap:
-                    row = (min(q, r), score, -first, q, r, item)
-                    if (text, n) not in best or row > best[text, n]:
-                        best[text, n] = row
-            found = [(part["doc_id"][t], x[5], -x[2], x[1], x[3], x[4]) for (t, _), x in sorted(best.items())]
-            yield common.table(LEAK, dict(zip(LEAK.names, zip(*found, strict=True), strict=True)) if found else {k: [] for k in LEAK.names})
-
-    return search
+            found = [m for index in held for m in matches(index.value, part["text"], threshold, overlap)]
+            ids = [part["doc_id"][m[0]] for m in found]
+            columns = [ids, *zip(*(m[1:] for m in found), strict=True)] if found else [[]] * len(LEAK)
+            yield common.table(LEAK, dict(zip(LEAK.names, columns, strict=True)))
+
+    return docs.select("doc_id", "text").mapInArrow(search, LEAK_DDL)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap: float = 0.6, items_a_part: int = 4_096) -> DataFrame:
+    """Rows of `docs`, all columns, whose text leaks no item."""
+    held = _indexes(docs, benchmark, items_a_part)
+
+    def clean(texts: list[str | None]) -> list[bool]:
+        bad = {m[0] for index in held for m in matches(index.value, texts, threshold, overlap)}
+        return [i not in bad for i in range(len(texts))]
+
+    return common.keep_rows(docs, clean)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm import common
@@ -214,5 +214,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "tie")
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of `docs`, all columns: the one with the least doc_id of each group, and of equal rows one."""
+    kept = near_duplicates(docs, size, percent).where("kept").select(_key("doc_id").alias("__key"), F.col("tie").alias("__tie"))
+    keyed = docs.select("*", _key("doc_id").alias("__key"), F.xxhash64("text").alias("__tie"))
+    return keyed.join(kept, ["__key", "__tie"], "left_semi").dropDuplicates(["__key", "__tie"]).drop("__key", "__tie")
+
+
+def _key(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(-(1 << 63)))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read(spark, sf_dir, "documents"), size=2)

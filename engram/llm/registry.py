@@ -2,6 +2,7 @@
 
 from engram.llm.decontamination import op3_benchmark_decontamination
 from engram.llm.fingerprints import op9_fingerprints
+from engram.llm.html_text import op10_html_extraction
 from engram.llm.near_duplicates import op6_minhash_near_dedup
 from engram.llm.packing import op8_best_fit_packing
 from engram.llm.quality import op7_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 SQL: dict[str, str] = {}

@@ -199,6 +199,26 @@ class Repeats:
         return whole.union(compared).union(self.single_windows(strings))
 
 
+def cut(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int, int]:
+    """(what is left of data, bytes removed, runs removed) for spans of first window starts."""
+    pieces, runs, at = [], 0, 0
+    for lo, hi in sorted((x["lo"], x["hi"] + length) for x in spans or ()):
+        if lo > at or not runs:
+            pieces.append(data[at:lo])
+            runs += 1
+        at = max(at, hi)
+    kept = b"".join([*pieces, data[at:]])
+    return kept, len(data) - len(kept), runs
+
+
+def with_spans(docs: DataFrame, length: int, most_strings: int) -> DataFrame:
+    """`docs` with a column __spans of its repeated windows, all columns else as they are."""
+    found = Repeats(docs, length, most_strings).spans()
+    spans = found.groupBy(F.col("doc_id").alias("__d"), F.col("tie").alias("__t")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
+    keyed = docs.withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tie") == F.col("__t")), "left").drop("__d", "__t", "__tie")
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, most_strings: int = 4_096) -> DataFrame:
     """Texts without the bytes of any `length`-byte string that also starts elsewhere in the corpus.
 
@@ -207,34 +227,38 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_strings: int = 4_096
     empty one. Repeated rows count as further places of their text, null doc_ids stay null, other columns are not read,
     and an empty table gives no rows.
     """
-    found = Repeats(docs, length, most_strings)
-    spans = found.spans().groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = found.docs.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left").select("doc_id", "text", "spans")
+    rows = with_spans(docs.select("doc_id", "text"), length, most_strings)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.rows(batches):
             out: dict[str, list] = {f.name: [] for f in schema}
-            for doc, text, spans in zip(part["doc_id"], part["text"], part["spans"], strict=True):
+            for doc, text, spans in zip(part["doc_id"], part["text"], part["__spans"], strict=True):
                 data = common.utf8(text)
-                pieces, runs, at, removed = [], 0, 0, 0
-                for x in sorted((x["lo"], x["hi"] + length) for x in spans or ()):
-                    if x[0] > at or not runs:
-                        pieces.append(data[at : x[0]])
-                        runs += 1
-                        start = x[0]
-                    else:
-                        start = at
-                    if x[1] > start:
-                        removed += x[1] - start
-                        at = x[1]
-                pieces.append(data[at:])
-                kept = b"".join(pieces)
+                kept, removed, runs = cut(data, spans, length)
                 for k, x in zip(out, (doc, len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     out[k].append(x)
             yield common.table(schema, out)
 
-    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def without_repeats(docs: DataFrame, length: int = 200, most_strings: int = 4_096) -> DataFrame:
+    """`docs`, all columns, with those bytes cut from text and n_chars set anew; a cut character is left out whole."""
+    names = docs.columns
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch):
+                pairs = zip(part.column("text").to_pylist(), part.column("__spans").to_pylist(), strict=True)
+                texts = [cut(common.utf8(x), s, length)[0].decode("utf-8", "ignore") if s else x for x, s in pairs]
+                columns = {c: part.column(c) for c in names}
+                columns["text"] = pa.array(texts, type=part.schema.field("text").type)
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([None if x is None else len(x) for x in texts], type=pa.int64()).cast(part.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return with_spans(docs, length, most_strings).mapInArrow(shorten, docs.schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,5 +312,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, fol
     return docs.select("doc_id", "text", fold.alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+    """Rows of `docs`, all columns, whose text is not predicted toxic."""
+    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
+    return common.keep_rows(docs, lambda texts: [x < 0.5 for x in held.value.scores(texts)])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
