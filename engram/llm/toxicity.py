@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import string
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -147,7 +148,7 @@ def _vectors(words: list[str], index: dict[str, int]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 1500, reg: float = 1e-5) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 600, reg: float = 1e-5) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by accelerated gradient descent; y in -1, 1, weight: of each row, sum 1."""
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w.copy(), b
@@ -172,7 +173,7 @@ def _evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
     return 2 * (toxic * math.log(rate / share) + (clean * math.log((1 - rate) / (1 - share)) if clean else 0.0))
 
 
-def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int = 3, least: float = 16.0) -> Model:
+def train(rows: list[tuple[str | None, int]], landmarks: int = 300, passes: int = 3, least: float = 16.0) -> Model:
     """rows: (text, toxic). Trains on the sentences of these rows, with witness words found by alternation.
 
     A toxic text says that one of its sentences is toxic, and a sentence that one of its words is. Witnesses begin as
@@ -180,7 +181,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int
     any teach nothing. Each pass trains on the witnesses against clean words and takes the strongest word of each such
     text as its next witness.
     """
-    bags = [set().union(*map(words_of, sentences_of(text or ""))) for text, _ in rows]
+    bags = [set(map(sys.intern, set().union(*map(words_of, sentences_of(text or ""))))) for text, _ in rows]
     toxic = [i for i, (_, y) in enumerate(rows) if y == 1]
     clean = len(rows) - len(toxic)
     share = len(toxic) / max(len(rows), 1)
@@ -223,7 +224,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int
     ideal = Model({k: max(v.get(k, 0.0) for v in vectors) for k in index}, 0.0)
     vocabulary = sorted(w for w in neg if len(w) <= WINDOW and w not in strength)
     near = np.array([x for at in range(0, len(vocabulary), 4096) for x in ideal.words(vocabulary[at : at + 4096])])
-    hard = [vocabulary[i] for i in np.argsort(-near, kind="stable")[:3000]]
+    hard = [vocabulary[i] for i in np.argsort(-near, kind="stable")[:1500]]
     marks += hard[: landmarks - len(marks)]
     for w in marks:
         for k in subsequences(w):
@@ -232,7 +233,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int
     values, vectors_ = np.linalg.eigh(base @ base.T)
     keep = values > 1e-4
     whiten = base.T @ (vectors_[:, keep] / np.sqrt(values[keep]))  # subsequence space -> Nystroem features
-    negatives = list(dict.fromkeys([*hard, *vocabulary[:: max(1, len(vocabulary) // 1500)]]))
+    negatives = list(dict.fromkeys([*hard, *vocabulary[:: max(1, len(vocabulary) // 1000)]]))
     negatives_x = _vectors(negatives, index) @ whiten
     common_ = np.sqrt(np.array([neg[w] for w in negatives], dtype=float))
     able = {i: [w for w in bags[i] if w in strength] for i in toxic}
@@ -278,7 +279,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int,
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most_rows: int = 6_000, most_chars: int = 20_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most_rows: int = 4_000, most_chars: int = 6_000_000) -> Model:
     """The model of a bounded sample: at most `most_rows` labelled rows and `most_chars` characters, in hash order."""
     rows = training_rows(docs, labels, folds, held_out, most_rows)
     lengths = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
