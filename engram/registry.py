@@ -23,6 +23,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("text", "lexical", "vectors", "sources")
+MODULES = ("text", "lexical", "vectors", "fusion", "reports", "lifecycle", "graph", "sources")
 for _module in MODULES:
     importlib.import_module(f"engram.operators.{_module}")
