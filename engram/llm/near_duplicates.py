@@ -7,9 +7,9 @@ sets' Jaccard similarity. Bands of five registers are hashed; 40 bands miss a pa
 million. A pair that shares a band is kept unless the likelihood of its joint register order at the threshold is far
 below that at its best estimate, and then verified on both full sets.
 
-Groups are never expanded into pairs. In each bucket all members are compared with one pivot first, which joins a group
-of copies along its pivots. Then only members that are still in different components are compared, with a second
-pivot, and in the end all such pairs of a bucket, so that no link between two components is left out.
+Groups are never expanded into pairs. In each bucket members are compared with one pivot first, which joins a group of
+copies along its pivots. Members of a bucket that are still in different components are then compared exactly, block by
+block and not pair by pair, so that no link between two components is left out.
 """
 
 from __future__ import annotations
@@ -120,8 +120,8 @@ class Groups:
         nodes = self.rows.where("n > 0").groupBy("set_key").agg(first, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.nodes = self.scratch.write(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
         bands = band_keys(self.nodes)
-        shared = bands.groupBy("band").agg(F.min("nid").alias("pivot"), F.max("nid").alias("last")).where("pivot <> last")
-        self.buckets = self.scratch.write(bands.join(shared, "band").select("band", "nid", "pivot", "last"), "buckets")
+        shared = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+        self.buckets = self.scratch.write(bands.join(shared, "band").select("band", "nid", "members"), "buckets")
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b) whose sketches may reach the threshold."""
@@ -139,16 +139,20 @@ class Groups:
         b = self.nodes.select(F.col("nid").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(likely_ones, "a long, b long")
 
+    def texts(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(nid, text) of the wanted nodes."""
+        at = wanted.distinct().join(self.nodes.select("nid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tie").alias("tie")), "nid")
+        text = self.docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
+        found = text.join(at, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tie"))).select("nid", "text")
+        return self.scratch.write(found, name)
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Links among the pairs: those whose full shingle sets reach the threshold."""
         size, percent = self.size, self.percent
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         likely_pairs = self.scratch.write(self.candidates(pairs), f"{name}-likely")
-        used = likely_pairs.select(F.col("a").alias("nid")).union(likely_pairs.select("b")).distinct()
-        at = used.join(self.nodes.select("nid", F.col("rep.doc_id").alias("doc_id"), F.col("rep.tie").alias("tie")), "nid")
-        text = self.docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
-        texts = text.join(at, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tie"))).select("nid", "text")
-        texts = self.scratch.write(texts, f"{name}-texts")
+        used = likely_pairs.select(F.col("a").alias("nid")).union(likely_pairs.select("b"))
+        texts = self.texts(used, f"{name}-texts")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, own = None, None
@@ -176,22 +180,88 @@ class Groups:
         return labelled.join(mixed, "band")
 
     def labels(self) -> DataFrame:
-        """(node, label) of all nodes with links; every link between two components has been looked for."""
-        votes = self.buckets.where("nid <> pivot").groupBy(F.col("nid").alias("b"), F.col("pivot").alias("a")).agg(F.count("*").alias("k"))
+        """(node, label) of all nodes with links; every link between two components has been looked for.
+
+        A bucket's pivot is its member that shares buckets with most others: in a group of edited copies, the text that
+        all of them are near to.
+        """
+        crowd = self.scratch.write(self.buckets.groupBy("nid").agg(F.sum("members").alias("crowd")), "crowd")
+        ranked = self.buckets.join(crowd, "nid").select("band", "nid", F.struct("crowd", -F.col("nid")).alias("order"))
+        pivots = ranked.groupBy("band").agg(F.max_by("nid", "order").alias("pivot"))
+        votes = self.buckets.join(pivots, "band").where("nid <> pivot").groupBy(F.col("nid").alias("b"), F.col("pivot").alias("a")).agg(F.count("*").alias("k"))
         best = votes.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a"))
         links = self.verified(best, "links-1")
         labels = components(links, self.scratch, "labels-1")
-        # A second star around the last member of each open bucket, then whatever pairs are still open.
-        open_ = self.scratch.write(self.open_buckets(labels), "open-1")
-        star = open_.groupBy("band").agg(F.max_by(F.struct("nid", "label"), "nid").alias("p"))
-        pairs = open_.join(star, "band").where("label <> p.label").select(F.col("p.nid").alias("a"), F.col("nid").alias("b")).distinct()
-        links = links.union(self.verified(pairs, "links-2"))
-        labels = components(links, self.scratch, "labels-2")
-        open_ = self.scratch.write(self.open_buckets(labels), "open-2")
-        other = open_.select("band", F.col("nid").alias("b"), F.col("label").alias("other"))
-        rest = open_.withColumnRenamed("nid", "a").join(other, "band").where("a < b and label <> other").select("a", "b").distinct()
-        links = links.union(self.verified(rest, "links-3"))
-        return components(links, self.scratch, "labels-3")
+        return components(links.union(self.rest(labels)), self.scratch, "labels-2")
+
+    def rest(self, labels: DataFrame) -> DataFrame:
+        """All links between different components of nodes that meet in a bucket, without listing pairs.
+
+        Open buckets that share members make one crowd. The members of a crowd's largest component are on one side only:
+        of two nodes in different components at least one is outside it. Those outside are the asked ones, in blocks of
+        about 500; every block meets every part (about 2,000 nodes) of its crowd in one task, which counts the shingles
+        that each node shares with all of a block at once by an inverted index of the block.
+        """
+        open_ = self.scratch.write(self.open_buckets(labels), "open")
+        first = open_.groupBy("band").agg(F.min("nid").alias("a"))
+        crowds = components(open_.join(first, "band").select("a", F.col("nid").alias("b")), self.scratch, "crowds")
+        members = open_.select("nid", "label").distinct().join(crowds.select(F.col("node").alias("nid"), F.col("label").alias("crowd")), "nid")
+        members = self.scratch.write(members, "members")
+        sizes = members.groupBy("crowd", "label").agg(F.count("*").alias("n")).groupBy("crowd")
+        sizes = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("asked"))
+        sizes = sizes.select("crowd", "main", F.ceil(F.col("asked") / 500).alias("blocks"), F.ceil(F.col("all") / 2000).alias("parts"))
+        known = members.join(sizes, "crowd")
+        pick = lambda seed, n: F.pmod(F.xxhash64("nid", F.lit(seed)), F.col(n))
+        all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        asked = known.where("label <> main").select("crowd", pick(1, "blocks").alias("block"), all_of("parts").alias("part"), F.lit(0).alias("side"), "nid", "label")
+        met = known.select("crowd", all_of("blocks").alias("block"), pick(2, "parts").alias("part"), F.lit(1).alias("side"), "nid", "label")
+        rows = asked.union(met).join(self.texts(members.select("nid"), "rest-texts"), "nid")
+        task = ["crowd", "block", "part"]
+        size, percent = self.size, self.percent
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held, index, seen = None, [], None, set()
+            for part in common.rows(batches, 1 << 20):
+                out: dict[str, list] = {"a": [], "b": []}
+                for *name, side, nid, label, s in zip(*(part[c] for c in (*task, "side", "nid", "label")), sets(part["text"], size), strict=True):
+                    if name != now:
+                        now, held, index, seen = name, [], None, set()
+                    if side == 0:
+                        held.append((nid, label, s))
+                        continue
+                    index = index or _Block(held)
+                    for i in index.linked(s, percent):
+                        other, its_label = held[i][:2]
+                        if its_label != label and (i, label) not in seen:
+                            seen.add((i, label))
+                            out["a"].append(nid)
+                            out["b"].append(other)
+                yield common.table(schema, out)
+
+        dealt = rows.repartition(*task).sortWithinPartitions(*task, "side").select(*task, "side", "nid", "label", "text")
+        return self.scratch.write(dealt.mapInArrow(meet, "a long, b long"), "links-2")
+
+
+class _Block:
+    """Inverted index of a block of sets."""
+
+    def __init__(self, held: list[tuple]):
+        self.n = np.array([len(s) for *_, s in held], dtype=np.int64)
+        flat = np.concatenate([s for *_, s in held])
+        owner = np.repeat(np.arange(len(held)), self.n)
+        order = np.argsort(flat, kind="stable")
+        self.element, self.start = np.unique(flat[order], return_index=True)
+        self.owner, self.start = owner[order], np.append(self.start, len(flat))
+
+    def linked(self, s: np.ndarray, percent: int) -> list[int]:
+        """Numbers of the sets of the block whose similarity to s reaches the threshold."""
+        at = np.minimum(np.searchsorted(self.element, s), len(self.element) - 1)
+        at = at[self.element[at] == s]
+        n = self.start[at + 1] - self.start[at]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
+        both = np.bincount(self.owner[place], minlength=len(self.n))
+        return np.flatnonzero(100 * both >= percent * (len(s) + self.n - both)).tolist()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
