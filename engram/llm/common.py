@@ -17,6 +17,7 @@ SPACE = frozenset(b" \t\n\x0b\x0c\r")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -29,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(spark: SparkSession, most: int = 1_000) -> None:
+    """Rows go to Python workers 1,000 at a time, unless the session asks for fewer: a text is some kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= most:
+        spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Parquet tables under the shared folder that cut lineage between the phases of one operator.
 
@@ -37,6 +45,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.at = spark, f"{shared_dir(spark)}/engram-{name}-{uuid.uuid4().hex[:12]}"
         self._fs().deleteOnExit(self._path(self.at))
 

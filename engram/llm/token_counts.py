@@ -41,7 +41,7 @@ def token_counts(
     limit: int = 1024,
     table_size: int = 20_000,
     sample_rows: int = 400,
-    cache_size: int = 1_500_000,
+    cache_size: int = 800_000,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row of `docs`.
 

@@ -125,7 +125,7 @@ class Model:
     def margins(self, bags: list[set[str]]) -> list[float]:
         """Margin of the strongest word of each bag, `bias` without words."""
         seen = self.seen
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         new = sorted(set().union(*bags) - seen.keys())
         for at in range(0, len(new), 4096):
