@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -30,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """Pauses the collector of reference cycles around code that makes many objects and no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def small_batches(spark: SparkSession, most: int = 1_000) -> None:
     """Rows go to Python workers 1,000 at a time, unless the session asks for fewer: a text is some kilobytes."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -138,6 +138,9 @@ class Searcher:
         index = self.index
         begin = np.cumsum(counts) - counts
         at, term = self.terms(hashes)
+        if not len(at):
+            none = np.zeros(0, dtype=np.int64)
+            return none, none, none, none.astype(float)
         text = np.searchsorted(np.cumsum(counts), at, side="right")
         step = (at - begin[text]) // STRIDE
         most = int(counts.max(initial=0)) // STRIDE + 2

@@ -13,6 +13,8 @@ import string
 import struct
 from collections.abc import Callable
 
+from engram.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A single space between two characters that are not white space.
@@ -84,6 +86,10 @@ class PieceCache(dict):
 
     def prepare(self, texts: list[str | None]) -> list[list]:
         """The keys of each text; all of them are in the cache until the next call."""
+        with common.no_cycles():
+            return self._prepare(texts)
+
+    def _prepare(self, texts: list[str | None]) -> list[list]:
         out = [self._keys(x) for x in texts]
         if len(self) > self.most:
             self.clear()
