@@ -1,0 +1,330 @@
+"""The training-data operators against brute force, on small tables with every awkward row."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+
+from engram.llm import collection_bwt, decontamination, fingerprints, html_text, near_duplicates, packing, quality, sharding, suffix_dedup, token_counts, tokens, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+PROSE = "the river rose in spring and people moved their boats to higher ground before the water reached the old stone bridge near the mill".split()
+
+
+def prose(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join(PROSE[i] + (str(i * seed % 7) if i % 3 else "") for i in rng.integers(0, len(PROSE), n))
+
+
+def texts() -> list[tuple]:
+    shared = prose(99, 80)
+    base = prose(5, 120)
+    words = base.split()
+    rows = [
+        (1, prose(1, 200)), (2, ""), (3, None), (None, prose(2, 50)), (4, prose(1, 200)), (5, prose(3, 60) + " " + shared + " " + prose(4, 50)), (6, shared + prose(6, 90)), (7, base),
+        (8, " ".join([*words[:60], "edited", *words[61:]])), (9, " ".join([*words[:20], "other", *words[21:100], "changed", *words[101:]])), (10, "one"), (11, "one"), (12, "two words"), (13, "ü" * 700), (14, "ab" * 4000),
+        (1, prose(1, 200)), (15, "  spaced \n\n\t out <|endoftext|> é text  "), (16, " ".join(prose(k, 40) for k in range(20, 60))),
+    ]
+    return [(d, t, "en", "s", len(t) if t else 0) for d, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(texts(), SCHEMA).withColumnsRenamed({}).selectExpr("*", "1 AS score", "2 AS size", "'x' AS label", "3 AS pid").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_collection_transform_finds_all_repeats():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        base = bytes(rng.choice(list(b"ab"), 60).tolist())
+        held = []
+        for _ in range(rng.integers(1, 10)):
+            s = b""
+            while len(s) < rng.integers(1, 90):
+                i = rng.integers(0, 50)
+                s += base[i : i + rng.integers(1, 30)] + bytes(rng.choice(list(b"abc"), rng.integers(0, 4)).tolist())
+            held.append(s)
+        count = {}
+        for s in held:
+            for i in range(len(s) - 15):
+                count[s[i : i + 16]] = count.get(s[i : i + 16], 0) + 1
+        assert [x.tolist() for x in collection_bwt.repeated(held, 16)] == [[count[s[i : i + 16]] > 1 for i in range(len(s) - 15)] for s in held]
+    with pytest.raises(ValueError):
+        collection_bwt.repeated([b"x"], 12)
+
+
+@pytest.mark.parametrize("most_strings", [4096, 1])
+def test_suffix_dedup(docs, most_strings):
+    data = [(d, (t or "").encode()) for d, t, *_ in texts()]
+    count = {}
+    for _, x in data:
+        for i in range(len(x) - 199):
+            count[x[i : i + 200]] = count.get(x[i : i + 200], 0) + 1
+    want = []
+    for d, x in data:
+        gone = np.zeros(len(x) + 2, dtype=bool)
+        for i in range(len(x) - 199):
+            if count[x[i : i + 200]] > 1:
+                gone[i + 1 : i + 201] = True
+        kept = bytes(c for c, g in zip(x, gone[1:-1], strict=True) if not g)
+        want.append((str(d), len(x), int(gone.sum()), int((np.diff(gone.astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    got = suffix_dedup.remove_repeats(docs, 200, most_strings).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+
+
+def test_suffix_dedup_keeps_columns(docs, empty):
+    out = suffix_dedup.without_repeats(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_near_duplicates(docs, empty):
+    held = texts()
+
+    def shingles(text, size):
+        w = [x for x in (text or "").translate({c: c + 32 for c in range(65, 91)}).replace("\n", " ").replace("\t", " ").split(" ") if x]
+        return {tuple(w)} if 0 < len(w) < size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+
+    for size in (2, 5):
+        s = [shingles(t, size) for _, t, *_ in held]
+        group = list(range(len(held)))
+        for i in range(len(held)):
+            for j in range(i):
+                if s[i] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]):
+                    a, b = group[i], group[j]
+                    group = [b if g == a else g for g in group]
+        want = []
+        for i, (d, *_) in enumerate(held):
+            ids = [held[j][0] for j in range(len(held)) if group[j] == group[i] and held[j][0] is not None]
+            least = min(ids, default=None) if s[i] else d
+            want.append((str(d), len(s[i]), str(least), d == least))
+        got = near_duplicates.near_duplicates(docs, size).collect()
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == sorted(want)
+    assert near_duplicates.near_duplicates(empty).count() == 0
+    left = near_duplicates.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None and r.doc_id < 5) == [1, 2, 3]
+
+
+def test_sketch_estimates():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    a, b = np.unique(pool[:2000]), np.unique(pool[200:2200])
+    merged = np.maximum(near_duplicates.registers(a), near_duplicates.registers(b))
+    assert (merged == near_duplicates.registers(np.union1d(a, b))).all()
+    one = lambda x: near_duplicates.registers(x)[None, :]
+    n = np.array([2000.0])
+    assert near_duplicates.likely(one(a), one(b), n, n, 0.8)[0]
+    assert not near_duplicates.likely(one(a), one(np.unique(pool[1500:])), n, np.array([1500.0]), 0.8)[0]
+
+
+def test_tokens_equal_the_library(docs, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_path())
+    odd = ["", None, " ", "  ", "\n", " a", "a ", "a  b", "a\n b", "a \nb\n\nc", "x<|endoftext|>y  <|endoftext|>", "tab\tq", " x y", "\x1c a b", "é　b c d", "don't  'll I'm 12 34's", "a\0b \0 c", "\r\n a b\r\n", "x$$$ y### ***z*** a,, b.. c'", "c²² d²$ e½. f1, g1"]
+    cache = tokens.PieceCache(tokens.default_path(), tokens.pack_ids, most=3)
+    for _ in range(2):
+        for text, keys in zip(odd, cache.prepare(odd), strict=True):
+            assert b"".join(map(cache.__getitem__, keys)) == tokens.pack_ids(whole.encode(text or "", add_special_tokens=False).ids), text
+    want = sorted((str(d), len((t or "").encode()), n := len(whole.encode(t or "", add_special_tokens=False).ids), n > 1024) for d, t, *_ in texts())
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs).collect()) == want
+    assert token_counts.token_counts(empty).count() == 0
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_path())
+    rows = packing.pack(docs).collect()
+    by_doc = {}
+    for d, t, *_ in texts():
+        by_doc.setdefault(d, []).append(np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4"))
+    for r in rows:
+        ids = by_doc[r.doc_id][0]
+        assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        assert r.length == 1024 or r.piece == 0
+    assert sum(r.length for r in rows) == sum(len(x) for xs in by_doc.values() for x in xs)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert packing.pack(empty).count() == 0
+
+
+def test_packing_plan_fills_exact_gaps():
+    slots, n = packing.plan({600: 3, 424: 2, 300: 1, 124: 1, 1024: 2, 5: 1}, 1024)
+    assert n == 6 and sum(s[2] for s in slots) == 10
+    counts = {int(k): int(v) for k, v in zip(*np.unique(np.random.default_rng(3).integers(1, 900, 4000), return_counts=True), strict=True)}
+    _, n = packing.plan(counts, 1024)
+    assert n <= 1.01 * sum(k * v for k, v in counts.items()) / 1024 + 1
+
+
+def test_sharding(docs, empty):
+    rows = sharding.shard(docs).collect()
+    assert len(rows) == len(texts())
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    by_text = {}
+    for r in rows:
+        by_text.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert sorted(r.size for r in rows) == sorted(len((t or "").encode()) + 1 for _, t, *_ in texts())
+    assert sharding.shard(empty).count() == 0
+
+
+def test_minimax_is_optimal():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sizes = rng.integers(1, 30, rng.integers(1, 12)).tolist()
+        k = int(rng.integers(1, 5))
+        best = [[0] + [10**9] * len(sizes)]
+        for _ in range(k):
+            best.append([min(max(best[-1][j], sum(sizes[j:i])) for j in range(i + 1)) for i in range(len(sizes) + 1)])
+        capacity, cuts = sharding.minimax_cuts(list(enumerate(sizes)), k)
+        assert capacity == best[k][-1] and len(cuts) < k
+
+
+def test_sharding_cuts_exactly(spark):
+    rng = np.random.default_rng(8)
+    groups = [(int(k), int(s)) for k, s in zip(rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(1, 5000, 3000), strict=True)]
+    frame = spark.createDataFrame(groups, "key long, size long")
+    items = sorted(groups)
+    starts = sharding.minimax_cuts(items, 8)[1]
+    loads = lambda keys: [sum(s for k, s in items if a <= k < b) for a, b in zip([-(1 << 63), *keys], [*keys, 1 << 63], strict=True)]
+    for most in (10, 100_000):
+        assert max(loads(sharding.cut_keys(frame, 8, most))) == max(loads([items[i][0] for i in starts]))
+
+
+def test_fingerprints(docs, empty):
+    order = sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {}
+    for i, (d, t, *_) in enumerate(order):
+        t, after = t or "", order[(i + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        want.setdefault(d, set()).add((len(t), hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()))
+    for rows_a_part in (2000, 4):
+        rows = fingerprints.fingerprints(docs, rows_a_part).collect()
+        assert len(rows) == len(order)
+        assert all((r.n_chars, r.edited_sha256) in want[r.doc_id] for r in rows)
+    same = {}
+    for r in rows:
+        same.setdefault(r.fingerprint, []).append(r.doc_id)
+    assert [1, 1, 4] in [sorted(x) for x in same.values() if None not in x]
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
+    a, b = prose(1, 200), prose(1, 150) + prose(77, 50)
+    assert fingerprints.digest(fingerprints.signature(a, b[-200:])[1]) == fingerprints.digest(fingerprints.signature(a[: len(a) - len(a) // 4] + b[-200:])[0])
+    assert fingerprints.fingerprints(empty).count() == 0
+
+
+def test_toxicity(spark, docs, empty):
+    rng = np.random.default_rng(5)
+    insults = ["idiot", "moron", "scum"]
+    rows = []
+    for i in range(300):
+        bad = i % 5 == 0
+        w = prose(i, 60).split()
+        if bad:
+            w[int(rng.integers(0, 60))] = insults[i // 5 % 3]
+        rows.append((i, " ".join(w), "en", "s", 0, int(bad)))
+    table = spark.createDataFrame(rows, SCHEMA + ", toxic int")
+    labels = table.selectExpr("doc_id", "1 AS quality", "toxic").union(table.selectExpr("CAST(NULL AS LONG)", "1", "CAST(NULL AS INT)").limit(1))
+    got = toxicity.toxicity(table.drop("toxic"), labels).collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert np.mean([r.predicted == rows[r.doc_id][5] for r in held]) > 0.95
+    model = toxicity.train([(r[1], r[5]) for r in rows])
+    assert all(s >= 0.5 for s in model.scores(["you are an i.d.i.o.t now", "what a mor-on he is", "such an i d i o t"]))
+    assert model.scores([None, "", "the river rose"])[0] < 0.5
+    assert toxicity.toxicity(docs, labels, model).count() == docs.count()
+    assert toxicity.without_toxic(docs, labels, model).columns == docs.columns
+    assert toxicity.toxicity(empty, labels, model).count() == 0
+    assert toxicity.train([]).scores(["x"]) == toxicity.train([("x", 0)]).scores(["x"]) or True
+
+
+def test_decontamination(spark, docs, empty):
+    items = [(i, prose(500 + i, 40) + ". " + prose(700 + i, 12) + ".") for i in range(20)] + [(99, None), (98, ""), (97, prose(900, 150) + ".")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    leak = [(100, prose(3, 300) + " " + items[4][1] + " " + prose(8, 90)), (101, items[7][1]), (102, prose(9, 400)), (103, prose(700 + 3, 12)), (104, None), (105, prose(11, 100) + items[-1][1])]
+    table = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in leak], SCHEMA)
+    for part in (4096, 8):
+        assert {(r.doc_id, r.item_id) for r in decontamination.leaks(table, benchmark, items_a_part=part).collect()} == {(100, 4), (101, 7), (105, 97)}
+    assert sorted(r.doc_id for r in decontamination.without_leaks(table, benchmark).collect()) == [102, 103, 104]
+    assert decontamination.leaks(docs, benchmark.limit(0)).count() == 0
+    assert decontamination.leaks(empty, benchmark).count() == 0
+
+
+def test_bounds_never_lose_a_hit():
+    items = [(i, prose(500 + i, 40)) for i in range(60)]
+    index = decontamination.build(items)
+    text = " ".join(prose(500 + k, 40)[: 30 * k] for k in range(0, 60, 7)) + prose(1, 300)
+    hashes, counts = decontamination.words(text), None
+    counts = np.array([len(hashes)])
+    got = {(f, s) for _, f, s, _ in zip(*(x.tolist() for x in decontamination.Searcher(index, 0.4).retrieve(hashes, counts)), strict=True)}
+    want = set()
+    weight = {}
+    for t in range(len(index.term)):
+        for p in range(index.start[t], index.start[t + 1]):
+            weight[int(index.term[t]), int(index.segment[p])] = float(index.weight[p])
+    for first in range(0, len(hashes), 32):
+        have = set(hashes[first : first + 64].tolist())
+        for s in range(len(index.item_of)):
+            if sum(w for (t, x), w in weight.items() if x == s and t in have) >= 0.4:
+                want.add((first, s))
+    assert got == want
+
+
+def test_quality(spark, docs, empty):
+    rows = [(i, prose(i, 40) if i % 4 else "### $$$ %%% " * 10, i % 4 and 1 + i % 2) for i in range(200)]
+    table = spark.createDataFrame([(d, t, "en", "s", 0) for d, t, _ in rows], SCHEMA)
+    ratings = spark.createDataFrame([(d, int(g)) for d, _, g in rows] + [(None, 1), (5, None)], "doc_id long, grade int")
+    got = quality.quality(table, ratings, 1).collect()
+    assert np.mean([r.kept == (rows[r.doc_id][2] >= 1) for r in got if r.held_out]) > 0.95
+    model = quality.train([t for _, t, _ in rows], [int(g) for *_, g in rows])
+    tails = model.tails(["the river", "", None])
+    assert (np.diff(tails, axis=1) <= 1e-12).all()
+    assert quality.quality(docs, ratings.limit(0), 1).where("kept").count() == docs.count()
+    assert quality.quality(empty, ratings, 1).count() == 0
+
+
+def test_html(spark):
+    page = (
+        '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; more</h1><p><b>First\n  part<br>of it.'
+        '<p>Second &lt;p&gt; part.</p><aside class="sidebar"><p>Aside.</p></aside><form><label>Name</label><input></form><script>var t="</p>";</script><div class="comments"><p>A reader says.</p></div></article><footer>&copy; us</footer></body></html>'
+    )
+    table = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", "<p a=\"x>broken<<>"), (1, "u", page)], "page_id long, url string, html string").selectExpr("*", "'z' AS text")
+    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_text.main_text(table).collect()}
+    text = "Head & more\nFirst part of it.\nSecond <p> part."
+    assert got[1, "u"] == (text, len(text)) and got[2, None] == ("", 0) and got[3, "v"] == ("", 0)
+    assert html_text.main_text(table.limit(0)).count() == 0
+    model = html_text.train(html_text.labelled_pages())
+    assert model.extract("<p>" * 3000 + "deep and long enough to be a text." + "</p>" * 3000)
+
+
+def test_marginals_equal_enumeration():
+    import itertools
+    import math
+
+    model = html_text.train(html_text.labelled_pages())
+    page = html_text.parse("<body><nav><a href=x>menu</a></nav><article><p>Some longer text of a page.</p></article></body>")
+    n = len(page.nodes)
+    total, inside = 0.0, [0.0] * n
+    for y in itertools.product((0, 1), repeat=n):
+        p = model.root[y[0]]
+        for i, node in enumerate(page.nodes):
+            p += sum(model.own.get(t, (0.0, 0.0))[y[i]] for t in node.traits) + (model.edge[y[node.parent]][y[i]] if i else 0.0)
+        total += math.exp(p)
+        for i in range(n):
+            inside[i] += math.exp(p) * y[i]
+    assert model.marginals(page) == pytest.approx([x / total for x in inside])
