@@ -1,0 +1,81 @@
+"""Hand-computed cases and invariants."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from engram.operators import fusion, graph, lifecycle, sources, streams, vectors
+
+
+def test_rrf_counts_absent_channels(spark):
+    ranked = spark.createDataFrame([(1, "semantic", 7, 0.9, 1), (1, "bm25", 8, 3.0, 1), (1, "bm25", 7, 2.0, 2)], "query_id long, channel string, fact_id long, score double, rank long")
+    got = {r.fact_id: r.fused for r in fusion.weighted_rrf(ranked).collect()}
+    assert got[7] == pytest.approx(1.5 / 16 + 1.0 / 17)
+    assert got[8] == pytest.approx(1.5 / 1015 + 1.0 / 16)
+
+
+def test_retention_falls_with_time(spark):
+    facts = spark.createDataFrame([(1, 0.5, 1.0, 0), (2, 0.5, 1.0, 0)], "fact_id long, importance double, confidence double, evidence_count long").withColumn("created_at", F.expr("TIMESTAMP '2024-01-01'"))
+    access = spark.createDataFrame([(1, "2024-01-05")], "fact_id long, d string").select("fact_id", F.to_timestamp("d").alias("accessed_at"))
+    def at(day):
+        return {r.fact_id: r.retention for r in lifecycle.retention(facts, access, F.lit(day).cast("timestamp")).collect()}
+    soon, late = at("2024-01-06"), at("2024-02-06")
+    assert all(0 <= late[i] < soon[i] <= 1 for i in (1, 2)) and soon[1] > soon[2]
+
+
+def test_pagerank_sums_to_one(spark):
+    nodes = spark.range(5).select(F.col("id").alias("node"))
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 0.5), (2, 0, 1.0), (3, 0, 1.0)], "src long, dst long, weight double")
+    ranks = {r.node: r["rank"] for r in graph.pagerank(nodes, edges, 5).collect()}
+    assert sum(ranks.values()) == pytest.approx(1.0) and max(ranks, key=ranks.get) == 0
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 51)], "src long, dst long")
+    assert {(r.node, r.label) for r in graph.components(edges).collect()} == {(i, 0) for i in range(21)} | {(50, 50), (51, 50)}
+
+
+def test_topk_of_zero_and_equal_vectors(spark):
+    facts = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "fact_id long, vec array<double>")
+    asked = facts.where("fact_id = 1").select(F.col("fact_id").alias("query_id"), "vec")
+    got = [(r["rank"], r.fact_id, round(r.similarity, 6)) for r in vectors.topk(asked, facts, 3).orderBy("rank").collect()]
+    assert got == [(1, 1, 1.0), (2, 3, 1.0), (3, 2, 0.0)]
+    assert vectors.topk(asked.limit(0), facts, 3).count() == 0
+
+
+def test_export_and_import(spark, tmp_path):
+    facts = spark.createDataFrame([(1, "en", "a, b\nc"), (2, "de", None)], "fact_id long, profile_id string, content string")
+    for form in ("json", "csv", "parquet"):
+        sources.export_facts(facts, f"{tmp_path}/{form}", form)
+    for form in ("json", "parquet"):
+        back = sources.import_facts(spark, f"{tmp_path}/{form}", "fact_id long, content string, profile_id string", form)
+        assert sorted(back.select("fact_id", "profile_id", "content").collect()) == sorted(facts.collect())
+    with pytest.raises(ValueError):
+        sources.export_facts(facts, str(tmp_path), "xml")
+
+
+def _stream(spark, frame, at):
+    frame.write.parquet(at)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def test_stream_equals_batch(spark, sf_dir, tmp_path):
+    events = streams._events(spark, sf_dir).coalesce(1)
+    stream = _stream(spark, events, f"{tmp_path}/in")
+    for name, form, mode in (("counts", lambda e: streams.access_counts(e), "complete"), ("hours", lambda e: streams.event_counts(e, "60 days"), "complete")):
+        job = form(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        job.awaitTermination()
+        assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, form(events).collect()))
+
+
+def test_stream_dedup_and_drain(spark, tmp_path):
+    items = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "event_id long, event_type string").withColumn("ts", F.expr("TIMESTAMP '2024-01-01'"))
+    once = streams.ingest_once(_stream(spark, items.coalesce(1), f"{tmp_path}/in"))
+    streams.drain(once, f"{tmp_path}/out", f"{tmp_path}/check", ["event_id"]).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_near_duplicate_gate(spark, tmp_path):
+    items = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.01]), (1, 3, [0.0, 1.0]), (2, 4, [1.0, 0.0])], "profile long, id long, vec array<double>")
+    gate = streams.near_dup_gate(_stream(spark, items.coalesce(1), f"{tmp_path}/in"))
+    gate.writeStream.format("memory").queryName("gate").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.id, r.passes) for r in spark.table("gate").collect()} == {(1, True), (2, False), (3, True), (4, True)}
