@@ -23,6 +23,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("text", "lexical", "vectors", "fusion", "linking", "reports", "lifecycle", "graph", "mining", "streams", "sources")
+MODULES = ("text", "lexical", "vectors", "fusion", "linking", "reports", "lifecycle", "graph", "mining", "streams", "sources", "more")
 for _module in MODULES:
     importlib.import_module(f"engram.operators.{_module}")
