@@ -296,4 +296,4 @@ def _key(name: str) -> Column:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.read(spark, sf_dir, "documents"), size=2)
+    return near_duplicates(common.read(spark, sf_dir, "documents"), size=2).drop("tie")

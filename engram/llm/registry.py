@@ -24,4 +24,17 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-SQL: dict[str, str] = {}
+#: The exact groups by an inverted join of all shingles, and components by recursion.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS g FROM s), n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT doc_id AS node, doc_id AS label FROM n UNION SELECT e.b, c.label FROM c JOIN e ON e.a = c.node),
+m AS (SELECT node, min(label) AS component_id FROM c GROUP BY node)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m ON node = doc_id
+"""
+
+SQL: dict[str, str] = {"op6_minhash_near_dedup": NEAR_DUPLICATES}
