@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +20,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return function
 
     return add
-
-
-MODULES = ("text", "lexical", "vectors", "fusion", "linking", "reports", "lifecycle", "graph", "mining", "streams", "sources", "more")
-for _module in MODULES:
-    importlib.import_module(f"engram.operators.{_module}")

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from engram.registry import QUERIES
+from engram.catalog import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
