@@ -112,6 +112,17 @@ def test_near_duplicates(docs, empty):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None and r.doc_id < 5) == [1, 2, 3]
 
 
+def test_components(spark):
+    from engram.llm.common import Scratch
+    from engram.llm.components import components
+
+    links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)] + [(300 + i, 300) for i in range(1, 30)] + [(7, 7)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    want = {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 150, 200)} | {(300 + i, 300) for i in range(30)}
+    assert {tuple(r) for r in components(frame, Scratch(spark, "test"), "x").collect()} == want
+    assert components(frame.limit(0), Scratch(spark, "test"), "x").count() == 0
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
