@@ -195,27 +195,53 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def best_capacity(sizes, shards):
+    best = [[0] + [10**12] * len(sizes)]
+    for _ in range(shards):
+        best.append([min(max(best[-1][j], sum(sizes[j:i])) for j in range(i + 1)) for i in range(len(sizes) + 1)])
+    return best[-1][-1]
+
+
 def test_minimax_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(50):
         sizes = rng.integers(1, 30, rng.integers(1, 12)).tolist()
         k = int(rng.integers(1, 5))
-        best = [[0] + [10**9] * len(sizes)]
-        for _ in range(k):
-            best.append([min(max(best[-1][j], sum(sizes[j:i])) for j in range(i + 1)) for i in range(len(sizes) + 1)])
-        capacity, cuts = sharding.minimax_cuts(list(enumerate(sizes)), k)
-        assert capacity == best[k][-1] and len(cuts) < k
+        capacity, cuts = sharding.minimax_cuts(sizes, k)
+        assert capacity == best_capacity(sizes, k) and len(cuts) < k
+        loads = [sum(sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True)]
+        assert max(loads) == capacity
 
 
-def test_sharding_cuts_exactly(spark):
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.1245, 0.3])
+def test_sharding_cuts_exactly(spark, share):
+    """Also with one group just under an even share, which leaves cuts much room."""
     rng = np.random.default_rng(8)
-    groups = [(int(k), int(s)) for k, s in zip(rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(1, 5000, 3000), strict=True)]
-    frame = spark.createDataFrame(groups, "key long, size long")
-    items = sorted(groups)
-    starts = sharding.minimax_cuts(items, 8)[1]
-    loads = lambda keys: [sum(s for k, s in items if a <= k < b) for a, b in zip([-(1 << 63), *keys], [*keys, 1 << 63], strict=True)]
-    for most in (10, 100_000):
-        assert max(loads(sharding.cut_keys(frame, 8, most))) == max(loads([items[i][0] for i in starts]))
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 3000))
+    sizes = rng.integers(1, 5000, len(keys))
+    sizes[1100] += int(share / (1 - share) * sizes.sum())
+    frame = spark.createDataFrame(list(zip(keys.tolist(), sizes.tolist(), strict=True)), "key long, size long").repartition(3)
+    want, _ = sharding.minimax_cuts(sizes.tolist(), 8)
+    for ranges in (16, 4096):
+        cuts = sharding.cut_keys(frame, 8, ranges=ranges)
+        at = np.searchsorted(keys, cuts)
+        assert len(cuts) < 8 and max(np.add.reduceat(sizes, [0, *at])) == want
+
+
+def test_shard_loads_are_optimal(spark, docs):
+    for k in (1, 3, 8):
+        loads, groups = {}, {}
+        for r in sharding.shard(docs, k).collect():
+            loads[r.shard] = loads.get(r.shard, 0) + r.size
+            groups[r.text_crc32, r.size] = groups.get((r.text_crc32, r.size), 0) + r.size
+        assert set(loads) <= set(range(k)) and sum(loads.values()) == sum(groups.values())
+        left, own = sum(groups.values()), 0
+        for size in sorted(groups.values(), reverse=True)[: k - 1]:
+            if size * (k - own) <= left:
+                break
+            assert size in loads.values()
+            left, own = left - size, own + 1
+        assert max(loads.values()) <= max(max(groups.values()), left / (k - own) + sorted(groups.values())[-1 - own])
 
 
 def test_fingerprints(docs, empty):
@@ -261,7 +287,7 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(docs, labels, model).count() == docs.count()
     assert toxicity.without_toxic(docs, labels, model).columns == docs.columns
     assert toxicity.toxicity(empty, labels, model).count() == 0
-    assert toxicity.train([]).scores(["x"]) == toxicity.train([("x", 0)]).scores(["x"]) or True
+    assert toxicity.train([]).scores(["x"])[0] < 1 and toxicity.train([("x", 0)]).scores(["x"])[0] < 0.5
 
 
 def test_decontamination(spark, docs, empty):
