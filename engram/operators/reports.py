@@ -162,22 +162,31 @@ def _label(cite, edit, dwell_ms, requery):
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 0.4 * cite.cast("int") + 0.25 * edit.cast("int") + dwell - 0.5 * requery.cast("int")))
 
 
-SQL_LABEL = "least(1.0, greatest(0.0, 0.5 + 0.4 * (event_type = 'purchase')::INT + 0.25 * (event_type = 'click')::INT + CASE WHEN value * 20 >= 2000 THEN least(0.15, 0.05 + (value * 20 - 2000) / 80000) ELSE 0 END - 0.5 * (event_type = 'error')::INT))"
+SQL_LABEL = """least(1::DOUBLE, greatest(0::DOUBLE, 0.5::DOUBLE + 0.4::DOUBLE * (event_type = 'purchase')::INT + 0.25::DOUBLE * (event_type = 'click')::INT
+    + CASE WHEN floor(value * 20) >= 2000 THEN least(0.15::DOUBLE, 0.05::DOUBLE + (floor(value * 20) - 2000) / 80000::DOUBLE) ELSE 0::DOUBLE END
+    - 0.5::DOUBLE * (event_type = 'error')::INT))"""
 
 
-@query("A19_reward_label", f"SELECT event_id, round({SQL_LABEL}, 6)::DOUBLE AS reward FROM access")
+@query("A19_reward_label", f"SELECT event_id, {SQL_LABEL} AS reward FROM access")
 def a19_reward_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dwell in whole milliseconds; rewards are multiples of 1 / 80000 and so are not rounded."""
     kind = F.col("event_type")
-    return views.access(spark, sf_dir).select("event_id", F.round(_label(kind == "purchase", kind == "click", F.col("value") * 20, kind == "error"), 6).alias("reward"))
+    label = _label(kind == "purchase", kind == "click", F.floor(F.col("value") * 20).cast("double"), kind == "error")
+    return views.access(spark, sf_dir).select("event_id", label.alias("reward"))
 
 
 @query(
     "A20_fact_reward_stats",
-    "WITH s AS (SELECT fact_id, count(*) AS n, avg(reward) AS mean FROM outcomes GROUP BY fact_id) SELECT fact_id, n, round(mean, 6) AS mean, CASE WHEN n >= 3 AND mean > 0.5 THEN 0.1::DOUBLE ELSE 0.0 END AS boost FROM s WHERE mean >= 0.4",
+    """WITH s AS (SELECT fact_id, count(*) AS n, sum(CAST(reward AS DECIMAL(18, 12)))::DOUBLE AS total FROM outcomes GROUP BY fact_id),
+    m AS (SELECT fact_id, n, total / n AS mean FROM s)
+    SELECT fact_id, n, mean, CASE WHEN n >= 3 AND mean > 0.5 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS boost FROM m WHERE mean >= 0.4""",
 )
 def a20_fact_reward_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = views.outcomes(spark, sf_dir).groupBy("fact_id").agg(count().alias("n"), F.avg("reward").alias("m")).where("m >= 0.4")
-    return stats.select("fact_id", "n", F.round("m", 6).alias("mean"), F.when((F.col("n") >= 3) & (F.col("m") > 0.5), 0.1).otherwise(0.0).alias("boost"))
+    """Rewards are summed as decimals, so the mean does not depend on the order of rows."""
+    total = F.sum(F.col("reward").cast("decimal(18, 12)")).cast("double")
+    stats = views.outcomes(spark, sf_dir).groupBy("fact_id").agg(count().alias("n"), total.alias("total"))
+    stats = stats.select("fact_id", "n", (F.col("total") / F.col("n")).alias("mean")).where("mean >= 0.4")
+    return stats.withColumn("boost", F.when((F.col("n") >= 3) & (F.col("mean") > 0.5), 0.1).otherwise(0.0))
 
 
 @query(
