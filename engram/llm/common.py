@@ -80,8 +80,10 @@ class Scratch:
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most about `most_bytes` of text, or one row if that is longer."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    """Parts of a batch of at most about `most_bytes` of text, or one row if that is longer; text: a column or row.field."""
+    name, *inner = text.split(".")
+    texts = pc.struct_field(batch.column(name), inner) if inner else batch.column(name)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     start = 0
     while start < batch.num_rows:
         base = size[start - 1] if start else 0
@@ -118,6 +120,7 @@ _RANDOM = np.random.default_rng(20240607)
 BYTE_CODE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Multiplier of the polynomial hashes, odd and so invertible modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+MULTIPLIERS = _RANDOM.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -204,6 +207,21 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+def heavy_keys(counted: DataFrame, keys: list[str], total: int, share: int = 1_000) -> DataFrame | None:
+    """Keys of `counted` (keys, n) that hold more than one `share`-th of `total` rows, fewer than `share`; None if none do."""
+    found = counted.where(F.col("n") * share > total).select(*keys).distinct().collect()
+    return counted.sparkSession.createDataFrame(found, counted.select(*keys).schema) if found else None
+
+
+def split_join(rows: DataFrame, found: DataFrame, keys: list[str], heavy: DataFrame | None) -> DataFrame:
+    """Inner join of `rows` with the smaller `found`, whose few rows of heavy keys are broadcast and not shuffled."""
+    if heavy is None:
+        return rows.join(found, keys)
+    heavy = F.broadcast(heavy)
+    here = rows.join(F.broadcast(found.join(heavy, keys, "left_semi")), keys)
+    return here.union(rows.join(heavy, keys, "left_anti").join(found.join(heavy, keys, "left_anti"), keys))
+
+
 def partition_offsets(parts: DataFrame, keys: list[str]) -> DataFrame:
     """For a table with columns `pid` and `keys`: where each (keys, pid) begins in a gapless numbering within keys."""
     from pyspark.sql import Window as W

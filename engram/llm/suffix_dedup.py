@@ -1,23 +1,28 @@
 """Removal of byte strings that repeat anywhere in a corpus, by a collection Burrows-Wheeler transform (op1).
 
-Equal windows of `length` bytes have equal least k-grams at the same offset. So each window belongs to one anchor, the
+Equal windows of `length` bytes have equal least 32-grams at the same offset. So each window belongs to one anchor, the
 leftmost least 32-gram in it, and a run of windows with the same anchor is an item: some 90 windows, 290 bytes. Equal
 windows are in items of the same anchor, so anchors partition the work exactly:
 
-1. Items whose anchor occurs once have no repeated window and go, on 16 bytes of hashes; most of a corpus does.
-2. Items of equal bytes need no comparison: all their windows repeat. They are counted before any shuffle by key.
-3. The different byte strings of an anchor meet in one task, are put into one transform (`collection_bwt`), and windows
-   with a common prefix of `length` bytes with a neighbour repeat.
-4. An anchor with more different strings than `most_strings` (a passage that very many documents quote, cut off at its
-   ends by a different context in each) is split further, into its single windows; those are grouped by hash alone.
-
-Texts are shuffled twice, once to fetch the strings of step 3 and once to be cut.
+1. Items whose anchor occurs once have no repeated window and go, on hashes alone; most of a corpus does.
+2. Each different byte string of the items left is fetched once, with the number of its occurrences.
+3. A window of an item holds the 84 bytes before its anchor or the 84 bytes behind it. A string that occurs once and
+   shares neither stretch with another string of its anchor has no repeated window, and goes.
+4. All other strings of an anchor are put into one transform (`collection_bwt`), those of several occurrences twice.
+   Windows with a common prefix of `length` bytes with a neighbour repeat.
+5. An anchor with more than `most_strings` strings is cut into cells first: the offsets of the anchor in its windows are
+   halved, and each half of a string goes to the cell of the bytes that all windows of that half share. That goes on
+   until cells are small; a cell of one offset has one string. Cells go through the transform like anchors.
+
+Hashes only group equal strings and leave out those that cannot repeat; what repeats comes from the transform. Keys with
+over a thousandth of all rows are joined by broadcast. Texts are shuffled twice, once for step 2 and once to be cut; rows
+of a text stream past it and are never gathered.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +36,20 @@ from engram.llm.collection_bwt import repeated
 GRAM = 32
 #: Longer texts are searched in tiles of so many window starts.
 TILE = 1 << 23
-ITEMS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("windows", pa.int32())])
-SPANS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
-SPANS_DDL = "doc_id long, tie long, lo long, hi long"
+ITEMS = pa.schema(
+    [("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64())]
+    + [("windows", pa.int32()), ("at", pa.int32())]
+)
+ITEMS_DDL = "anchor long, content long, doc_id long, tie long, lo long, windows int, at int"
+STRINGS = pa.schema(
+    [("cell", pa.int64()), ("content", pa.int64()), ("root", pa.int64()), ("root_content", pa.int64()), ("shift", pa.int32()), ("at", pa.int32())]
+    + [("n", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("before", pa.int64()), ("after", pa.int64())]
+    + [("bytes", pa.binary())]
+)
+STRINGS_DDL = (
+    "cell long, content long, root long, root_content long, shift int, at int, n long, doc_id long, tie long, lo long, before long, after long, bytes binary"
+)
+RUNS = pa.schema([("cell", pa.int64()), ("content", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -45,7 +61,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def items(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text number, anchor hash, first window, number of windows) of the items of texts joined up to TILE bytes."""
+    """(text number, anchor hash, first window, number of windows, anchor from there) of items, in tiles of joined texts."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     sizes = np.array([len(x) for x in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -70,12 +86,26 @@ def items(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.flatnonzero(new)
         count = np.diff(np.concatenate((first, [len(starts)])))
         whose = owner[first]
-        yield whose, grams[at[first]].view(np.int64), starts[first] - (ends[whose] - sizes[whose]), count
+        yield whose, grams[at[first]].view(np.int64), starts[first] - (ends[whose] - sizes[whose]), count, at[first] + base - starts[first]
+
+
 
+def _hash(data: bytes | memoryview) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+
+def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
+    return edge[::2].tolist(), (edge[1::2] - 1).tolist()
+
+
+def beside_texts(docs: DataFrame, facts: DataFrame, texts_first: bool) -> DataFrame:
+    """Rows of docs (doc, tie, row) and facts (doc, tie, lo, fact) of one text together: is_fact, doc, tie, row, lo, fact."""
+    row, fact = docs.schema["row"].dataType, facts.schema["fact"].dataType
+    texts = docs.select(F.lit(False).alias("is_fact"), "doc", "tie", "row", F.lit(None).cast("long").alias("lo"), F.lit(None).cast(fact).alias("fact"))
+    both = texts.union(facts.select(F.lit(True), "doc", "tie", F.lit(None).cast(row), "lo", "fact"))
+    first = F.col("is_fact") if texts_first else ~F.col("is_fact")
+    return both.repartition("doc", "tie").sortWithinPartitions("doc", "tie", first, "lo")
 
 
 class Repeats:
@@ -92,42 +122,81 @@ class Repeats:
                 texts = [common.utf8(x) for x in part["text"]]
                 doc, tie = part["doc_id"], np.array(part["tie"], dtype=np.int64)
                 known = pa.array(doc, type=pa.int64())
-                for whose, anchor, lo, count in items(texts, length):
+                for whose, anchor, lo, count, at in items(texts, length):
                     stop = lo + count + (length - 1)
                     views = [memoryview(x) for x in texts]
                     digest = xxhash.xxh3_64_intdigest
                     content = np.array([digest(views[w][a:b]) for w, a, b in zip(whose.tolist(), lo.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
-                    yield common.table(ITEMS, {"anchor": anchor, "content": content.view(np.int64), "doc_id": known.take(pa.array(whose)), "tie": tie[whose], "lo": lo, "windows": count.astype(np.int32)})
+                    columns = {"anchor": anchor, "content": content.view(np.int64), "doc_id": known.take(pa.array(whose)), "tie": tie[whose]}
+                    yield common.table(ITEMS, columns | {"lo": lo, "windows": count.astype(np.int32), "at": at.astype(np.int32)})
 
-        return self.docs.mapInArrow(find, "anchor long, content long, doc_id long, tie long, lo long, windows int")
+        return self.docs.mapInArrow(find, ITEMS_DDL)
 
-    def strings(self, wanted: DataFrame) -> DataFrame:
-        """Fetches the bytes of (anchor, content, n, rep, hot) from the texts of the representatives."""
-        length = self.length
-        schema = pa.schema([*ITEMS, ("n", pa.int64()), ("hot", pa.bool_()), ("bytes", pa.binary())])
-        each = wanted.select("rep.doc_id", "rep.tie", F.struct("anchor", "content", "rep.lo", "rep.windows", "n", "hot").alias("item"))
-        of_doc = each.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_list("item").alias("items"))
+    def strings(self, contents: DataFrame) -> DataFrame:
+        """The bytes of (anchor, content, n, rep), each from the text of its representative, as rows of STRINGS.
+
+        before and after are hashes of the anchor with the bytes on that side that windows of that half share.
+        """
+        length, side = self.length, (self.length - GRAM) // 2
+        facts = contents.select("rep.doc_id", "rep.tie", "rep.lo", F.struct("anchor", "content", "n", "rep.windows", "rep.at").alias("fact"))
+        texts = self.docs.select(F.col("doc_id").alias("doc"), "tie", F.struct("text").alias("row"))
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in common.rows(batches):
-                out: dict[str, list] = {f.name: [] for f in schema}
-                for doc, tie, text, found in zip(part["doc_id"], part["tie"], part["text"], part["items"], strict=True):
-                    data = common.utf8(text)
-                    for x in found:
-                        for k in ("anchor", "content", "lo", "windows", "n", "hot"):
-                            out[k].append(x[k])
-                        out["doc_id"].append(doc)
-                        out["tie"].append(tie)
-                        out["bytes"].append(data[x["lo"] : x["lo"] + x["windows"] + length - 1])
-                yield common.table(schema, out)
-
-        # Rows of equal doc_id and text are equal; one of them serves.
-        one = self.docs.join(of_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).select("doc_id", "tie", "text", "items")
-        ddl = "anchor long, content long, doc_id long, tie long, lo long, windows int, n long, hot boolean, bytes binary"
-        return one.mapInArrow(fetch, ddl)
-
-    def compared(self, strings: DataFrame) -> DataFrame:
-        """Spans of repeated windows of strings that occur once, against all strings of their anchor."""
+            now, data = None, b""
+            for part in common.rows(batches, text="row.text"):
+                out: dict[str, list] = {f.name: [] for f in STRINGS}
+                for is_fact, doc, tie, row, lo, fact in zip(*(part[c] for c in ("is_fact", "doc", "tie", "row", "lo", "fact")), strict=True):
+                    if not is_fact:
+                        if now != (doc, tie):
+                            now, data = (doc, tie), common.utf8(row["text"])
+                        continue
+                    found = data[lo : lo + fact["windows"] + length - 1]
+                    at, anchor, content = fact["at"], fact["anchor"], fact["content"]
+                    before = _hash(found[at - side : at + GRAM]) if at >= side else None
+                    after = _hash(found[at : at + GRAM + side]) if at - fact["windows"] + 1 < side else None
+                    values = (anchor, content, anchor, content, 0, at, fact["n"], doc, tie, lo, before, after, found)
+                    for k, x in zip(out, values, strict=True):
+                        out[k].append(x)
+                yield common.table(STRINGS, out)
+
+        return beside_texts(texts, facts.withColumnRenamed("doc_id", "doc"), True).mapInArrow(fetch, STRINGS_DDL)
+
+    def able(self, strings: DataFrame) -> DataFrame:
+        """Strings that can have repeated windows."""
+        sides = strings.select("cell", "content", "n", F.explode(F.array("before", "after")).alias("side")).where("side is not null")
+        counted = self.scratch.write(sides.groupBy("cell", "side").agg(F.count("*").alias("n")).where("n > 1"), "sides")
+        once = sides.where("n = 1").select("cell", "side", "content")
+        shared = common.split_join(once, counted.select("cell", "side"), ["cell", "side"], common.heavy_keys(counted, ["cell", "side"], strings.count()))
+        return strings.where("n > 1").union(strings.where("n = 1").join(shared.select("cell", "content").distinct(), ["cell", "content"], "left_semi").select(*strings.columns))
+
+    def halves(self, strings: DataFrame, level: int) -> DataFrame:
+        """The strings of crowded cells as two strings of half the offsets each, in cells by what their windows share."""
+        length = self.length
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            width = max(length - GRAM + 1 >> level, 1)
+            for part in common.rows(batches, 1 << 20, "bytes"):
+                out: dict[str, list] = {f.name: [] for f in STRINGS}
+                names = list(out)
+                for row in zip(*(part[c] for c in names), strict=True):
+                    x = dict(zip(names, row, strict=True))
+                    data, at, windows = x["bytes"], x["at"], len(x["bytes"]) - length + 1
+                    # Offsets of the anchor are dealt into ranges of `width`, the last of a level may be shorter.
+                    for r in range((at - windows + 1) // width, at // width + 1):
+                        low, high = r * width, (r + 1) * width - 1
+                        a, b = max(0, at - high), min(windows - 1, at - low)
+                        core = data[at - low : at - high + length]
+                        text = data[a : b + length]
+                        key = _hash(core + r.to_bytes(2, "little") + level.to_bytes(1, "little"))
+                        values = x | {"cell": key, "content": _hash(text), "shift": x["shift"] + a, "at": at - a, "before": None, "after": None, "bytes": text}
+                        for k in names:
+                            out[k].append(values[k])
+                yield common.table(STRINGS, out)
+
+        return strings.mapInArrow(split, STRINGS_DDL)
+
+    def transformed(self, strings: DataFrame) -> DataFrame:
+        """(cell, content, a, b): runs of repeated windows of each string, by the transform of its cell."""
         length = self.length
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,18 +204,21 @@ class Repeats:
             size = 0
 
             def flush() -> pa.RecordBatch:
-                out: dict[str, list] = {f.name: [] for f in SPANS}
-                for row, flags in zip(held, repeated([x[-1] for x in held], length), strict=True):
-                    if row[4] == 1:
-                        for a, b in _runs(flags):
-                            for k, x in zip(out, (row[1], row[2], row[3] + a, row[3] + b), strict=True):
-                                out[k].append(x)
-                return common.table(SPANS, out)
+                out: dict[str, list] = {f.name: [] for f in RUNS}
+                # What occurs several times stands in the collection twice.
+                flags = repeated([x[3] for x in held] + [x[3] for x in held if x[2] > 1], length)
+                for (cell, content, *_), found in zip(held, flags, strict=False):
+                    a, b = _runs(found)
+                    out["cell"] += [cell] * len(a)
+                    out["content"] += [content] * len(a)
+                    out["a"] += a
+                    out["b"] += b
+                return common.table(RUNS, out)
 
             last = None
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "tie", "lo", "n", "bytes")), strict=True):
-                    if row[0] != last and size > 48_000:
+                for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "content", "n", "bytes")), strict=True):
+                    if row[0] != last and size > 96_000:
                         yield flush()
                         held, size = [], 0
                     last = row[0]
@@ -155,68 +227,91 @@ class Repeats:
             if held:
                 yield flush()
 
-        cold = strings.where("not hot").select("anchor", "doc_id", "tie", "lo", "n", "bytes", "content")
-        # A string can be fetched twice if a row of the table is repeated.
-        return cold.dropDuplicates(["anchor", "content"]).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, SPANS_DDL)
-
-    def single_windows(self, strings: DataFrame) -> DataFrame:
-        """The same for anchors with very many strings, window by window."""
-        length = self.length
-        schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())])
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in common.rows(batches, 1 << 18, "bytes"):
-                out: dict[str, list] = {f.name: [] for f in schema}
-                for doc, tie, lo, n, data in zip(part["doc_id"], part["tie"], part["lo"], part["n"], part["bytes"], strict=True):
-                    for k in range(len(data) - length + 1):
-                        h = xxhash.xxh3_128_intdigest(data[k : k + length])
-                        row = ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, tie, lo + k, n)
-                        for c, x in zip(out, row, strict=True):
-                            out[c].append(x)
-                yield common.table(schema, out)
-
-        hot = strings.where("hot").dropDuplicates(["anchor", "content"]).select("doc_id", "tie", "lo", "n", "bytes")
-        each = self.scratch.write(hot.mapInArrow(windows, "x long, y long, doc_id long, tie long, lo long, n long"), "windows")
-        often = each.groupBy("x", "y").agg(F.sum("n").alias("all")).where("all > 1").select("x", "y")
-        return each.where("n = 1").join(often, ["x", "y"]).select("doc_id", "tie", "lo", F.col("lo").alias("hi"))
+        dealt = strings.select("cell", "content", "n", "bytes").repartition("cell").sortWithinPartitions("cell")
+        return dealt.mapInArrow(compare, "cell long, content long, a int, b int")
+
+    def runs(self, strings: DataFrame) -> DataFrame:
+        """(root, root_content, n, doc_id, tie, lo, a, b): runs of repeated windows of the strings fetched."""
+        level, done = 0, None
+        while True:
+            # One string for each content of a cell; at the first level they are so already.
+            each = strings
+            if level:
+                each = strings.groupBy("cell", "content").agg(F.sum("n").alias("n"), F.first("bytes").alias("bytes"))
+                each = self.scratch.write(each, f"contents-{level}")
+            sizes = each.groupBy("cell").agg(F.count("*").alias("n"), F.sum("n").alias("all")).where("all > 1")
+            sizes = self.scratch.write(sizes, f"cells-{level}")
+            crowded = sizes.where(F.col("n") > self.most).select("cell", "n")
+            total = each.count()
+            heavy = common.heavy_keys(sizes.select("cell", "n"), ["cell"], total)
+            calm = common.split_join(each, sizes.where(F.col("n") <= self.most).select("cell"), ["cell"], heavy)
+            found = self.scratch.write(self.transformed(calm.select("cell", "content", "n", "bytes")), f"runs-{level}")
+            kept = strings.select("cell", "content", "root", "root_content", "shift", F.col("n").alias("m"), "doc_id", "tie", "lo")
+            several = strings.groupBy("cell", "content").agg(F.count("*").alias("n")) if level else None
+            hot = common.heavy_keys(several, ["cell", "content"], total) if level else None
+            got = common.split_join(kept, found, ["cell", "content"], hot)
+            got = got.select("root", "root_content", F.col("m").alias("n"), "doc_id", "tie", "lo", (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.col("b")).alias("b"))
+            done = got if done is None else done.union(got)
+            if crowded.isEmpty():
+                return done
+            level += 1
+            more = common.split_join(strings, crowded.select("cell"), ["cell"], heavy).select(*strings.columns)
+            strings = self.scratch.write(self.halves(more, level), f"strings-{level}")
 
     def spans(self) -> DataFrame:
         """(doc_id, tie, lo, hi): the windows that start at lo .. hi repeat."""
         found = self.scratch.write(self.items(), "items")
-        often = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("n > 1")
-        some = found.join(often.select("anchor", (F.col("c0") == F.col("c1")).alias("same")), "anchor")
+        often = self.scratch.write(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+        some = common.split_join(found, often.select("anchor"), ["anchor"], common.heavy_keys(often, ["anchor"], found.count()))
         some = self.scratch.write(some, "candidates")
         self.scratch.drop("items")
-        span = ("doc_id", "tie", "lo", (F.col("lo") + F.col("windows") - 1).alias("hi"))
-        mixed = some.where("not same")
-        rep = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie", "lo", "windows")).alias("rep")
-        contents = self.scratch.write(mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), rep), "contents")
-        repeated_ = contents.where("n > 1").select("anchor", "content")
-        number = contents.groupBy("anchor").agg((F.count("*") > self.most).alias("hot"))
-        strings = self.scratch.write(self.strings(contents.join(number, "anchor")), "strings")
-        whole = some.where("same").select(*span).union(mixed.join(repeated_, ["anchor", "content"]).select(*span))
-        compared = self.scratch.write(self.compared(strings), "compared")
-        return whole.union(compared).union(self.single_windows(strings))
-
-
-def cut(data: bytes, spans: list[dict] | None, length: int) -> tuple[bytes, int, int]:
-    """(what is left of data, bytes removed, runs removed) for spans of first window starts."""
-    pieces, runs, at = [], 0, 0
-    for lo, hi in sorted((x["lo"], x["hi"] + length) for x in spans or ()):
-        if lo > at or not runs:
-            pieces.append(data[at:lo])
-            runs += 1
-        at = max(at, hi)
-    kept = b"".join([*pieces, data[at:]])
-    return kept, len(data) - len(kept), runs
-
-
-def with_spans(docs: DataFrame, length: int, most_strings: int) -> DataFrame:
-    """`docs` with a column __spans of its repeated windows, all columns else as they are."""
-    found = Repeats(docs, length, most_strings).spans()
-    spans = found.groupBy(F.col("doc_id").alias("__d"), F.col("tie").alias("__t")).agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
-    keyed = docs.withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tie") == F.col("__t")), "left").drop("__d", "__t", "__tie")
+        rep = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie", "lo", "windows", "at")).alias("rep")
+        contents = self.scratch.write(some.groupBy("anchor", "content").agg(F.count("*").alias("n"), rep), "contents")
+        strings = self.scratch.write(self.strings(contents), "strings")
+        able = self.scratch.write(self.able(strings), "able")
+        runs = self.scratch.write(self.runs(able), "runs")
+        once = runs.where("n = 1").select("doc_id", "tie", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+        several = runs.where("n > 1").select(F.col("root").alias("anchor"), F.col("root_content").alias("content"), "a", "b")
+        heavy = common.heavy_keys(contents, ["anchor", "content"], some.count())
+        places = common.split_join(some.select("anchor", "content", "doc_id", "tie", "lo"), several, ["anchor", "content"], heavy)
+        return once.union(places.select("doc_id", "tie", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi")))
+
+
+def cut(data: bytes, removed: list[tuple[int, int]]) -> bytes:
+    """What is left of data without the byte ranges, which ascend and do not touch."""
+    if not removed:
+        return data
+    return b"".join([data[a:b] for a, b in zip([0, *(b for _, b in removed)], [*(a for a, _ in removed), len(data)], strict=True)])
+
+
+def with_repeats(docs: DataFrame, length: int, most_strings: int, write: Callable, ddl) -> DataFrame:
+    """write(rows of `docs` as a struct array, list of their removed byte ranges) for batches of rows, in one shuffle."""
+    spans = Repeats(docs.select("doc_id", "text"), length, most_strings).spans()
+    facts = spans.select(F.col("doc_id").alias("doc"), "tie", "lo", F.struct("hi").alias("fact"))
+    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, removed = None, []
+        for batch in batches:
+            for part in common.slices(batch, text="row.text"):
+                fact = part.column("fact").to_pylist()
+                rows, gone = [], []
+                for i, (is_fact, doc, tie, lo) in enumerate(zip(*(part.column(c).to_pylist() for c in ("is_fact", "doc", "tie", "lo")), strict=True)):
+                    if now != (doc, tie):
+                        now, removed = (doc, tie), []
+                    if not is_fact:
+                        rows.append(i)
+                        gone.append(removed)
+                        continue
+                    end = fact[i]["hi"] + length
+                    if removed and lo <= removed[-1][1]:
+                        removed[-1] = (removed[-1][0], max(removed[-1][1], end))
+                    else:
+                        removed.append((lo, end))
+                if rows:
+                    yield write(part.column("row").take(pa.array(rows)), gone)
+
+    return beside_texts(texts, facts, False).mapInArrow(run, ddl)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, most_strings: int = 4_096) -> DataFrame:
@@ -225,41 +320,42 @@ def remove_repeats(docs: DataFrame, length: int = 200, most_strings: int = 4_096
     For every row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and kept (the remaining
     bytes). Strings are judged on the input, matches end at the end of a document and may overlap. A null text is an
     empty one. Repeated rows count as further places of their text, null doc_ids stay null, other columns are not read,
-    and an empty table gives no rows.
+    and an empty table gives no rows. `most_strings` is the size of a transform and decides no result.
     """
-    rows = with_spans(docs.select("doc_id", "text"), length, most_strings)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.rows(batches):
-            out: dict[str, list] = {f.name: [] for f in schema}
-            for doc, text, spans in zip(part["doc_id"], part["text"], part["__spans"], strict=True):
-                data = common.utf8(text)
-                kept, removed, runs = cut(data, spans, length)
-                for k, x in zip(out, (doc, len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    out[k].append(x)
-            yield common.table(schema, out)
+    def digest(rows: pa.StructArray, gone: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        out: dict[str, list] = {f.name: [] for f in schema}
+        for doc, text, removed in zip(rows.field("doc_id").to_pylist(), rows.field("text").to_pylist(), gone, strict=True):
+            data = common.utf8(text)
+            kept = cut(data, removed)
+            for k, x in zip(out, (doc, len(data), len(data) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                out[k].append(x)
+        return common.table(schema, out)
 
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return with_repeats(docs.select("doc_id", "text"), length, most_strings, digest, ddl)
 
 
 def without_repeats(docs: DataFrame, length: int = 200, most_strings: int = 4_096) -> DataFrame:
-    """`docs`, all columns, with those bytes cut from text and n_chars set anew; a cut character is left out whole."""
+    """`docs`, all rows and columns, with those bytes cut from text and n_chars, if there is one, set anew.
+
+    A character that is cut in part is left out whole. A text without repeats stays as it is, a null text stays null,
+    null doc_ids and repeated rows stay, columns of any other name are kept as they are, and an empty table gives none.
+    """
     names = docs.columns
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch):
-                pairs = zip(part.column("text").to_pylist(), part.column("__spans").to_pylist(), strict=True)
-                texts = [cut(common.utf8(x), s, length)[0].decode("utf-8", "ignore") if s else x for x, s in pairs]
-                columns = {c: part.column(c) for c in names}
-                columns["text"] = pa.array(texts, type=part.schema.field("text").type)
-                if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([None if x is None else len(x) for x in texts], type=pa.int64()).cast(part.schema.field("n_chars").type)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+    def shorten(rows: pa.StructArray, gone: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        columns = dict(zip(names, rows.flatten(), strict=True))
+        texts = [cut(common.utf8(x), removed).decode("utf-8", "ignore") if removed else x for x, removed in zip(columns["text"].to_pylist(), gone, strict=True)]
+        columns["text"] = pa.array(texts, type=columns["text"].type)
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([None if x is None else len(x) for x in texts], type=pa.int64()).cast(columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    return with_spans(docs, length, most_strings).mapInArrow(shorten, docs.schema)
+    return with_repeats(docs, length, most_strings, shorten, docs.schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents without its repeated strings of 200 bytes; see `remove_repeats` for nulls and ties."""
     return remove_repeats(common.read(spark, sf_dir, "documents")).drop("kept")

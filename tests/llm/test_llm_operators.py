@@ -59,7 +59,7 @@ def test_collection_transform_finds_all_repeats():
         collection_bwt.repeated([b"x"], 12)
 
 
-@pytest.mark.parametrize("most_strings", [4096, 1])
+@pytest.mark.parametrize("most_strings", [4096, 2, 1])
 def test_suffix_dedup(docs, most_strings):
     data = [(d, (t or "").encode()) for d, t, *_ in texts()]
     count = {}
@@ -78,10 +78,43 @@ def test_suffix_dedup(docs, most_strings):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+CLASHING = ["__tie", "__spans", "__d", "__key", "row", "doc", "tie", "fact", "is_fact", "lo", "root", "n", "a b"]
+
+
+def clashing(docs):
+    return docs.selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(CLASHING)))
+
+
 def test_suffix_dedup_keeps_columns(docs, empty):
-    out = suffix_dedup.without_repeats(docs)
-    assert out.columns == docs.columns and out.count() == docs.count()
-    assert suffix_dedup.remove_repeats(empty).count() == 0
+    many = clashing(docs)
+    out = suffix_dedup.without_repeats(many)
+    assert out.columns == many.columns
+    rows = out.collect()
+    assert len(rows) == len(texts()) and all(r["a b"] == 12 and r.row == 4 for r in rows)
+    assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+    assert sorted(str(r.doc_id) for r in rows if r.text is None) == ["3"]
+    assert suffix_dedup.remove_repeats(empty).count() == 0 and suffix_dedup.without_repeats(empty).count() == 0
+
+
+def test_suffix_dedup_of_a_passage_in_many_contexts(spark):
+    """One passage between different ends, as a crowded anchor that is cut into cells; and one very long text."""
+    passage = prose(1, 60)
+    rows = [(i, prose(100 + i, 7 + i % 5) + " " + passage + " " + prose(300 + i, 6), "en", "s", 0) for i in range(40)] + [(99, prose(7, 60_000), "en", "s", 0)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = {}
+    count = {}
+    data = {r[0]: r[1].encode() for r in rows}
+    for x in data.values():
+        for i in range(len(x) - 199):
+            count[x[i : i + 200]] = count.get(x[i : i + 200], 0) + 1
+    for d, x in data.items():
+        gone = np.zeros(len(x), dtype=bool)
+        for i in range(len(x) - 199):
+            if count[x[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        want[d] = int(gone.sum())
+    for most in (4096, 5):
+        assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(table, 200, most).collect()} == want
 
 
 def test_near_duplicates(docs, empty):
