@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by exact complements (op8).
 
-Only the histogram of piece lengths, at most `limit` counts, reaches the driver. There each length, longest first,
-looks up its exact complement in the sums of one, two and three available lengths and takes as many sequences as the
-availability counts allow; what has no exact complement is filled best-fit. The result is a list of slots: "the pieces
+Only the histogram of piece lengths, at most `limit` counts, reaches the driver. There an index lists single lengths,
+pairs and triples by their sum. Each length, longest first, looks up the combinations that fill its gap exactly and takes
+as many sequences as the counts of free pieces allow; what has no exact complement is filled best-fit. The result is a list of slots: "the pieces
 of length L with ranks r .. r+k-1 go to sequences s .. s+k-1 at offset o". Pieces find theirs by rank, so the work of
 placing rows is a lookup and the only shuffle carries piece counts.
 """
@@ -24,39 +24,63 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, local long"
 
 
-def _complement(gap: int, free: np.ndarray, taken: dict[int, int]) -> list[int] | None:
-    """One, two or three available lengths whose sum is `gap`, larger ones first; free: counts, taken: already used."""
-    left = free
-    if taken:
-        left = free.copy()
-        for x, n in taken.items():
-            left[x] -= n
-    has = left > 0
-    if has[gap]:
-        return [gap]
+class SumIndex:
+    """Combinations of one, two and three lengths by their sum, larger lengths first.
 
-    def pair(total: int) -> list[int] | None:
+    The combinations of a sum are listed once, when it is first asked for, from the lengths that occur at all. Counts of
+    free pieces only fall, so a combination that is short of a length stays so: each list has a mark up to which all
+    are spent, which only moves forward.
+    """
+
+    def __init__(self, free: np.ndarray):
+        self.free, self.occurs = free, free > 0
+        self.lists: dict[int, list[np.ndarray]] = {}
+        self.marks: dict[int, list[int]] = {}
+
+    def _add(self, total: int) -> None:
+        one = np.array([[total]])
         a = np.arange(total - 1, (total - 1) // 2, -1)
-        ok = has[a] & has[total - a]
-        if total % 2 == 0 and len(a) and a[-1] * 2 == total and left[a[-1]] < 2:
-            ok[-1] = False
-        at = np.flatnonzero(ok)
-        return [int(a[at[0]]), int(total - a[at[0]])] if len(at) else None
-
-    if (two := pair(gap)) is not None:
-        return two
-    for a in np.flatnonzero(has[: max(gap - 1, 0)])[::-1]:
-        a = int(a)
-        if a * 3 < gap:
-            break
-        left[a] -= 1
-        has[a] = left[a] > 0
-        two = pair(gap - a)
-        left[a] += 1
-        has[a] = True
-        if two is not None and two[0] <= a:
-            return [a, *two]
-    return None
+        two = np.stack((a, total - a), axis=1)
+        a = np.arange(total - 2, (total - 1) // 3, -1)
+        low, high = (total - a + 1) // 2, np.minimum(a, total - a - 1)
+        n = np.maximum(high - low + 1, 0)
+        first = np.repeat(a, n)
+        second = np.repeat(high, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        three = np.stack((first, second, total - first - second), axis=1)
+        self.lists[total] = [x[self.occurs[x].all(axis=1)] for x in (one, two, three)]
+        self.marks[total] = [0, 0, 0]
+
+    @staticmethod
+    def _enough(rows: np.ndarray, free: np.ndarray) -> np.ndarray:
+        ok = free[rows[:, 0]] > 0
+        if rows.shape[1] > 1:
+            ok &= free[rows[:, 1]] > (rows[:, 1] == rows[:, 0])
+        if rows.shape[1] > 2:
+            ok &= free[rows[:, 2]] > (rows[:, 2] == rows[:, 1]).astype(int) + (rows[:, 2] == rows[:, 0])
+        return ok
+
+    def find(self, total: int, taken: list[int], step: int = 512) -> list[int] | None:
+        """One, two or three free lengths with this sum, beside the taken ones."""
+        if total not in self.lists:
+            self._add(total)
+        left = self.free
+        if taken:
+            left = left.copy()
+            np.subtract.at(left, taken, 1)
+        for parts, rows in enumerate(self.lists[total]):
+            moving = True
+            at = self.marks[total][parts]
+            while at < len(rows):
+                some = rows[at : at + step]
+                if moving:
+                    alive = np.flatnonzero(self._enough(some, self.free))
+                    moving = not len(alive)
+                    self.marks[total][parts] = at + (len(some) if moving else int(alive[0]))
+                hit = np.flatnonzero(self._enough(some, left))
+                if len(hit):
+                    return some[hit[0]].tolist()
+                at += step
+        return None
 
 
 def plan(counts: dict[int, int], limit: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -65,6 +89,7 @@ def plan(counts: dict[int, int], limit: int) -> tuple[list[tuple[int, int, int,
     for length, n in counts.items():
         free[length] = n
     used = np.zeros(limit + 1, dtype=np.int64)
+    index = SumIndex(free)
     slots: list[tuple[int, int, int, int, int]] = []
     sequences = 0
 
@@ -84,25 +109,18 @@ def plan(counts: dict[int, int], limit: int) -> tuple[list[tuple[int, int, int,
 
     for length in range(limit, 0, -1):
         while free[length] > 0:
-            if length == limit:
-                consume([length])
-                continue
-            if (rest := _complement(limit - length, free.copy(), {length: 1})) is not None:
-                consume([length, *rest])
-                continue
-            pattern, gap, left = [length], limit - length, free.copy()
-            left[length] -= 1
+            pattern, gap = [length], limit - length
             while gap > 0:
-                if len(pattern) > 1 and (rest := _complement(gap, left.copy(), {})) is not None:
+                if (rest := index.find(gap, pattern)) is not None:
                     pattern += rest
                     break
-                fit = np.flatnonzero(left[: gap + 1])
+                left = free[: gap + 1].copy()
+                np.subtract.at(left, [x for x in pattern if x <= gap], 1)
+                fit = np.flatnonzero(left > 0)
                 if not len(fit):
                     break
-                best = int(fit[-1])
-                pattern.append(best)
-                left[best] -= 1
-                gap -= best
+                pattern.append(int(fit[-1]))
+                gap -= pattern[-1]
             consume(pattern)
     return slots, sequences
 
