@@ -1,13 +1,14 @@
 """Benchmark decontamination: BM25 with block-max WAND, then a check of question and answer (op3).
 
 Test items are the indexed side: an inverted index of their words, BM25 weights divided by the item's score for its own
-text, so one threshold serves all items. Postings are kept in blocks of items with the largest weight of a term in each
-block. Every passage of the corpus (64 words, one begins every 32) is a query: the sum of its words' block maxima bounds
-the score of all items of a block, and only blocks whose bound reaches the threshold are scored, item by item. All
-items at or above the threshold are retrieved, none by rank. A retrieved item counts as leaked if enough of the word
-n-grams of its question and of its answer stand in the text around the passage.
-
-The index is broadcast in parts of at most `items_a_part` segments; a larger benchmark makes more parts, each a pass.
+text, so one threshold serves all items. Postings are kept in blocks of segments with the largest weight of a term in each
+block. Every passage of the corpus (64 words, one begins every 32) is a query with a cursor in the postings of each of its
+words. Cursors are ordered by segment; the pivot is the first segment at which the largest weights of the cursors up to it
+reach the threshold. If their block maxima reach it too, the pivot is scored, or else they skip to the end of the block or
+the next cursor. All items at or above the threshold are retrieved, none by rank. A retrieved item counts as leaked if
+enough of the word n-grams of its question and of its answer stand in the text around the passage.
+
+Statistics are those of all items. The index is broadcast in parts of bounded size, one at a time.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from engram.llm import common
 
 K1, SATURATION_B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32
 BLOCK = 16
+#: Passages that are searched side by side: at most so many rows of 64 cursors are in memory.
+PASSAGES = 8_192
 GRAM = 5
 LEAK = pa.schema(
     [("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
@@ -61,6 +66,7 @@ class Index:
     start: np.ndarray
     segment: np.ndarray
     weight: np.ndarray
+    most: np.ndarray
     block_start: np.ndarray
     block: np.ndarray
     block_max: np.ndarray
@@ -72,27 +78,23 @@ class Index:
         return -(-len(self.item_of) // BLOCK)
 
 
-def build(items: list[tuple[int, str]]) -> Index:
-    """Index of (item_id, text); an item longer than a passage is cut into segments of at most that many words."""
-    segments, item_of, parts = [], [], []
+def segments_of(text: str) -> list[np.ndarray]:
+    """An item's words in segments of at most a passage's length."""
+    hashes = words(text)
+    return [x for x in np.array_split(hashes, max(1, -(-len(hashes) // PASSAGE))) if len(x)]
+
+
+def build(items: list[tuple[int, str]], df: dict[int, int], number: int, mean: float) -> Index:
+    """Index of (item_id, text). df, number, mean: segments with a term, segments, and their mean length, of all items."""
+    item_of, parts, tf = [], [], []
     for n, (item, text) in enumerate(items):
         hashes = words(text)
         question, answer = question_answer(text)
-        parts.append((item, max(1, min(GRAM, len(hashes))), [grams(words(x), max(1, min(GRAM, len(hashes)))) for x in (question, answer)]))
-        pieces = max(1, -(-len(hashes) // PASSAGE))
-        for piece in np.array_split(hashes, pieces):
-            if len(piece):
-                segments.append(piece)
-                item_of.append(n)
-    number = len(segments)
-    mean = sum(map(len, segments)) / max(number, 1)
-    df: dict[int, int] = {}
-    tf = []
-    for s in segments:
-        t, c = np.unique(s, return_counts=True)
-        tf.append((t, c))
-        for x in t.tolist():
-            df[x] = df.get(x, 0) + 1
+        size = max(1, min(GRAM, len(hashes)))
+        parts.append((item, size, [grams(words(x), size) for x in (question, answer)]))
+        for piece in segments_of(text):
+            tf.append(np.unique(piece, return_counts=True))
+            item_of.append(n)
     rows = []
     for n, (t, c) in enumerate(tf):
         idf = np.array([math.log(1 + (number - df[x] + 0.5) / (df[x] + 0.5)) for x in t.tolist()])
@@ -102,27 +104,35 @@ def build(items: list[tuple[int, str]]) -> Index:
     t = np.array([r[0] for r in rows], dtype=np.uint64)
     segment, weight = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows])
     term, start = np.unique(t, return_index=True)
+    most = np.maximum.reduceat(weight, start) if len(start) else weight
     start = np.append(start, len(t))
     of_term = np.repeat(np.arange(len(term)), np.diff(start))
-    key = of_term * (number // BLOCK + 1) + segment // BLOCK
-    block_key, first = np.unique(key, return_index=True)
+    blocks = len(tf) // BLOCK + 1
+    block_key, first = np.unique(of_term * blocks + segment // BLOCK, return_index=True)
     block_max = np.maximum.reduceat(weight, first) if len(first) else weight
-    block_start = np.searchsorted(block_key // (number // BLOCK + 1), np.arange(len(term) + 1))
-    return Index(term, start, segment, weight, block_start, block_key % (number // BLOCK + 1), block_max, np.array(item_of, dtype=np.int64), parts)
-
-
-def _expand(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of `which`, posting) for all postings of the terms in `which`."""
-    n = start[which + 1] - start[which]
-    row = np.repeat(np.arange(len(which)), n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[which], n)
+    block_start = np.searchsorted(block_key // blocks, np.arange(len(term) + 1))
+    return Index(term, start, segment, weight, most, block_start, block_key % blocks, block_max, np.array(item_of, dtype=np.int64), parts)
 
 
 class Searcher:
+    """Block-max WAND for many passages at once: each step moves every passage that is still searching by one pivot."""
+
     def __init__(self, index: Index, threshold: float):
         self.index, self.threshold = index, threshold
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(index.term & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        n = len(index.term)
+        self.end = len(index.item_of)
+        # Postings and blocks in one ascending list each, so that any cursor's next place is one binary search.
+        of_term = np.repeat(np.arange(n), np.diff(index.start))
+        self.posting = of_term * (self.end + 1) + index.segment
+        self.block_key = np.repeat(np.arange(n), np.diff(index.block_start)) * (index.blocks + 1) + index.block
+        # The place after all others is a term without postings or weight.
+        self.segment = np.append(index.segment, self.end)
+        self.weight = np.append(index.weight, 0.0)
+        self.most = np.append(index.most, 0.0)
+        self.stop = np.append(index.start[1:], len(index.segment))
+        self.block_max = np.append(index.block_max, 0.0)
 
     def terms(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the hashes, term) of those that are in the index."""
@@ -133,52 +143,129 @@ class Searcher:
         ok = self.index.term[found] == hashes[at]
         return at[ok], found[ok]
 
-    def retrieve(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word in the text, segment, score) of all passages and segments at or above the threshold."""
-        index = self.index
+    def passages(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word, a row of its distinct terms) of passages whose largest weights together reach the threshold."""
+        none = len(self.index.term)
         begin = np.cumsum(counts) - counts
         at, term = self.terms(hashes)
-        if not len(at):
-            none = np.zeros(0, dtype=np.int64)
-            return none, none, none, none.astype(float)
         text = np.searchsorted(np.cumsum(counts), at, side="right")
         step = (at - begin[text]) // STRIDE
         most = int(counts.max(initial=0)) // STRIDE + 2
         # A word is in the passage that begins in its own stride and in the one before.
         passage = np.concatenate((text * most + step, (text * most + step - 1)[step > 0]))
-        key = np.unique(passage * len(index.term) + np.concatenate((term, term[step > 0])))
-        passage, term = key // max(len(index.term), 1), key % max(len(index.term), 1)
-        names, p = np.unique(passage, return_inverse=True)
-        row, post = _expand(index.block_start, term)
-        bound = np.bincount(p[row] * index.blocks + index.block[post], weights=index.block_max[post], minlength=len(names) * index.blocks)
-        alive = bound >= self.threshold - 1e-9
-        wanted = alive.reshape(len(names), -1).any(axis=1)[p]
-        row, post = _expand(index.start, term[wanted])
-        who = p[wanted][row]
-        keep = alive[who * index.blocks + index.segment[post] // BLOCK]
-        pair, inverse = np.unique(who[keep] * len(index.item_of) + index.segment[post[keep]], return_inverse=True)
-        score = np.bincount(inverse, weights=index.weight[post[keep]], minlength=len(pair))
-        hit = score >= self.threshold
-        name = names[pair[hit] // max(len(index.item_of), 1)]
-        return name // most, name % most * STRIDE, pair[hit] % max(len(index.item_of), 1), score[hit]
+        key = np.sort(passage * max(none, 1) + np.concatenate((term, term[step > 0])))
+        key = key[np.diff(key, prepend=-1) > 0]
+        passage, term = key // max(none, 1), key % max(none, 1)
+        new = np.flatnonzero(np.diff(passage, prepend=-1))
+        names, n = passage[new], np.diff(np.append(new, len(passage)))
+        p = np.repeat(np.arange(len(names)), n)
+        able = np.bincount(p, weights=self.most[term], minlength=len(names)) >= self.threshold - 1e-9
+        keep = able[p]
+        number = np.cumsum(able) - 1
+        row = number[p[keep]]
+        n = n[able]
+        out = np.full((len(n), int(n.max(initial=0))), none, dtype=np.int64)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = term[keep]
+        return names[able] // most, names[able] % most * STRIDE, out
+
+    def seek(self, term: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """The first posting of each term at or after a segment, or its end."""
+        return np.searchsorted(self.posting, term * (self.end + 1) + segment)
 
-
-def _indexes(docs: DataFrame, benchmark: DataFrame, items_a_part: int) -> list:
-    """Broadcast indexes of the benchmark's hash parts."""
+    def retrieve(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first word in the text, segment, score) of all passages and segments at or above the threshold."""
+        text, first, term = self.passages(hashes, counts)
+        out = []
+        least = self.threshold - 1e-9
+        for a in range(0, len(text), PASSAGES):
+            out += self._search(np.arange(a, min(a + PASSAGES, len(text))), term[a : a + PASSAGES], least)
+        who, segment, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        hit = score >= self.threshold
+        who = who[hit]
+        return text[who], first[who], segment[hit], score[hit]
+
+    def _search(self, who: np.ndarray, term: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        found = []
+        bound = self.most[term]
+        place = np.append(self.index.start[:-1], len(self.index.segment))[term]
+        doc = self.segment[place]
+        while len(who):
+            # The pivot is the least segment up to which the bounds of the cursors at or before it reach the threshold.
+            ranked = np.sort((doc << 6) + np.arange(doc.shape[1]), axis=1)  # a passage has at most 64 terms
+            order = (ranked & 63) + np.arange(len(doc))[:, None] * doc.shape[1]
+            ranked >>= 6
+            total = np.cumsum(bound.ravel()[order] * (ranked < self.end), axis=1)
+            reached = total[:, -1] >= least
+            if not reached.all():
+                who, term, bound, place, doc, ranked, total = (x[reached] for x in (who, term, bound, place, doc, ranked, total))
+                if not len(who):
+                    break
+            pivot = ranked[np.arange(len(who)), (total >= least).argmax(axis=1)]
+            early = doc <= pivot[:, None]
+            row, col = np.nonzero(early)
+            t = term[row, col]
+            # The same cursors' maxima in the pivot's block decide whether it is scored or the block is skipped.
+            key = t * (self.index.blocks + 1) + (pivot // BLOCK)[row]
+            at = np.searchsorted(self.block_key, key)
+            maximum = np.where(np.append(self.block_key, -1)[at] == key, self.block_max[at], 0.0)
+            score_it = np.bincount(row, weights=maximum, minlength=len(who)) >= least
+            after = np.where(early, self.end, doc).min(axis=1)
+            target = np.where(score_it, pivot, np.minimum((pivot // BLOCK + 1) * BLOCK, after))
+            to = self.seek(t, target[row])
+            ended = to >= self.stop[t]
+            here = np.where(ended, self.end, self.segment[to])
+            hit = here == np.where(score_it, pivot, -1)[row]
+            if hit.any():
+                score = np.bincount(row[hit], weights=self.weight[to[hit]], minlength=len(who))
+                full = np.flatnonzero(score >= least)
+                found.append((who[full], pivot[full], score[full]))
+                to = to + hit
+                ended = to >= self.stop[t]
+                here = np.where(ended, self.end, self.segment[to])
+            place[row, col] = to
+            doc[row, col] = here
+        return found
+
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, items_a_part: int, part_bytes: int) -> Iterator[Broadcast]:
+    """Broadcast indexes of the benchmark's hash parts, one at a time; statistics are those of all items.
+
+    A part holds about `items_a_part` items and `part_bytes` bytes of text, or one item.
+    """
     spark = docs.sparkSession
-    items = common.Scratch(spark, "decontamination").write(benchmark.select("item_id", "text").where("text is not null").distinct(), "items")
-    parts = max(1, -(-items.count() * 2 // items_a_part))
-    out = []
+    scratch = common.Scratch(spark, "decontamination")
+    items = scratch.write(benchmark.select("item_id", "text").where("text is not null").distinct(), "items")
+    schema = pa.schema([("part", pa.int64()), ("term", pa.int64()), ("df", pa.int64()), ("length", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in common.rows(batches, 1 << 18):
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for part, text in zip(rows["part"], rows["text"], strict=True):
+                for piece in segments_of(text):
+                    terms = np.unique(piece).view(np.int64).tolist()
+                    out["part"] += [part] * (len(terms) + 1)
+                    out["term"] += [None, *terms]
+                    out["df"] += [1] * (len(terms) + 1)
+                    out["length"] += [len(piece)] + [0] * len(terms)
+            yield common.table(schema, out)
+
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-size.n // items_a_part), -(-size.bytes // part_bytes))
+    part = F.pmod(F.xxhash64("text"), F.lit(parts))
+    counted = items.select(part.alias("part"), "text").mapInArrow(count, "part long, term long, df long, length long")
+    counted = scratch.write(counted.groupBy("part", "term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")), "counts")
+    whole = counted.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
+    terms = scratch.write(counted.where("term is not null").groupBy("term").agg(F.sum("df").alias("df")), "terms")
     for k in range(parts):
-        mine = items if parts == 1 else items.where(f"pmod(xxhash64(text), {parts}) = {k}")
-        out.append(spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in mine.orderBy("item_id", "text").collect()])))
-    return out
+        mine = [(r.item_id, r.text) for r in items.where(part == k).orderBy("item_id", "text").collect()]
+        known = terms.join(counted.where((F.col("part") == k) & F.col("term").isNotNull()).select("term"), "term", "left_semi").collect()
+        df = {r.term & ((1 << 64) - 1): r.df for r in known}
+        yield spark.sparkContext.broadcast(build(mine, df, whole.n, whole.length / max(whole.n, 1)))
 
 
-def matches(index: Index, texts: list[str | None], threshold: float, overlap: float) -> list[tuple]:
+def matches(searcher: Searcher, texts: list[str | None], overlap: float) -> list[tuple]:
     """(text number, item_id, first word, score, question and answer overlap) of leaks, each pair at its best passage."""
-    searcher = Searcher(index, threshold)
-    around = 2 * PASSAGE
+    index, around = searcher.index, 2 * PASSAGE
     hashes, counts = common.word_hashes([common.utf8(x) for x in texts], common.NO_WORD)
     begin = np.cumsum(counts) - counts
     best: dict[tuple[int, int], tuple] = {}
@@ -195,20 +282,35 @@ def matches(index: Index, texts: list[str | None], threshold: float, overlap: fl
     return [(t, x[5], -x[2], x[1], x[3], x[4]) for (t, _), x in sorted(best.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap: float = 0.6, items_a_part: int = 4_096) -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap: float = 0.6, items_a_part: int = 2_048, part_bytes: int = 8 << 20
+) -> DataFrame:
     """One row for each (doc_id, item_id) leak, at its best passage: first_word, score, and both overlaps.
 
     A text leaks an item if a passage of it scores `threshold` or more of the item's own score, and at least `overlap`
     of the 5-grams of the item's question and of its answer stand within 128 words around. Words are runs of letters and
     digits, A-Z as a-z. Null or empty texts and items match nothing; equal rows give equal rows, a null doc_id or
     item_id stays null, other columns are not read, and empty tables give no rows. Every passage of every text is a
-    query, however long the text.
+    query, however long the text. Each part of the benchmark is one pass, and its index goes before the next is made;
+    parts change no score.
     """
-    held = _indexes(docs, benchmark, items_a_part)
-
+    scratch, done = common.Scratch(docs.sparkSession, "leaks"), None
+    held = None
+    for k, index in enumerate(_indexes(docs, benchmark, items_a_part, part_bytes)):
+        if held is not None:
+            written = scratch.write(_search(docs, held, threshold, overlap), f"part-{k}")
+            done = written if done is None else done.union(written)
+            held.destroy()
+        held = index
+    last = _search(docs, held, threshold, overlap)
+    return last if done is None else done.union(last)
+
+
+def _search(docs: DataFrame, held: Broadcast, threshold: float, overlap: float) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(held.value, threshold)
         for part in common.rows(batches):
-            found = [m for index in held for m in matches(index.value, part["text"], threshold, overlap)]
+            found = matches(searcher, part["text"], overlap)
             ids = [part["doc_id"][m[0]] for m in found]
             columns = [ids, *zip(*(m[1:] for m in found), strict=True)] if found else [[]] * len(LEAK)
             yield common.table(LEAK, dict(zip(LEAK.names, columns, strict=True)))
@@ -216,16 +318,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap
     return docs.select("doc_id", "text").mapInArrow(search, LEAK_DDL)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap: float = 0.6, items_a_part: int = 4_096) -> DataFrame:
-    """Rows of `docs`, all columns, whose text leaks no item."""
-    held = _indexes(docs, benchmark, items_a_part)
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap: float = 0.6, items_a_part: int = 2_048, part_bytes: int = 8 << 20
+) -> DataFrame:
+    """Rows of `docs`, all columns whatever their names, whose text leaks no item; see `leaks`.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty table gives none. With several parts each
+    is a pass over what the one before has kept.
+    """
+    scratch = common.Scratch(docs.sparkSession, "leaks")
+    held = None
+    for k, index in enumerate(_indexes(docs, benchmark, items_a_part, part_bytes)):
+        if held is not None:
+            docs = scratch.write(_clean(docs, held, threshold, overlap), f"kept-{k}")
+            held.destroy()
+        held = index
+    return _clean(docs, held, threshold, overlap)
+
 
+def _clean(docs: DataFrame, held: Broadcast, threshold: float, overlap: float) -> DataFrame:
     def clean(texts: list[str | None]) -> list[bool]:
-        bad = {m[0] for index in held for m in matches(index.value, texts, threshold, overlap)}
+        bad = {m[0] for m in matches(Searcher(held.value, threshold), texts, overlap)}
         return [i not in bad for i in range(len(texts))]
 
     return common.keep_rows(docs, clean)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaks of benchmark items in documents; see `leaks`."""
     return leaks(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
