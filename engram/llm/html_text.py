@@ -2,9 +2,10 @@
 
 The nodes are a page's block elements and its text blocks, each content or boilerplate. A node's own potential is what its
 tag, the words of its class and id and the shape of its text say for either label; a potential on each edge says how
-labels pass from parent to child. Sum-product messages go from the leaves to the root and back, after which each text
+labels pass from parent to child, one for elements that begin a section by their tag or name and one for all others. Sum-product messages go from the leaves to the root and back, after which each text
 block has its exact marginal, and blocks that are likelier content than not are the page's text. The potentials are
-counts over labelled pages (`labelled_pages`), smoothed by one half.
+counts, smoothed by one half, over labelled pages of two kinds: examples made by rule (`labelled_pages`), and a bounded
+sample of the given pages, labelled by their sectioning elements (`by_structure`).
 """
 
 from __future__ import annotations
@@ -19,13 +20,20 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from engram.llm import common
 
 #: Elements within a line of text, elements without content, and elements whose content is not page text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mrow ms msqrt msub msup mtext munder object q s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style title template noscript textarea iframe svg math object select option canvas noframes".split())
+#: Their content is raw text up to the end tag, or to the end of the page.
+SKIPPED = frozenset("script style title noscript textarea iframe noframes".split())
+#: Their content is markup that is not shown; it ends at the latest where the element around it ends.
+HIDDEN = frozenset("template svg select datalist canvas".split())
+#: Elements by which a page says itself what is its text and what is not.
+SECTIONS = {"article": 1, "main": 1, "nav": 0, "aside": 0, "footer": 0, "form": 0, "dialog": 0, "menu": 0}
+MARKED = frozenset([*SECTIONS, "section", "header", "search"])
 #: What a start tag closes if it is open.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements that a start tag's search for something to close does not leave.
@@ -45,6 +53,7 @@ class Node:
     text: list[str] | None = None
     linked: int = 0
     tag: str = ""
+    marked: int = 0  # whether a tag or a name says that a section begins here
 
 
 @dataclass
@@ -68,7 +77,7 @@ def parse(source: str) -> Page:
     """Block elements and text blocks in page order, parents first. Tags need not match; nothing fails."""
     page = Page([Node(-1, ("tag:#root",), tag="#root")])
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones with the node of their block
-    block, links = 0, 0
+    block, links, hidden = 0, 0, 0
     held: list[str] = []
     held_links = 0
 
@@ -76,18 +85,21 @@ def parse(source: str) -> Page:
         nonlocal held, held_links
         text = " ".join("".join(held).split())
         if text:
-            page.nodes.append(Node(block, (f"in:{page.nodes[block].tag}", *_shape(text, held_links)), page.nodes[block].label, text))
+            page.nodes.append(Node(block, _shape(text, held_links), page.nodes[block].label, text))
         held, held_links = [], 0
 
     def pop(to: int) -> None:
-        nonlocal block, links
+        nonlocal block, links, hidden
         for name, _ in stack[to:]:
             links -= name == "a"
+            hidden -= name in HIDDEN
         del stack[to:]
         block = stack[-1][1]
 
     def put(raw: str) -> None:
         nonlocal held_links
+        if hidden:
+            return
         text = html.unescape(raw) if "&" in raw else raw
         held.append(text)
         if links:
@@ -102,12 +114,12 @@ def parse(source: str) -> Page:
         if not name:
             continue
         attributes = m[3] if m[2] else m[6]
-        inline = name in INLINE
+        inline = name in INLINE or name in HIDDEN
         if m[1] or m[4]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if inline and any(stack[i][0] not in INLINE for i in range(depth + 1, len(stack))):
+            if name in INLINE and any(stack[i][0] not in INLINE for i in range(depth + 1, len(stack))):
                 continue
-            if not inline:
+            if not inline and not (hidden and not depth):
                 flush()
             if depth:
                 pop(depth)
@@ -124,6 +136,9 @@ def parse(source: str) -> Page:
             if name not in VOID and not attributes.endswith("/"):
                 stack.append((name, block))
                 links += name == "a"
+                hidden += name in HIDDEN
+            continue
+        if hidden:  # nothing in there makes a block
             continue
         flush()
         shut = CLOSES.get(name, ())
@@ -141,7 +156,8 @@ def parse(source: str) -> Page:
             continue
         label = _LABEL.search(attributes)
         own = (label[1] == "content") * 1 if label else page.nodes[block].label
-        page.nodes.append(Node(block, (f"tag:{name}", *(f"name:{w}" for w in _names(attributes))), own, tag=name))
+        names = _names(attributes)
+        page.nodes.append(Node(block, (f"tag:{name}", *(f"name:{w}" for w in names)), own, tag=name, marked=int(bool(names) or name in MARKED)))
         block = len(page.nodes) - 1
         stack.append((name, block))
     if at < len(source):
@@ -151,9 +167,9 @@ def parse(source: str) -> Page:
 
 
 class Model:
-    """Log potentials: own[trait] for (boilerplate, content), edge[parent][child], and the root's."""
+    """Log potentials: own[trait] for (boilerplate, content), edge[child marked][parent][child], and the root's."""
 
-    def __init__(self, own: dict[str, tuple[float, float]], edge: tuple[tuple[float, float], tuple[float, float]], root: tuple[float, float]):
+    def __init__(self, own: dict[str, tuple[float, float]], edge: tuple, root: tuple[float, float]):
         self.own, self.edge, self.root = own, edge, root
 
     def marginals(self, page: Page) -> list[float]:
@@ -161,7 +177,7 @@ class Model:
         nodes = page.nodes
         n = len(nodes)
         zero = (0.0, 0.0)
-        (e00, e01), (e10, e11) = self.edge
+        edges = [(e[0][0], e[0][1], e[1][0], e[1][1]) for e in self.edge]
         belief = []
         for node in nodes:
             x = y = 0.0
@@ -175,6 +191,7 @@ class Model:
         up: list[tuple[float, float]] = [zero] * n
         for i in range(n - 1, 0, -1):
             x, y = belief[i]
+            e00, e01, e10, e11 = edges[nodes[i].marked]
             m = (_add(x + e00, y + e01), _add(x + e10, y + e11))
             up[i] = m
             parent = belief[nodes[i].parent]
@@ -183,6 +200,7 @@ class Model:
         for i in range(1, n):
             p = belief[nodes[i].parent]
             x, y = p[0] - up[i][0], p[1] - up[i][1]
+            e00, e01, e10, e11 = edges[nodes[i].marked]
             belief[i][0] += _add(x + e00, y + e10)
             belief[i][1] += _add(x + e01, y + e11)
             top = max(belief[i])
@@ -201,14 +219,32 @@ def _add(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
-def train(pages: list[str]) -> Model:
-    """Counts over pages whose elements carry data-label="content" or "boilerplate"; labels hold for what is inside.
+def by_structure(source: str | None) -> Page | None:
+    """A page labelled by its own sectioning elements, or None if no text of it stands in an article or main element.
 
-    An element without a label above it has that of most of its text.
+    Inside article and main is content, but for what is again inside nav, aside, footer, form, dialog, menu, or has a
+    class or id that names comments; all else is boilerplate.
     """
+    page = parse(source or "")
+    for node in page.nodes:
+        above = page.nodes[node.parent].label if node.parent >= 0 else 0
+        node.label = SECTIONS.get(node.tag, above) if above != 0 or SECTIONS.get(node.tag) == 1 else 0
+        if any(t in ("name:comment", "name:comments") for t in node.traits):
+            node.label = 0
+    return page if any(n.label for n in page.nodes if n.text is not None) else None
+
+
+def accuracy(model: Model, pages: list[Page]) -> tuple[int, float]:
+    """(text blocks, share of them whose marginal is on the side of their label) of labelled pages."""
+    right = [(p >= 0.5) == bool(n.label) for page in pages for n, p in zip(page.nodes, model.marginals(page), strict=True) if n.text is not None]
+    return len(right), sum(right) / max(len(right), 1)
+
+
+def train(pages: list[Page]) -> Model:
+    """Counts over labelled pages; labels hold for what is inside. An element without one has that of most of its text."""
     traits, labels, edges, roots = Counter(), Counter(), Counter(), Counter()
-    for source in pages:
-        nodes = parse(source).nodes
+    for page in pages:
+        nodes = page.nodes
         weight = [[0, 0] for _ in nodes]
         for i in range(len(nodes) - 1, -1, -1):
             node = nodes[i]
@@ -223,12 +259,12 @@ def train(pages: list[str]) -> Model:
             labels[y, node.text is None] += 1
             traits.update((t, y) for t in node.traits)
             if node.parent >= 0:
-                edges[got[node.parent], y] += 1
+                edges[node.marked, got[node.parent], y] += 1
     own = {}
     for t, _ in traits:
         block = t.startswith(("tag:", "name:"))
         own[t] = tuple(math.log((traits[t, y] + 0.5) / (labels[y, block] + 1)) for y in (0, 1))
-    edge = tuple(tuple(math.log((edges[p, c] + 0.5) / (edges[p, 0] + edges[p, 1] + 1)) for c in (0, 1)) for p in (0, 1))
+    edge = tuple(tuple(tuple(math.log((edges[m, p, c] + 0.5) / (edges[m, p, 0] + edges[m, p, 1] + 1)) for c in (0, 1)) for p in (0, 1)) for m in (0, 1))
     return Model(own, edge, tuple(math.log((roots[y] + 0.5) / (sum(roots.values()) + 1)) for y in (0, 1)))
 
 
@@ -247,8 +283,8 @@ CONTENT = [
 _PROSE = "the river rose in spring and people moved their boats to higher ground before the water reached the old stone bridge".split()
 
 
-def labelled_pages() -> list[str]:
-    """Example pages, each kind of boilerplate around and inside each kind of content, labels as data-label."""
+def labelled_pages() -> list[Page]:
+    """Example pages, each kind of boilerplate around and inside each kind of content, labelled by data-label attributes."""
 
     def prose(k: int, n: int) -> str:
         w = [_PROSE[(k * 7 + i * (k % 5 + 1)) % len(_PROSE)] for i in range(n)]
@@ -273,12 +309,27 @@ def labelled_pages() -> list[str]:
         around = [f'<{t} {x} data-label="boilerplate">{inner(f, k + i)}</{t}>' for i, (t, x, f) in enumerate((a, b))]
         body = f"<h1>{prose(k, 5)[:-1]}</h1>" + "".join(f"<p>{prose(k + i, 8 + 11 * (i % 4))}</p>" for i in range(5))
         body += [f"<h2>{prose(k, 3)[:-1]}</h2><p>{prose(k, 40)}</p>", f"<ul><li>{prose(k, 6)}</li><li>{prose(k + 1, 5)}</li></ul>", f"<blockquote>{prose(k, 15)}</blockquote>", f"<table><tr><td>{prose(k, 2)}</td><td>12</td></tr></table>", f"<p><b>{prose(k, 6)}</b><br></p>", f"<pre>{prose(k, 9)}</pre>"][k % 6]
+        # Text of an article may be linked, as a whole too.
+        links_ = f'<ul><li><a href="/x">{prose(k, 6)}</a></li><li><a href="/y">{prose(k + 2, 4)}</a></li></ul>'
+        body += [links_, f'<p>See <a href="/x">{prose(k, 9)}</a></p>', links_, f'<div class="note">{prose(k, 7)}</div>'][k % 4]
         within = around[1] if k % 3 == 0 else ""
         after = around[1] if k % 3 else ""
-        pages.append(f"<html><body>{around[0]}<{tag} {attributes} data-label=\"content\">{body}{within}</{tag}>{after}</body></html>")
+        pages.append(parse(f"<html><body>{around[0]}<{tag} {attributes} data-label=\"content\">{body}{within}</{tag}>{after}</body></html>"))
     return pages
 
 
+def sampled(pages: DataFrame, rows: int, most_chars: int, folds: int = 5, held_out: int = 0) -> list[str]:
+    """At most `rows` pages of at most `most_chars` characters each, outside the held-out fold of page ids, in hash order."""
+    some = pages.select("page_id", "html").where((F.length("html") <= most_chars) & (F.crc32(F.col("page_id").cast("string")) % folds != held_out))
+    return [r.html for r in some.orderBy(F.xxhash64("html"), "html").limit(rows).collect()]
+
+
+def fit(pages: DataFrame, rows: int = 200, most_chars: int = 50_000) -> Model:
+    """The model of the examples and of a bounded sample of pages; pages that say nothing by their structure teach nothing."""
+    found = [page for x in sampled(pages, rows, most_chars) if (page := by_structure(x)) is not None]
+    return train([*labelled_pages(), *found])
+
+
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text (blocks joined by one line feed) and n_chars for every row of `pages`, from the whole html.
 
@@ -286,7 +337,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     within a block is one space. Repeated rows each get a row, null ids and urls stay null, other columns are not read,
     and an empty table gives no rows. Broken markup never fails: tags that match nothing are left out.
     """
-    held = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
+    held = pages.sparkSession.sparkContext.broadcast(model or fit(pages))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,4 +350,5 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of pages; see `main_text` for nulls and broken markup."""
     return main_text(common.read(spark, sf_dir, "pages"))

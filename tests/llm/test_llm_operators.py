@@ -228,6 +228,24 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sum_index_finds_what_enumeration_finds():
+    import itertools
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        free = np.concatenate(([0], rng.integers(0, 3, 30)))
+        index = packing.SumIndex(free)
+        for _ in range(40):
+            total, taken = int(rng.integers(1, 31)), rng.choice(np.flatnonzero(free), 1).tolist() if free.any() else []
+            left = free.copy()
+            np.subtract.at(left, taken, 1)
+            can = [c for k in (1, 2, 3) for c in itertools.combinations_with_replacement(range(30, 0, -1), k) if sum(c) == total and all(left[x] >= c.count(x) for x in c)]
+            got = index.find(total, taken, step=4)
+            assert got == (list(can[0]) if can else None)
+            for x in [*taken, *(got or [])]:
+                free[x] -= 1
+
+
 def best_capacity(sizes, shards):
     best = [[0] + [10**12] * len(sizes)]
     for _ in range(shards):
@@ -328,31 +346,54 @@ def test_decontamination(spark, docs, empty):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     leak = [(100, prose(3, 300) + " " + items[4][1] + " " + prose(8, 90)), (101, items[7][1]), (102, prose(9, 400)), (103, prose(700 + 3, 12)), (104, None), (105, prose(11, 100) + items[-1][1])]
     table = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in leak], SCHEMA)
-    for part in (4096, 8):
-        assert {(r.doc_id, r.item_id) for r in decontamination.leaks(table, benchmark, items_a_part=part).collect()} == {(100, 4), (101, 7), (105, 97)}
-    assert sorted(r.doc_id for r in decontamination.without_leaks(table, benchmark).collect()) == [102, 103, 104]
+    rows = {}
+    for part in (4096, 8, 1):
+        rows[part] = sorted(map(tuple, decontamination.leaks(table, benchmark, items_a_part=part).collect()))
+        assert {r[:2] for r in rows[part]} == {(100, 4), (101, 7), (105, 97)}
+        assert sorted(r.doc_id for r in decontamination.without_leaks(table, benchmark, items_a_part=part).collect()) == [102, 103, 104]
+    assert rows[4096] == rows[8] == rows[1]  # parts change no score
+    many = clashing(table)
+    assert decontamination.without_leaks(many, benchmark).columns == many.columns
     assert decontamination.leaks(docs, benchmark.limit(0)).count() == 0
-    assert decontamination.leaks(empty, benchmark).count() == 0
-
-
-def test_bounds_never_lose_a_hit():
-    items = [(i, prose(500 + i, 40)) for i in range(60)]
-    index = decontamination.build(items)
-    text = " ".join(prose(500 + k, 40)[: 30 * k] for k in range(0, 60, 7)) + prose(1, 300)
-    hashes, counts = decontamination.words(text), None
-    counts = np.array([len(hashes)])
-    got = {(f, s) for _, f, s, _ in zip(*(x.tolist() for x in decontamination.Searcher(index, 0.4).retrieve(hashes, counts)), strict=True)}
-    want = set()
-    weight = {}
-    for t in range(len(index.term)):
-        for p in range(index.start[t], index.start[t + 1]):
-            weight[int(index.term[t]), int(index.segment[p])] = float(index.weight[p])
-    for first in range(0, len(hashes), 32):
-        have = set(hashes[first : first + 64].tolist())
-        for s in range(len(index.item_of)):
-            if sum(w for (t, x), w in weight.items() if x == s and t in have) >= 0.4:
-                want.add((first, s))
-    assert got == want
+    assert decontamination.leaks(empty, benchmark).count() == 0 and decontamination.without_leaks(empty, benchmark).count() == 0
+
+
+def bm25(items, passages):
+    """Scores of word sets against items of at most 64 words, by the formula and without an index."""
+    import math
+
+    split = [[w.lower() for w in x.replace(".", " ").split()] for x in items]
+    mean = sum(map(len, split)) / len(split)
+    out = []
+    for words in split:
+        weight = {}
+        for w in set(words):
+            df, tf = sum(w in x for x in split), words.count(w)
+            weight[w] = math.log(1 + (len(split) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+        out.append([sum(x for w, x in weight.items() if w in p) / sum(weight.values()) for p in passages])
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.4, 0.7])
+def test_wand_finds_what_scoring_all_finds(threshold):
+    items = [(i, prose(500 + i, 30 + i % 30)) for i in range(60)]
+    df, lengths = {}, []
+    for _, text in items:
+        for piece in decontamination.segments_of(text):
+            lengths.append(len(piece))
+            for t in np.unique(piece).tolist():
+                df[t] = df.get(t, 0) + 1
+    index = decontamination.build(items, df, len(lengths), sum(lengths) / len(lengths))
+    held = [" ".join(prose(500 + k, 30 + k % 30)[: 30 * k] for k in range(0, 60, 7)) + prose(1, 300), prose(9, 500), "", prose(517, 47)]
+    hashes, counts = decontamination.common.word_hashes([x.encode() for x in held], decontamination.common.NO_WORD)
+    got = {(t, f, s): x for t, f, s, x in zip(*(x.tolist() for x in decontamination.Searcher(index, threshold).retrieve(hashes, counts)), strict=True)}
+    want = {}
+    for n, text in enumerate(held):
+        words = text.lower().split()
+        passages = [set(words[f : f + 64]) for f in range(0, len(words), 32)]
+        for s, scores in enumerate(bm25([t for _, t in items], passages)):
+            want |= {(n, 32 * i, s): x for i, x in enumerate(scores) if x >= threshold}
+    assert got == pytest.approx(want)
 
 
 def test_quality(spark, docs, empty):
@@ -379,9 +420,36 @@ def test_html(spark):
     assert got[1, "u"] == (text, len(text)) and got[2, None] == ("", 0) and got[3, "v"] == ("", 0)
     assert html_text.main_text(table.limit(0)).count() == 0
     model = html_text.train(html_text.labelled_pages())
+    extract = lambda body: model.extract(f"<body><nav><a href=/>Menu</a></nav><article><h1>Title of it</h1><p>The first paragraph of a text.</p>{body}<p>The last one of it.</p></article></body>").split("\n")
+    first, last = ["Title of it", "The first paragraph of a text."], ["The last one of it."]
+    for body, want in (
+        ('<svg class="i"/><p>Behind a drawing.</p>', ["Behind a drawing."]),
+        ("<svg><title>t</title><text>drawn</text></svg><p>Behind it.</p>", ["Behind it."]),
+        ("<div><select><option>one<option>two</div><p>Behind a choice.</p>", ["Behind a choice."]),
+        ('<p>See <a href="/l">a long link text in a paragraph</a>.</p>', ["See a long link text in a paragraph."]),
+        ('<ul><li><a href="/a">The first thing that is linked</a></li><li><a href="/b">The second thing</a></li></ul>', ["The first thing that is linked", "The second thing"]),
+        ('<div class="note">A remark of the author on this.</div>', ["A remark of the author on this."]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", ["Let x=2 be."]),
+        ("<script>if (a < b) document.write('<p>no</p>')</script>", []),
+        ("<form><label>Name</label><input><button>Send</button></form>", []),
+    ):
+        assert extract(body) == first + want + last, body
+    long = "<p>" + prose(3, 40_000) + "</p>"
+    assert extract(long)[2] == prose(3, 40_000)
     assert model.extract("<p>" * 3000 + "deep and long enough to be a text." + "</p>" * 3000)
 
 
+def test_structure_labels_and_held_out_accuracy(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = html_text.fit(pages)
+    held = [r.html for r in pages.where("crc32(CAST(page_id AS STRING)) % 5 = 0").collect()]
+    n, share = html_text.accuracy(model, [p for x in held if (p := html_text.by_structure(x))])
+    assert n > 100 and share > 0.98
+    page = html_text.by_structure("<nav>a</nav><main>b<aside>c</aside><div class=comments>d</div><p>e</main>f")
+    assert [(n.text, n.label) for n in page.nodes if n.text] == [("a", 0), ("b", 1), ("c", 0), ("d", 0), ("e", 1), ("f", 0)]
+    assert html_text.by_structure("<p>no sections") is None and html_text.by_structure(None) is None
+
+
 def test_marginals_equal_enumeration():
     import itertools
     import math
@@ -393,7 +461,7 @@ def test_marginals_equal_enumeration():
     for y in itertools.product((0, 1), repeat=n):
         p = model.root[y[0]]
         for i, node in enumerate(page.nodes):
-            p += sum(model.own.get(t, (0.0, 0.0))[y[i]] for t in node.traits) + (model.edge[y[node.parent]][y[i]] if i else 0.0)
+            p += sum(model.own.get(t, (0.0, 0.0))[y[i]] for t in node.traits) + (model.edge[node.marked][y[node.parent]][y[i]] if i else 0.0)
         total += math.exp(p)
         for i in range(n):
             inside[i] += math.exp(p) * y[i]
