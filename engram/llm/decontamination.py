@@ -3,9 +3,9 @@
 Test items are the indexed side: an inverted index of their words, BM25 weights divided by the item's score for its own
 text, so one threshold serves all items. Postings are kept in blocks of segments with the largest weight of a term in each
 block. Every passage of the corpus (64 words, one begins every 32) is a query with a cursor in the postings of each of its
-words. Cursors are ordered by segment; the pivot is the first segment at which the largest weights of the cursors up to it
-reach the threshold. If their block maxima reach it too, the pivot is scored, or else they skip to the end of the block or
-the next cursor. All items at or above the threshold are retrieved, none by rank. A retrieved item counts as leaked if
+words. Cursors skip from block to block, past blocks whose maxima together stay below the threshold. In all other blocks
+they are ordered by segment; the pivot is the first segment at which the maxima of the cursors up to it reach the
+threshold, cursors before it skip to it, and it is scored. All items at or above the threshold are retrieved, none by rank. A retrieved item counts as leaked if
 enough of the word n-grams of its question and of its answer stand in the text around the passage.
 
 Statistics are those of all items. The index is broadcast in parts of bounded size, one at a time.
@@ -123,16 +123,18 @@ class Searcher:
         self.filter[(index.term & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         n = len(index.term)
         self.end = len(index.item_of)
-        # Postings and blocks in one ascending list each, so that any cursor's next place is one binary search.
+        # Postings in one ascending list, so that any cursor's next place is one binary search. The term after all others
+        # has no postings.
         of_term = np.repeat(np.arange(n), np.diff(index.start))
         self.posting = of_term * (self.end + 1) + index.segment
-        self.block_key = np.repeat(np.arange(n), np.diff(index.block_start)) * (index.blocks + 1) + index.block
-        # The place after all others is a term without postings or weight.
-        self.segment = np.append(index.segment, self.end)
-        self.weight = np.append(index.weight, 0.0)
+        self.segment, self.weight = np.append(index.segment, self.end), np.append(index.weight, 0.0)
         self.most = np.append(index.most, 0.0)
         self.stop = np.append(index.start[1:], len(index.segment))
-        self.block_max = np.append(index.block_max, 0.0)
+        # The blocks of each term are closed by one that lies behind all others.
+        close = np.arange(n + 1)
+        self.block = np.insert(index.block, np.append(index.block_start[1:], len(index.block)), index.blocks).astype(np.int32)
+        self.block_max = np.insert(index.block_max, np.append(index.block_start[1:], len(index.block)), 0.0)
+        self.first_block = np.append(index.block_start[:-1], len(index.block)) + close
 
     def terms(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the hashes, term) of those that are in the index."""
@@ -185,47 +187,57 @@ class Searcher:
         return text[who], first[who], segment[hit], score[hit]
 
     def _search(self, who: np.ndarray, term: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Cursors go from block to block; only blocks whose maxima together reach the threshold are entered."""
         found = []
-        bound = self.most[term]
-        place = np.append(self.index.start[:-1], len(self.index.segment))[term]
-        doc = self.segment[place]
+        at = self.first_block[term]
         while len(who):
-            # The pivot is the least segment up to which the bounds of the cursors at or before it reach the threshold.
+            block = self.block[at]
+            nearest = block.min(axis=1)
+            here = block == nearest[:, None]
+            maximum = self.block_max[at] * here
+            able = np.flatnonzero(maximum.sum(axis=1) >= least)
+            if len(able):
+                found += self._pivots(who[able], term[able], maximum[able], nearest[able].astype(np.int64), least)
+            at += here
+            open_ = nearest < self.index.blocks
+            if not open_.all():
+                who, term, at = who[open_], term[open_], at[open_]
+        return found
+
+    def _pivots(self, who: np.ndarray, term: np.ndarray, bound: np.ndarray, block: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """WAND within one block of each passage; bound: the block's maxima of its terms, 0 for those that are not in it.
+
+        The pivot is the first segment up to which the bounds of the cursors reach the threshold. Cursors before it skip
+        to it, then it is scored, and its cursors move on.
+        """
+        found = []
+        end = (block + 1) * BLOCK
+        doc = np.where(bound > 0, self._segment(term, self.seek(term, (block * BLOCK)[:, None])), self.end)
+        while len(who):
+            doc = np.where(doc < end[:, None], doc, self.end)
             ranked = np.sort((doc << 6) + np.arange(doc.shape[1]), axis=1)  # a passage has at most 64 terms
             order = (ranked & 63) + np.arange(len(doc))[:, None] * doc.shape[1]
             ranked >>= 6
             total = np.cumsum(bound.ravel()[order] * (ranked < self.end), axis=1)
             reached = total[:, -1] >= least
             if not reached.all():
-                who, term, bound, place, doc, ranked, total = (x[reached] for x in (who, term, bound, place, doc, ranked, total))
+                who, term, bound, end, doc, ranked, total = (x[reached] for x in (who, term, bound, end, doc, ranked, total))
                 if not len(who):
                     break
             pivot = ranked[np.arange(len(who)), (total >= least).argmax(axis=1)]
-            early = doc <= pivot[:, None]
-            row, col = np.nonzero(early)
+            row, col = np.nonzero(doc <= pivot[:, None])
             t = term[row, col]
-            # The same cursors' maxima in the pivot's block decide whether it is scored or the block is skipped.
-            key = t * (self.index.blocks + 1) + (pivot // BLOCK)[row]
-            at = np.searchsorted(self.block_key, key)
-            maximum = np.where(np.append(self.block_key, -1)[at] == key, self.block_max[at], 0.0)
-            score_it = np.bincount(row, weights=maximum, minlength=len(who)) >= least
-            after = np.where(early, self.end, doc).min(axis=1)
-            target = np.where(score_it, pivot, np.minimum((pivot // BLOCK + 1) * BLOCK, after))
-            to = self.seek(t, target[row])
-            ended = to >= self.stop[t]
-            here = np.where(ended, self.end, self.segment[to])
-            hit = here == np.where(score_it, pivot, -1)[row]
-            if hit.any():
-                score = np.bincount(row[hit], weights=self.weight[to[hit]], minlength=len(who))
-                full = np.flatnonzero(score >= least)
-                found.append((who[full], pivot[full], score[full]))
-                to = to + hit
-                ended = to >= self.stop[t]
-                here = np.where(ended, self.end, self.segment[to])
-            place[row, col] = to
-            doc[row, col] = here
+            to = self.seek(t, pivot[row])
+            hit = self._segment(t, to) == pivot[row]
+            score = np.bincount(row[hit], weights=self.weight[to[hit]], minlength=len(who))
+            full = np.flatnonzero(score >= least)
+            found.append((who[full], pivot[full], score[full]))
+            doc[row, col] = self._segment(t, to + hit)
         return found
 
+    def _segment(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.where(place < self.stop[term], self.segment[np.minimum(place, len(self.segment) - 1)], self.end)
+
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, items_a_part: int, part_bytes: int) -> Iterator[Broadcast]:
     """Broadcast indexes of the benchmark's hash parts, one at a time; statistics are those of all items.
