@@ -67,3 +67,41 @@ RRF_K, RRF_ABSENT = 15, 1000
 
 #: (alpha, beta) that a signal adds to an agent's trust.
 TRUST_WEIGHTS = {"store": (1.0, 0.0), "rejected": (0.0, 2.0), "recall": (0.5, 0.0), "contradiction": (0.0, 3.0), "deletion": (0.0, 1.5)}
+
+#: A text with one of these speaks of a cause.
+CAUSAL_CUES = ["because of", "as a result", "resulted in", "in order to", "so that", "caused by", "due to", "led to", "therefore", "consequently", "because"]
+
+#: Terms of vague time and the days that they stand for, from the day of the text.
+VAGUE_TERMS = {"yesterday": -1, "today": 0, "tomorrow": 1, "recently": -7, "a while ago": -30, "soon": 7, "the other day": -3, "last night": -1}
+#: First month of a season.
+SEASONS = {"spring": 3, "summer": 6, "autumn": 9, "fall": 9, "winter": 12}
+
+#: Kind and pattern of secrets in order; the last group is what stays readable.
+SECRETS = [
+    ("ANTHROPIC", r"sk-ant-[A-Za-z0-9_-]{16,}([A-Za-z0-9_-]{4})"),
+    ("OPENAI", r"sk-[A-Za-z0-9_-]{16,}([A-Za-z0-9_-]{4})"),
+    ("GITHUB", r"ghp_[A-Za-z0-9]{26,}([A-Za-z0-9]{4})"),
+    ("AWS", r"AKIA[A-Z0-9]{12}([A-Z0-9]{4})"),
+    ("SLACK", r"xoxb-[A-Za-z0-9-]{6,}([A-Za-z0-9-]{4})"),
+    ("JWT", r"ey[A-Za-z0-9_-]{10,}\.ey[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{1,}([A-Za-z0-9_-]{4})"),
+    ("PRIVATE_KEY", r"-----BEGIN [A-Z ]+(-----)"),
+]
+SECRET_LENGTH, SECRET_ENTROPY = 32, 4.5
+
+#: Words and phrases that class a query.
+MULTI_HOP_PHRASES = ["and then", "after that", "because", "how did", "as a result", "led to", "connection between", "relationship between"]
+TEMPORAL_QUERY = ["when", "date", "time", "year", "month", "ago", "before", "after", "during", "last", "next", "recently", "earlier", "later", "since", "until", "while", "between"]
+AGGREGATION_QUERY = ["all", "list", "every", "everything", "various", "different", "many", "several", "multiple", "summarize", "overview"]
+OPINION_QUERY = ["think", "feel", "opinion", "prefer", "favorite", "best", "worst", "believe", "like about", "dislike", "enjoy", "hate", "love"]
+VAGUE_QUERY = ["something about", "i think", "maybe", "not sure", "vaguely remember", "partially recall", "sort of", "kind of", "i forgot", "what was that"]
+#: Channel weights by class of query, in the order of CHANNEL_WEIGHTS.
+PRESETS = {
+    "temporal": [0.8, 1.5, 0.8, 2.0, 0.5, 0.5],
+    "multi_hop": [1.0, 0.8, 2.5, 0.5, 2.0, 0.7],
+    "aggregation": [1.2, 1.5, 1.0, 0.5, 0.8, 0.6],
+    "opinion": [1.8, 0.6, 0.8, 0.3, 0.5, 0.5],
+    "factual": [1.2, 1.4, 1.0, 0.6, 0.8, 0.8],
+    "entity": [1.0, 1.2, 3.0, 0.5, 1.5, 0.9],
+    "general": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
+    "vague": [0.8, 0.5, 0.6, 0.3, 1.5, 1.1],
+}

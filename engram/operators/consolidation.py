@@ -36,17 +36,6 @@ def e6_route_type_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("fact_id", F.col("b.type").alias("type"), F.round("b.s", 6).alias("similarity"))
 
 
-@query(
-    "L6_entity_events",
-    "WITH e AS (SELECT l_partkey AS entity, l_orderkey AS fact_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_partkey IN (3, 14, 15)) SELECT fact_id, round(max(greatest(0.3, 0.85 - 0.02 * (n - 1))), 6)::DOUBLE AS score FROM e GROUP BY fact_id",
-)
-def l6_entity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with events of three named entities, 0.85 for the first and 0.02 less for each next, 0.3 at least."""
-    order = W.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    events = views.read(spark, sf_dir, "lineitem").where("l_partkey IN (3, 14, 15)").withColumn("n", F.row_number().over(order))
-    return events.groupBy(F.col("l_orderkey").alias("fact_id")).agg(F.round(F.max(F.greatest(F.lit(0.3), 0.85 - 0.02 * (F.col("n") - 1))), 6).alias("score"))
-
-
 _MU = {"entity": 1.2, "temporal": 0.9, "semantic": 0.8, "supersedes": 0.0}
 
 
@@ -66,18 +55,6 @@ def l11_typed_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.where("a > 0.01").select("node", F.round("a", 6).alias("activation"))
 
 
-@query(
-    "L13_bridge_facts",
-    "WITH s AS (SELECT query_id, position, fact_id, lead(fact_id) OVER (PARTITION BY query_id ORDER BY position, fact_id) AS after FROM signals) SELECT query_id, fact_id AS src, after AS dst, (fact_id % 5 = after % 5)::INT AS overlap, round(least(1.0, 0.5 + 0.15 * (fact_id % 5 = after % 5)::INT), 6)::DOUBLE AS score FROM s WHERE after IS NOT NULL",
-)
-def l13_bridge_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive results of a list and the score of a bridge between them, by shared entity (id modulo 5)."""
-    after = F.lead("fact_id").over(W.partitionBy("query_id").orderBy("position", "fact_id"))
-    pairs = views.signals(spark, sf_dir).select("query_id", F.col("fact_id").alias("src"), after.alias("dst")).where("dst IS NOT NULL")
-    overlap = (F.col("src") % 5 == F.col("dst") % 5).cast("int")
-    return pairs.select("query_id", "src", "dst", overlap.alias("overlap"), F.round(F.least(F.lit(1.0), 0.5 + 0.15 * overlap), 6).alias("score"))
-
-
 @query(
     "F5_entity_boost",
     f"WITH {SQL_CHANNELS}, {SQL_RRF} SELECT query_id, f.fact_id, round(fused * (1 + 0.3 * CASE WHEN same.fact_id IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS boosted FROM f LEFT JOIN same USING (query_id, fact_id)".replace("LEFT JOIN same USING (query_id, fact_id)", "LEFT JOIN same ON same.query_id = f.query_id AND same.fact_id = f.fact_id").replace("SELECT query_id, f.fact_id", "SELECT f.query_id, f.fact_id"),

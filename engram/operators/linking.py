@@ -14,20 +14,6 @@ from engram.registry import query
 HUB = 200
 
 
-@query(
-    "J2_entity_edges",
-    """WITH m AS (SELECT l_partkey AS entity, l_orderkey AS fact, l_shipdate AS t, count(*) OVER (PARTITION BY l_partkey) AS degree FROM lineitem), p AS (SELECT entity, fact, lead(fact) OVER (PARTITION BY entity ORDER BY t, fact) AS other FROM m WHERE degree < 200)
-    SELECT least(fact, other) AS a, greatest(fact, other) AS b, count(*) AS shared FROM p WHERE other IS NOT NULL AND other <> fact GROUP BY ALL""",
-)
-def j2_entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fact to the next one of a shared entity, entities with 200 facts or more left out; a window instead of pairs."""
-    m = views.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_orderkey").alias("fact"), "l_shipdate")
-    degree = m.groupBy("entity").agg(F.count("*").alias("degree")).where(F.col("degree") < HUB)
-    after = F.lead("fact").over(W.partitionBy("entity").orderBy("l_shipdate", "fact"))
-    pairs = m.join(degree, "entity").select("fact", after.alias("other")).where("other IS NOT NULL AND other <> fact")
-    return pairs.groupBy(F.least("fact", "other").alias("a"), F.greatest("fact", "other").alias("b")).agg(F.count("*").alias("shared"))
-
-
 @query(
     "J3_temporal_edges",
     """WITH m AS (SELECT l_partkey AS entity, l_orderkey AS fact, l_shipdate AS t, l_linenumber AS n FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) < 200))
@@ -96,21 +82,6 @@ def j13_apply_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.join(keep, "p_name").select(F.col("p_partkey").alias("fact_id"), F.when(lost, F.col("keep")).alias("merged_into"), F.when(lost, "merged").otherwise("live").alias("status"))
 
 
-@query("J14_entity_resolve", "SELECT c_custkey AS mention, n_nationkey AS entity_id, CASE WHEN c_acctbal < 0 THEN 'alias' ELSE 'exact' END AS how FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE length(n_name) > 2")
-def j14_entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions to entities by key, exact before alias."""
-    names = views.read(spark, sf_dir, "nation").where(F.length("n_name") > 2).select(F.col("n_nationkey").alias("entity_id"))
-    mentions = views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mention"), F.col("c_nationkey").alias("entity_id"), F.when(F.col("c_acctbal") < 0, "alias").otherwise("exact").alias("how"))
-    return mentions.join(names, "entity_id").select("mention", "entity_id", "how")
-
-
-@query("J15_merge_entities", "SELECT n_nationkey - n_nationkey % 2 AS keeper, count(*) AS facts, count(DISTINCT c_mktsegment) AS kinds FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-def j15_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts re-pointed to the keeper of each pair of entities."""
-    keeper = views.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") - F.col("n_nationkey") % 2).alias("keeper"))
-    return views.read(spark, sf_dir, "customer").join(keeper, "c_nationkey").groupBy("keeper").agg(F.count("*").alias("facts"), F.countDistinct("c_mktsegment").alias("kinds"))
-
-
 @query("J18_hunks_to_nodes", "WITH h AS (SELECT s_suppkey AS hunk, s_suppkey * 90 AS lo, s_suppkey * 90 + 40 AS hi FROM supplier) SELECT hunk, node_id FROM h JOIN nodes ON line_start <= hi AND line_end >= lo")
 def j18_hunks_to_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed line ranges and the nodes that they overlap: both are dealt into bands of 100 lines and met there once."""

@@ -17,23 +17,9 @@ count = lambda: F.count("*")
 FORESIGHT = ["will", "going to", "plan to", "next week", "next month", "tomorrow", "upcoming", "scheduled", "deadline"]
 
 
-@query("E10_foresight", f"SELECT fact_id, len({SQL_ENTITIES})::BIGINT AS entities FROM facts WHERE regexp_matches(content, {sql_text(phrase_pattern(FORESIGHT))})")
-def e10_foresight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that speak of the future, with how many entities an event is due for."""
-    return views.facts(spark, sf_dir).where(F.col("content").rlike(phrase_pattern(FORESIGHT))).select("fact_id", F.size(entities(F.col("content"))).cast("long").alias("entities"))
-
-
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 
-@query("E11_parse_dates", f"SELECT session_id, turn, len(regexp_extract_all(content, '{DATE}'))::BIGINT AS dates, nullif(regexp_extract(content, '{DATE}'), '') AS first_date, regexp_matches(content, {sql_text(phrase_pattern(['yesterday', 'today', 'tomorrow', 'last week', 'next week']))}) AS relative FROM turns")
-def e11_parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ISO dates of a turn and whether it names a relative one."""
-    text = F.col("content")
-    first = F.regexp_extract(text, f"({DATE})", 1)
-    return views.turns(spark, sf_dir).select("session_id", "turn", F.size(F.regexp_extract_all(text, F.lit(DATE), F.lit(0))).cast("long").alias("dates"), F.when(first != "", first).alias("first_date"), text.rlike(phrase_pattern(["yesterday", "today", "tomorrow", "last week", "next week"])).alias("relative"))
-
-
 @query("E12_entity_timeline", "SELECT l_partkey AS entity_id, l_orderkey AS fact_id, row_number() OVER (PARTITION BY l_partkey ORDER BY coalesce(l_shipdate, TIMESTAMP '2999-01-01'), l_orderkey, l_linenumber) AS place FROM lineitem")
 def e12_entity_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("l_partkey").orderBy(F.asc_nulls_last("l_shipdate"), "l_orderkey", "l_linenumber")
@@ -52,13 +38,6 @@ def e19_tech_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facts(spark, sf_dir).select(F.explode(hit).alias("word")).groupBy("word").agg(count().alias("texts"))
 
 
-@query("E26_context_description", f"SELECT fact_id, 'A ' || fact_type || ' fact about ' || coalesce(nullif(array_to_string(list_slice({SQL_ENTITIES}, 1, 5), ', '), ''), 'nothing named') || ' (' || lifecycle || ')' AS description FROM facts")
-def e26_context_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = F.array_join(F.slice(entities(F.col("content")), 1, 5), ", ")
-    about = F.when(named != "", named).otherwise("nothing named")
-    return views.facts(spark, sf_dir).select("fact_id", F.concat(F.lit("A "), "fact_type", F.lit(" fact about "), about, F.lit(" ("), "lifecycle", F.lit(")")).alias("description"))
-
-
 def lsh_topk(queries: DataFrame, facts: DataFrame, k: int, tables: int = 4, width: float = 0.3) -> DataFrame:
     """Approximate nearest facts: random projections of unit vectors into buckets, exact cosine of those that share one.
 
@@ -121,17 +100,6 @@ def l3_bm25plus_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(hits.select("query_id", "fact_id", (F.col("score") * factor).alias("score")), 10).select("query_id", "fact_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    "L7_profile_channel",
-    f"WITH n AS (SELECT query_id, unnest({SQL_ENTITIES.replace('content', 'text')}) AS name FROM queries), m AS (SELECT fact_id, unnest({SQL_ENTITIES}) AS name FROM facts) SELECT query_id, fact_id, count(*) AS shared FROM n JOIN m USING (name) GROUP BY ALL",
-)
-def l7_profile_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of the profiles of entities that a query names."""
-    named = views.queries(spark, sf_dir).select("query_id", F.explode(entities(F.col("text"))).alias("name"))
-    facts = views.facts(spark, sf_dir).select("fact_id", F.explode(entities(F.col("content"))).alias("name"))
-    return facts.join(named, "name").groupBy("query_id", "fact_id").agg(count().alias("shared"))
-
-
 @query(
     "L10_synapse_activation",
     """WITH b AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM b), t AS (SELECT src, dst, weight, count(*) OVER (PARTITION BY src) AS degree FROM n WHERE k <= 30),
@@ -174,17 +142,6 @@ def j6_auto_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("n", n).where("n <= 10 AND similarity >= 0.2").select("query_id", "fact_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(
-    "J5_causal_edges",
-    f"WITH c AS (SELECT fact_id, session_id, created_at FROM facts WHERE regexp_matches(content, {sql_text(phrase_pattern(['because', 'therefore', 'license', 'the']))})), o AS (SELECT fact_id, session_id, lag(fact_id) OVER (PARTITION BY session_id ORDER BY created_at, fact_id) AS other FROM c) SELECT other AS src, fact_id AS dst, 0.8::DOUBLE AS weight FROM o WHERE other IS NOT NULL",
-)
-def j5_causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts with a causal cue, from the one before in their session."""
-    cued = views.facts(spark, sf_dir).where(F.col("content").rlike(phrase_pattern(["because", "therefore", "license", "the"]))).select("fact_id", "session_id", "created_at")
-    other = F.lag("fact_id").over(W.partitionBy("session_id").orderBy("created_at", "fact_id"))
-    return cued.select(other.alias("src"), F.col("fact_id").alias("dst"), F.lit(0.8).alias("weight")).where("src IS NOT NULL")
-
-
 @query(
     "J11_hnsw_dedup",
     f"WITH {SQL_TOPK.format(on='f.fact_id <> q.fact_id AND f.label = q.label')} SELECT query_id, min(fact_id) AS duplicate_of, count(*) AS n FROM k WHERE rank <= 6 AND similarity > 0.2 GROUP BY query_id",
@@ -237,15 +194,6 @@ def a33_core_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("profile_id", "fact_type", F.array_join(F.transform("x", lambda s: s["fact_id"].cast("string")), ",").alias("block"))
 
 
-@query("A36_session_close", "WITH r AS (SELECT session_id, turn, content, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS n FROM turns) SELECT session_id, md5(string_agg(substr(content, 1, 80), ' | ' ORDER BY n)) AS summary_md5 FROM r WHERE n <= 5 GROUP BY session_id")
-def a36_session_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five turns of a session, 80 characters each (the report's own limits)."""
-    n = F.row_number().over(W.partitionBy("session_id").orderBy("turn"))
-    first = views.turns(spark, sf_dir).select("session_id", n.alias("n"), F.substring("content", 1, 80).alias("t")).where("n <= 5")
-    got = first.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("x"))
-    return got.select("session_id", F.md5(F.array_join(F.transform("x", lambda s: s["t"]), " | ")).alias("summary_md5"))
-
-
 @query("G11_prune_inactive", "SELECT src, dst FROM edges WHERE src IN (SELECT fact_id FROM access) OR dst IN (SELECT fact_id FROM access)")
 def g11_prune_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with use on at least one end."""

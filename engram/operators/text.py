@@ -78,22 +78,6 @@ def sentences(facts: DataFrame) -> DataFrame:
     return each.select("fact_id", F.col("position").cast("long").alias("position"), F.trim("sentence").alias("sentence")).where(F.length("sentence") >= 20)
 
 
-@query(
-    "E2_extract_facts",
-    r"""WITH p AS (SELECT fact_id, string_split_regex(content, '[.!?\n]+') AS parts FROM facts),
-    e AS (SELECT fact_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS position FROM p),
-    s AS (SELECT fact_id, position::BIGINT AS position, trim(sentence, ' ') AS sentence FROM e WHERE length(trim(sentence, ' ')) >= 20),
-    r AS (SELECT fact_id, sentence, min(position) AS position FROM s GROUP BY fact_id, sentence),
-    k AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY length(sentence) DESC, position) AS rank FROM r)
-    SELECT fact_id, position, md5(sentence) AS sentence_md5, rank FROM k WHERE rank <= 10""",
-)
-def e2_extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten longest distinct sentences of each text."""
-    once = sentences(views.facts(spark, sf_dir)).groupBy("fact_id", "sentence").agg(F.min("position").alias("position"))
-    rank = F.row_number().over(W.partitionBy("fact_id").orderBy(F.length("sentence").desc(), "position")).cast("long")
-    return once.withColumn("rank", rank).where("rank <= 10").select("fact_id", "position", F.md5("sentence").alias("sentence_md5"), "rank")
-
-
 ENTITY = r"[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}|[A-Z]{2,}"
 NO_ENTITIES = ["The", "This", "That", "To", "Of", "And", "Is", "It", "In"]
 
@@ -200,7 +184,6 @@ def e13_redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facts(spark, sf_dir).select("fact_id", F.md5(clean).alias("redacted_md5"), (clean != F.col("content")).alias("has_pii"))
 
 
-SECRETS = [("AWS", r"AKIA[0-9A-Z]{12}([0-9A-Z]{4})"), ("GITHUB", r"gh[pousr]_[A-Za-z0-9]{32,}([A-Za-z0-9]{4})"), ("SLACK", r"xox[abprs]-[A-Za-z0-9-]{8,}([A-Za-z0-9]{4})"), ("KEY", r"sk-[A-Za-z0-9_-]{16,}([A-Za-z0-9]{4})")]
 
 
 def sql_secrets(text: str) -> str:
@@ -209,15 +192,6 @@ def sql_secrets(text: str) -> str:
     return text
 
 
-@query("E14_redact_secrets", f"SELECT fact_id, md5({sql_secrets('content')}) AS redacted_md5, {sql_secrets('content')} <> content AS has_secret FROM facts")
-def e14_redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys replaced by their kind and last four characters."""
-    clean = F.col("content")
-    for kind, pattern in SECRETS:
-        clean = F.regexp_replace(clean, pattern, f"[REDACTED:{kind}:$1]")
-    return views.facts(spark, sf_dir).select("fact_id", F.md5(clean).alias("redacted_md5"), (clean != F.col("content")).alias("has_secret"))
-
-
 def topic_signature(text: Column) -> Column:
     """First 16 hex digits of the SHA-256 over the sorted distinct content words."""
     found = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(fixed.STOP_WORDS))
@@ -281,18 +255,6 @@ def e18_classify_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("fact_id", out.alias("activity"))
 
 
-@query(
-    "E20_code_mentions",
-    r"""WITH m AS (SELECT fact_id, list_concat(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]*\('), regexp_extract_all(content, '[a-z]+_[a-z_]+'), regexp_extract_all(content, '[A-Z][a-z]+[A-Z][A-Za-z]+')) AS m FROM facts)
-    SELECT fact_id, mention, count(*) AS n FROM (SELECT fact_id, unnest(m) AS mention FROM m) GROUP BY fact_id, mention""",
-)
-def e20_code_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls, snake_case and CamelCase names in texts."""
-    kinds = [r"[A-Za-z_][A-Za-z0-9_]*\(", "[a-z]+_[a-z_]+", "[A-Z][a-z]+[A-Z][A-Za-z]+"]
-    found = F.concat(*[F.regexp_extract_all("content", F.lit(k), F.lit(0)) for k in kinds])
-    return views.facts(spark, sf_dir).select("fact_id", F.explode(found).alias("mention")).groupBy("fact_id", "mention").agg(F.count("*").alias("n"))
-
-
 QUERY_CLASSES = [
     ("multi_hop", ["and then", "after that", "because", "as a result", "led to", "connection between", "relationship between"]),
     ("temporal", ["when", "date", "time", "year", "month", "ago", "before", "after", "during", "last", "next"]),
@@ -302,16 +264,6 @@ QUERY_CLASSES = [
 ]
 
 
-@query("E21_query_terms", f"SELECT query_id, {sql_first_match('text', QUERY_CLASSES, 'general')} AS query_type FROM queries")
-def e21_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.queries(spark, sf_dir).select("query_id", first_match(F.col("text"), QUERY_CLASSES, "general").alias("query_type"))
-
-
-@query("E22_query_entities", f"SELECT query_id, coalesce(array_to_string({SQL_ENTITIES.replace('content', 'text')}, '|'), '') AS entities FROM queries")
-def e22_query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.queries(spark, sf_dir).select("query_id", F.array_join(entities(F.col("text")), "|").alias("entities"))
-
-
 @query(
     "E24_extractive_summary",
     r"""WITH p AS (SELECT fact_id, session_id, string_split_regex(content, '[.!?\n]+') AS parts FROM facts),
