@@ -39,22 +39,6 @@ def e6_route_type_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MU = {"entity": 1.2, "temporal": 0.9, "semantic": 0.8, "supersedes": 0.0}
 
 
-@query(
-    "L11_typed_activation",
-    "WITH b AS (SELECT src, dst, weight * 0.7 * CASE edge_type WHEN 'entity' THEN 1.2 WHEN 'temporal' THEN 0.9 WHEN 'semantic' THEN 0.8 ELSE 0 END AS p FROM (SELECT * FROM edges UNION ALL SELECT dst, src, weight, edge_type FROM edges)), a0 AS (SELECT 5::BIGINT AS node, 1.0::DOUBLE AS a), a1 AS (SELECT node, max(a) AS a FROM (SELECT * FROM a0 UNION ALL SELECT dst, a * p FROM a0 JOIN b ON src = node) GROUP BY node), a2 AS (SELECT node, max(a) AS a FROM (SELECT * FROM a1 UNION ALL SELECT dst, a * p FROM a1 JOIN b ON src = node) GROUP BY node) SELECT node, round(a, 6) AS activation FROM a2 WHERE a > 0.01",
-)
-def l11_typed_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hops from node 5, each 0.7 * weight * factor of the edge type; the largest activation of a node counts."""
-    e = views.edges(spark, sf_dir)
-    mu = F.element_at(F.create_map(*[F.lit(x) for p in _MU.items() for x in p]), F.col("edge_type"))
-    p = e.select("src", "dst", (F.col("weight") * 0.7 * mu).alias("p")).union(e.select("dst", "src", F.col("weight") * 0.7 * mu))
-    a = spark.createDataFrame([(5, 1.0)], "node long, a double")
-    for _ in range(2):
-        sent = p.join(a.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("a") * F.col("p")).alias("a"))
-        a = a.union(sent).groupBy("node").agg(F.max("a").alias("a"))
-    return a.where("a > 0.01").select("node", F.round("a", 6).alias("activation"))
-
-
 @query(
     "F5_entity_boost",
     f"WITH {SQL_CHANNELS}, {SQL_RRF} SELECT query_id, f.fact_id, round(fused * (1 + 0.3 * CASE WHEN same.fact_id IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS boosted FROM f LEFT JOIN same USING (query_id, fact_id)".replace("LEFT JOIN same USING (query_id, fact_id)", "LEFT JOIN same ON same.query_id = f.query_id AND same.fact_id = f.fact_id").replace("SELECT query_id, f.fact_id", "SELECT f.query_id, f.fact_id"),
@@ -161,30 +145,6 @@ def g15_ccq_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy(F.col("label").alias("cluster")).agg(count().alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("size BETWEEN 3 AND 20")
 
 
-@query(
-    "G18_trace_flows",
-    "WITH RECURSIVE s AS (SELECT src, dst FROM edges WHERE weight >= 0.5), p AS (SELECT node_id AS entry, node_id AS node, 0 AS depth FROM nodes WHERE kind = 'function' AND node_id NOT IN (SELECT dst FROM s) UNION SELECT entry, dst, depth + 1 FROM p JOIN s ON s.src = p.node WHERE depth < 3) SELECT entry, count(DISTINCT node) AS nodes, max(depth)::INT AS depth FROM p GROUP BY entry",
-)
-def g18_trace_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each entry point (a function that nothing calls) reaches in three calls."""
-    calls = cut(views.edges(spark, sf_dir).where("weight >= 0.5").select("src", "dst"))
-    starts = views.nodes(spark, sf_dir).where("kind = 'function'").select(F.col("node_id").alias("entry"))
-    starts = starts.join(calls.select(F.col("dst").alias("entry")), "entry", "left_anti")
-    seen = frontier = starts.select("entry", F.col("entry").alias("node"), F.lit(0).alias("depth"))
-    for k in range(1, 4):
-        frontier = cut(frontier.join(calls, frontier["node"] == calls["src"]).select("entry", F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(k)))
-        seen = seen.union(frontier)
-    return seen.groupBy("entry").agg(F.countDistinct("node").alias("nodes"), F.max("depth").alias("depth"))
-
-
-@query("G25_code_memories", "SELECT l_partkey AS node_id, count(*) AS facts, count(*) FILTER (is_test) AS stale, max(l_shipdate) AS latest FROM lineitem JOIN nodes ON node_id = l_partkey GROUP BY l_partkey")
-def g25_code_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts linked to each node, and how many of the links are stale (here: to tests)."""
-    nodes = views.nodes(spark, sf_dir).select("node_id", "is_test")
-    links = views.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node_id"), "l_shipdate").join(nodes, "node_id")
-    return links.groupBy("node_id").agg(count().alias("facts"), F.count_if("is_test").alias("stale"), F.max("l_shipdate").alias("latest"))
-
-
 LEVELS = ["semantic", "episodic", "opinion", "temporal"]
 
 

@@ -136,14 +136,6 @@ def g6_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distances(views.edges(spark, sf_dir).where("weight >= 0.5"), spark.range(1).select(F.col("id").alias("node")), 4)
 
 
-@query("G7_prune_orphans", "SELECT src, dst FROM edges WHERE src <> dst AND src IN (SELECT node_id FROM nodes WHERE NOT is_test) AND dst IN (SELECT node_id FROM nodes WHERE NOT is_test)")
-def g7_prune_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges whose ends both exist (here: are no tests), without loops."""
-    alive = views.nodes(spark, sf_dir).where("NOT is_test")
-    edges = views.edges(spark, sf_dir).where("src <> dst")
-    return edges.join(alive.select(F.col("node_id").alias("src")), "src", "left_semi").join(alive.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst")
-
-
 @query("G8_cap_degree", "SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM edges) WHERE n <= 5")
 def g8_cap_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heaviest out-edges of each node (five here)."""
@@ -177,13 +169,6 @@ def g10_collapse_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(gone, ["src", "dst"], "left_anti").select("src", "dst")
 
 
-@query("G13_edge_decay", "SELECT src, dst, round(weight * exp(-0.3), 6) AS weight FROM edges WHERE (src + dst) % 3 = 0 AND weight * exp(-0.3) >= 0.05")
-def g13_edge_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unused edges (here: of every third pair) lose weight by exp(-0.3); below 0.05 they go."""
-    w = F.col("weight") * F.exp(F.lit(-0.3))
-    return views.edges(spark, sf_dir).where((F.col("src") + F.col("dst")) % 3 == 0).where(w >= 0.05).select("src", "dst", F.round(w, 6).alias("weight"))
-
-
 @query(
     "G12_hebbian_strengthen",
     "WITH c AS (SELECT least(a.fact_id, b.fact_id) AS src, greatest(a.fact_id, b.fact_id) AS dst, count(*) AS n FROM signals a JOIN signals b ON a.query_id = b.query_id AND a.position < b.position AND a.fact_id <> b.fact_id WHERE a.signal = 'recall' AND b.signal = 'recall' GROUP BY ALL) SELECT e.src, e.dst, round(least(1.0, weight + 0.05 * coalesce(n, 0)), 6)::DOUBLE AS weight FROM edges e LEFT JOIN c ON c.src = e.src AND c.dst = e.dst",
@@ -240,8 +225,3 @@ def g23_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.nodes(spark, sf_dir).where("lines >= 10 AND NOT is_test").join(called, "node_id", "left_anti").select("node_id", "name", "lines")
 
 
-@query("L12_hop_decay_activation", f"WITH RECURSIVE b AS ({_STRONG}), p AS (SELECT 7::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM p JOIN b ON b.src = p.node WHERE hops < 3) SELECT node, round(pow(0.5, min(hops)), 6)::DOUBLE AS score FROM p GROUP BY node")
-def l12_hop_decay_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.5 to the power of the hops from node 7, three at most."""
-    near = distances(views.edges(spark, sf_dir).where("weight >= 0.5"), spark.range(7, 8).select(F.col("id").alias("node")), 3)
-    return near.select("node", F.round(F.pow(F.lit(0.5), "hops"), 6).alias("score"))

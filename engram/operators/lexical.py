@@ -104,18 +104,3 @@ def l5_temporal_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy(F.date_format("asked", "yyyy-MM-dd").alias("asked")).agg(F.count("*").alias("facts"), F.round(F.sum("score"), 6).alias("score"))
 
 
-@query(
-    "L14_trigram_lookup",
-    """WITH n AS (SELECT p_partkey AS id, list_distinct(list_transform(range(1, length(p_name) - 1), lambda i: substr(p_name, i, 3))) AS g FROM part),
-    t AS (SELECT id, unnest(g) AS gram FROM n), f AS (SELECT gram, count(*) AS df FROM t GROUP BY gram),
-    m AS (SELECT s_suppkey AS query_id, unnest(list_distinct(list_transform(range(1, length(s_name) - 1), lambda i: substr(lower(s_name), i, 3)))) AS gram FROM supplier)
-    SELECT query_id, count(*) AS grams, coalesce(sum(df), 0)::BIGINT AS postings FROM m LEFT JOIN f ON f.gram = m.gram GROUP BY query_id""",
-)
-def l14_trigram_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigrams of supplier names looked up among those of part names."""
-    def grams(c):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
-
-    own = views.read(spark, sf_dir, "part").select(F.explode(grams(F.col("p_name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    asked = views.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.explode(grams(F.lower("s_name"))).alias("gram"))
-    return asked.join(own, "gram", "left").groupBy("query_id").agg(F.count("*").alias("grams"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))

@@ -100,37 +100,6 @@ def l3_bm25plus_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(hits.select("query_id", "fact_id", (F.col("score") * factor).alias("score")), 10).select("query_id", "fact_id", F.round("score", 6).alias("score"))
 
 
-@query(
-    "L10_synapse_activation",
-    """WITH b AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM b), t AS (SELECT src, dst, weight, count(*) OVER (PARTITION BY src) AS degree FROM n WHERE k <= 30),
-    a0 AS (SELECT unnest([0, 7, 21])::BIGINT AS node, 1.0::DOUBLE AS a), a1 AS (SELECT node, sum(a) AS a FROM (SELECT dst AS node, 0.8 * weight / degree * a AS a FROM a0 JOIN t ON src = node UNION ALL SELECT node, 0.5 * a FROM a0) GROUP BY node),
-    a2 AS (SELECT node, sum(a) AS a FROM (SELECT dst AS node, 0.8 * weight / degree * a AS a FROM a1 JOIN t ON src = node UNION ALL SELECT node, 0.5 * a FROM a1) GROUP BY node) SELECT node, round(1 / (1 + exp(-(a - 0.2))), 6) AS gate FROM a2""",
-)
-def l10_synapse_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rounds of spreading activation over each node's 30 heaviest edges, and half of a node's own; then a gate."""
-    e = views.edges(spark, sf_dir)
-    both = e.select("src", "dst", "weight").union(e.select("dst", "src", "weight"))
-    top = both.withColumn("k", F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where("k <= 30")
-    share = top.select("src", "dst", (0.8 * F.col("weight") / F.count("*").over(W.partitionBy("src"))).alias("p"))
-    a = spark.createDataFrame([(0, 1.0), (7, 1.0), (21, 1.0)], "node long, a double")
-    for _ in range(2):
-        sent = share.join(a.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("p") * F.col("a")).alias("a"))
-        a = sent.union(a.select("node", 0.5 * F.col("a"))).groupBy("node").agg(F.sum("a").alias("a"))
-    return a.select("node", F.round(1 / (1 + F.exp(-(F.col("a") - 0.2))), 6).alias("gate"))
-
-
-@query(
-    "L15_code_keyword_search",
-    "WITH w AS (SELECT unnest(['widget', 'cold', 'small']) AS word), s AS (SELECT node_id, word, CASE WHEN name = word THEN 3.0 WHEN starts_with(name, word) THEN 2.0 WHEN contains(name, word) THEN 1.0 ELSE 0 END * CASE kind WHEN 'function' THEN 1.3 WHEN 'method' THEN 1.3 WHEN 'class' THEN 1.1 WHEN 'module' THEN 0.9 ELSE 0.8 END AS s FROM w CROSS JOIN nodes) SELECT node_id, round(sum(s), 6)::DOUBLE AS score FROM s GROUP BY node_id HAVING sum(s) > 0",
-)
-def l15_code_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes by exact, prefix and substring hits of three words, times a boost for their kind."""
-    name = F.col("name")
-    hit = sum((F.when(name == w, 3.0).when(name.startswith(w), 2.0).when(name.contains(w), 1.0).otherwise(0.0) for w in ("widget", "cold", "small")), F.lit(0.0))
-    boost = F.when(F.col("kind").isin("function", "method"), 1.3).when(F.col("kind") == "class", 1.1).when(F.col("kind") == "module", 0.9).otherwise(0.8)
-    return views.nodes(spark, sf_dir).select("node_id", F.round(hit * boost, 6).alias("score")).where("score > 0")
-
-
 @query(
     "J6_auto_link",
     f"WITH {SQL_TOPK.format(on='f.fact_id <> q.fact_id')} SELECT query_id, fact_id, round(similarity, 6) AS similarity FROM k WHERE rank <= 10 AND similarity >= 0.2",
@@ -155,19 +124,6 @@ def j11_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("query_id").agg(F.min("fact_id").alias("duplicate_of"), count().alias("n"))
 
 
-@query(
-    "J17_resolve_calls",
-    "WITH f AS (SELECT file_path, name, min(node_id) AS here FROM nodes GROUP BY ALL), g AS (SELECT name, min(node_id) AS any_, count(*) AS n FROM nodes GROUP BY name) SELECT c.node_id AS caller, coalesce(f.here, g.any_) AS callee, CASE WHEN f.here IS NOT NULL THEN 1.0::DOUBLE WHEN g.n = 1 THEN 0.9 ELSE 0.7 END AS confidence FROM nodes c LEFT JOIN f ON f.file_path = c.file_path AND f.name = 'small widget' LEFT JOIN g ON g.name = 'small widget'",
-)
-def j17_resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call by name goes to the same file, else to the only node of that name, else to the first."""
-    nodes = views.nodes(spark, sf_dir)
-    here = nodes.where("name = 'small widget'").groupBy("file_path").agg(F.min("node_id").alias("here"))
-    any_ = nodes.where("name = 'small widget'").agg(F.min("node_id").alias("any_"), count().alias("n"))
-    conf = F.when(F.col("here").isNotNull(), 1.0).when(F.col("n") == 1, 0.9).otherwise(0.7)
-    return nodes.join(here, "file_path", "left").crossJoin(F.broadcast(any_)).select(F.col("node_id").alias("caller"), F.coalesce("here", "any_").alias("callee"), conf.alias("confidence"))
-
-
 @query("A23_adaptive_weights", "WITH r AS (SELECT agent_id, signal, row_number() OVER (PARTITION BY agent_id ORDER BY seen_at DESC, query_id, position, fact_id) AS n FROM signals) SELECT agent_id, round(avg((signal <> 'rejected')::INT), 6) AS relevant, avg((signal <> 'rejected')::INT) < 0.5 AS switched FROM r WHERE n <= 500 GROUP BY agent_id HAVING count(*) >= 20")
 def a23_adaptive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("agent_id").orderBy(F.desc("seen_at"), "query_id", "position", "fact_id")
@@ -194,45 +150,6 @@ def a33_core_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("profile_id", "fact_type", F.array_join(F.transform("x", lambda s: s["fact_id"].cast("string")), ",").alias("block"))
 
 
-@query("G11_prune_inactive", "SELECT src, dst FROM edges WHERE src IN (SELECT fact_id FROM access) OR dst IN (SELECT fact_id FROM access)")
-def g11_prune_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with use on at least one end."""
-    used = views.access(spark, sf_dir).select("fact_id").distinct().withColumn("used", F.lit(True))
-    a, b = used.select(F.col("fact_id").alias("src"), F.col("used").alias("ua")), used.select(F.col("fact_id").alias("dst"), F.col("used").alias("ub"))
-    return views.edges(spark, sf_dir).join(a, "src", "left").join(b, "dst", "left").where("ua OR ub").select("src", "dst")
-
-
-@query(
-    "G16_entity_clusters",
-    "WITH m AS (SELECT p_brand AS entity, p_partkey AS fact, p_retailprice AS c FROM part WHERE p_size > 5), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY c DESC, fact) AS n, count(*) OVER (PARTITION BY entity) AS size FROM m) SELECT entity, string_agg(fact::VARCHAR, ',' ORDER BY n) AS facts FROM r WHERE size >= 3 AND n <= 10 GROUP BY entity",
-)
-def g16_entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities with three facts or more, and their ten best."""
-    m = views.read(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_brand").alias("entity"), F.col("p_partkey").alias("fact"), F.col("p_retailprice").alias("c"))
-    large = m.groupBy("entity").agg(count().alias("size")).where("size >= 3")
-    n = F.row_number().over(W.partitionBy("entity").orderBy(F.desc("c"), "fact"))
-    got = m.withColumn("n", n).where("n <= 10").join(large, "entity").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("n", "fact"))).alias("x"))
-    return got.select("entity", F.array_join(F.transform("x", lambda s: s["fact"].cast("string")), ",").alias("facts"))
-
-
-@query("G26_typed_neighbours", "SELECT edge_type, src AS node, count(*) AS out, min(dst) AS first FROM edges GROUP BY ALL UNION ALL SELECT edge_type || '_of', dst, count(*), min(src) FROM edges GROUP BY ALL")
-def g26_typed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.edges(spark, sf_dir)
-    out = e.groupBy("edge_type", F.col("src").alias("node")).agg(count().alias("out"), F.min("dst").alias("first"))
-    back = e.groupBy(F.concat("edge_type", F.lit("_of")).alias("edge_type"), F.col("dst").alias("node")).agg(count().alias("out"), F.min("src").alias("first"))
-    return out.union(back)
-
-
-@query(
-    "G19_risk_score",
-    "WITH c AS (SELECT dst AS node, count(*) AS callers FROM edges GROUP BY dst) SELECT node_id, round(0.10 * least(1.0, coalesce(callers, 0) / 20.0) + CASE WHEN is_test THEN 0.05 ELSE 0.30 END + CASE WHEN kind = 'class' THEN 0.20 ELSE 0 END, 6)::DOUBLE AS risk FROM nodes LEFT JOIN c ON node = node_id",
-)
-def g19_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    callers = views.edges(spark, sf_dir).groupBy(F.col("dst").alias("node_id")).agg(count().alias("callers"))
-    risk = 0.10 * F.least(F.lit(1.0), F.coalesce("callers", F.lit(0)) / 20.0) + F.when(F.col("is_test"), 0.05).otherwise(0.30) + F.when(F.col("kind") == "class", 0.20).otherwise(0.0)
-    return views.nodes(spark, sf_dir).join(callers, "node_id", "left").select("node_id", F.round(risk, 6).alias("risk"))
-
-
 @query("B11_topic_interest", "WITH w AS (SELECT profile_id, unnest(regexp_extract_all(lower(content), '[a-z]{6,}')) AS word FROM facts), c AS (SELECT profile_id, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY n DESC, word) AS k FROM c WHERE n >= 3) SELECT profile_id, word, n FROM r WHERE k <= 15")
 def b11_topic_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 most frequent long words of a profile; counted before any window sees them."""

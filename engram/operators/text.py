@@ -184,8 +184,6 @@ def e13_redact_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facts(spark, sf_dir).select("fact_id", F.md5(clean).alias("redacted_md5"), (clean != F.col("content")).alias("has_pii"))
 
 
-
-
 def sql_secrets(text: str) -> str:
     for kind, pattern in SECRETS:
         text = f"regexp_replace({text}, {sql_text(pattern)}, '[REDACTED:{kind}:\\1]', 'g')"
