@@ -319,9 +319,15 @@ def labelled_pages() -> list[Page]:
 
 
 def sampled(pages: DataFrame, rows: int, most_chars: int, folds: int = 5, held_out: int = 0) -> list[str]:
-    """At most `rows` pages of at most `most_chars` characters each, outside the held-out fold of page ids, in hash order."""
-    some = pages.select("page_id", "html").where((F.length("html") <= most_chars) & (F.crc32(F.col("page_id").cast("string")) % folds != held_out))
-    return [r.html for r in some.orderBy(F.xxhash64("html"), "html").limit(rows).collect()]
+    """At most `rows` pages of at most `most_chars` characters each, outside the held-out fold of page ids, in hash order.
+
+    Only hashes are ordered; the pages follow by a join.
+    """
+    some = pages.where((F.length("html") <= most_chars) & (F.crc32(F.col("page_id").cast("string")) % folds != held_out))
+    some = some.select("html", F.xxhash64("html").alias("hash"))
+    chosen = some.select("hash").distinct().orderBy("hash").limit(rows)
+    found = some.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash")
+    return [r.html for r in found.collect()]
 
 
 def fit(pages: DataFrame, rows: int = 200, most_chars: int = 50_000) -> Model:
