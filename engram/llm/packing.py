@@ -125,11 +125,11 @@ def plan(counts: dict[int, int], limit: int) -> tuple[list[tuple[int, int, int,
     return slots, sequences
 
 
-def token_pieces(docs: DataFrame, path: str, limit: int, end_id: int, cache_size: int = 700_000) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, limit: int, end_id: int, cache_size: int = 1_200_000) -> DataFrame:
     """A row for each piece of each text, with its partition and its rank among that partition's pieces of its length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.worker_cache(path, tokens.pack_ids, cache_size)
+        cache = tokens.worker_cache(path, tokens.packed, cache_size)
         get, last, pid = cache.__getitem__, tokens.pack_ids([end_id]), TaskContext.get().partitionId()
         seen = [0] * (limit + 1)
         for part in common.rows(batches):

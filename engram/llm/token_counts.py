@@ -24,7 +24,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, sample_rows: i
     """Lengths of the most frequent pre-tokens of `sample_rows` texts: at most `table_size` entries."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.PieceCache(path, len)
+        cache = tokens.PieceCache(path, tokens.number)
         for part in common.rows(batches):
             seen = Counter(k for keys in cache.prepare(part["text"]) for k in keys if isinstance(k, str) and len(k) < 40)
             top = seen.most_common(table_size)
@@ -52,7 +52,7 @@ def token_counts(
     seed = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, table_size, sample_rows))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.worker_cache(path, len, cache_size, seed.value)
+        cache = tokens.worker_cache(path, tokens.number, cache_size, seed.value)
         get = cache.__getitem__
         for part in common.rows(batches):
             n = [sum(map(get, keys)) for keys in cache.prepare(part["text"])]

@@ -7,12 +7,16 @@ then looked up. The text of an added special token is cut out first and counts a
 
 from __future__ import annotations
 
+import array
+import json
 import os
 import re
 import string
-import struct
+import sys
 from collections.abc import Callable
 
+import numpy as np
+
 from engram.llm import common
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -24,6 +28,9 @@ _ODD = re.compile(r"[^\S \n]")
 _ODD_ASCII = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 #: How the keys of a text's and of a line's first word begin.
 _FIRST = (" ", "\n")
+_MARKS = frozenset(string.punctuation)
+#: Characters of the longest piece that stays in a cache.
+LONG = 256
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -55,16 +62,29 @@ def keys_of(text: str) -> list[str]:
     return keys
 
 
+def _check(path: str) -> None:
+    """Cutting texts at single blanks holds for byte-level BPE with its own pattern and no normalizer only."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    before = made.get("pre_tokenizer") or {}
+    able = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not able or made.get("normalizer") or made.get("model", {}).get("type") != "BPE":
+        raise ValueError(f"{path} is no byte-level BPE tokenizer of the kind that can be cached by words")
+
+
 class PieceCache(dict):
-    """key -> value of its piece's ids; the key of an added special token is its id.
+    """key -> value of its piece's packed ids (`packed` or `number`); the key of an added special token is its id.
 
-    Misses are encoded in batches. When it holds `most` pieces it starts again from `seed`.
+    Misses are encoded in batches. When it holds `most` pieces it starts again from `seed`; pieces of more than LONG
+    characters stay for one call only, so its size in bytes is bounded too.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], most: int = 1_500_000, seed: dict | None = None):
+    def __init__(self, path: str, value: Callable[[bytes], object], most: int = 1_500_000, seed: dict | None = None):
         from tokenizers import Tokenizer
 
+        _check(path)
         super().__init__(seed or {})
+        self.long: list[str] = []
         self.tokenizer, self.value, self.most, self.seed = Tokenizer.from_file(path), value, most, seed or {}
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.marks: dict[str, object] = {}
@@ -91,27 +111,37 @@ class PieceCache(dict):
 
     def _prepare(self, texts: list[str | None]) -> list[list]:
         out = [self._keys(x) for x in texts]
+        for k in self.long:
+            self.pop(k, None)
+        self.long = []
         if len(self) > self.most:
             self.clear()
             self.update(self.seed)
-        new = [k for k in set().union(*out) if k not in self]
+        new = set().union(*out).difference(self)
         if not new:
             return out
         # Marks after a letter up to the end of a piece are one match of the pattern: head and marks are encoded apart.
-        apart, todo = [], set()
+        apart, single, joined, heads = [], [], [], set()
         for k in new:
             if isinstance(k, int):
-                self[k] = self.value([k])
+                self[k] = self.value(pack_ids([k]))
                 continue
-            head = k.rstrip(string.punctuation)
-            if len(head) < len(k) and head[-1:].isalpha():
-                apart.append((k, head, k[len(head) :]))
-                k = head
-            if k not in self:
-                todo.add(k)
-        single, joined = [], []
-        for k in todo:
-            (joined if (w := k[1:] if k[:1] in _FIRST else k) and w.split() == [w] else single).append(k)
+            if len(k) > LONG:
+                self.long.append(k)
+            if k[-1:] in _MARKS:
+                head = k.rstrip(string.punctuation)
+                if head[-1:].isalpha():
+                    apart.append((k, head, k[len(head) :]))
+                    if head not in self and head not in new:
+                        heads.add(head)
+                    continue
+            w = k[1:] if k[:1] in _FIRST else k
+            (joined if w.isalpha() or w.split() == [w] else single).append(k)
+        for k in heads:
+            if len(k) > LONG:
+                self.long.append(k)
+            w = k[1:] if k[:1] in _FIRST else k
+            (joined if w.isalpha() or w.split() == [w] else single).append(k)
         self.update(zip(single, map(self.value, self._encode([piece_of(k) for k in single])), strict=True))
         self._encode_joined(joined)
         if fresh := list({m for _, _, m in apart} - self.marks.keys()):
@@ -122,31 +152,29 @@ class PieceCache(dict):
         self.update((k, self[head] + self.marks[m]) for k, head, m in apart)
         return out
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        return [pack_ids(x.ids) for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _encode_joined(self, keys: list[str], width: int = 64) -> None:
         """Encodes words in lines, one word a line: a line feed between them is always one id."""
         if not keys:
             return
         feed = self._encode(["\n"])[0]
-        line = self.value(feed)
+        line, value = self.value(feed), self.value
         parts = [keys[i : i + width] for i in range(0, len(keys), width)]
         lines = ["\n".join([k[1:] if k[:1] in _FIRST else " " + k for k in part]) for part in parts]
-        for part, ids in zip(parts, self._encode(lines), strict=True):
-            at = 0
-            ids.append(feed[0])
-            for k in part:
-                stop = ids.index(feed[0], at)
-                got = self.value(ids[at:stop])
-                self[k] = line + got if k[0] == "\n" else got
-                at = stop + 1
+        packed = feed.join(self._encode(lines)) + feed
+        ends = np.flatnonzero(np.frombuffer(packed, dtype="<u4") == int.from_bytes(feed, "little")) * 4
+        begins = np.concatenate(([0], ends[:-1] + 4))
+        for k, a, b in zip(keys, begins.tolist(), ends.tolist(), strict=True):
+            got = value(packed[a:b])
+            self[k] = line + got if k[0] == "\n" else got
 
 
 _SHARED: dict[tuple[str, str], PieceCache] = {}
 
 
-def worker_cache(path: str, value: Callable[[list[int]], object], most: int, seed: dict | None = None) -> PieceCache:
+def worker_cache(path: str, value: Callable[[bytes], object], most: int, seed: dict | None = None) -> PieceCache:
     """This worker's cache for a tokenizer and a value; later tasks of the worker find it filled."""
     name = (path, value.__name__)
     if name not in _SHARED:
@@ -156,5 +184,19 @@ def worker_cache(path: str, value: Callable[[list[int]], object], most: int, see
     return cache
 
 
+def packed(ids: bytes) -> bytes:
+    """The value of a cache that holds ids."""
+    return ids
+
+
+def number(ids: bytes) -> int:
+    """The value of a cache that holds numbers of ids."""
+    return len(ids) // 4
+
+
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    """Little-endian unsigned 32-bit numbers."""
+    packed = array.array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()

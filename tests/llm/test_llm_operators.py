@@ -173,15 +173,29 @@ def test_tokens_equal_the_library(docs, empty):
 
     whole = Tokenizer.from_file(tokens.default_path())
     odd = ["", None, " ", "  ", "\n", " a", "a ", "a  b", "a\n b", "a \nb\n\nc", "x<|endoftext|>y  <|endoftext|>", "tab\tq", " x y", "\x1c a b", "é　b c d", "don't  'll I'm 12 34's", "a\0b \0 c", "\r\n a b\r\n", "x$$$ y### ***z*** a,, b.. c'", "c²² d²$ e½. f1, g1"]
-    cache = tokens.PieceCache(tokens.default_path(), tokens.pack_ids, most=3)
+    cache = tokens.PieceCache(tokens.default_path(), tokens.packed, most=3)
     for _ in range(2):
         for text, keys in zip(odd, cache.prepare(odd), strict=True):
             assert b"".join(map(cache.__getitem__, keys)) == tokens.pack_ids(whole.encode(text or "", add_special_tokens=False).ids), text
+    long = "x" * 100_000 + " " + "y-" * 5_000
+    assert b"".join(map(cache.__getitem__, cache.prepare([long])[0])) == tokens.pack_ids(whole.encode(long, add_special_tokens=False).ids)
+    cache.prepare(["a"])
+    assert max(len(k) for k in cache if isinstance(k, str)) <= tokens.LONG  # the cache is bounded in bytes
     want = sorted((str(d), len((t or "").encode()), n := len(whole.encode(t or "", add_special_tokens=False).ids), n > 1024) for d, t, *_ in texts())
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs).collect()) == want
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_other_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE(vocab={"a": 0, "b": 1}, merges=[]))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(f"{tmp_path}/other.json")
+    with pytest.raises(ValueError, match="byte-level"):
+        tokens.PieceCache(f"{tmp_path}/other.json", tokens.number)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
