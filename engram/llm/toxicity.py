@@ -1,13 +1,17 @@
 """Toxicity scores by a subsequence string-kernel SVM with Nystroem landmarks (op2).
 
-The kernel of two words counts their common subsequences of three letters, gaps allowed, each weighted by
-decay**(letters spanned) in either word; it is normalised, so a word has kernel 1 with itself. Inserted characters
-lengthen a span and so weaken a match but do not undo it. A sentence counts as the set of its words and takes the
-strongest of them; a text takes its strongest sentence. Landmarks are words that mark toxic sentences in the training
-rows, and words that look like them in clean ones. A linear SVM is trained on the Nystroem features of witness words of
-labelled sentences; as both its feature map and its weights are linear in the landmarks' subsequences, the trained
-model is one table subsequence -> weight, a few thousand entries whatever the corpus, and a word costs its own
-subsequences only. Workers keep scores of words they have seen.
+Sentences are scored, in stretches of one to three words in a row with the blanks around and between them (up to WIDTH
+characters; a longer word is covered by stretches of WIDTH characters). The kernel of two stretches counts their common
+subsequences of three characters, gaps allowed and blanks being characters, each weighted by decay ** (characters spanned)
+in either of them; it is divided by both stretches' own lengths, so each has kernel 1 with itself. Inserted characters and
+blanks lengthen a span and so weaken a match but do not undo it. A sentence counts as its strongest stretch, a text as its
+strongest sentence.
+
+Labels are those of texts: a toxic text says that some stretch of its sentences is toxic, a clean one that none is. A
+linear SVM is trained on the Nystroem features of witness stretches against clean ones, by alternation. As its feature map
+and its weights are linear in the landmarks' subsequences, the trained model is one table subsequence -> weight of 64**3
+entries whatever the corpus. The sum of a stretch's weights comes from running sums over the text; its own length is
+computed only where a bound on the score does not settle the text's strongest stretch.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ from __future__ import annotations
 import math
 import re
 import string
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,140 +30,174 @@ from pyspark.sql import functions as F
 from engram.llm import common
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-#: Letters a subsequence may span, and the weight of each.
+#: Characters that a subsequence may span, and the weight of each.
 SPAN, DECAY = 6, 0.6
-#: Of longer words, each window of this many characters is a word of its own.
-WINDOW = 24
-_SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n+")
+#: Characters and words of the longest stretch, and how far apart those of a long word begin.
+WIDTH, WORDS, STEP = 24, 3, 8
+#: Characters that the kernel tells apart: 0 is any other.
+LETTERS = 64
+_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|[\n\r]+")
+_BLANKS = re.compile(r"[^\S\n]+")
+_INSIDE = re.compile(r"(?<=\w)[^\w\s]+(?=\w)")
 _SPACED = re.compile(r"(?<!\S)\w(?:[\s.*_-]+\w){2,}(?!\S)")
 _EDGE = string.punctuation + "«»¡¿…“”„‘’–—"
+_OFFSETS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
+_WEIGHTS = np.array([DECAY ** (j + 1) for _, j in _OFFSETS])
 
 
-def words_of(text: str) -> set[str]:
-    """Lower-case words without edge punctuation, and words spelt out letter by letter ('i d i o t')."""
-    low = text.lower()
-    tokens = set(low.split())
-    found = {w.strip(_EDGE) for w in tokens}
-    found.discard("")
-    if sum(len(w) == 1 for w in found) > 2:
-        found.update(re.sub(r"[\s.*_-]+", "", m[0]) for m in _SPACED.finditer(low))
-    return found
-
-
-def sentences_of(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s and not s.isspace()]
+def prepare(text: str | None) -> str:
+    """Sentences in lines, each between blanks: lower case, without marks inside words, words spelt out in letters joined."""
+    low = _INSIDE.sub("", (text or "").lower())
+    low = _SPACED.sub(lambda m: re.sub(r"[\s.*_-]+", "", m[0]), low)
+    return " " + _BLANKS.sub(" ", _SENTENCE.sub(" \n ", low)) + " "
 
 
-def forms(word: str) -> list[str]:
-    """The word, the word without marks inserted between its letters, and windows of a very long one."""
-    out = [word]
-    if not word.isalpha() and 3 <= len(bare := "".join(filter(str.isalpha, word))) < len(word):
-        out.append(bare)
-    if len(word) <= WINDOW:
-        return out
-    return [w[i : i + WINDOW] for w in out for i in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)]
+def words_of(prepared: str) -> set[str]:
+    found = {w.strip(_EDGE) for w in prepared.split()}
+    found.discard("")
+    return found
 
 
-_OFFSETS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
-#: Length of a word's vector if no two of its subsequences were equal, by the word's length.
-_NORM = [1.0, 1.0, 1.0, *(math.sqrt(sum(DECAY ** (2 * b + 2) for i in range(n) for _, b in _OFFSETS if i + b < n)) for n in range(3, WINDOW + 3))]
-
-
-def subsequences(word: str) -> dict[str, float]:
-    """Three-letter subsequences of a word and their weights, scaled by its length; its ends count as letters."""
-    w = f"^{word}$"
-    out: dict[str, float] = {}
-    n = len(w)
-    scale = 1 / _NORM[n]
-    for i in range(n - 2):
-        for a, b in _OFFSETS:
-            if i + b < n:
-                k = w[i] + w[i + a] + w[i + b]
-                out[k] = out.get(k, 0.0) + scale * DECAY ** (b + 1)
-    return out
+class Stretches:
+    """The stretches of texts: code[start:end] of one array, and the number of the text of each."""
+
+    def __init__(self, prepared: list[str], codes: np.ndarray):
+        chars = np.frombuffer("\n".join(prepared).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.code = codes[chars].astype(np.int32)
+        # Words stand between two blanks of one sentence.
+        gap = np.flatnonzero((chars == 32) | (chars == 10))
+        begin, end = gap[:-1], gap[1:] + 1
+        word = (chars[begin] == 32) & (chars[end - 1] == 32) & (end - begin > 2) if len(gap) else np.zeros(0, dtype=bool)
+        run = np.cumsum(~word) if len(gap) else word  # words of one sentence in a row have one number
+        starts, ends = [], []
+        for k in range(WORDS):
+            ok = word[: len(word) - k] & word[k:] & (run[: len(run) - k] == run[k:]) if len(word) > k else np.zeros(0, dtype=bool)
+            at = np.flatnonzero(ok)
+            at = at[end[at + k] - begin[at] <= WIDTH]
+            starts.append(begin[at])
+            ends.append(end[at + k])
+        long = np.flatnonzero(word & (end - begin > WIDTH)) if len(gap) else np.zeros(0, dtype=np.int64)
+        n = 1 + -(-(end[long] - begin[long] - WIDTH) // STEP)
+        which = np.repeat(long, n)
+        k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        ends.append(np.minimum(begin[which] + k * STEP + WIDTH, end[which]))
+        starts.append(ends[-1] - WIDTH)
+        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
+        self.owner = np.searchsorted(np.cumsum([len(x) + 1 for x in prepared]), self.start, side="right")
+
+    def string(self, i: int) -> bytes:
+        return self.code[self.start[i] : self.end[i]].astype(np.uint8).tobytes()
+
+
+def subsequences(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, subsequence, weight): the distinct subsequences of each stretch, scaled so that their length is 1."""
+    at = start[:, None] + np.arange(WIDTH)
+    inside = at < end[:, None]
+    c = np.where(inside, code[np.minimum(at, len(code) - 1)], 0)
+    keys, weights = [], []
+    for (a, b), w in zip(_OFFSETS, _WEIGHTS, strict=True):
+        if b < WIDTH:
+            key = (c[:, : WIDTH - b] * LETTERS + c[:, a : WIDTH - b + a]) * LETTERS + c[:, b:]
+            keys.append(np.where(inside[:, b:], key, -1))
+            weights.append(np.full(WIDTH - b, w))
+    key, weight = np.concatenate(keys, axis=1), np.concatenate(weights)
+    order = np.argsort(key, axis=1)
+    key = np.take_along_axis(key, order, axis=1).ravel()
+    value = weight[order].ravel()
+    row = np.repeat(np.arange(len(start)), len(weight))
+    new = np.flatnonzero((np.diff(key, prepend=-2) != 0) | (np.diff(row, prepend=-1) != 0))
+    value, key, row = np.add.reduceat(value, new) if len(new) else value, key[new], row[new]
+    value, key, row = (x[key >= 0] for x in (value, key, row))
+    length = np.sqrt(np.bincount(row, weights=value * value, minlength=len(start)))
+    return row, key, value / length[row]
+
+
+#: Least length of a stretch of n characters: that of n characters no two subsequences of which are equal.
+_LEAST = np.array([1.0] * 3 + [math.sqrt(sum(float(w) ** 2 * (n - b) for (_, b), w in zip(_OFFSETS, _WEIGHTS, strict=True) if n > b)) for n in range(3, WIDTH + 1)])
 
 
 class Model:
-    """score = sigmoid(slope * (margin + shift)); margin of a word = <its subsequences, weights> + bias, at least bias."""
+    """score = sigmoid(slope * (margin + shift)); margin of a stretch = max(<its subsequences, table>, 0) + bias."""
 
-    def __init__(self, weights: dict[str, float], bias: float, slope: float = 4.0, shift: float = 0.0):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
-        self.seen: dict[str, float] = {}
-        letters = sorted({c for k in weights for c in k})
-        self.code = np.zeros(0x110000, dtype=np.uint16)
+    def __init__(self, letters: str, table: np.ndarray, bias: float, slope: float = 4.0, shift: float = 0.0):
+        self.letters, self.table, self.bias, self.slope, self.shift = letters, table.astype(np.float32), bias, slope, shift
+        self.codes = np.zeros(0x110000, dtype=np.uint8)
         for i, c in enumerate(letters, 1):
-            self.code[ord(c)] = i
-        self.size = len(letters) + 1
-        self.table = np.zeros(self.size**3, dtype=np.float32)
-        for k, x in weights.items():
-            a, b, c = (int(self.code[ord(y)]) for y in k)
-            self.table[(a * self.size + b) * self.size + c] = x
+            self.codes[ord(c)] = i
 
     def __reduce__(self):
-        return Model, (self.weights, self.bias, self.slope, self.shift)
-
-    def words(self, words: list[str]) -> list[float]:
-        """Margins of words, in a few passes over all of them."""
-        parts = [forms(w) for w in words]
-        flat = [f"^{f}$" for fs in parts for f in fs]
-        if not flat:
-            return []
-        chars = np.array(flat, dtype=f"U{WINDOW + 2}").view(np.uint32).reshape(len(flat), WINDOW + 2)
-        length = np.array([len(f) for f in flat])
-        code = self.code[chars].astype(np.int64).T.copy()
-        total = np.zeros(len(flat), dtype=np.float64)
-        for i in range(int(length.max()) - 2):
-            first = code[i] * self.size
-            for a, b in _OFFSETS:
-                if i + b < len(code):
-                    got = self.table[(first + code[i + a]) * self.size + code[i + b]]
-                    total += np.where(i + b < length, got, 0.0) * DECAY ** (b + 1)
-        value = np.maximum(total / np.array(_NORM)[length], 0.0) + self.bias
-        begin = np.cumsum([0, *map(len, parts[:-1])])
-        return np.maximum.reduceat(value, begin).tolist()
-
-    def word(self, word: str) -> float:
-        return self.words([word])[0]
-
-    def margins(self, bags: list[set[str]]) -> list[float]:
-        """Margin of the strongest word of each bag, `bias` without words."""
-        seen = self.seen
-        if len(seen) > 200_000:
-            seen.clear()
-        new = sorted(set().union(*bags) - seen.keys())
-        for at in range(0, len(new), 4096):
-            seen.update(zip(new[at : at + 4096], self.words(new[at : at + 4096]), strict=True))
-        return [max(map(seen.__getitem__, bag), default=self.bias) for bag in bags]
-
-    def scores(self, texts: list[str | None]) -> list[float]:
-        return [self.probability(m) for m in self.margins([words_of(x or "") for x in texts])]
-
-    def probability(self, margin: float) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * (margin + self.shift)))))
-
-
-def _vectors(words: list[str], index: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(words), len(index)), dtype=np.float32)
-    for r, w in enumerate(words):
-        for k, x in subsequences(w).items():
-            if k in index:
-                out[r, index[k]] = x
-    return out
+        return Model, (self.letters, self.table, self.bias, self.slope, self.shift)
+
+    def sums(self, s: Stretches) -> np.ndarray:
+        """Sum of the weights of all subsequences of each stretch, before its length divides it."""
+        first, second = s.code * (LETTERS * LETTERS), s.code * LETTERS
+        out = np.zeros(len(s.start))
+        for b in range(2, SPAN):
+            if len(s.code) <= b:
+                break
+            got = np.zeros(len(s.code) - b, dtype=np.float32)
+            for a in range(1, b):
+                got += self.table[first[: len(got)] + second[a : a + len(got)] + s.code[b:]]
+            upto = np.concatenate(([0.0], np.cumsum(got, dtype=np.float64)))
+            out += DECAY ** (b + 1) * np.where(s.end - s.start > b, upto[np.clip(s.end - b, 0, len(got))] - upto[np.minimum(s.start, len(got))], 0.0)
+        return out
 
+    def strongest(self, s: Stretches, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(margin, number of the strongest stretch or -1) of each text; `bias` without any."""
+        total = np.maximum(self.sums(s), 0.0)
+        bound = total / _LEAST[s.end - s.start] + 1e-9
+        best, which = np.zeros(texts), np.full(texts, -1, dtype=np.int64)
+        todo = np.flatnonzero(total > 0)
+        todo = todo[np.lexsort((-bound[todo], s.owner[todo]))]
+        first = True
+        while len(todo):
+            # The one of each text with the largest bound first, then all whose bounds are still above what was found.
+            now = todo[np.diff(s.owner[todo], prepend=-1) != 0] if first else todo[: 1 << 15]
+            row, key, value = subsequences(s.code, s.start[now], s.end[now])
+            got = np.bincount(row, weights=value * self.table[key], minlength=len(now))
+            order = np.argsort(got, kind="stable")
+            who, got, at = s.owner[now][order], got[order], now[order]
+            better = got > best[who]
+            best[who[better]], which[who[better]] = got[better], at[better]  # ascending: the largest is written last
+            todo = np.setdiff1d(todo, now, assume_unique=True) if first else todo[1 << 15 :]
+            todo = todo[bound[todo] > best[s.owner[todo]]]
+            first = False
+        return best + self.bias, which
+
+    def margins(self, prepared: list[str]) -> np.ndarray:
+        return self.strongest(Stretches(prepared, self.codes), len(prepared))[0] if prepared else np.zeros(0)
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 600, reg: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by accelerated gradient descent; y in -1, 1, weight: of each row, sum 1."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = w.copy(), b
-    step = 1.0 / (2 * (float((weight[:, None] * x * x).sum()) + 1.0) + reg)
-    for t in range(rounds):
-        slack = np.maximum(0.0, 1 - y * (x @ vw + vb)) * y * weight * 2
-        nw = vw + step * (x.T @ slack - reg * vw)
-        nb = vb + step * slack.sum()
-        beta = t / (t + 3)
-        vw, vb = nw + beta * (nw - w), nb + beta * (nb - b)
-        w, b = nw, nb
-    return w, b
+    def scores(self, texts: list[str | None]) -> list[float]:
+        with np.errstate(over="ignore"):
+            return (1 / (1 + np.exp(-np.clip(self.slope * (self.margins([prepare(x) for x in texts]) + self.shift), -30, 30)))).tolist()
+
+
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-5, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """The optimum of sum(weight * max(0, 1 - y (x w + b)) ** 2) + reg / 2 * |w| ** 2, by Newton steps on the rows that
+    lie within the margin; y in -1, 1, weight: of each row, sum 1."""
+    x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    ridge = np.full(x.shape[1], reg)
+    ridge[-1] = 1e-9
+
+    def loss(u: np.ndarray) -> float:
+        return float(weight @ np.maximum(0.0, 1 - y * (x @ u)) ** 2 + 0.5 * ridge @ (u * u))
+
+    u = np.zeros(x.shape[1])
+    now = loss(u)
+    for _ in range(rounds):
+        slack = np.maximum(0.0, 1 - y * (x @ u))
+        inside = slack > 0
+        slope = ridge * u - 2 * x.T @ (weight * y * slack)
+        held = x[inside]
+        step = np.linalg.solve(2 * (held * weight[inside, None]).T @ held + np.diag(ridge), slope)
+        size = 1.0
+        while (new := loss(u - size * step)) > now - 1e-4 * size * float(slope @ step) and size > 1e-6:
+            size /= 2
+        u = u - size * step
+        if now - new < 1e-12 * max(now, 1e-12):
+            break
+        now = new
+    return u[:-1], float(u[-1])
 
 
 def _evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
@@ -173,88 +210,157 @@ def _evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
     return 2 * (toxic * math.log(rate / share) + (clean * math.log((1 - rate) / (1 - share)) if clean else 0.0))
 
 
-def train(rows: list[tuple[str | None, int]], landmarks: int = 300, passes: int = 3, least: float = 16.0) -> Model:
-    """rows: (text, toxic). Trains on the sentences of these rows, with witness words found by alternation.
-
-    A toxic text says that one of its sentences is toxic, and a sentence that one of its words is. Witnesses begin as
-    words, or words by their first letters, whose likelihood ratio for toxic texts is `least` or more; texts without
-    any teach nothing. Each pass trains on the witnesses against clean words and takes the strongest word of each such
-    text as its next witness.
-    """
-    bags = [set(map(sys.intern, set().union(*map(words_of, sentences_of(text or ""))))) for text, _ in rows]
-    toxic = [i for i, (_, y) in enumerate(rows) if y == 1]
-    clean = len(rows) - len(toxic)
-    share = len(toxic) / max(len(rows), 1)
-    prior = Model({}, math.log((share + 1e-3) / (1 - share + 1e-3)), 1.0)
-    if not toxic or not clean:
-        return prior
-
-    def stems(w: str) -> list[str]:
-        return [w[:k] for k in range(4, min(len(w), 8))]
-
-    counts = {1: (Counter(), Counter()), 0: (Counter(), Counter())}
-    for bag, (_, y) in zip(bags, rows, strict=True):
-        counts[int(y == 1)][0].update(bag)
-        counts[int(y == 1)][1].update({s for w in bag for s in stems(w)})
-    (pos, pos_stems), (neg, neg_stems) = counts[1], counts[0]
-    found = {s: e for s in pos_stems if (e := _evidence(pos_stems[s], neg_stems[s], len(toxic), clean)) >= least}
+def _strengths(prepared: list[str], toxic: np.ndarray, least: float) -> tuple[dict[str, float], list[tuple[int, str]], Counter]:
+    """Words whose counts mark toxic texts, with their evidence; the words of toxic texts; and counts in clean texts."""
+    stems = lambda w: [w[:k] for k in range(4, min(len(w), 8))]
+    words, begins = (Counter(), Counter()), (Counter(), Counter())
+    mine: list[tuple[int, str]] = []
+    for i, (text, y) in enumerate(zip(prepared, toxic.tolist(), strict=True)):
+        bag = words_of(text)
+        words[y].update(bag)
+        begins[y].update({s for w in bag for s in stems(w)})
+        if y:
+            mine += [(i, w) for w in bag]
+    ever, never = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    found = {s: e for s in begins[1] if (e := _evidence(begins[1][s], begins[0][s], ever, never)) >= least}
     strength = {}
-    for w in pos:
+    for w, n in words[1].items():
         # A word seen often speaks for itself, a rare one by its first letters.
-        e = _evidence(pos[w], neg[w], len(toxic), clean)
-        if pos[w] + neg[w] < 5:
+        e = _evidence(n, words[0][w], ever, never)
+        if n + words[0][w] < 5:
             e = max([e, *(found.get(s, 0.0) for s in stems(w))])
         if e >= least / 2:
             strength[w] = e
+    return strength, mine, words[0]
+
+
+def _spread(names: list[str], codes: np.ndarray, most: int, near: float = 0.7) -> list[str]:
+    """Names in order without those whose kernel with one before is `near` or more, `most` at most."""
+    kept: list[str] = []
+    rows: list[dict[int, float]] = []
+    for w in names:
+        s = Stretches([f" {w[: WIDTH - 2]} "], codes)
+        _, key, value = subsequences(s.code, s.start[:1], s.end[:1])
+        v = dict(zip(key.tolist(), value.tolist(), strict=True))
+        if all(sum(x * u.get(k, 0.0) for k, x in v.items()) < near for u in rows):
+            kept.append(w)
+            rows.append(v)
+        if len(kept) >= most:
+            break
+    return kept
+
+
+def _different(s: Stretches, rows: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` of the given stretches that are different strings."""
+    seen: set[bytes] = set()
+    out = []
+    for i in rows.tolist():
+        if len(out) >= most:
+            break
+        if (x := s.string(i)) not in seen:
+            seen.add(x)
+            out.append(i)
+    return np.array(out, dtype=np.int64)
+
+
+def _features(s: Stretches, rows: np.ndarray, place: np.ndarray, whiten: np.ndarray, step: int = 256) -> np.ndarray:
+    """Nystroem features of the given stretches, a few at a time. place: subsequence -> row of whiten, or -1."""
+    out = np.zeros((len(rows), whiten.shape[1]))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        row, key, value = subsequences(s.code, s.start[some], s.end[some])
+        known = place[key] >= 0
+        row, key, value = row[known], key[known], value[known]
+        if len(row):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[at + row[first]] = np.add.reduceat(whiten[place[key]] * value[:, None], first, axis=0)
+    return out
+
+
+def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int = 3, least: float = 16.0, hard: int = 3_000, sample: int = 1_500) -> Model:
+    """rows: (text, toxic). Trains on stretches of their sentences, the text's label being that of a bag of them.
+
+    First witnesses are the stretches around words, or around words by their first letters, whose likelihood ratio for
+    toxic texts is `least` or more; toxic texts without any teach nothing. Half of the landmarks are such words, the
+    others clean words that come nearest to them. Each pass trains on the witnesses against `sample` clean stretches and
+    the `hard` clean ones that the model so far scores highest, and then takes the strongest stretch of each such text as
+    its next witness.
+    """
+    prepared = [prepare(x) for x, _ in rows]
+    toxic = np.array([int(y == 1) for _, y in rows], dtype=np.int64)
+    share = toxic.mean() if len(toxic) else 0.0
+    prior = Model("", np.zeros(LETTERS**3), math.log((share + 1e-3) / (1 - share + 1e-3)), 1.0)
+    if not toxic.any() or toxic.all():
+        return prior
+    strength, mine, clean_words = _strengths(prepared, toxic, least)
     if not strength:
         return prior
-    marks: list[str] = []
-    vectors: list[dict[str, float]] = []
-    for w in sorted(strength, key=lambda w: (-strength[w], w))[:4000]:  # spread over different words
-        v = subsequences(w[:WINDOW])
-        if all(sum(x * u.get(k, 0.0) for k, x in v.items()) < 0.7 for u in vectors):
-            marks.append(w[:WINDOW])
-            vectors.append(v)
-        if len(marks) >= landmarks // 2:
-            break
-    index: dict[str, int] = {}
-    for v in vectors:
-        for k in v:
-            index.setdefault(k, len(index))
-    ideal = Model({k: max(v.get(k, 0.0) for v in vectors) for k in index}, 0.0)
-    vocabulary = sorted(w for w in neg if len(w) <= WINDOW and w not in strength)
-    near = np.array([x for at in range(0, len(vocabulary), 4096) for x in ideal.words(vocabulary[at : at + 4096])])
-    hard = [vocabulary[i] for i in np.argsort(-near, kind="stable")[:1500]]
-    marks += hard[: landmarks - len(marks)]
-    for w in marks:
-        for k in subsequences(w):
-            index.setdefault(k, len(index))
-    base = _vectors(marks, index).astype(np.float64)
-    values, vectors_ = np.linalg.eigh(base @ base.T)
-    keep = values > 1e-4
-    whiten = base.T @ (vectors_[:, keep] / np.sqrt(values[keep]))  # subsequence space -> Nystroem features
-    negatives = list(dict.fromkeys([*hard, *vocabulary[:: max(1, len(vocabulary) // 1000)]]))
-    negatives_x = _vectors(negatives, index) @ whiten
-    common_ = np.sqrt(np.array([neg[w] for w in negatives], dtype=float))
-    able = {i: [w for w in bags[i] if w in strength] for i in toxic}
-    able = {i: ws for i, ws in able.items() if ws}
-    witnesses = {i: min(ws, key=lambda w: (-strength[w], w)) for i, ws in able.items()}
-    model = prior
+    seen = Counter()
+    for text in prepared:
+        seen.update(text)
+    del seen["\n"]
+    letters = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: LETTERS - 1])
+    empty = Model(letters, np.zeros(LETTERS**3), 0.0)
+    strong = _spread(sorted(strength, key=lambda w: (-strength[w], w)), empty.codes, landmarks // 2)
+
+    def weights(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = Stretches([f" {w[: WIDTH - 2]} " for w in names], empty.codes)
+        first = np.flatnonzero(np.diff(s.owner, prepend=-1))
+        return subsequences(s.code, s.start[first], s.end[first])
+
+    # Clean words that come nearest to the strong ones.
+    ideal = np.zeros(LETTERS**3)
+    _, key, value = weights(strong)
+    np.maximum.at(ideal, key, value)
+    vocabulary = sorted(w for w in clean_words if 3 <= len(w) <= WIDTH - 2 and w not in strength)
+    near = []
+    for at in range(0, len(vocabulary), 4096):
+        part = vocabulary[at : at + 4096]
+        row, key, value = weights(part)
+        near += np.bincount(row, weights=value * ideal[key], minlength=len(part)).tolist()
+    marks = strong + [vocabulary[i] for i in np.argsort(-np.array(near), kind="stable")[: landmarks - len(strong)]]
+    row, key, value = weights(marks)
+    names = np.unique(key)
+    place = np.full(LETTERS**3, -1, dtype=np.int64)
+    place[names] = np.arange(len(names))
+    base = np.zeros((len(marks), len(names)))
+    base[row, place[key]] = value
+    spectrum, vectors = np.linalg.eigh(base @ base.T)
+    keep = spectrum > 1e-4
+    whiten = (base.T @ (vectors[:, keep] / np.sqrt(spectrum[keep]))).astype(np.float32)  # subsequences -> Nystroem features
+    s = Stretches(prepared, empty.codes)
+    # Witnesses are stretches of one strong word in toxic texts, the strongest evidence of a text first.
+    def coded(w: str) -> bytes:
+        return Stretches([f" {w[: WIDTH - 2]} "], empty.codes).string(0)
+
+    known = {coded(w): e for w, e in strength.items()}
+    able = np.array([i for i in np.flatnonzero(toxic[s.owner] == 1).tolist() if s.string(i) in known], dtype=np.int64)
+    merit = np.array([known[s.string(i)] for i in able.tolist()])
+    clean = np.flatnonzero(toxic[s.owner] == 0)
+    spaced = _different(s, clean[np.linspace(0, len(clean) - 1, min(4 * sample, len(clean))).astype(np.int64)], sample)
+    model = Model(letters, ideal, 0.0)
     for _ in range(passes):
-        chosen = Counter(w[:WINDOW] for w in witnesses.values())
-        ws = sorted(chosen)
-        x = np.concatenate((_vectors(ws, index) @ whiten, negatives_x))
-        y = np.concatenate((np.ones(len(ws)), -np.ones(len(negatives))))
-        n = np.concatenate((np.sqrt(np.array([chosen[w] for w in ws], dtype=float)), common_))
-        n[: len(ws)] /= 2 * n[: len(ws)].sum()
-        n[len(ws) :] /= 2 * n[len(ws) :].sum()
+        order = np.lexsort((-merit, s.owner[able]))
+        witness = able[order[np.flatnonzero(np.diff(s.owner[able[order]], prepend=-1))]]
+        often = Counter(map(s.string, witness.tolist()))
+        positive = _different(s, witness, len(witness))
+        top = model.sums(s)[clean] / _LEAST[(s.end - s.start)[clean]]
+        first = np.argpartition(-top, min(20 * hard, len(top) - 1))[: 20 * hard]
+        worst = _different(s, clean[first[np.argsort(-top[first], kind="stable")]], hard)
+        negative = np.union1d(worst, spaced)
+        x = np.concatenate((_features(s, positive, place, whiten), _features(s, negative, place, whiten)))
+        y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
+        n = np.concatenate((np.sqrt([often[s.string(i)] for i in positive.tolist()]), np.ones(len(negative))))
+        n[: len(positive)] /= 2 * n[: len(positive)].sum()
+        n[len(positive) :] /= 2 * n[len(positive) :].sum()
         w, b = _svm(x, y, n)
-        in_words = whiten @ w
-        model = Model({k: float(in_words[j]) for k, j in index.items()}, float(b))
-        margin = dict(zip(all_ := sorted({w for ws in able.values() for w in ws}), model.words(all_), strict=True))
-        witnesses = {i: max(ws, key=lambda w: (margin[w], w)) for i, ws in able.items()}
-    model.slope, model.shift = _calibrate(np.array(model.margins(bags)), np.array([y for _, y in rows]))
-    model.seen = {}
+        table = np.zeros(LETTERS**3)
+        table[names] = whiten @ w
+        model = Model(letters, table, float(b))
+        row, key, value = subsequences(s.code, s.start[able], s.end[able])
+        merit = np.bincount(row, weights=value * table[key], minlength=len(able))
+    margin = model.strongest(s, len(rows))[0]
+    model.slope, model.shift = _calibrate(margin, toxic)
     return model
 
 
@@ -272,23 +378,31 @@ def _calibrate(margin: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most_rows: int) -> DataFrame:
-    """(text, toxic) of at most `most_rows` labelled rows outside the held-out fold, chosen by a hash of doc_id."""
+    """(doc_id, text, toxic, hash) of at most `most_rows` labelled rows outside the held-out fold, in order of a hash.
+
+    Ids are chosen first, then rows: a repeated doc_id counts as often as it has rows.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % folds != held_out)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.select("doc_id", "text", "toxic", F.xxhash64("doc_id", "text").alias("hash"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, most_rows: int = 4_000, most_chars: int = 6_000_000) -> Model:
-    """The model of a bounded sample: at most `most_rows` labelled rows and `most_chars` characters, in hash order."""
+    """The model of a bounded sample: at most `most_rows` labelled rows and `most_chars` characters, in hash order.
+
+    First only lengths are read, at most `most_rows` of them; then the rows up to the limit of characters.
+    """
     rows = training_rows(docs, labels, folds, held_out, most_rows)
-    lengths = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    total, keep = 0, []
-    for _, doc, n in sorted(map(tuple, lengths.collect())):
+    sizes = rows.select("hash", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("hash", "doc_id").limit(most_rows).collect()
+    total, keep = 0, set()
+    for h, doc, n in sizes:
         if total + n <= most_chars:
             total += n
-            keep.append(doc)
-    chosen = rows.where(F.col("doc_id").isin(keep)).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+            keep.add((doc, h))
+    wanted = docs.sparkSession.createDataFrame(sorted(keep), "doc_id long, hash long")
+    chosen = rows.join(F.broadcast(wanted), ["doc_id", "hash"]).orderBy("hash", "doc_id").limit(len(sizes))
     return train([(r.text, r.toxic) for r in chosen.collect()])
 
 
@@ -314,10 +428,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None, fol
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """Rows of `docs`, all columns, whose text is not predicted toxic."""
+    """Rows of `docs`, all columns whatever their names, whose text is not predicted toxic.
+
+    Null and empty texts score as texts without words, equal texts alike; repeated rows stay or go together, null doc_ids
+    are rows like others, and an empty table gives none.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
     return common.keep_rows(docs, lambda texts: [x < 0.5 for x in held.value.scores(texts)])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from labels outside the held-out fold; see `toxicity`."""
     return toxicity(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))

@@ -348,13 +348,75 @@ def test_toxicity(spark, docs, empty):
     assert np.mean([r.predicted == rows[r.doc_id][5] for r in held]) > 0.95
     model = toxicity.train([(r[1], r[5]) for r in rows])
     assert all(s >= 0.5 for s in model.scores(["you are an i.d.i.o.t now", "what a mor-on he is", "such an i d i o t"]))
-    assert model.scores([None, "", "the river rose"])[0] < 0.5
+    split, clean = model.scores(["such an id iot"])[0], model.scores(["the river rose in spring"])[0]
+    assert clean < split and clean < 0.5  # a split insult has a kernel
+    assert model.scores([None, ""]) == model.scores(["", None])
+    repeated = table.drop("toxic").union(table.drop("toxic").selectExpr("doc_id", "concat(text, ' again')", "lang", "source", "n_chars"))
+    assert toxicity.training_rows(repeated, labels, 5, 0, 10).count() == 20
+    assert toxicity.fit(repeated, labels, most_rows=50, most_chars=2_000).table.shape == (64**3,)
+    many = clashing(table.drop("toxic"))
+    assert toxicity.without_toxic(many, labels, model).columns == many.columns
+    assert toxicity.without_toxic(empty, labels, model).count() == 0
     assert toxicity.toxicity(docs, labels, model).count() == docs.count()
     assert toxicity.without_toxic(docs, labels, model).columns == docs.columns
     assert toxicity.toxicity(empty, labels, model).count() == 0
     assert toxicity.train([]).scores(["x"])[0] < 1 and toxicity.train([("x", 0)]).scores(["x"])[0] < 0.5
 
 
+def explicit_features(text):
+    """Weights of all gapped subsequences of a string, by enumeration, scaled to length 1."""
+    import itertools
+    import math
+
+    out = {}
+    for i, j, k in itertools.combinations(range(len(text)), 3):
+        if k - i < toxicity.SPAN:
+            out[text[i], text[j], text[k]] = out.get((text[i], text[j], text[k]), 0.0) + toxicity.DECAY ** (k - i + 1)
+    size = math.sqrt(sum(x * x for x in out.values()))
+    return {k: x / size for k, x in out.items()}
+
+
+def test_kernel_equals_enumeration():
+    model = toxicity.Model("abcdefghij klmnopqrstuvwxyz", np.zeros(toxicity.LETTERS**3), 0.0)
+    words = ["idiot", "banana", "aaaaaa", "id iot", "abcdef", "river", "no", "a"]
+    rows = []
+    for w in words:
+        s = toxicity.Stretches([f" {w} "], model.codes)
+        longest = int(np.argmax(s.end - s.start))
+        _, key, value = toxicity.subsequences(s.code, s.start[[longest]], s.end[[longest]])
+        rows.append(dict(zip(key.tolist(), value.tolist(), strict=True)))
+    wanted = [explicit_features(f" {w} ") for w in words]
+    dot = lambda a, b: sum(x * b.get(k, 0.0) for k, x in a.items())
+    for i in range(len(words)):
+        assert dot(rows[i], rows[i]) == pytest.approx(1.0)
+        for j in range(len(words)):
+            assert dot(rows[i], rows[j]) == pytest.approx(dot(wanted[i], wanted[j]))
+    assert dot(rows[0], rows[3]) > dot(rows[0], rows[5])  # a gap weakens, and does not undo
+
+
+def test_text_margin_is_the_largest_over_all_stretches():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model("abcdefghij klmnopqrstuvwxyz", rng.normal(size=toxicity.LETTERS**3), -0.25)
+    held = [prose(k, 5 + 9 * k) + ". " + prose(50 + k, 7) for k in range(8)] + ["", "one", "x" * 70]
+    prepared = [toxicity.prepare(x) for x in held]
+    s = toxicity.Stretches(prepared, model.codes)
+    row, key, value = toxicity.subsequences(s.code, s.start, s.end)
+    each = np.bincount(row, weights=value * model.table[key], minlength=len(s.start))
+    want = [max([0.0, *each[s.owner == i]]) - 0.25 for i in range(len(held))]
+    assert model.margins(prepared) == pytest.approx(want, abs=1e-5)
+
+
+def test_svm_is_at_its_optimum():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(80, 6)), np.where(rng.random(80) < 0.4, 1.0, -1.0)
+    weight = rng.random(80)
+    weight /= weight.sum()
+    loss = lambda w, b: weight @ np.maximum(0, 1 - y * (x @ w + b)) ** 2 + 0.5 * 1e-3 * w @ w
+    w, b = toxicity._svm(x, y, weight, reg=1e-3)
+    for _ in range(300):
+        assert loss(w, b) <= loss(w + rng.normal(size=6) * 0.02, b + rng.normal() * 0.02) + 1e-9
+
+
 def test_decontamination(spark, docs, empty):
     items = [(i, prose(500 + i, 40) + ". " + prose(700 + i, 12) + ".") for i in range(20)] + [(99, None), (98, ""), (97, prose(900, 150) + ".")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
