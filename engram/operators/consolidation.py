@@ -115,18 +115,6 @@ def a25_bandit_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arms.groupBy("stratum").agg(F.max_by("arm", F.struct("draw", "arm")).alias("arm"), F.max("draw").alias("draw"))
 
 
-@query(
-    "A47_community_report",
-    "WITH c AS (SELECT label, fact_id, access_count FROM vectors), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY access_count DESC, fact_id) AS n FROM c) SELECT label, count(*) AS members, round(avg(access_count), 6) AS mean, string_agg(CASE WHEN n <= 3 THEN fact_id::VARCHAR END, ',' ORDER BY n) AS top FROM r GROUP BY label",
-)
-def a47_community_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("label").orderBy(F.desc("access_count"), "fact_id"))
-    ranked = views.vectors(spark, sf_dir).select("label", "fact_id", "access_count", n.alias("n"))
-    first = F.array_sort(F.collect_list(F.when(F.col("n") <= 3, F.struct("n", F.col("fact_id").cast("string").alias("f")))))
-    got = ranked.groupBy("label").agg(count().alias("members"), F.round(F.avg("access_count"), 6).alias("mean"), first.alias("x"))
-    return got.select("label", "members", "mean", F.array_join(F.transform("x", lambda s: s["f"]), ",").alias("top"))
-
-
 @query("G14_scene_assign", f"WITH {SQL_TOPK.format(on='f.fact_id IN (SELECT min(fact_id) FROM vectors GROUP BY label)')} SELECT query_id, CASE WHEN similarity >= 0.2 THEN fact_id END AS scene FROM k WHERE rank = 1")
 def g14_scene_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each asked fact to the nearest scene theme (a label's first vector) of cosine 0.2 (0.6 for real embeddings), else none."""

@@ -68,22 +68,6 @@ def b6_promote_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("tool_name", "projects", F.round("m", 6).alias("confidence"))
 
 
-@query(
-    "B7_skill_effectiveness",
-    """WITH w AS (SELECT tool_name, session_id, max((tool_name = 'purchase')::INT) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS good,
-      max(failed::INT) OVER (PARTITION BY session_id ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS bad FROM tools)
-    SELECT tool_name, count(*) AS n, sum(coalesce(good, 0))::BIGINT AS positive, sum(coalesce(bad, 0))::BIGINT AS negative, round((sum(coalesce(good, 0)) - sum(coalesce(bad, 0))) / count(*)::DOUBLE, 6) AS score, count(DISTINCT session_id) AS sessions FROM w GROUP BY tool_name""",
-)
-def b7_skill_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses followed by a success within ten events or an error within three."""
-    w = W.partitionBy("session_id").orderBy("ts", "id")
-    good = F.coalesce(F.max((F.col("tool_name") == "purchase").cast("int")).over(w.rowsBetween(1, 10)), F.lit(0))
-    bad = F.coalesce(F.max(F.col("failed").cast("int")).over(w.rowsBetween(1, 3)), F.lit(0))
-    seen = views.tools(spark, sf_dir).select("tool_name", "session_id", good.alias("good"), bad.alias("bad"))
-    score = F.round((F.sum("good") - F.sum("bad")) / count(), 6)
-    return seen.groupBy("tool_name").agg(count().alias("n"), F.sum("good").alias("positive"), F.sum("bad").alias("negative"), score.alias("score"), F.countDistinct("session_id").alias("sessions"))
-
-
 @query("B8_skill_pairs", "WITH s AS (SELECT DISTINCT session_id, tool_name FROM tools) SELECT a.tool_name AS a, b.tool_name AS b, count(*) AS sessions FROM s a JOIN s b ON a.session_id = b.session_id AND a.tool_name < b.tool_name GROUP BY ALL HAVING count(*) >= 2")
 def b8_skill_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tools of one session in pairs; a session has as many as there are kinds of tools."""
@@ -92,20 +76,6 @@ def b8_skill_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("a.tool_name").alias("a"), F.col("b.tool_name").alias("b")).agg(count().alias("sessions")).where("sessions >= 2")
 
 
-@query(
-    "B9_workflow_ngrams",
-    """WITH n AS (SELECT session_id, tool_name AS a, lead(tool_name) OVER w AS b, lead(tool_name, 2) OVER w AS c FROM tools WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)), g AS (SELECT session_id, a || '>' || b || '>' || c AS gram FROM n WHERE c IS NOT NULL AND a <> b AND b <> c)
-    SELECT gram, count(*) AS n, round(count(DISTINCT session_id) / (SELECT count(DISTINCT session_id) FROM tools)::DOUBLE, 6) AS support FROM g GROUP BY gram""",
-)
-def b9_workflow_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of three tools without repeats next to each other, and in what share of sessions they occur."""
-    w = W.partitionBy("session_id").orderBy("ts", "id")
-    tools = views.tools(spark, sf_dir)
-    n = tools.select("session_id", F.col("tool_name").alias("a"), F.lead("tool_name").over(w).alias("b"), F.lead("tool_name", 2).over(w).alias("c")).where("c IS NOT NULL AND a <> b AND b <> c")
-    grams = n.groupBy(F.concat_ws(">", "a", "b", "c").alias("gram")).agg(count().alias("n"), F.countDistinct("session_id").alias("s"))
-    return grams.crossJoin(F.broadcast(tools.agg(F.countDistinct("session_id").alias("all")))).select("gram", "n", F.round(F.col("s") / F.col("all"), 6).alias("support"))
-
-
 _PART = "CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END"
 
 
@@ -132,29 +102,12 @@ def b13_channel_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.signals(spark, sf_dir).groupBy("signal").agg(count().alias("n"), F.round(F.avg("position"), 6).alias("mean")).where("n >= 5")
 
 
-@query(
-    "B14_cross_profile_preference",
-    f"WITH p AS (SELECT project, tool_name, count(*) AS n, date_diff('day', max(ts), TIMESTAMP '{views.NOW}') AS age FROM tools GROUP BY ALL) SELECT tool_name, round(sum(n * exp(-age / 365.0)), 6) AS evidence, count(*) AS projects FROM p WHERE n >= 2 GROUP BY tool_name",
-)
-def b14_cross_profile_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of all projects, exp(-days / 365) of each."""
-    p = views.tools(spark, sf_dir).groupBy("project", "tool_name").agg(count().alias("n"), F.max("ts").alias("last")).where("n >= 2")
-    age = F.datediff(views.now(), "last")
-    return p.groupBy("tool_name").agg(F.round(F.sum(F.col("n") * F.exp(-age / 365.0)), 6).alias("evidence"), count().alias("projects"))
-
-
 @query("B15_pattern_store", "SELECT tool_name, project, count(*) AS evidence, round(least(count(*) / 10.0, 1) * 2 * abs(avg(failed::INT) - 0.5), 6)::DOUBLE AS confidence FROM tools GROUP BY ALL")
 def b15_pattern_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = F.least(count() / 10.0, F.lit(1.0)) * 2 * F.abs(F.avg(F.col("failed").cast("int")) - 0.5)
     return views.tools(spark, sf_dir).groupBy("tool_name", "project").agg(count().alias("evidence"), F.round(confidence, 6).alias("confidence"))
 
 
-@query("B16_query_habits", "SELECT session_id, mode(tool_name ORDER BY tool_name) IS NOT NULL AS known, count(DISTINCT hour(ts)) AS hours, round(least(count(*) / 100.0, 1), 6)::DOUBLE AS confidence FROM tools GROUP BY session_id")
-def b16_query_habits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = views.tools(spark, sf_dir).groupBy("session_id")
-    return g.agg(F.lit(True).alias("known"), F.countDistinct(F.hour("ts")).alias("hours"), F.round(F.least(count() / 100.0, F.lit(1.0)), 6).alias("confidence"))
-
-
 @query(
     "B20_training_matrix",
     """SELECT query_id, fact_id, avg(position) AS position, count(*) AS shown, max((signal = 'store')::INT)::INT AS stored, max(access_count)::BIGINT AS used, max(p_retailprice) AS size FROM signals JOIN part ON p_partkey = fact_id JOIN (SELECT p_partkey AS pk, p_partkey % 12 AS access_count FROM part) ON pk = fact_id GROUP BY query_id, fact_id""",
@@ -166,7 +119,3 @@ def b20_training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("query_id", "fact_id").agg(F.avg("position").alias("position"), count().alias("shown"), F.max((F.col("signal") == "store").cast("int")).alias("stored"), F.max("access_count").alias("used"), F.max("p_retailprice").alias("size"))
 
 
-@query("B22_skill_degradation", "SELECT tool_name, project, CASE WHEN 1 - avg(failed::INT) < 0.4 THEN 'FIX' WHEN 1 - avg(failed::INT) < 0.95 THEN 'DERIVED' ELSE 'OK' END AS action FROM tools GROUP BY ALL HAVING count(*) >= 5")
-def b22_skill_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.tools(spark, sf_dir).groupBy("tool_name", "project").agg(count().alias("n"), (1 - F.avg(F.col("failed").cast("int"))).alias("e")).where("n >= 5")
-    return s.select("tool_name", "project", F.when(F.col("e") < 0.4, "FIX").when(F.col("e") < 0.95, "DERIVED").otherwise("OK").alias("action"))

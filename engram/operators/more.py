@@ -132,24 +132,6 @@ def a23_adaptive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.select("agent_id", F.round("r", 6).alias("relevant"), (F.col("r") < 0.5).alias("switched"))
 
 
-@query("A31_rollback_watch", "WITH r AS (SELECT agent_id, (fact_id % 7) / 7.0 AS v, row_number() OVER (PARTITION BY agent_id ORDER BY seen_at, query_id, position, fact_id) AS n FROM signals) SELECT agent_id, round(avg(v), 6)::DOUBLE AS mean, avg(v) < 0.42 AS rollback FROM r WHERE n <= 200 GROUP BY agent_id")
-def a31_rollback_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = W.partitionBy("agent_id").orderBy("seen_at", "query_id", "position", "fact_id")
-    first = views.signals(spark, sf_dir).select("agent_id", ((F.col("fact_id") % 7) / 7.0).alias("v"), F.row_number().over(order).alias("n")).where("n <= 200")
-    return first.groupBy("agent_id").agg(F.round(F.avg("v"), 6).alias("mean"), (F.avg("v") < 0.42).alias("rollback"))
-
-
-@query(
-    "A33_core_blocks",
-    "WITH r AS (SELECT profile_id, fact_type, fact_id, row_number() OVER (PARTITION BY profile_id, fact_type ORDER BY access_count DESC, fact_id) AS n FROM facts) SELECT profile_id, fact_type, string_agg(fact_id::VARCHAR, ',' ORDER BY n) AS block FROM r WHERE n <= 5 GROUP BY ALL",
-)
-def a33_core_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(W.partitionBy("profile_id", "fact_type").orderBy(F.desc("access_count"), "fact_id"))
-    top = views.facts(spark, sf_dir).select("profile_id", "fact_type", "fact_id", n.alias("n")).where("n <= 5")
-    got = top.groupBy("profile_id", "fact_type").agg(F.array_sort(F.collect_list(F.struct("n", "fact_id"))).alias("x"))
-    return got.select("profile_id", "fact_type", F.array_join(F.transform("x", lambda s: s["fact_id"].cast("string")), ",").alias("block"))
-
-
 @query("B11_topic_interest", "WITH w AS (SELECT profile_id, unnest(regexp_extract_all(lower(content), '[a-z]{6,}')) AS word FROM facts), c AS (SELECT profile_id, word, count(*) AS n FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY n DESC, word) AS k FROM c WHERE n >= 3) SELECT profile_id, word, n FROM r WHERE k <= 15")
 def b11_topic_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 most frequent long words of a profile; counted before any window sees them."""
@@ -158,15 +140,6 @@ def b11_topic_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("k", F.row_number().over(W.partitionBy("profile_id").orderBy(F.desc("n"), "word"))).where("k <= 15").drop("k")
 
 
-@query("B17_pattern_union", "WITH p AS (SELECT 'tool' AS source, tool_name AS key, count(*)::DOUBLE / 100 AS c FROM tools GROUP BY tool_name UNION ALL SELECT 'event', event_type, avg(value) / 10 FROM access GROUP BY event_type), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY c DESC, source) AS n FROM p) SELECT source, key, round(c, 6) AS confidence FROM r WHERE n = 1")
-def b17_pattern_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns of several sources, the best of each key."""
-    tools = views.tools(spark, sf_dir).groupBy(F.lit("tool").alias("source"), F.col("tool_name").alias("key")).agg((count() / 100).alias("c"))
-    events = views.access(spark, sf_dir).groupBy(F.lit("event").alias("source"), F.col("event_type").alias("key")).agg((F.avg("value") / 10).alias("c"))
-    n = F.row_number().over(W.partitionBy("key").orderBy(F.desc("c"), "source"))
-    return tools.unionByName(events).withColumn("n", n).where("n = 1").select("source", "key", F.round("c", 6).alias("confidence"))
-
-
 @query("B21_train_ranker")
 def b21_train_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted regression on the relevance of (query, fact) rows, and the mean reciprocal rank that it gives."""

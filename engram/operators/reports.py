@@ -27,16 +27,6 @@ def a2_timeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.access(spark, sf_dir).select(week, "event_type").rollup("week", "event_type").agg(count().alias("n"))
 
 
-@query(
-    "A3_unified_timeline",
-    """SELECT 'fact' AS kind, fact_id AS id, created_at AS seen_at FROM facts WHERE created_at >= TIMESTAMP '2024-01-10' UNION ALL SELECT 'event', event_id, accessed_at FROM access WHERE accessed_at >= TIMESTAMP '2024-01-10'""",
-)
-def a3_unified_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = views.facts(spark, sf_dir).where("created_at >= TIMESTAMP '2024-01-10'").select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), F.col("created_at").alias("seen_at"))
-    events = views.access(spark, sf_dir).where("accessed_at >= TIMESTAMP '2024-01-10'").select(F.lit("event"), "event_id", F.col("accessed_at").cast("timestamp"))
-    return facts.union(events)
-
-
 @query("A4_changed_recently", f"SELECT fact_id, fact_type FROM facts WHERE created_at >= TIMESTAMP '{views.NOW}' - INTERVAL 7 DAY")
 def a4_changed_recently(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facts(spark, sf_dir).where(F.col("created_at") >= views.now() - F.expr("INTERVAL 7 DAYS")).select("fact_id", "fact_type")
@@ -50,11 +40,6 @@ def a5_contradiction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strong.join(a, "src").join(b, "dst").select("src", "dst", "src_name", "dst_name", "weight")
 
 
-@query("A6_health_report", "SELECT lifecycle, count(*) AS facts, round(avg(importance), 6) AS importance, round(avg(confidence), 6) AS confidence, count(*) FILTER (pinned) AS pinned FROM facts GROUP BY lifecycle")
-def a6_health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.facts(spark, sf_dir).groupBy("lifecycle").agg(count().alias("facts"), F.round(F.avg("importance"), 6).alias("importance"), F.round(F.avg("confidence"), 6).alias("confidence"), F.count_if("pinned").alias("pinned"))
-
-
 @query("A7_cross_session_entities", "SELECT l_partkey AS entity_id, count(DISTINCT l_orderkey) AS sessions FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) > 1")
 def a7_cross_session_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("entity_id")).agg(F.countDistinct("l_orderkey").alias("sessions")).where("sessions > 1")
@@ -84,13 +69,6 @@ def a11_access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.access(spark, sf_dir).groupBy("fact_id").agg(count().alias("n"), F.max("accessed_at").alias("last"), recent.alias("recent"))
 
 
-@query("A12_channel_credit", "SELECT signal, position, count(*) AS total, round(0.7 + 0.8 * avg((fact_id % 3 = 0)::INT), 6) AS weight FROM signals GROUP BY signal, position HAVING count(*) >= 5")
-def a12_channel_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight 0.7 + 0.8 * hit rate of each (type, channel) with five uses."""
-    rate = F.avg((F.col("fact_id") % 3 == 0).cast("int"))
-    return views.signals(spark, sf_dir).groupBy("signal", "position").agg(count().alias("total"), F.round(0.7 + 0.8 * rate, 6).alias("weight")).where("total >= 5")
-
-
 @query(
     "A13_co_retrieval_pairs",
     "SELECT least(a.fact_id, b.fact_id) AS a, greatest(a.fact_id, b.fact_id) AS b, count(*) AS n FROM signals a JOIN signals b ON a.query_id = b.query_id AND b.position > a.position AND b.position <= a.position + 4 AND a.fact_id <> b.fact_id GROUP BY ALL",
@@ -140,12 +118,6 @@ def a16_source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.groupBy("source").agg(F.round((1.0 + F.sum("quality")) / (2 + count()), 6).alias("quality"), count().alias("n"))
 
 
-@query("A17_success_rate", "SELECT fact_id, round(avg(CASE status WHEN 'F' THEN 1.0 WHEN 'P' THEN 0.5 ELSE 0 END), 4)::DOUBLE AS rate, count(*) AS n FROM outcomes GROUP BY fact_id")
-def a17_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.when(F.col("status") == "F", 1.0).when(F.col("status") == "P", 0.5).otherwise(0.0)
-    return views.outcomes(spark, sf_dir).groupBy("fact_id").agg(F.round(F.avg(value), 4).alias("rate"), count().alias("n"))
-
-
 @query(
     "A18_infer_outcome",
     "WITH v AS (SELECT query_id, sum(CASE signal WHEN 'store' THEN 1.0 WHEN 'recall' THEN 0.5 ELSE -2.0 END)::DOUBLE AS vote FROM signals GROUP BY query_id) SELECT query_id, CASE WHEN vote > 0.5 THEN 'success' WHEN vote < -0.5 THEN 'failure' ELSE 'partial' END AS outcome FROM v",
@@ -306,14 +278,6 @@ def a38_trust_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.join(trust(signals).select("agent_id", F.round("trust", 6).alias("trust")), "agent_id")
 
 
-@query("A39_gdpr_export", "SELECT 'orders' AS kind, o_custkey AS subject, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'lines', o_custkey, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
-def a39_gdpr_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of every subject by table."""
-    orders = views.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("subject"))
-    lines = views.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey")
-    return orders.groupBy(F.lit("orders").alias("kind"), "subject").agg(count().alias("n")).union(lines.groupBy(F.lit("lines"), "subject").agg(count()))
-
-
 @query("A40_retention_rules", f"SELECT fact_id FROM facts WHERE created_at < TIMESTAMP '{views.NOW}' - to_days((CASE profile_id WHEN 'en' THEN 20 WHEN 'de' THEN 10 ELSE 25 END)::INT)")
 def a40_retention_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts older than the strictest rule of their profile."""
@@ -322,19 +286,6 @@ def a40_retention_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return age.where(F.col("created_at") < F.expr(f"TIMESTAMP '{views.NOW}' - make_interval(0, 0, 0, days)")).select("fact_id")
 
 
-@query(
-    "A41_audit_verify",
-    """WITH c AS (SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev, user_id FROM events), h AS (SELECT user_id, event_id, sha256(coalesce(prev::VARCHAR, 'genesis') || '|' || event_type) AS hash FROM c)
-    SELECT user_id, min(event_id) FILTER (hash[1] = '0') AS first_broken, count(*) FILTER (hash[1] = '0') AS broken FROM h GROUP BY user_id""",
-)
-def a41_audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains by user: each link's hash over the one before, and the first link that fails a rule (here: begins with 0)."""
-    prev = F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id"))
-    chain = views.read(spark, sf_dir, "events").select("user_id", "event_id", F.sha2(F.concat_ws("|", F.coalesce(prev.cast("string"), F.lit("genesis")), "event_type"), 256).alias("hash"))
-    bad = F.substring("hash", 1, 1) == "0"
-    return chain.groupBy("user_id").agg(F.min(F.when(bad, F.col("event_id"))).alias("first_broken"), F.count_if(bad).alias("broken"))
-
-
 @query("A42_abac_filter", "SELECT event_id FROM access WHERE NOT ((fact_id = 3 AND event_type = 'click') OR (fact_id = 5 AND event_type = 'view'))")
 def a42_abac_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without a policy that denies their exact pair."""
@@ -358,23 +309,6 @@ def a44_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.join(counted, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("A45_paired_observations", "SELECT fact_id FROM (SELECT fact_id FROM outcomes WHERE status = 'F' INTERSECT SELECT fact_id FROM outcomes WHERE status = 'O')")
-def a45_paired_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = views.outcomes(spark, sf_dir)
-    return seen.where("status = 'F'").select("fact_id").intersect(seen.where("status = 'O'").select("fact_id"))
-
-
-@query(
-    "A46_association_stats",
-    "WITH n AS (SELECT edge_type, src AS node FROM edges UNION ALL SELECT edge_type, dst FROM edges), d AS (SELECT edge_type, node, count(*) AS degree FROM n GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY edge_type ORDER BY degree DESC, node) AS rank FROM d) SELECT edge_type, node, degree, rank FROM r WHERE rank <= 5",
-)
-def a46_association_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = views.edges(spark, sf_dir)
-    degree = edges.select("edge_type", F.col("src").alias("node")).union(edges.select("edge_type", "dst")).groupBy("edge_type", "node").agg(count().alias("degree"))
-    rank = F.row_number().over(W.partitionBy("edge_type").orderBy(F.desc("degree"), "node")).cast("long")
-    return degree.withColumn("rank", rank).where("rank <= 5")
-
-
 @query("A48_zone_distribution", "SELECT lifecycle, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share FROM facts GROUP BY lifecycle")
 def a48_zone_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = views.facts(spark, sf_dir).groupBy("lifecycle").agg(count().alias("n"))
