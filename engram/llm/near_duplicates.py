@@ -197,39 +197,56 @@ class Groups:
     def rest(self, labels: DataFrame) -> DataFrame:
         """All links between different components of nodes that meet in a bucket, without listing pairs.
 
-        Open buckets that share members make one crowd. The members of a crowd's largest component are on one side only:
-        of two nodes in different components at least one is outside it. Those outside are the asked ones, in blocks of
-        about 500; every block meets every part (about 2,000 nodes) of its crowd in one task, which counts the shingles
-        that each node shares with all of a block at once by an inverted index of the block.
+        Open buckets that share members make one crowd. Linked sets differ in size by less than the threshold, so a crowd
+        is parted by size: classes grow by 1 / threshold, and a node meets its own class and those beside it only. Of a
+        class, the members of the crowd's largest component are on one side: of two nodes in different components at
+        least one is outside it. Those outside are the asked ones, in blocks of about 500; every block meets every part
+        (about 2,000 nodes) of a class in one task, which counts the shingles that each node shares with all of a block at
+        once by an inverted index of the block. Nodes travel as their shingle hashes.
         """
         open_ = self.scratch.write(self.open_buckets(labels), "open")
         first = open_.groupBy("band").agg(F.min("nid").alias("a"))
         crowds = components(open_.join(first, "band").select("a", F.col("nid").alias("b")), self.scratch, "crowds")
         members = open_.select("nid", "label").distinct().join(crowds.select(F.col("node").alias("nid"), F.col("label").alias("crowd")), "nid")
+        level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / self.percent)) + 1e-9)
+        members = members.join(self.nodes.select("nid", level.alias("level")), "nid")
         members = self.scratch.write(members, "members")
-        sizes = members.groupBy("crowd", "label").agg(F.count("*").alias("n")).groupBy("crowd")
-        sizes = sizes.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("asked"))
-        sizes = sizes.select("crowd", "main", F.ceil(F.col("asked") / 500).alias("blocks"), F.ceil(F.col("all") / 2000).alias("parts"))
-        known = members.join(sizes, "crowd")
+        main = members.groupBy("crowd", "label").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+        known = members.join(main, "crowd")
+        near = F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level")
+        asking = known.where("label <> main").select("crowd", near, "nid", "label")
+        sizes = asking.groupBy("crowd", "level").agg(F.ceil(F.count("*") / 500).alias("blocks"))
+        sizes = sizes.join(known.groupBy("crowd", "level").agg(F.ceil(F.count("*") / 2000).alias("parts")), ["crowd", "level"])
         pick = lambda seed, n: F.pmod(F.xxhash64("nid", F.lit(seed)), F.col(n))
         all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        asked = known.where("label <> main").select("crowd", pick(1, "blocks").alias("block"), all_of("parts").alias("part"), F.lit(0).alias("side"), "nid", "label")
-        met = known.select("crowd", all_of("blocks").alias("block"), pick(2, "parts").alias("part"), F.lit(1).alias("side"), "nid", "label")
-        rows = asked.union(met).join(self.texts(members.select("nid"), "rest-texts"), "nid")
-        task = ["crowd", "block", "part"]
+        task = ["crowd", "level", "block", "part"]
+        asked = asking.join(sizes, ["crowd", "level"]).select("crowd", "level", pick(1, "blocks").alias("block"), all_of("parts").alias("part"), F.lit(0).alias("side"), "nid", "label")
+        met = known.join(sizes, ["crowd", "level"]).select("crowd", "level", all_of("blocks").alias("block"), pick(2, "parts").alias("part"), F.lit(1).alias("side"), "nid", "label")
         size, percent = self.size, self.percent
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in common.rows(batches):
+                found = [s.tobytes() for s in sets(part["text"], size)]
+                yield pa.RecordBatch.from_arrays([pa.array(part["nid"], type=pa.int64()), pa.array(found, type=pa.binary())], names=["nid", "hashes"])
+
+        held = self.texts(members.select("nid"), "rest-texts").mapInArrow(hashed, "nid long, hashes binary")
+        rows = asked.union(met).join(self.scratch.write(held, "rest-sets"), "nid")
+        self.scratch.drop("rest-texts")
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, held, index, seen = None, [], None, set()
-            for part in common.rows(batches, 1 << 20):
+            for part in common.rows(batches, 1 << 20, "hashes"):
                 out: dict[str, list] = {"a": [], "b": []}
-                for *name, side, nid, label, s in zip(*(part[c] for c in (*task, "side", "nid", "label")), sets(part["text"], size), strict=True):
+                for *name, side, nid, label, packed in zip(*(part[c] for c in (*task, "side", "nid", "label", "hashes")), strict=True):
+                    s = np.frombuffer(packed, dtype=np.uint64)
                     if name != now:
                         now, held, index, seen = name, [], None, set()
                     if side == 0:
                         held.append((nid, label, s))
                         continue
+                    if not held:
+                        continue
                     index = index or _Block(held)
                     for i in index.linked(s, percent):
                         other, its_label = held[i][:2]
@@ -239,7 +256,7 @@ class Groups:
                             out["b"].append(other)
                 yield common.table(schema, out)
 
-        dealt = rows.repartition(*task).sortWithinPartitions(*task, "side").select(*task, "side", "nid", "label", "text")
+        dealt = rows.repartition(*task).sortWithinPartitions(*task, "side").select(*task, "side", "nid", "label", "hashes")
         return self.scratch.write(dealt.mapInArrow(meet, "a long, b long"), "links-2")
 
 
@@ -285,15 +302,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of `docs`, all columns: the one with the least doc_id of each group, and of equal rows one."""
-    kept = near_duplicates(docs, size, percent).where("kept").select(_key("doc_id").alias("__key"), F.col("tie").alias("__tie"))
-    keyed = docs.select("*", _key("doc_id").alias("__key"), F.xxhash64("text").alias("__tie"))
-    return keyed.join(kept, ["__key", "__tie"], "left_semi").dropDuplicates(["__key", "__tie"]).drop("__key", "__tie")
+    """Rows of `docs`, all columns whatever their names: the one with the least doc_id of each group.
+
+    Of equal rows of doc_id and text one stays. Texts without shingles (null and empty ones) stay, one of each doc_id. A
+    null doc_id counts as the least one only if all of its group are null. An empty table gives no rows.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), size, percent).where("kept").select(_key(F.col("doc_id")).alias("key"), "tie")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("tie"))
+    return rows.join(kept, ["key", "tie"], "left_semi").dropDuplicates(["key", "tie"]).select("row.*")
 
 
-def _key(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(-(1 << 63)))
+def _key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id, F.lit(-(1 << 63)))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents by shingles of two words; see `near_duplicates` for nulls, empty texts and ties."""
     return near_duplicates(common.read(spark, sf_dir, "documents"), size=2).drop("tie")

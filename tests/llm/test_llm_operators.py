@@ -140,11 +140,31 @@ def test_near_duplicates(docs, empty):
         got = near_duplicates.near_duplicates(docs, size).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == sorted(want)
     assert near_duplicates.near_duplicates(empty).count() == 0
-    left = near_duplicates.one_of_each(docs)
-    assert left.columns == docs.columns
+    assert near_duplicates.one_of_each(empty).count() == 0
+    many = clashing(docs)
+    left = near_duplicates.one_of_each(many)
+    assert left.columns == many.columns
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None and r.doc_id < 5) == [1, 2, 3]
 
 
+def test_crowds_lose_no_link(spark, monkeypatch):
+    """A chain of edited texts of growing size: pivots join few of them, the others meet in their crowd."""
+    import itertools
+
+    words = prose(4, 400).split()
+    rows = [(k, " ".join([*words[: 100 + 6 * k], *(f"own{k}x{i}" for i in range(9))]), "en", "s", 0) for k in range(40)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sets = [{tuple(x) for x in zip(*(t.split()[i:] for i in range(2)), strict=False)} for _, t, *_ in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = group[i], group[j]
+            group = [a if g == b else g for g in group]
+    want = {i: min(k for k in range(len(rows)) if group[k] == group[i]) for i in range(len(rows))}
+    assert len(set(want.values())) < len(rows) / 2
+    assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(table, 2).collect()} == want
+
+
 def test_components(spark):
     from engram.llm.common import Scratch
     from engram.llm.components import components
