@@ -13,9 +13,11 @@ from engram.registry import query
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder of spark.checkpoint.dir, or a local one in tests."""
+    """Cuts lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; a local session may go without one."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"/tmp/spark-{uuid.uuid4().hex[:8]}")
     return df.checkpoint()
 
@@ -79,19 +81,18 @@ def g3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_propagation(views.edges(spark, sf_dir).where("weight >= 0.5"), 4)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, by neighbours' labels and pointer jumps."""
     both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         less = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         far = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         new = cut(less.join(far, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
-            break
-    return labels
+            return labels
 
 
 @query(
