@@ -39,60 +39,6 @@ def e6_route_type_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MU = {"entity": 1.2, "temporal": 0.9, "semantic": 0.8, "supersedes": 0.0}
 
 
-@query(
-    "F5_entity_boost",
-    f"WITH {SQL_CHANNELS}, {SQL_RRF} SELECT query_id, f.fact_id, round(fused * (1 + 0.3 * CASE WHEN same.fact_id IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS boosted FROM f LEFT JOIN same USING (query_id, fact_id)".replace("LEFT JOIN same USING (query_id, fact_id)", "LEFT JOIN same ON same.query_id = f.query_id AND same.fact_id = f.fact_id").replace("SELECT query_id, f.fact_id", "SELECT f.query_id, f.fact_id"),
-)
-def f5_entity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused score times 1.3 for facts of the query's entity (label)."""
-    facts = views.vectors(spark, sf_dir).select("fact_id", "label")
-    asked = facts.select(F.col("fact_id").alias("query_id"), F.col("label").alias("own"))
-    fused = weighted_rrf(channels(spark, sf_dir)).join(facts, "fact_id").join(asked, "query_id")
-    same = (F.col("label") == F.col("own")) & (F.col("fact_id") != F.col("query_id"))
-    return fused.select("query_id", "fact_id", F.round(F.col("fused") * F.when(same, 1.3).otherwise(1.0), 6).alias("boosted"))
-
-
-@query(
-    "F7_channel_diversity",
-    f"WITH {SQL_CHANNELS}, {SQL_RRF}, r AS (SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, fact_id) AS rank FROM f), t AS (SELECT * FROM r WHERE rank <= 10), g AS (SELECT ch.query_id, ch.fact_id, ch.rank FROM ch LEFT JOIN t ON t.query_id = ch.query_id AND t.fact_id = ch.fact_id WHERE channel = 'entity_graph' AND t.fact_id IS NULL), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM g) SELECT query_id, fact_id FROM t UNION ALL SELECT query_id, fact_id FROM a WHERE n <= 2",
-)
-def f7_channel_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best, and the two best entity-graph hits that are not among them."""
-    ranked = channels(spark, sf_dir)
-    top = best(weighted_rrf(ranked).withColumnRenamed("fused", "score"), 10).select("query_id", "fact_id")
-    rest = ranked.where("channel = 'entity_graph'").join(top, ["query_id", "fact_id"], "left_anti")
-    added = rest.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("n <= 2")
-    return top.union(added.select("query_id", "fact_id"))
-
-
-@query(
-    "J1_consolidate_action",
-    f"WITH {SQL_TOPK.format(on='f.fact_id <> q.fact_id')}, c AS (SELECT k.query_id, k.fact_id, 0.4 * (k.label = o.label)::INT + 0.6 * similarity AS score, k.label = o.label AS same FROM k JOIN vectors o ON o.fact_id = k.query_id WHERE rank <= 5), b AS (SELECT query_id, max(score) AS score, bool_or(same) AS same FROM c GROUP BY query_id) SELECT query_id, round(score, 6) AS score, CASE WHEN score > 0.95 THEN 'noop' WHEN score > 0.55 AND same THEN 'update' ELSE 'add' END AS action FROM b",
-)
-def j1_consolidate_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a new fact does: 0.4 shared entity + 0.6 cosine of its best candidate decides between noop, update and add."""
-    facts = views.vectors(spark, sf_dir).select("fact_id", "label")
-    asked = facts.select(F.col("fact_id").alias("query_id"), F.col("label").alias("own"))
-    near = topk(query_vectors(spark, sf_dir), views.vectors(spark, sf_dir), 6).where("fact_id <> query_id")
-    near = near.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("n <= 5").join(facts, "fact_id").join(asked, "query_id")
-    same = F.col("label") == F.col("own")
-    top = near.groupBy("query_id").agg(F.max(0.4 * same.cast("int") + 0.6 * F.col("similarity")).alias("s"), F.bool_or(same).alias("same"))
-    action = F.when(F.col("s") > 0.95, "noop").when((F.col("s") > 0.55) & F.col("same"), "update").otherwise("add")
-    return top.select("query_id", F.round("s", 6).alias("score"), action.alias("action"))
-
-
-@query(
-    "J9_invalidate_facts",
-    f"WITH {SQL_TOPK.format(on='true')}, d AS (SELECT query_id, fact_id, list_dot_product(qvec, qvec) AS aa, list_dot_product(fvec, fvec) AS bb, list_dot_product(qvec, fvec) AS ab FROM k WHERE rank BETWEEN 2 AND 10), sv AS (SELECT fact_id, max(sqrt(aa + bb - 2 * ab) / (sqrt(aa) + sqrt(bb))) AS severity FROM d GROUP BY fact_id) SELECT fact_id, round(severity, 6) AS severity, TIMESTAMP '{views.NOW}' AS valid_until FROM sv WHERE severity > 0.45",
-)
-def j9_invalidate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts whose worst contradiction with a neighbour is over 0.45 end now."""
-    near = neighbours(spark, sf_dir, 10).where("rank >= 2")
-    apart = F.sqrt(dot("qvec", "qvec") + dot("vec", "vec") - 2 * dot("qvec", "vec")) / (norm("qvec") + norm("vec"))
-    worst = near.groupBy("fact_id").agg(F.max(apart).alias("s")).where("s > 0.45")
-    return worst.select("fact_id", F.round("s", 6).alias("severity"), views.now().alias("valid_until"))
-
-
 @query(
     "J20_hebbian_code_links",
     "WITH c AS (SELECT e.src AS node, n.file_path, count(*) AS shared FROM edges e JOIN nodes n ON n.node_id = e.dst WHERE e.weight >= 0.5 GROUP BY ALL) SELECT node, file_path, round(least(0.8, 0.3 + 0.1 * shared), 6)::DOUBLE AS weight FROM c",

@@ -79,35 +79,6 @@ def f3_cross_channel_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_rrf(ranked).join(groups, ["query_id", "fact_id"]).select("query_id", "fact_id", F.round(F.col("fused") * factor, 6).alias("boosted"))
 
 
-@query(
-    "F4_scene_expand",
-    f"""WITH {SQL_CHANNELS}, {SQL_RRF}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, fact_id) AS rank FROM f), t AS (SELECT query_id, label, max(fused) AS fused FROM r JOIN vectors USING (fact_id) WHERE rank <= 5 GROUP BY query_id, label),
-    m AS (SELECT fact_id, label FROM vectors), x AS (SELECT query_id, m.fact_id, 0.8 * max(fused) AS score FROM t JOIN m USING (label) GROUP BY query_id, m.fact_id)
-    SELECT query_id, fact_id, round(score, 6) AS score FROM x WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.query_id = x.query_id AND f.fact_id = x.fact_id)""",
-)
-def f4_scene_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scene mates (scene = label) of the five best facts, at 0.8 of the best score, if not yet there."""
-    fused = weighted_rrf(channels(spark, sf_dir))
-    facts = views.vectors(spark, sf_dir).select("fact_id", "label")
-    top = best(fused.withColumnRenamed("fused", "score"), 5).join(facts, "fact_id").groupBy("query_id", "label").agg(F.max("score").alias("s"))
-    mates = top.join(facts, "label").groupBy("query_id", "fact_id").agg((0.8 * F.max("s")).alias("score"))
-    return mates.join(fused, ["query_id", "fact_id"], "left_anti").select("query_id", "fact_id", F.round("score", 6).alias("score"))
-
-
-@query(
-    "F6_session_diversity",
-    f"""WITH {SQL_BM25}, x AS (SELECT r.query_id, r.fact_id, r.rank, session_id, row_number() OVER (PARTITION BY r.query_id, session_id ORDER BY r.rank) AS nth FROM r JOIN facts USING (fact_id) WHERE r.rank <= 50)
-    SELECT query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN nth = 1 THEN 0 ELSE 1 END, rank) AS rank FROM x""",
-)
-def f6_session_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fact of each session before all others."""
-    facts = views.facts(spark, sf_dir)
-    hits = bm25(views.queries(spark, sf_dir), facts, 50).select("query_id", "fact_id", "rank").join(facts.select("fact_id", "session_id"), "fact_id")
-    nth = F.row_number().over(W.partitionBy("query_id", "session_id").orderBy("rank"))
-    order = W.partitionBy("query_id").orderBy(F.when(F.col("nth") == 1, 0).otherwise(1), "rank")
-    return hits.withColumn("nth", nth).select("query_id", "fact_id", F.row_number().over(order).cast("long").alias("rank"))
-
-
 @query(
     "F8_blend_rerank",
     f"""WITH {SQL_BM25}, x AS (SELECT query_id, fact_id, score, access_count::DOUBLE AS e FROM r JOIN facts USING (fact_id) WHERE rank <= 30),
@@ -153,17 +124,6 @@ def f11_apply_channel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channels(spark, sf_dir).groupBy("query_id", "fact_id").agg(F.round(F.sum(F.col("score") * weight()), 6).alias("score"))
 
 
-@query(
-    "F12_forgetting_filter",
-    f"WITH {SQL_CHANNELS} SELECT query_id, channel, fact_id, round(score * CASE fact_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.3 END, 6) AS score FROM ch WHERE fact_id % 4 <> 3",
-)
-def f12_forgetting_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archived facts (zone 3 of id mod 4) go, warm and cold ones weigh 0.7 and 0.3."""
-    zone = F.col("fact_id") % 4
-    factor = F.when(zone == 0, 1.0).when(zone == 1, 0.7).otherwise(0.3)
-    return channels(spark, sf_dir).where(zone != 3).select("query_id", "channel", "fact_id", F.round(F.col("score") * factor, 6).alias("score"))
-
-
 @query("F13_temporal_validity_filter", "SELECT fact_id, valid_from FROM validity WHERE valid_until IS NULL")
 def f13_temporal_validity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.validity(spark, sf_dir).where("valid_until IS NULL").select("fact_id", "valid_from")
@@ -233,19 +193,3 @@ def f18_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.withColumn("used", used).where("used <= 4000").select("query_id", "fact_id", F.col("used").cast("long").alias("used"))
 
 
-@query("recall_pipeline")
-def f20_full_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """keyword and entity channels over documents, fused, rescored and cut to the ten best of each query."""
-    facts, asked = views.facts(spark, sf_dir), views.queries(spark, sf_dir)
-    words = bm25(asked, facts, 50).select("query_id", F.lit("bm25").alias("channel"), "fact_id", "score", "rank")
-    named = asked.select("query_id", F.explode(entities(F.col("text"))).alias("name"))
-    mentions = facts.select("fact_id", F.explode(entities(F.col("content"))).alias("name"))
-    shared = best(mentions.join(named, "name").groupBy("query_id", "fact_id").agg(F.count("*").cast("double").alias("score")), 50)
-    ranked = words.union(shared.select("query_id", F.lit("entity_graph"), "fact_id", "score", "rank"))
-    fused = weighted_rrf(ranked)
-    info = facts.select("fact_id", "session_id", "access_count", "confidence", F.length("content").alias("n"), F.datediff(views.now(), "created_at").alias("age"))
-    recency = 0.8 + 0.3 * F.pow(F.lit(2.0), -F.col("age") / (30 * F.least(F.lit(2.0), 1 + 0.1 * F.col("access_count"))))
-    size = F.when(F.col("n") < 20, 0.3).when(F.col("n") < 60, 0.7).otherwise(1.0)
-    scored = fused.join(info, "fact_id").withColumn("score", F.col("fused") * recency * size * (0.5 + F.col("confidence")))
-    top = best(scored.select("query_id", "fact_id", "score"), 10)
-    return top.withColumn("score", F.round(1 / (1 + F.exp(-F.col("score") * 2 / F.max("score").over(W.partitionBy("query_id")))), 4))

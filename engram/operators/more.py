@@ -111,19 +111,6 @@ def j6_auto_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("n", n).where("n <= 10 AND similarity >= 0.2").select("query_id", "fact_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(
-    "J11_hnsw_dedup",
-    f"WITH {SQL_TOPK.format(on='f.fact_id <> q.fact_id AND f.label = q.label')} SELECT query_id, min(fact_id) AS duplicate_of, count(*) AS n FROM k WHERE rank <= 6 AND similarity > 0.2 GROUP BY query_id",
-)
-def j11_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the six nearest with the same entity (label) those above 0.2 (0.95 for real embeddings); the least id stays."""
-    facts = views.vectors(spark, sf_dir)
-    asked = facts.where("fact_id % 20 = 0").select(F.col("fact_id").alias("query_id"), F.col("vec").alias("qvec"), "label")
-    scored = facts.join(F.broadcast(asked) if asked.count() < 4096 else asked, "label").where("fact_id <> query_id")
-    near = best(scored.select("query_id", "fact_id", (dot("qvec", "vec") / (norm("qvec") * norm("vec"))).alias("score")), 6).where("score > 0.2")
-    return near.groupBy("query_id").agg(F.min("fact_id").alias("duplicate_of"), count().alias("n"))
-
-
 @query("A23_adaptive_weights", "WITH r AS (SELECT agent_id, signal, row_number() OVER (PARTITION BY agent_id ORDER BY seen_at DESC, query_id, position, fact_id) AS n FROM signals) SELECT agent_id, round(avg((signal <> 'rejected')::INT), 6) AS relevant, avg((signal <> 'rejected')::INT) < 0.5 AS switched FROM r WHERE n <= 500 GROUP BY agent_id HAVING count(*) >= 20")
 def a23_adaptive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("agent_id").orderBy(F.desc("seen_at"), "query_id", "position", "fact_id")

@@ -182,28 +182,6 @@ def v10_semantic_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", rank).where("rank <= 10").select("query_id", "fact_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(
-    "V11_hopfield_channel",
-    f"""WITH {SQL_TOPK.format(on='true')}, a AS (SELECT query_id, fact_id, similarity, exp(4 * similarity) / sum(exp(4 * similarity)) OVER (PARTITION BY query_id) AS attention FROM k WHERE rank <= 20)
-    SELECT query_id, fact_id, round(attention, 6) AS attention FROM a WHERE similarity > 0""",
-)
-def v11_hopfield_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax attention (beta 4) of a query over its nearest facts."""
-    near = topk(query_vectors(spark, sf_dir), views.vectors(spark, sf_dir), 20)
-    e = F.exp(4 * F.col("similarity"))
-    return near.withColumn("attention", e / F.sum(e).over(W.partitionBy("query_id"))).where("similarity > 0").select("query_id", "fact_id", F.round("attention", 6).alias("attention"))
-
-
-@query(
-    "V12_hopfield_energy",
-    f"WITH {SQL_TOPK.format(on='true')} SELECT query_id, round(-ln(sum(exp(4 * similarity))) + 2.0, 6) AS energy FROM k WHERE rank <= 20 GROUP BY query_id",
-)
-def v12_hopfield_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """-logsumexp(4 cos) + 4/2 for a unit query, over its nearest facts."""
-    near = topk(query_vectors(spark, sf_dir), views.vectors(spark, sf_dir), 20)
-    return near.groupBy("query_id").agg(F.round(-F.log(F.sum(F.exp(4 * F.col("similarity")))) + 2.0, 6).alias("energy"))
-
-
 def quantize(facts: DataFrame, bits: int, seed: int = 7) -> DataFrame:
     """(fact_id, radius float, codes binary): a random rotation, then each coordinate of the unit vector in `bits` bits."""
     schema = pa.schema([("fact_id", pa.int64()), ("radius", pa.float32()), ("codes", pa.binary()), ("error", pa.float64())])
