@@ -208,15 +208,15 @@ def l15_code_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("fact_id").alias("node_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query(
-    "J16_code_entity_match",
-    f"""WITH {SQL_CODE_MENTIONS}, a AS (SELECT fact_id, mention, max(CASE WHEN kind IN ('backtick', 'call', 'snake_call') THEN 0.05 ELSE 0 END) AS bonus FROM m GROUP BY fact_id, mention), u AS (SELECT DISTINCT mention FROM a),
+SQL_MATCH = f"""WITH {SQL_CODE_MENTIONS}, a AS (SELECT fact_id, mention, max(CASE WHEN kind IN ('backtick', 'call', 'snake_call') THEN 0.05 ELSE 0 END) AS bonus FROM m GROUP BY fact_id, mention), u AS (SELECT DISTINCT mention FROM a),
     x AS (SELECT word AS mention, min(node_id) AS node_id, 0.90 AS c FROM code GROUP BY word), y AS (SELECT word || '.run' AS mention, min(node_id) AS node_id, 0.85 AS c FROM code GROUP BY word),
     z AS (SELECT lower(directory) AS mention, min(node_id) AS node_id, 0.80 AS c FROM code GROUP BY 1), nn AS (SELECT name, min(node_id) AS node_id FROM code GROUP BY name),
     w AS (SELECT mention, min(node_id) AS node_id, 0.60 AS c FROM u JOIN nn ON length(mention) >= 4 AND contains(name, lower(mention)) GROUP BY mention),
     b AS (SELECT u.mention, coalesce(x.node_id, y.node_id, z.node_id, w.node_id) AS node_id, coalesce(x.c, y.c, z.c, w.c) AS c FROM u LEFT JOIN x ON x.mention = u.mention LEFT JOIN y ON y.mention = u.mention LEFT JOIN z ON z.mention = u.mention LEFT JOIN w ON w.mention = u.mention)
-    SELECT fact_id, a.mention, node_id, round(least(0.95, c + bonus), 6)::DOUBLE AS confidence FROM a JOIN b ON b.mention = a.mention WHERE node_id IS NOT NULL""",
-)
+    SELECT fact_id, a.mention, node_id, round(least(0.95, c + bonus), 6)::DOUBLE AS confidence FROM a JOIN b ON b.mention = a.mention WHERE node_id IS NOT NULL"""
+
+
+@query("J16_code_entity_match", SQL_MATCH)
 def j16_code_entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = code_mentions(remarks(spark, sf_dir))
     return match_mentions(found, code(spark, sf_dir)).select("fact_id", "mention", "node_id", F.round("confidence", 6).alias("confidence"))
