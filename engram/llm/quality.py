@@ -96,6 +96,7 @@ def train(texts: list[str | None], grades: list[int], rounds: int = 150, rate: f
         d_theta[row, y] -= up
         d_theta[row, y + 1] += down
         d_theta = d_theta[:, 1:-1].sum(axis=0) / len(y)
+        # Of the log-likelihood, less a penalty on the weights.
         gradient = np.concatenate((np.bincount(column, weights=d_score[owner] * value, minlength=size) - decay * w, [d_theta.sum()], [d_theta[j:].sum() * gaps[j - 1] for j in range(1, k)]))
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         state = state + rate / np.sqrt(t) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -104,25 +105,39 @@ def train(texts: list[str | None], grades: list[int], rounds: int = 150, rate: f
     return Model(state[:size].astype(np.float32), state[size] + np.concatenate(([0.0], np.cumsum(gaps))), known)
 
 
-def rated(docs: DataFrame, ratings: DataFrame, folds: int, held_out: int, most_rows: int) -> DataFrame:
-    """(text, grade) of at most `most_rows` rated rows outside the held-out fold, chosen by a hash of doc_id."""
+def rated(docs: DataFrame, ratings: DataFrame, folds: int, held_out: int, most_rows: int, most_chars: int) -> list[tuple[str | None, int]]:
+    """(text, grade) of at most `most_rows` rated rows and `most_chars` characters outside the held-out fold, in hash order.
+
+    Ids are chosen first, then lengths are read, then the rows up to the limit: a repeated doc_id counts for each row.
+    """
     known = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % folds != held_out)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade").orderBy(F.xxhash64("doc_id"), "text")
-
-
-def quality(docs: DataFrame, ratings: DataFrame, least: int, probability: float = 0.5, folds: int = 5, held_out: int = 0, most_rows: int = 4_000) -> DataFrame:
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade", F.xxhash64("doc_id", "text").alias("hash"))
+    sizes = rows.select("hash", "doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("hash", "doc_id").limit(most_rows).collect()
+    total, keep = 0, set()
+    for h, doc, n in sizes:
+        if total + n <= most_chars:
+            total += n
+            keep.add((doc, h))
+    wanted = docs.sparkSession.createDataFrame(sorted(keep), "doc_id long, hash long")
+    found = rows.join(F.broadcast(wanted), ["doc_id", "hash"]).orderBy("hash", "doc_id").limit(len(sizes))
+    return [(r.text, r.grade) for r in found.collect()]
+
+
+def quality(
+    docs: DataFrame, ratings: DataFrame, least: int, probability: float = 0.5, folds: int = 5, held_out: int = 0, most_rows: int = 4_000, most_chars: int = 12_000_000
+) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability of grade `least` or more, and kept, for every row of `docs`.
 
-    ratings: (doc_id, grade int), any number of ordered grades. The model learns from at most `most_rows` rated rows
-    outside the held-out fold (crc32 of doc_id as text mod `folds`); of several ratings of a doc_id the best counts.
+    ratings: (doc_id, grade int), any number of ordered grades. The model learns from at most `most_rows` rated rows and
+    `most_chars` characters outside the held-out fold (crc32 of doc_id as text mod `folds`); of several ratings of a doc_id the best counts.
     With fewer than two grades all texts get the one grade (0 without any) and are kept. Null and empty texts are scored
     by their traits alone, equal rows alike, a null doc_id stays null and counts as held out, other columns are not
     read, and an empty table gives no rows.
     """
-    rows = rated(docs, ratings, folds, held_out, most_rows).collect()
-    model = train([r.text for r in rows], [r.grade for r in rows])
+    rows = rated(docs, ratings, folds, held_out, most_rows, most_chars)
+    model = train([text for text, _ in rows], [grade for _, grade in rows])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +155,8 @@ def quality(docs: DataFrame, ratings: DataFrame, least: int, probability: float
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 poor, 1 good but toxic, 2 good and clean. Kept: grade 1 or better is the likelier."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    ratings = common.read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality").isNotNull(), grade).alias("grade"))
+    """Grades: 0 poor, 1 good but toxic, 2 good and clean; a good one of unknown toxicity has none. Kept: grade 1 or better is
+    the likelier."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
+    ratings = common.read(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
     return quality(common.read(spark, sf_dir, "documents"), ratings, least=1)

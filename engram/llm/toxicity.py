@@ -16,6 +16,7 @@ computed only where a bound on the score does not settle the text's strongest st
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import string
@@ -82,8 +83,8 @@ class Stretches:
         k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         ends.append(np.minimum(begin[which] + k * STEP + WIDTH, end[which]))
         starts.append(ends[-1] - WIDTH)
-        self.start, self.end = np.concatenate(starts), np.concatenate(ends)
-        self.owner = np.searchsorted(np.cumsum([len(x) + 1 for x in prepared]), self.start, side="right")
+        self.start, self.end = np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)
+        self.owner = np.searchsorted(np.cumsum([len(x) + 1 for x in prepared]), self.start, side="right").astype(np.int32)
 
     def string(self, i: int) -> bytes:
         return self.code[self.start[i] : self.end[i]].astype(np.uint8).tobytes()
@@ -100,7 +101,7 @@ def subsequences(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
             key = (c[:, : WIDTH - b] * LETTERS + c[:, a : WIDTH - b + a]) * LETTERS + c[:, b:]
             keys.append(np.where(inside[:, b:], key, -1))
             weights.append(np.full(WIDTH - b, w))
-    key, weight = np.concatenate(keys, axis=1), np.concatenate(weights)
+    key, weight = np.concatenate(keys, axis=1, dtype=np.int32), np.concatenate(weights)
     order = np.argsort(key, axis=1)
     key = np.take_along_axis(key, order, axis=1).ravel()
     value = weight[order].ravel()
@@ -130,15 +131,15 @@ class Model:
 
     def sums(self, s: Stretches) -> np.ndarray:
         """Sum of the weights of all subsequences of each stretch, before its length divides it."""
-        first, second = s.code * (LETTERS * LETTERS), s.code * LETTERS
         out = np.zeros(len(s.start))
         for b in range(2, SPAN):
             if len(s.code) <= b:
                 break
             got = np.zeros(len(s.code) - b, dtype=np.float32)
             for a in range(1, b):
-                got += self.table[first[: len(got)] + second[a : a + len(got)] + s.code[b:]]
-            upto = np.concatenate(([0.0], np.cumsum(got, dtype=np.float64)))
+                got += self.table[(s.code[: len(got)] * LETTERS + s.code[a : a + len(got)]) * LETTERS + s.code[b:]]
+            upto = np.zeros(len(got) + 1)
+            np.cumsum(got, dtype=np.float64, out=upto[1:])
             out += DECAY ** (b + 1) * np.where(s.end - s.start > b, upto[np.clip(s.end - b, 0, len(got))] - upto[np.minimum(s.start, len(got))], 0.0)
         return out
 
@@ -152,14 +153,14 @@ class Model:
         first = True
         while len(todo):
             # The one of each text with the largest bound first, then all whose bounds are still above what was found.
-            now = todo[np.diff(s.owner[todo], prepend=-1) != 0] if first else todo[: 1 << 15]
+            now = todo[np.diff(s.owner[todo], prepend=-1) != 0] if first else todo[: 1 << 12]
             row, key, value = subsequences(s.code, s.start[now], s.end[now])
             got = np.bincount(row, weights=value * self.table[key], minlength=len(now))
             order = np.argsort(got, kind="stable")
             who, got, at = s.owner[now][order], got[order], now[order]
             better = got > best[who]
             best[who[better]], which[who[better]] = got[better], at[better]  # ascending: the largest is written last
-            todo = np.setdiff1d(todo, now, assume_unique=True) if first else todo[1 << 15 :]
+            todo = np.setdiff1d(todo, now, assume_unique=True) if first else todo[1 << 12 :]
             todo = todo[bound[todo] > best[s.owner[todo]]]
             first = False
         return best + self.bias, which
@@ -210,28 +211,34 @@ def _evidence(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
     return 2 * (toxic * math.log(rate / share) + (clean * math.log((1 - rate) / (1 - share)) if clean else 0.0))
 
 
-def _strengths(prepared: list[str], toxic: np.ndarray, least: float) -> tuple[dict[str, float], list[tuple[int, str]], Counter]:
-    """Words whose counts mark toxic texts, with their evidence; the words of toxic texts; and counts in clean texts."""
+def _strengths(prepared: list[str], toxic: np.ndarray, least: float) -> tuple[dict[str, float], list[tuple[int, str]], set[str]]:
+    """Words whose counts mark toxic texts, with their evidence; the words of toxic texts; and words of clean texts.
+
+    Only words, and beginnings of words, of toxic texts are counted.
+    """
     stems = lambda w: [w[:k] for k in range(4, min(len(w), 8))]
-    words, begins = (Counter(), Counter()), (Counter(), Counter())
-    mine: list[tuple[int, str]] = []
-    for i, (text, y) in enumerate(zip(prepared, toxic.tolist(), strict=True)):
-        bag = words_of(text)
-        words[y].update(bag)
-        begins[y].update({s for w in bag for s in stems(w)})
-        if y:
-            mine += [(i, w) for w in bag]
+    mine = [(i, w) for i in np.flatnonzero(toxic).tolist() for w in words_of(prepared[i])]
     ever, never = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    found = {s: e for s in begins[1] if (e := _evidence(begins[1][s], begins[0][s], ever, never)) >= least}
+    words, begins = Counter(w for _, w in mine), Counter()
+    for _, group in itertools.groupby(mine, key=lambda x: x[0]):
+        begins.update({s for _, w in group for s in stems(w)})
+    clean_words, clean_begins = Counter(), Counter()
+    seen: set[str] = set()
+    for i in np.flatnonzero(toxic == 0).tolist():
+        bag = words_of(prepared[i])
+        clean_words.update(bag & words.keys())
+        clean_begins.update({s for w in bag for s in stems(w) if s in begins})
+        seen |= bag
+    found = {s: e for s, n in begins.items() if (e := _evidence(n, clean_begins[s], ever, never)) >= least}
     strength = {}
-    for w, n in words[1].items():
+    for w, n in words.items():
         # A word seen often speaks for itself, a rare one by its first letters.
-        e = _evidence(n, words[0][w], ever, never)
-        if n + words[0][w] < 5:
+        e = _evidence(n, clean_words[w], ever, never)
+        if n + clean_words[w] < 5:
             e = max([e, *(found.get(s, 0.0) for s in stems(w))])
         if e >= least / 2:
             strength[w] = e
-    return strength, mine, words[0]
+    return strength, mine, seen
 
 
 def _spread(names: list[str], codes: np.ndarray, most: int, near: float = 0.7) -> list[str]:
@@ -250,30 +257,55 @@ def _spread(names: list[str], codes: np.ndarray, most: int, near: float = 0.7) -
     return kept
 
 
-def _different(s: Stretches, rows: np.ndarray, most: int) -> np.ndarray:
-    """The first `most` of the given stretches that are different strings."""
-    seen: set[bytes] = set()
-    out = []
+def _blocks(prepared: list[str], most: int = 400_000) -> Iterator[list[str]]:
+    """The texts in parts of about `most` characters, or one longer text."""
+    held, size = [], 0
+    for text in prepared:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def _different(s: Stretches, rows: np.ndarray, most: int) -> list[bytes]:
+    """The first `most` different strings of the given stretches."""
+    seen: dict[bytes, None] = {}
     for i in rows.tolist():
-        if len(out) >= most:
+        if len(seen) >= most:
             break
-        if (x := s.string(i)) not in seen:
-            seen.add(x)
-            out.append(i)
-    return np.array(out, dtype=np.int64)
-
-
-def _features(s: Stretches, rows: np.ndarray, place: np.ndarray, whiten: np.ndarray, step: int = 256) -> np.ndarray:
-    """Nystroem features of the given stretches, a few at a time. place: subsequence -> row of whiten, or -1."""
-    out = np.zeros((len(rows), whiten.shape[1]))
-    for at in range(0, len(rows), step):
-        some = rows[at : at + step]
-        row, key, value = subsequences(s.code, s.start[some], s.end[some])
+        seen.setdefault(s.string(i))
+    return list(seen)
+
+
+def _hardest(model: Model, clean: list[str], most: int) -> list[bytes]:
+    """The `most` different stretches of clean texts that the model scores highest, by the bound on their scores."""
+    found: dict[bytes, float] = {}
+    for block in _blocks(clean):
+        s = Stretches(block, model.codes)
+        top = model.sums(s) / _LEAST[s.end - s.start]
+        first = np.argpartition(-top, min(20 * most, len(top) - 1))[: 20 * most] if len(top) else np.zeros(0, dtype=np.int64)
+        first = first[np.lexsort((first, -top[first]))]
+        value = dict(zip((s.string(i) for i in first[::-1].tolist()), top[first[::-1]].tolist(), strict=True))  # the best of equal ones
+        found |= {x: max(v, found.get(x, v)) for x, v in itertools.islice(reversed(value.items()), most)}
+    return sorted(found, key=lambda x: (-found[x], x))[:most]
+
+
+def _features(strings: list[bytes], place: np.ndarray, whiten: np.ndarray, step: int = 256) -> np.ndarray:
+    """Nystroem features of coded stretches, a few at a time. place: subsequence -> row of whiten, or -1."""
+    code = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int32)
+    end = np.cumsum([len(x) for x in strings])
+    start = end - np.array([len(x) for x in strings])
+    out = np.zeros((len(strings), whiten.shape[1]))
+    for at in range(0, len(strings), step):
+        row, key, value = subsequences(code, start[at : at + step], end[at : at + step])
         known = place[key] >= 0
         row, key, value = row[known], key[known], value[known]
         if len(row):
             first = np.flatnonzero(np.diff(row, prepend=-1))
-            out[at + row[first]] = np.add.reduceat(whiten[place[key]] * value[:, None], first, axis=0)
+            out[at + row[first]] = np.add.reduceat(whiten[place[key]] * value[:, None].astype(np.float32), first, axis=0)
     return out
 
 
@@ -319,38 +351,39 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int
         row, key, value = weights(part)
         near += np.bincount(row, weights=value * ideal[key], minlength=len(part)).tolist()
     marks = strong + [vocabulary[i] for i in np.argsort(-np.array(near), kind="stable")[: landmarks - len(strong)]]
+    del clean_words, vocabulary, near
     row, key, value = weights(marks)
     names = np.unique(key)
     place = np.full(LETTERS**3, -1, dtype=np.int64)
     place[names] = np.arange(len(names))
-    base = np.zeros((len(marks), len(names)))
+    base = np.zeros((len(marks), len(names)), dtype=np.float32)
     base[row, place[key]] = value
-    spectrum, vectors = np.linalg.eigh(base @ base.T)
+    spectrum, vectors = np.linalg.eigh(base.astype(np.float64) @ base.astype(np.float64).T)
     keep = spectrum > 1e-4
-    whiten = (base.T @ (vectors[:, keep] / np.sqrt(spectrum[keep]))).astype(np.float32)  # subsequences -> Nystroem features
-    s = Stretches(prepared, empty.codes)
+    whiten = base.T @ (vectors[:, keep] / np.sqrt(spectrum[keep])).astype(np.float32)  # subsequences -> Nystroem features
+    del base
     # Witnesses are stretches of one strong word in toxic texts, the strongest evidence of a text first.
-    def coded(w: str) -> bytes:
-        return Stretches([f" {w[: WIDTH - 2]} "], empty.codes).string(0)
-
-    known = {coded(w): e for w, e in strength.items()}
-    able = np.array([i for i in np.flatnonzero(toxic[s.owner] == 1).tolist() if s.string(i) in known], dtype=np.int64)
+    s = Stretches([x for x, y in zip(prepared, toxic, strict=True) if y], empty.codes)
+    known = {Stretches([f" {w[: WIDTH - 2]} "], empty.codes).string(0): e for w, e in strength.items()}
+    able = np.array([i for i in range(len(s.start)) if s.string(i) in known], dtype=np.int64)
     merit = np.array([known[s.string(i)] for i in able.tolist()])
-    clean = np.flatnonzero(toxic[s.owner] == 0)
-    spaced = _different(s, clean[np.linspace(0, len(clean) - 1, min(4 * sample, len(clean))).astype(np.int64)], sample)
+    clean = [x for x, y in zip(prepared, toxic, strict=True) if not y]
+    spaced: dict[bytes, None] = {}
+    total = sum(map(len, clean))
+    for block in _blocks(clean):
+        part = Stretches(block, empty.codes)
+        share = -(-sample * sum(map(len, block)) // total)
+        at = np.linspace(0, len(part.start) - 1, min(4 * share, len(part.start))).astype(np.int64)
+        spaced |= dict.fromkeys(_different(part, at, share))
     model = Model(letters, ideal, 0.0)
     for _ in range(passes):
         order = np.lexsort((-merit, s.owner[able]))
         witness = able[order[np.flatnonzero(np.diff(s.owner[able[order]], prepend=-1))]]
         often = Counter(map(s.string, witness.tolist()))
-        positive = _different(s, witness, len(witness))
-        top = model.sums(s)[clean] / _LEAST[(s.end - s.start)[clean]]
-        first = np.argpartition(-top, min(20 * hard, len(top) - 1))[: 20 * hard]
-        worst = _different(s, clean[first[np.argsort(-top[first], kind="stable")]], hard)
-        negative = np.union1d(worst, spaced)
-        x = np.concatenate((_features(s, positive, place, whiten), _features(s, negative, place, whiten)))
+        positive, negative = sorted(often), sorted({*_hardest(model, clean, hard), *spaced})
+        x = np.concatenate((_features(positive, place, whiten), _features(negative, place, whiten)))
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        n = np.concatenate((np.sqrt([often[s.string(i)] for i in positive.tolist()]), np.ones(len(negative))))
+        n = np.concatenate((np.sqrt([often[k] for k in positive]), np.ones(len(negative))))
         n[: len(positive)] /= 2 * n[: len(positive)].sum()
         n[len(positive) :] /= 2 * n[len(positive) :].sum()
         w, b = _svm(x, y, n)
@@ -359,7 +392,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int
         model = Model(letters, table, float(b))
         row, key, value = subsequences(s.code, s.start[able], s.end[able])
         merit = np.bincount(row, weights=value * table[key], minlength=len(able))
-    margin = model.strongest(s, len(rows))[0]
+    margin = np.concatenate([model.margins(block) for block in _blocks(prepared)])
     model.slope, model.shift = _calibrate(margin, toxic)
     return model
 
