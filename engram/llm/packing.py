@@ -27,13 +27,14 @@ PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, p
 class SumIndex:
     """Combinations of one, two and three lengths by their sum, larger lengths first.
 
-    The combinations of a sum are listed once, when it is first asked for, from the lengths that occur at all. Counts of
-    free pieces only fall, so a combination that is short of a length stays so: each list has a mark up to which all
-    are spent, which only moves forward.
+    The combinations of a sum are listed when it is asked for, from the lengths that occur at all. Counts of free pieces
+    only fall, so a combination that is short of a length stays so: each list has a mark up to which all are spent, which
+    only moves forward. The `most` lists asked for last are in memory, some 100 MB at a limit of 1,024; others are listed
+    again when they are needed, and keep their marks.
     """
 
-    def __init__(self, free: np.ndarray):
-        self.free, self.occurs = free, free > 0
+    def __init__(self, free: np.ndarray, most: int = 200):
+        self.free, self.occurs, self.most = free, free > 0, most
         self.lists: dict[int, list[np.ndarray]] = {}
         self.marks: dict[int, list[int]] = {}
 
@@ -47,8 +48,10 @@ class SumIndex:
         first = np.repeat(a, n)
         second = np.repeat(high, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         three = np.stack((first, second, total - first - second), axis=1)
-        self.lists[total] = [x[self.occurs[x].all(axis=1)] for x in (one, two, three)]
-        self.marks[total] = [0, 0, 0]
+        self.lists[total] = [x[self.occurs[x].all(axis=1)].astype(np.uint16) for x in (one, two, three)]
+        self.marks.setdefault(total, [0, 0, 0])
+        if len(self.lists) > self.most:
+            del self.lists[next(iter(self.lists))]
 
     @staticmethod
     def _enough(rows: np.ndarray, free: np.ndarray) -> np.ndarray:
@@ -61,7 +64,9 @@ class SumIndex:
 
     def find(self, total: int, taken: list[int], step: int = 512) -> list[int] | None:
         """One, two or three free lengths with this sum, beside the taken ones."""
-        if total not in self.lists:
+        if total in self.lists:
+            self.lists[total] = self.lists.pop(total)  # asked for last
+        else:
             self._add(total)
         left = self.free
         if taken:

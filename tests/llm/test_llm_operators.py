@@ -268,7 +268,7 @@ def test_sum_index_finds_what_enumeration_finds():
     rng = np.random.default_rng(6)
     for _ in range(20):
         free = np.concatenate(([0], rng.integers(0, 3, 30)))
-        index = packing.SumIndex(free)
+        index = packing.SumIndex(free, most=3)
         for _ in range(40):
             total, taken = int(rng.integers(1, 31)), rng.choice(np.flatnonzero(free), 1).tolist() if free.any() else []
             left = free.copy()
