@@ -9,27 +9,28 @@ from engram.llm import toxicity as toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; null and empty texts, repeated rows and null doc_ids as in `without_toxic`."""
     return toxic.without_toxic(docs, common.read(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, similarity 0.8."""
+    """One document of each group stays: shingles of five words, similarity 0.8. Null and empty texts stay, one of each doc_id;
+    of equal rows one stays."""
     return near_duplicates.one_of_each(docs, size=5, percent=80)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that repeat anywhere are cut out of the texts; all documents stay."""
+    """Strings of 200 bytes that repeat anywhere are cut out of the texts; all documents stay, null texts stay null."""
     return suffix_dedup.without_repeats(docs, length=200)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a test item go."""
+    """Documents that leak a test item go; null and empty texts leak nothing."""
     return decontamination.without_leaks(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of at most 1,024 tokens, with its sequence and its place there."""
+    """A row for each piece of at most 1,024 tokens, with its sequence and its place there; a null text is one end token."""
     return packing.pack(docs)
 
 
@@ -46,7 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each but the last is written as Parquet and read by the next."""
+    """All stages over `documents`; each but the last is written as Parquet and read by the next.
+
+    Extra columns of any name pass through all stages but the last, and an empty table gives no rows.
+    """
     scratch = common.Scratch(spark, "pipeline")
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:

@@ -129,10 +129,11 @@ def requery(prompts: DataFrame, within: int = 60) -> DataFrame:
             out.append((key[0], turn, last == sig and now - at <= within))
             last, at = sig, now
         state.update((last, at))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(at * 1000 + 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "turn", "again"])
 
-    return signed.groupBy("session_id").applyInPandasWithState(follow, "session_id long, turn long, again boolean", "sig string, at long", "append", "ProcessingTimeTimeout")
+    late = signed.withWatermark("ts", "10 minutes")
+    return late.groupBy("session_id").applyInPandasWithState(follow, "session_id long, turn long, again boolean", "sig string, at long", "append", "EventTimeTimeout")
 
 
 @query(
@@ -165,10 +166,12 @@ def topic_shifts(prompts: DataFrame, back: int = 5, least_words: int = 5, least_
             out.append((key[0], turn, len(mine) >= least_words and len(held) >= least_prior and not any(mine & set(x) for x in held)))
             held = [*held, sorted(mine)][-back:]
         state.update((held,))
-        state.setTimeoutDuration(86_400_000)
+        last = int(rows["ts"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last + 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "turn", "shift"])
 
-    return worded.groupBy("session_id").applyInPandasWithState(follow, "session_id long, turn long, shift boolean", "held array<array<string>>", "append", "ProcessingTimeTimeout")
+    late = worded.withWatermark("ts", "10 minutes")
+    return late.groupBy("session_id").applyInPandasWithState(follow, "session_id long, turn long, shift boolean", "held array<array<string>>", "append", "EventTimeTimeout")
 
 
 def content_words(text):
