@@ -25,8 +25,8 @@ def postings(facts: DataFrame) -> DataFrame:
     return each.groupBy("term", "fact_id", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, facts: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, fact_id, score, rank): the k best facts of each query by BM25, any term matches.
+def bm25(queries: DataFrame, facts: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, delta: float = 0.0) -> DataFrame:
+    """(query_id, fact_id, score, rank): the k best facts of each query by BM25 (BM25+ with a delta), any term matches.
 
     Query terms filter the postings before anything is grouped; corpus statistics are one row. Ranks of the
     hits run in two steps, within hash parts of a query and then over the parts' best, so that no query's hits meet in
@@ -39,7 +39,7 @@ def bm25(queries: DataFrame, facts: DataFrame, k: int, k1: float = 1.2, b: float
     stats = facts.select(F.size(tokens("content")).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     weighted = wanted.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    w = idf * (delta + F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))))
     scored = weighted.select("term", "fact_id", w.alias("w")).join(terms, "term").groupBy("query_id", "fact_id").agg(F.sum("w").alias("score"))
     return best(scored, k)
 

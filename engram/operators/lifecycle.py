@@ -99,18 +99,6 @@ def y7_time_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facts(spark, sf_dir).select("fact_id", state.alias("state"))
 
 
-@query(
-    "Y8_fisher_confidence",
-    "WITH c AS (SELECT fact_id, 1 / (1 + (list_sum(list_transform(vec, lambda x: x * x * 4))) / len(vec)) + least(0.02 * access_count, 0.2) AS c FROM vectors) SELECT fact_id, round(c, 6)::DOUBLE AS confidence, CASE WHEN c > 1.1 THEN 'stabilise' WHEN c > 0.95 THEN 'neutral' ELSE 'fade' END AS band FROM c",
-)
-def y8_fisher_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1 / (1 + mean variance) plus 0.02 for each use up to 0.2, in three bands."""
-    mean = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x * 4) / F.size("vec")
-    c = 1 / (1 + mean) + F.least(0.02 * F.col("access_count"), F.lit(0.2))
-    scored = views.vectors(spark, sf_dir).select("fact_id", c.alias("c"))
-    return scored.select("fact_id", F.round("c", 6).alias("confidence"), F.when(F.col("c") > 1.1, "stabilise").when(F.col("c") > 0.95, "neutral").otherwise("fade").alias("band"))
-
-
 @query(
     "Y9_coupled_weight",
     f"WITH {SQL_RETENTION} SELECT fact_id, round(importance * CASE zone WHEN 'active' THEN 1.0 WHEN 'warm' THEN 0.7 WHEN 'cold' THEN 0.3 ELSE 0 END, 6)::DOUBLE AS weight, round(15 * (1 + 0.5 * (1 - retention)), 6)::DOUBLE AS temperature FROM ret",
@@ -127,30 +115,6 @@ def y10_precision_from_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _retention(spark, sf_dir).select("fact_id", F.when(r > 0.8, 32).when(r > 0.5, 8).when(r > 0.2, 4).when(r > 0.05, 2).otherwise(0).alias("bits"))
 
 
-@query(
-    "Y11_precision_from_centrality",
-    """WITH d AS (SELECT node, count(*) AS degree, sum(weight) AS pr FROM (SELECT src AS node, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY node), m AS (SELECT max(degree) AS md, max(pr) AS mp FROM d),
-    c AS (SELECT node, 0.6 * pr / mp + 0.4 * degree / md AS c FROM d CROSS JOIN m) SELECT node, (CASE WHEN c > 0.75 THEN 32 WHEN c > 0.5 THEN 8 WHEN c > 0.25 THEN 4 ELSE 2 END)::INT AS bits FROM c""",
-)
-def y11_precision_from_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = views.edges(spark, sf_dir)
-    nodes = edges.select(F.col("src").alias("node"), "weight").union(edges.select("dst", "weight")).groupBy("node").agg(F.count("*").alias("degree"), F.sum("weight").alias("pr"))
-    top = nodes.agg(F.max("degree").alias("md"), F.max("pr").alias("mp"))
-    c = 0.6 * F.col("pr") / F.col("mp") + 0.4 * F.col("degree") / F.col("md")
-    return nodes.crossJoin(F.broadcast(top)).select("node", F.when(c > 0.75, 32).when(c > 0.5, 8).when(c > 0.25, 4).otherwise(2).alias("bits"))
-
-
-@query(
-    "Y12_reward_gated_archive",
-    "SELECT node_id AS fact_id, '{\"id\":' || node_id || ',\"name\":\"' || name || '\"}' AS payload FROM nodes WHERE NOT EXISTS (SELECT 1 FROM outcomes WHERE outcomes.fact_id = node_id AND reward > 0.9)",
-)
-def y12_reward_gated_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts without a high reward, as JSON."""
-    good = views.outcomes(spark, sf_dir).where("reward > 0.9").select(F.col("fact_id").alias("node_id"))
-    kept = views.nodes(spark, sf_dir).join(good, "node_id", "left_anti")
-    return kept.select(F.col("node_id").alias("fact_id"), F.to_json(F.struct(F.col("node_id").alias("id"), "name")).alias("payload"))
-
-
 @query("Y13_promote_facts", "SELECT fact_id, count(*) AS accesses FROM access JOIN facts USING (fact_id) WHERE confidence >= 0.5 GROUP BY fact_id HAVING count(*) >= 3")
 def y13_promote_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     able = views.facts(spark, sf_dir).where("confidence >= 0.5").select("fact_id")

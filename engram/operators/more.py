@@ -87,19 +87,6 @@ def v15_mixed_precision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(out, 10).select("query_id", "fact_id", F.round("score", 6).alias("similarity"), "rank")
 
 
-@query(
-    "L3_bm25plus_phrase",
-    f"""WITH {SQL_BM25}, x AS (SELECT s.query_id, s.fact_id, s.score * CASE WHEN contains(lower(content), lower(text)) THEN 1.5 ELSE 1.0 END AS score FROM r s JOIN facts ON facts.fact_id = s.fact_id JOIN queries ON queries.query_id = s.query_id WHERE s.rank <= 50),
-    y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fact_id) AS rank FROM x) SELECT query_id, fact_id, round(score, 6) AS score FROM y WHERE rank <= 10""",
-)
-def l3_bm25plus_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 best by keywords, 1.5 times those that contain the whole query; the best ten."""
-    facts, asked = views.facts(spark, sf_dir), views.queries(spark, sf_dir)
-    hits = bm25(asked, facts, 50).drop("rank").join(asked, "query_id").join(facts.select("fact_id", "content"), "fact_id")
-    factor = F.when(F.lower("content").contains(F.lower("text")), 1.5).otherwise(1.0)
-    return best(hits.select("query_id", "fact_id", (F.col("score") * factor).alias("score")), 10).select("query_id", "fact_id", F.round("score", 6).alias("score"))
-
-
 @query(
     "J6_auto_link",
     f"WITH {SQL_TOPK.format(on='f.fact_id <> q.fact_id')} SELECT query_id, fact_id, round(similarity, 6) AS similarity FROM k WHERE rank <= 10 AND similarity >= 0.2",
@@ -127,15 +114,3 @@ def b11_topic_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("k", F.row_number().over(W.partitionBy("profile_id").orderBy(F.desc("n"), "word"))).where("k <= 15").drop("k")
 
 
-@query("B21_train_ranker")
-def b21_train_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted regression on the relevance of (query, fact) rows, and the mean reciprocal rank that it gives."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    s = views.signals(spark, sf_dir).select("query_id", "fact_id", F.col("position").cast("double").alias("p"), (F.col("fact_id") % 12).cast("double").alias("used"), (F.col("fact_id") % 3 == 0).cast("double").alias("label"), (F.col("fact_id") % 3).cast("double").alias("kind"))
-    rows = VectorAssembler(inputCols=["p", "used", "kind"], outputCol="x").transform(s)
-    model = GBTRegressor(featuresCol="x", labelCol="label", maxIter=5, maxDepth=3, seed=1).fit(rows)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("prediction"), "fact_id"))
-    ranked = model.transform(rows).withColumn("rank", rank)
-    return ranked.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("label") > 0, 1.0 / F.col("rank"))), F.lit(0.0)).alias("rr")).agg(F.round(F.avg("rr"), 6).alias("mrr"), count().alias("queries"))
