@@ -65,6 +65,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
+def likelihood(state: np.ndarray, y: np.ndarray, column: np.ndarray, value: np.ndarray, n: np.ndarray, grades: int) -> tuple[float, np.ndarray]:
+    """Mean log-likelihood of the grades y and its gradient. state: weights, first threshold, logs of the gaps between
+    thresholds; column, value, n: features of all texts and how many each has."""
+    k = grades - 1
+    size = len(state) - k
+    begin = np.cumsum(n) - n
+    w, gaps = state[:size], np.exp(np.clip(state[size + 1 :], -8, 8))
+    theta = state[size] + np.concatenate(([0.0], np.cumsum(gaps)))
+    score = np.add.reduceat(w[column] * value, begin)
+    tail = 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -30, 30)))
+    full = np.concatenate((np.ones((len(y), 1)), tail, np.zeros((len(y), 1))), axis=1)
+    slope = np.concatenate((np.zeros((len(y), 1)), tail * (1 - tail), np.zeros((len(y), 1))), axis=1)
+    row = np.arange(len(y))
+    p = np.maximum(full[row, y] - full[row, y + 1], 1e-9)
+    up, down = slope[row, y] / p, slope[row, y + 1] / p
+    d_theta = np.zeros((len(y), k + 2))
+    d_theta[row, y] -= up
+    d_theta[row, y + 1] += down
+    d_theta = d_theta[:, 1:-1].sum(axis=0) / len(y)
+    d_weights = np.bincount(column, weights=np.repeat((up - down) / len(y), n) * value, minlength=size)
+    return float(np.log(p).mean()), np.concatenate((d_weights, [d_theta.sum()], [d_theta[j:].sum() * gaps[j - 1] for j in range(1, k)]))
+
+
 def train(texts: list[str | None], grades: list[int], rounds: int = 150, rate: float = 0.3, decay: float = 2e-4) -> Model:
     """Maximum likelihood of the cumulative logit model by Adam, thresholds kept in order by positive steps."""
     known = sorted(set(grades)) or [0]
@@ -74,30 +97,14 @@ def train(texts: list[str | None], grades: list[int], rounds: int = 150, rate: f
     if k < 1:
         return Model(np.zeros(size), np.zeros(0), known)
     column, value, n = features(texts)
-    begin = np.cumsum(n) - n
-    owner = np.repeat(np.arange(len(n)), n)
     share = np.array([(y >= j).mean() for j in range(1, k + 1)])
     start = -np.log(share / (1 - share))
     # thresholds = first, first + exp(gaps) summed
     state = np.concatenate((np.zeros(size), [start[0]], np.log(np.maximum(np.diff(start), 1e-2))))
     m, v = np.zeros_like(state), np.zeros_like(state)
     for t in range(1, rounds + 1):
-        w, gaps = state[:size], np.exp(np.clip(state[size + 1 :], -8, 8))
-        theta = state[size] + np.concatenate(([0.0], np.cumsum(gaps)))
-        score = np.add.reduceat(w[column] * value, begin)
-        tail = 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -30, 30)))
-        full = np.concatenate((np.ones((len(y), 1)), tail, np.zeros((len(y), 1))), axis=1)
-        slope = np.concatenate((np.zeros((len(y), 1)), tail * (1 - tail), np.zeros((len(y), 1))), axis=1)
-        row = np.arange(len(y))
-        p = np.maximum(full[row, y] - full[row, y + 1], 1e-9)
-        up, down = slope[row, y] / p, slope[row, y + 1] / p
-        d_score = (up - down) / len(y)
-        d_theta = np.zeros((len(y), k + 2))
-        d_theta[row, y] -= up
-        d_theta[row, y + 1] += down
-        d_theta = d_theta[:, 1:-1].sum(axis=0) / len(y)
-        # Of the log-likelihood, less a penalty on the weights.
-        gradient = np.concatenate((np.bincount(column, weights=d_score[owner] * value, minlength=size) - decay * w, [d_theta.sum()], [d_theta[j:].sum() * gaps[j - 1] for j in range(1, k)]))
+        gradient = likelihood(state, y, column, value, n, k + 1)[1]
+        gradient[:size] -= decay * state[:size]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         state = state + rate / np.sqrt(t) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         state[:size] *= 1 - 1e-3

@@ -505,6 +505,40 @@ def test_quality(spark, docs, empty):
     assert quality.quality(empty, ratings, 1).count() == 0
 
 
+def test_likelihood_by_hand_and_its_gradient():
+    rng = np.random.default_rng(9)
+    n = np.array([2, 1, 3, 2])
+    column, value, y = rng.integers(0, 5, 8), rng.normal(size=8), np.array([0, 2, 1, 3])
+    state = np.concatenate((rng.normal(size=5), [-0.4], rng.normal(size=2) * 0.3))
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    theta = state[5] + np.array([0.0, np.exp(state[6]), np.exp(state[6]) + np.exp(state[7])])
+    total, at = 0.0, 0
+    for size, grade in zip(n, y, strict=True):
+        score = sum(state[c] * x for c, x in zip(column[at : at + size], value[at : at + size], strict=True))
+        tails = [1.0, *sigmoid(score - theta), 0.0]
+        total += np.log(tails[grade] - tails[grade + 1])
+        at += size
+    got, slope = quality.likelihood(state, y, column, value, n, 4)
+    assert got == pytest.approx(total / 4)
+    for i in range(len(state)):
+        step = np.zeros(len(state))
+        step[i] = 1e-6
+        up, down = quality.likelihood(state + step, y, column, value, n, 4)[0], quality.likelihood(state - step, y, column, value, n, 4)[0]
+        assert slope[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_phrases_by_hand():
+    """The parse of a text into the shortest phrases not seen before, by a set of strings."""
+    for text in ("abababab", "aaaaaaa", prose(2, 80), "x", "", "ab" * 100 + "ba" * 50):
+        seen, ends, start = set(), [], 0
+        for i in range(1, len(text) + 1):
+            if text[start:i] not in seen:
+                seen.add(text[start:i])
+                ends.append(i)
+                start = i
+        assert fingerprints.Parser().ends(text) == ends
+
+
 def test_html(spark):
     page = (
         '<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; more</h1><p><b>First\n  part<br>of it.'
