@@ -181,7 +181,7 @@ def _sql_activation(hops: int = 3) -> str:
     return ", ".join(parts)
 
 
-def entity_graph(queries: DataFrame, facts: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
+def entity_graph(queries: DataFrame, facts: DataFrame, edges: DataFrame, hops: int = 3, walk: int = WALK_HUB) -> DataFrame:
     """(query_id, fact_id, score): activation, weighed by communities and corrections, over the largest of the query.
 
     Facts of a community with k seeds get min(1 + 0.15 k, 1.3), all others 0.9. The older end of a contradiction between
@@ -191,7 +191,7 @@ def entity_graph(queries: DataFrame, facts: DataFrame, edges: DataFrame, hops: i
     seeds = names.join(below_hub(found, HUB), "name").select("query_id", "fact_id").distinct()
     edges = cut(edges)
     info = cut(standing(facts, both_ways(edges)))
-    reached = activation(seeds, names, below_hub(found, WALK_HUB), both_ways(edges), info, hops).join(info, "fact_id")
+    reached = activation(seeds, names, below_hub(found, walk), both_ways(edges), info, hops).join(info, "fact_id")
     share = seeds.join(info, "fact_id").groupBy("query_id", "community").agg(F.count("*").alias("k"))
     boosted = reached.join(share, ["query_id", "community"], "left")
     boosted = boosted.withColumn("a", F.col("a") * F.when(F.col("k") > 0, F.least(1 + 0.15 * F.col("k"), F.lit(1.3))).otherwise(0.9))
