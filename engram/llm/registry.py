@@ -3,6 +3,8 @@
 from engram.llm.decontamination import op3_benchmark_decontamination
 from engram.llm.fingerprints import op9_fingerprints
 from engram.llm.html_text import op10_html_extraction
+from engram.llm.merkle import SQL as MERKLE
+from engram.llm.merkle import op13_merkle_manifest
 from engram.llm.near_duplicates import op6_minhash_near_dedup
 from engram.llm.packing import op8_best_fit_packing
 from engram.llm.quality import op7_quality_classifier
@@ -22,6 +24,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_extraction": op10_html_extraction,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: The exact groups by an inverted join of all shingles, and components by recursion.
@@ -37,4 +40,4 @@ m AS (SELECT node, min(label) AS component_id FROM c GROUP BY node)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m ON node = doc_id
 """
 
-SQL: dict[str, str] = {"op6_minhash_near_dedup": NEAR_DUPLICATES}
+SQL: dict[str, str] = {"op6_minhash_near_dedup": NEAR_DUPLICATES, "op13_merkle_manifest": MERKLE}
