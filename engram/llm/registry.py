@@ -1,5 +1,7 @@
 """Queries of the training-data operators, and the SQL of those that SQL can express."""
 
+from engram.llm.collocations import SQL as COLLOCATIONS
+from engram.llm.collocations import op12_phrase_collocations
 from engram.llm.decontamination import op3_benchmark_decontamination
 from engram.llm.fingerprints import op9_fingerprints
 from engram.llm.html_text import op10_html_extraction
@@ -12,6 +14,8 @@ from engram.llm.sharding import op5_sharding
 from engram.llm.suffix_dedup import op1_suffix_array_dedup
 from engram.llm.token_counts import op4_token_counts
 from engram.llm.toxicity import op2_toxicity
+from engram.llm.warc import SQL as WARC
+from engram.llm.warc import op11_warc
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -24,6 +28,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_extraction": op10_html_extraction,
+    "op11_warc": op11_warc,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -40,4 +46,4 @@ m AS (SELECT node, min(label) AS component_id FROM c GROUP BY node)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m ON node = doc_id
 """
 
-SQL: dict[str, str] = {"op6_minhash_near_dedup": NEAR_DUPLICATES, "op13_merkle_manifest": MERKLE}
+SQL: dict[str, str] = {"op6_minhash_near_dedup": NEAR_DUPLICATES, "op11_warc": WARC, "op12_phrase_collocations": COLLOCATIONS, "op13_merkle_manifest": MERKLE}
