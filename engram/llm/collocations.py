@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -148,13 +149,11 @@ def phrases(words: Words, most: int, old: np.ndarray | None, new: np.ndarray | N
         at[where] = back
 
 
-def count_phrases(docs: DataFrame, most: int, old: np.ndarray | None = None, new: np.ndarray | None = None, slice_bytes: int = 8 << 20) -> DataFrame:
+def count_phrases(docs: DataFrame, most: int, old: Broadcast | None = None, new: Broadcast | None = None, slice_bytes: int = 8 << 20) -> DataFrame:
     """Partial counts of the phrases that `phrases` names; without `old`, a row of no words has each language's words."""
-    context = docs.sparkSession.sparkContext
-    held = [None if x is None else context.broadcast(x) for x in (old, new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, now = (None if x is None else x.value for x in held)
+        before, now = (None if x is None else x.value for x in (old, new))
         for part in common.rows(batches, slice_bytes):
             words = Words(part["text"], part["lang"])
             if new is not None and old is None:
@@ -170,31 +169,41 @@ def count_phrases(docs: DataFrame, most: int, old: np.ndarray | None = None, new
     return docs.select("text", "lang").mapInArrow(run, COUNTS_DDL)
 
 
-def frequent_phrases(docs: DataFrame, support: int = 30, most: int = 4, fraction: float = 0.25, slack: float = 0.4, filter_bytes: int = 16 << 20) -> DataFrame:
+def frequent_phrases(docs: DataFrame, support: int = 30, most: int = 4, fraction: float = 0.25, slack: float = 0.4, filter_bytes: int = 64 << 20) -> DataFrame:
     """All phrases of up to `most` words with `support` occurrences or more in their language: lang, words, phrase, n.
 
     Rows of no words hold the number of words of each language. `fraction` of the documents proposes phrases with `slack`
-    times as many occurrences as `support` would be in it; both change the number of passes and their work, not the result.
+    times as many occurrences as `support` would be in it; a filter has 16 bits for each of them, and `filter_bytes` (a
+    power of two) at most. All three change the number of passes and their work, not the result.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "collocations")
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1000)) < int(fraction * 1000))
     least = max(1, int(slack * fraction * support))
-    proposed = count_phrases(sample, most - 1).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    old, new, passes = None, filter_of(proposed, filter_bytes), []
+    proposed = scratch.write(count_phrases(sample, most - 1).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "proposed")
+    size = SEGMENT
+    want = min(filter_bytes, 2 * proposed.count())
+    while size < want:
+        size *= 2
+    bits, passes = filter_of(proposed, size), []
+    scratch.drop("proposed")
+    old, new = None, spark.sparkContext.broadcast(bits)
     for k in itertools.count():
         counted = count_phrases(docs, most, old, new).groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.max("h").alias("h"), F.sum("n").alias("n"))
         passes.append(scratch.write(counted.where((F.col("n") >= support) | (F.col("words") == 0)), f"pass-{k}"))
-        held = spark.sparkContext.broadcast(new)
 
-        def missing(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def missing(batches: Iterator[pa.RecordBatch], held: Broadcast = new) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array(~has(held.value, batch.column("h").to_numpy().view(np.uint64))))
 
         failed = scratch.write(passes[-1].where(F.col("words").between(1, most - 1)).select("h").mapInArrow(missing, "h long"), f"failed-{k}")
+        if old is not None:
+            old.destroy()
         if failed.isEmpty():
+            new.destroy()
             break
-        old, new = new, filter_of(failed, filter_bytes, new)
+        bits = filter_of(failed, size, bits)
+        old, new = new, spark.sparkContext.broadcast(bits)
     found = passes[0]
     for more in passes[1:]:
         found = found.union(more)
