@@ -71,7 +71,7 @@ class Index:
     block: np.ndarray
     block_max: np.ndarray
     item_of: np.ndarray
-    items: list[tuple[int, int, list[np.ndarray]]]
+    items: list[tuple[int, int, list[np.ndarray], int]]
 
     @property
     def blocks(self) -> int:
@@ -91,7 +91,7 @@ def build(items: list[tuple[int, str]], df: dict[int, int], number: int, mean: f
         hashes = words(text)
         question, answer = question_answer(text)
         size = max(1, min(GRAM, len(hashes)))
-        parts.append((item, size, [grams(words(x), size) for x in (question, answer)]))
+        parts.append((item, size, [grams(words(x), size) for x in (question, answer)], len(hashes)))
         for piece in segments_of(text):
             tf.append(np.unique(piece, return_counts=True))
             item_of.append(n)
@@ -277,30 +277,48 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, items_a_part: int, part_byte
 
 def matches(searcher: Searcher, texts: list[str | None], overlap: float) -> list[tuple]:
     """(text number, item_id, first word, score, question and answer overlap) of leaks, each pair at its best passage."""
-    index, around = searcher.index, 2 * PASSAGE
+    index = searcher.index
     hashes, counts = common.word_hashes([common.utf8(x) for x in texts], common.NO_WORD)
     begin = np.cumsum(counts) - counts
-    best: dict[tuple[int, int], tuple] = {}
+    hits: dict[tuple[int, int], list[tuple[int, float]]] = {}
     for text, first, segment, score in zip(*(x.tolist() for x in searcher.retrieve(hashes, counts)), strict=True):
-        n = int(index.item_of[segment])
-        item, size, sides = index.items[n]
-        a = begin[text] + max(0, first - around)
-        near = grams(hashes[a : min(begin[text] + counts[text], begin[text] + first + PASSAGE + around)], size)
-        q, r = (float(np.isin(x, near).mean()) for x in sides)
-        if q >= overlap and r >= overlap:
-            row = (min(q, r), score, -first, q, r, item)
-            if (text, n) not in best or row[:5] > best[text, n][:5]:
-                best[text, n] = row
+        hits.setdefault((text, int(index.item_of[segment])), []).append((first, score))
+    best: dict[tuple[int, int], tuple] = {}
+    for (text, n), found in hits.items():
+        item, size, sides, length = index.items[n]
+        around = max(2 * PASSAGE, length)
+        for stretch in _stretches(sorted(found), around if length > 2 * PASSAGE else 0):
+            a = begin[text] + max(0, stretch[0][0] - around)
+            near = grams(hashes[a : min(begin[text] + counts[text], begin[text] + stretch[-1][0] + PASSAGE + around)], size)
+            q, r = (float(np.isin(x, near).mean()) for x in sides)
+            if q >= overlap and r >= overlap:
+                score, first = max((score, -first) for first, score in stretch)
+                row = (min(q, r), score, first, q, r, item)
+                if (text, n) not in best or row[:5] > best[text, n][:5]:
+                    best[text, n] = row
     return [(t, x[5], -x[2], x[1], x[3], x[4]) for (t, _), x in sorted(best.items())]
 
 
+def _stretches(hits: list[tuple[int, float]], apart: int) -> Iterator[list[tuple[int, float]]]:
+    """Runs of (first word, score) that begin at most `apart` words after the one before; each alone if `apart` is 0."""
+    run: list[tuple[int, float]] = []
+    for hit in hits:
+        if run and hit[0] - run[-1][0] > (apart or -1):
+            yield run
+            run = []
+        run.append(hit)
+    yield run
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, overlap: float = 0.6, items_a_part: int = 2_048, part_bytes: int = 8 << 20
 ) -> DataFrame:
     """One row for each (doc_id, item_id) leak, at its best passage: first_word, score, and both overlaps.
 
     A text leaks an item if a passage of it scores `threshold` or more of the item's own score, and at least `overlap`
-    of the 5-grams of the item's question and of its answer stand within 128 words around. Words are runs of letters and
+    of the 5-grams of the item's question and of its answer stand within 128 words around. Passages of an item of more
+    words are taken together where they are no further apart than its length, and its 5-grams count within its length
+    around them, so an item is found at any length. Words are runs of letters and
     digits, A-Z as a-z. Null or empty texts and items match nothing; equal rows give equal rows, a null doc_id or
     item_id stays null, other columns are not read, and empty tables give no rows. Every passage of every text is a
     query, however long the text. Each part of the benchmark is one pass, and its index goes before the next is made;

@@ -454,6 +454,27 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.leaks(empty, benchmark).count() == 0 and decontamination.without_leaks(empty, benchmark).count() == 0
 
 
+@pytest.mark.parametrize("n", [72, 500, 800, 1500, 4000])
+def test_long_items_leak_whole_and_embedded(n):
+    """Items of any length: whole, within another text, and not where only a third of them stands."""
+    rng = np.random.default_rng(n)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    fresh = lambda k: " ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), k))
+    items = [(i, fresh(m) + ". " + fresh(20) + ".") for i, m in enumerate((n, 60, 300))]
+    df, lengths = {}, []
+    for _, text in items:
+        for piece in decontamination.segments_of(text):
+            lengths.append(len(piece))
+            for t in np.unique(piece).tolist():
+                df[t] = df.get(t, 0) + 1
+    index = decontamination.build(items, df, len(lengths), sum(lengths) / len(lengths))
+    third = " ".join(items[0][1].split()[: n // 3])
+    texts = [items[0][1], fresh(700) + " " + items[0][1] + " " + fresh(900), fresh(300) + " " + third + " " + fresh(300), fresh(2000), None, items[2][1] + items[0][1]]
+    found = decontamination.matches(decontamination.Searcher(index, 0.4), texts, 0.6)
+    assert {(t, item) for t, item, *_ in found} == {(0, 0), (1, 0), (5, 0), (5, 2)}
+    assert all(q > 0.98 and r > 0.9 for *_, q, r in found)
+
+
 def bm25(items, passages):
     """Scores of word sets against items of at most 64 words, by the formula and without an index."""
     import math
