@@ -2,13 +2,14 @@
 
 Phrases of one to four words are mined by language. A sample of the documents, with a lowered threshold, proposes the set S
 of phrases that may be frequent. A full pass counts, exactly, S and its negative border: every phrase whose first and last
-parts (all words but one) are both in S; single words have no parts and all count. If a phrase of the border proves
-frequent and is not in S, phrases that contain it may be frequent and uncounted: it joins S, and a further full pass counts
-what the border has gained. With no such phrase left, all frequent phrases have been counted.
+parts (all words but one) are both in S; single words have no parts and all count. Phrases of S are counted by themselves,
+those of the border by hash, so that no frequent one is missed. If one of the border proves frequent, phrases that contain
+it may be frequent and uncounted: it joins S, and a further full pass counts it and what the border has gained. With none
+left, all frequent phrases have been counted.
 
 Tasks hold S as a filter of hashes of a fixed size that is built by segments and broadcast. It never misses a phrase; a
 phrase that it holds by mistake only lets more phrases be counted, so results are exact whatever the size of S.
-Within a task, words and phrases are numbered densely, without hashes; shuffles carry phrases with their partial counts.
+Within a task, words and phrases are numbered densely, without hashes; shuffles carry partial counts.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 PARTS = ENDS.copy()
 PARTS[list(b" \t")] = True
 
-COUNTS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
-COUNTS_DDL = "lang string, words int, phrase string, h long, n long"
+COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+COUNTS_DDL = "lang string, phrase string, h long, n long"
 
 
 #: A filter's segments: the high bits of a hash choose one, and three times 15 of its low bits a place in it.
@@ -89,82 +90,113 @@ def filter_of(hashes: DataFrame, size: int, base: np.ndarray | None = None) -> n
     return bits
 
 
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order of their first places, number of each place's key)."""
+    coded = pa.array(key).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def _word_values(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each of some words, none of which is empty."""
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    if len(offsets) < 2:
+        return np.empty(0, dtype=np.uint64)
+    data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    start, length = offsets[:-1] - offsets[0], np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(start, length)
+    value = common.BYTE_CODE[data] * common.powers(int(length.max()))[place]
+    return common.mix(np.add.reduceat(value, start) + length.astype(np.uint64))
+
+
 class Words:
     """The words of some texts: dense (language, word) numbers, and which words follow each other within a piece."""
 
     def __init__(self, texts: list[str | None], langs: list[str | None]):
         encoded = [*map(common.utf8, texts)]
         data = np.frombuffer(b"\n".join([*encoded, b""]).translate(common.LOWER), dtype=np.uint8)
+        stops = np.cumsum(np.array([len(x) + 1 for x in encoded], dtype=np.int64))
+        del encoded
         inside = ~PARTS[data]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
         begin, length = edge[::2], edge[1::2] - edge[::2]
         piece = np.searchsorted(np.flatnonzero(ENDS[data]), begin)
         self.joined = piece[1:] == piece[:-1]
-        stops = np.cumsum(np.array([len(x) + 1 for x in encoded], dtype=np.int64))
         lang = pa.array(["und" if x is None else x for x in langs], type=pa.string()).dictionary_encode()
         offsets = np.concatenate(([0], np.cumsum(length))).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
         n = max(len(coded.dictionary), 1)
-        key = lang.indices.to_numpy()[np.searchsorted(stops, begin, side="right")].astype(np.int64) * n + coded.indices.to_numpy()
-        found, self.at, self.counts = np.unique(key, return_inverse=True, return_counts=True)
+        owner = np.searchsorted(stops, begin, side="right")
+        found, self.at = _numbered(lang.indices.to_numpy()[owner].astype(np.int64) * n + coded.indices.to_numpy())
+        self.counts = np.bincount(self.at, minlength=len(found))
         of, word = found // n, found % n
         self.langs, self.lang = lang.dictionary, lang.dictionary.take(pa.array(of))
         self.lang_counts = np.bincount(of, weights=self.counts, minlength=len(self.langs)).astype(np.int64)
         self.words = coded.dictionary.take(pa.array(word)).cast(pa.binary())
-        self.value = common.word_hashes(coded.dictionary.to_pylist(), PARTS)[0][word]
+        self.value = _word_values(coded.dictionary)[word]
         tags = [int.from_bytes(hashlib.blake2b(common.utf8(x), digest_size=8).digest()) for x in self.langs.to_pylist()]
         self.tag = np.array(tags, dtype=np.uint64)[of]
 
 
-def phrases(words: Words, most: int, old: np.ndarray | None, new: np.ndarray | None) -> Iterator[tuple[int, pa.Array, pa.Array | None, np.ndarray, np.ndarray]]:
-    """(words, language, phrase, hash, number) of the distinct phrases to count in some texts.
+def phrases(words: Words, most: int, old: np.ndarray | None, new: np.ndarray | None) -> Iterator[tuple[pa.Array | None, pa.Array | None, np.ndarray, np.ndarray]]:
+    """(language, phrase, hash, number) of distinct phrases to count in some texts; the border comes as hashes alone.
 
-    Without filters all phrases of up to `most` words, and their text is left out. With `new`, those whose parts it holds;
-    with `old` too, only those of them whose parts `old` does not hold, which no earlier pass has counted.
+    Without filters all phrases of up to `most` words, by hash. With `new`: what it holds and whose parts it holds, by
+    phrase, and what only its parts are held of, by hash. With `old` too, only what that pass has not counted so before.
     """
     value, lang, text, counts = words.value * common.BASE + words.tag, words.lang, words.words, words.counts
     at = words.at.astype(np.int64)  # number of the phrase that begins at each word; -1: none
-    known = np.full(len(value), old is not None)
+    known = np.full(len(value), old is not None)  # both parts are held by `old`
     singles = len(value)
     for k in range(1, most + 1):
-        h, keep = common.mix(value + np.uint64(k)), ~known
-        mask = pa.array(keep)
-        yield k, lang.filter(mask), None if new is None else text.filter(mask), h[keep], counts[keep]
-        grows = np.ones(len(h), dtype=bool) if new is None else has(new, h)
-        knew = known & has(old, h) if old is not None else known
+        h = common.mix(value + np.uint64(k))
+        if new is None:
+            yield None, None, h, counts
+            grows = knew = np.ones(len(h), dtype=bool)
+        else:
+            grows = has(new, h)
+            knew = known & has(old, h) if old is not None else known
+            exact, border = grows & ~knew, ~grows & ~known
+            yield lang.filter(pa.array(exact)), text.filter(pa.array(exact)), h[exact], counts[exact]
+            yield None, None, h[border], counts[border]
         first, last = at[:-1], at[1:]
         where = np.flatnonzero(words.joined & (first >= 0) & (last >= 0))
         where = where[grows[first[where]] & grows[last[where]]]
         if k == most or not len(where):
             return
-        key, back, counts = np.unique(first[where] * singles + words.at[where + k], return_inverse=True, return_counts=True)
+        key, back = _numbered(first[where] * singles + words.at[where + k])
+        counts = np.bincount(back, minlength=len(key))
         one = np.empty(len(key), dtype=np.int64)
         one[back] = where
         prefix, tail = key // singles, key % singles
         known = knew[prefix] & knew[last[one]]
-        value, lang = value[prefix] * common.BASE + words.value[tail], lang.take(pa.array(prefix))
+        value = value[prefix] * common.BASE + words.value[tail]
         if new is not None:
+            lang = lang.take(pa.array(prefix))
             text = pc.binary_join_element_wise(text.take(pa.array(prefix)), words.words.take(pa.array(tail)), b" ")
         at = np.full(len(at), -1, dtype=np.int64)
         at[where] = back
 
 
-def count_phrases(docs: DataFrame, most: int, old: Broadcast | None = None, new: Broadcast | None = None, slice_bytes: int = 8 << 20) -> DataFrame:
-    """Partial counts of the phrases that `phrases` names; without `old`, a row of no words has each language's words."""
+def count_phrases(docs: DataFrame, most: int, old: Broadcast | None = None, new: Broadcast | None = None, slice_bytes: int = 6 << 20) -> DataFrame:
+    """Partial counts (lang, phrase, h, n) of what `phrases` names; of a border phrase the hash only.
+
+    The first pass with a filter adds a row with an empty phrase for each language and some texts: the number of words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, now = (None if x is None else x.value for x in (old, new))
         for part in common.rows(batches, slice_bytes):
             words = Words(part["text"], part["lang"])
             if new is not None and old is None:
-                none = np.zeros(len(words.langs), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([words.langs, pa.array(none, type=pa.int32()), pa.array([""] * len(none), type=pa.string()), pa.array(none), pa.array(words.lang_counts)], schema=COUNTS)
-            for k, lang, text, h, n in phrases(words, most, before, now):
+                size = len(words.langs)
+                yield pa.RecordBatch.from_arrays([words.langs, pa.array([""] * size, type=pa.string()), pa.array(np.zeros(size, dtype=np.int64)), pa.array(words.lang_counts)], schema=COUNTS)
+            for lang, text, h, n in phrases(words, most, before, now):
                 for start in range(0, len(h), 1 << 16):
                     some = slice(start, start + (1 << 16))
                     size = len(h[some])
-                    shown = pa.nulls(size, pa.string()) if text is None else text[some].cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([lang[some], pa.array(np.full(size, k, dtype=np.int32)), shown, pa.array(h[some].view(np.int64)), pa.array(n[some].astype(np.int64))], schema=COUNTS)
+                    none = pa.nulls(size, pa.string())
+                    shown = [none, none] if text is None else [lang[some], text[some].cast(pa.string())]
+                    yield pa.RecordBatch.from_arrays([*shown, pa.array(h[some].view(np.int64)), pa.array(n[some].astype(np.int64))], schema=COUNTS)
 
     return docs.select("text", "lang").mapInArrow(run, COUNTS_DDL)
 
@@ -175,28 +207,25 @@ def frequent_phrases(docs: DataFrame, support: int = 30, most: int = 4, fraction
     Rows of no words hold the number of words of each language. `fraction` of the documents proposes phrases with `slack`
     times as many occurrences as `support` would be in it; a filter has 16 bits for each of them, and `filter_bytes` (a
     power of two) at most. All three change the number of passes and their work, not the result.
+
+    The border is counted by 64-bit hashes, which bounds each phrase from above: where a hash has `support` occurrences
+    it joins S, and the next pass counts the phrases that have it exactly.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "collocations")
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1000)) < int(fraction * 1000))
     least = max(1, int(slack * fraction * support))
-    proposed = scratch.write(count_phrases(sample, most - 1).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "proposed")
-    size = SEGMENT
-    want = min(filter_bytes, 2 * proposed.count())
+    proposed = scratch.write(count_phrases(sample, most).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "proposed")
+    size, want = SEGMENT, min(filter_bytes, 2 * proposed.count())
     while size < want:
         size *= 2
     bits, passes = filter_of(proposed, size), []
     scratch.drop("proposed")
     old, new = None, spark.sparkContext.broadcast(bits)
     for k in itertools.count():
-        counted = count_phrases(docs, most, old, new).groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.max("h").alias("h"), F.sum("n").alias("n"))
-        passes.append(scratch.write(counted.where((F.col("n") >= support) | (F.col("words") == 0)), f"pass-{k}"))
-
-        def missing(batches: Iterator[pa.RecordBatch], held: Broadcast = new) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(~has(held.value, batch.column("h").to_numpy().view(np.uint64))))
-
-        failed = scratch.write(passes[-1].where(F.col("words").between(1, most - 1)).select("h").mapInArrow(missing, "h long"), f"failed-{k}")
+        counted = count_phrases(docs, most, old, new).groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
+        passes.append(scratch.write(counted.where((F.col("n") >= support) | (F.col("phrase") == "")), f"pass-{k}"))
+        failed = passes[-1].where("phrase IS NULL").select("h")
         if old is not None:
             old.destroy()
         if failed.isEmpty():
@@ -207,7 +236,8 @@ def frequent_phrases(docs: DataFrame, support: int = 30, most: int = 4, fraction
     found = passes[0]
     for more in passes[1:]:
         found = found.union(more)
-    return found.select("lang", "words", "phrase", "n")
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return found.where("phrase IS NOT NULL").select("lang", words.alias("words"), "phrase", "n")
 
 
 def collocations(docs: DataFrame, support: int = 30, most: int = 4, top: int = 2000, percent: int = 80, parts: int = 64, **mining) -> DataFrame:

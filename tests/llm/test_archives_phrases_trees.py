@@ -266,7 +266,7 @@ def test_border_failures_lead_to_further_passes(spark, monkeypatch):
     monkeypatch.setattr(collocations, "count_phrases", lambda *a, **b: passes.append(1) or count(*a, **b))
     docs = spark.createDataFrame(phrase_rows(), DOCS)
     found = collocations.frequent_phrases(docs, 12, 4, fraction=0.0)
-    assert len(passes) == 5  # the sample, and one for each length
+    assert len(passes) == 6  # the sample, one for each length, and one for the last border's phrases
     assert found.where("words = 4").count() > 0
     passes.clear()
     assert collocations.frequent_phrases(docs, 12, 4, fraction=1.0, slack=1.0).count() == found.count() and len(passes) == 2
