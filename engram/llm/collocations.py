@@ -4,7 +4,7 @@ Phrases of one to four words are mined by language. A sample of the documents, w
 of phrases that may be frequent. A full pass counts, exactly, S and its negative border: every phrase whose first and last
 parts (all words but one) are both in S; single words have no parts and all count. Phrases of S are counted by themselves,
 those of the border by hash, so that no frequent one is missed. If one of the border proves frequent, phrases that contain
-it may be frequent and uncounted: it joins S, and a further full pass counts it and what the border has gained. With none
+it may be frequent and uncounted: it joins S, and a further full pass counts it and all that grows out of it. With none
 left, all frequent phrases have been counted.
 
 Tasks hold S as a filter of hashes of a fixed size that is built by segments and broadcast. It never misses a phrase; a
@@ -141,7 +141,8 @@ def phrases(words: Words, most: int, old: np.ndarray | None, new: np.ndarray | N
     """(language, phrase, hash, number) of distinct phrases to count in some texts; the border comes as hashes alone.
 
     Without filters all phrases of up to `most` words, by hash. With `new`: what it holds and whose parts it holds, by
-    phrase, and what only its parts are held of, by hash. With `old` too, only what that pass has not counted so before.
+    phrase, and what only its parts are held of, by hash. With `old` too, only what that pass has not counted so before,
+    and its border then goes all the way: whatever grows out of a new phrase counts at once, not a word a pass.
     """
     value, lang, text, counts = words.value * common.BASE + words.tag, words.lang, words.words, words.counts
     at = words.at.astype(np.int64)  # number of the phrase that begins at each word; -1: none
@@ -156,6 +157,8 @@ def phrases(words: Words, most: int, old: np.ndarray | None, new: np.ndarray | N
             grows = has(new, h)
             knew = known & has(old, h) if old is not None else known
             exact, border = grows & ~knew, ~grows & ~known
+            if old is not None:
+                grows = grows | ~known
             yield lang.filter(pa.array(exact)), text.filter(pa.array(exact)), h[exact], counts[exact]
             yield None, None, h[border], counts[border]
         first, last = at[:-1], at[1:]
@@ -237,7 +240,9 @@ def frequent_phrases(docs: DataFrame, support: int = 30, most: int = 4, fraction
     for more in passes[1:]:
         found = found.union(more)
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return found.where("phrase IS NOT NULL").select("lang", words.alias("words"), "phrase", "n")
+    # A phrase that a filter holds by mistake may be counted twice, to the same number.
+    once = found.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.max("n").alias("n"))
+    return once.select("lang", words.alias("words"), "phrase", "n")
 
 
 def collocations(docs: DataFrame, support: int = 30, most: int = 4, top: int = 2000, percent: int = 80, parts: int = 64, **mining) -> DataFrame:

@@ -260,13 +260,13 @@ def test_collocations(spark, mining):
 
 
 def test_border_failures_lead_to_further_passes(spark, monkeypatch):
-    """A sample that proposes nothing still ends with all counts: each pass lets phrases grow by a word."""
+    """A sample that proposes nothing still ends with all counts: words, then all that grows out of frequent ones, exactly."""
     passes = []
     count = collocations.count_phrases
     monkeypatch.setattr(collocations, "count_phrases", lambda *a, **b: passes.append(1) or count(*a, **b))
     docs = spark.createDataFrame(phrase_rows(), DOCS)
     found = collocations.frequent_phrases(docs, 12, 4, fraction=0.0)
-    assert len(passes) == 6  # the sample, one for each length, and one for the last border's phrases
+    assert len(passes) == 4  # the sample, words by hash, words and larger phrases by hash, those exactly
     assert found.where("words = 4").count() > 0
     passes.clear()
     assert collocations.frequent_phrases(docs, 12, 4, fraction=1.0, slack=1.0).count() == found.count() and len(passes) == 2
