@@ -4,7 +4,7 @@ import importlib
 
 from engram.registry import QUERIES
 
-MODULES = ("text", "lexical", "vectors", "fusion", "linking", "reports", "lifecycle", "graph", "mining", "streams", "sources", "more", "consolidation", "entities", "tagging", "codegraph", "insights", "recall", "precision")
+MODULES = ("text", "lexical", "vectors", "fusion", "linking", "reports", "lifecycle", "graph", "mining", "streams", "sources", "more", "consolidation", "entities", "tagging", "codegraph", "insights", "recall", "precision", "codec", "intervals", "paths", "clusters")
 for _module in MODULES:
     importlib.import_module(f"engram.operators.{_module}")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram import views
-from engram.operators.entities import below_hub, mentions
+from engram.operators.entities import mentions
 from engram.operators.graph import cut
 from engram.operators.lexical import best
 from engram.operators.tagging import SQL_CODE_MENTIONS, code_mentions, remarks
@@ -336,7 +336,7 @@ def g13_edge_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "G16_entity_clusters",
-    r"""WITH m AS (SELECT name, fact_id, confidence, created_at, trim(coalesce(string_split_regex(content, '[.!?\n]+')[1], ''), ' ') AS s FROM named JOIN facts USING (fact_id) WHERE lifecycle IN ('warm', 'cold') AND NOT pinned),
+    r"""WITH m AS (SELECT name, fact_id, confidence, created_at, trim(coalesce(string_split_regex(content, '[.!?\n]+')[1], ''), ' ') AS s FROM mentions JOIN facts USING (fact_id) WHERE lifecycle IN ('warm', 'cold') AND NOT pinned),
     k AS (SELECT *, count(*) OVER (PARTITION BY name) AS size, row_number() OVER (PARTITION BY name ORDER BY confidence DESC, created_at DESC, fact_id) AS n FROM m)
     SELECT name, any_value(size) AS size, string_agg(fact_id::VARCHAR, ',' ORDER BY n) AS facts, md5(substr(name || ': ' || string_agg(s, '. ' ORDER BY n), 1, 2000)) AS summary_md5 FROM k WHERE size >= 3 AND n <= 10 GROUP BY name""",
 )
@@ -346,7 +346,7 @@ def g16_entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = views.facts(spark, sf_dir)
     able = facts.where("lifecycle IN ('warm', 'cold') AND NOT pinned")
     s = F.trim(F.coalesce(F.get(F.split("content", r"[.!?\n]+"), F.lit(0)), F.lit("")))
-    m = below_hub(mentions(facts), 200).join(able.select("fact_id", "confidence", "created_at", s.alias("s")), "fact_id")
+    m = mentions(facts).join(able.select("fact_id", "confidence", "created_at", s.alias("s")), "fact_id")
     large = m.groupBy("name").agg(F.count("*").alias("size")).where("size >= 3")
     n = F.row_number().over(W.partitionBy("name").orderBy(F.desc("confidence"), F.desc("created_at"), "fact_id"))
     top = m.join(large, "name").withColumn("n", n).where("n <= 10")

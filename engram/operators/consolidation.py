@@ -36,9 +36,6 @@ def e6_route_type_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("fact_id", F.col("b.type").alias("type"), F.round("b.s", 6).alias("similarity"))
 
 
-_MU = {"entity": 1.2, "temporal": 0.9, "semantic": 0.8, "supersedes": 0.0}
-
-
 @query(
     "J20_hebbian_code_links",
     "WITH c AS (SELECT e.src AS node, n.file_path, count(*) AS shared FROM edges e JOIN nodes n ON n.node_id = e.dst WHERE e.weight >= 0.5 GROUP BY ALL) SELECT node, file_path, round(least(0.8, 0.3 + 0.1 * shared), 6)::DOUBLE AS weight FROM c",
@@ -50,35 +47,6 @@ def j20_hebbian_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("node", "file_path", F.round(F.least(F.lit(0.8), 0.3 + 0.1 * F.col("shared")), 6).alias("weight"))
 
 
-@query("A25_bandit_choose")
-def a25_bandit_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Beta sample for each arm of a stratum, seeded by the arm; the largest is chosen. Arms are a small fixed table."""
-    @F.pandas_udf("double")
-    def sample(alpha: pd.Series, beta: pd.Series, seed: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(abs(int(s))).beta(a, b) for a, b, s in zip(alpha, beta, seed, strict=True)])
-
-    arms = a24_bandit_posterior(spark, sf_dir).withColumn("draw", sample("alpha", "beta", F.hash("stratum", "arm")))
-    return arms.groupBy("stratum").agg(F.max_by("arm", F.struct("draw", "arm")).alias("arm"), F.max("draw").alias("draw"))
-
-
-@query("G14_scene_assign", f"WITH {SQL_TOPK.format(on='f.fact_id IN (SELECT min(fact_id) FROM vectors GROUP BY label)')} SELECT query_id, CASE WHEN similarity >= 0.2 THEN fact_id END AS scene FROM k WHERE rank = 1")
-def g14_scene_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each asked fact to the nearest scene theme (a label's first vector) of cosine 0.2 (0.6 for real embeddings), else none."""
-    themes = views.vectors(spark, sf_dir).groupBy("label").agg(F.min("fact_id").alias("fact_id"), F.min_by("vec", "fact_id").alias("vec"))
-    near = topk(query_vectors(spark, sf_dir), themes, 1)
-    return near.select("query_id", F.when(F.col("similarity") >= 0.2, F.col("fact_id")).alias("scene"))
-
-
-@query(
-    "G15_ccq_clusters",
-    "WITH RECURSIVE e AS (SELECT src, dst FROM edges WHERE weight >= 0.75), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), c AS (SELECT DISTINCT src AS node, src AS label FROM b UNION SELECT b.dst, c.label FROM c JOIN b ON b.src = c.node), m AS (SELECT node, min(label) AS label FROM c GROUP BY node) SELECT label AS cluster, count(*) AS size, min(node) AS first, max(node) AS last FROM m GROUP BY label HAVING count(*) BETWEEN 3 AND 20",
-)
-def g15_ccq_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of strongly linked facts of 3 to 20 members."""
-    labels = components(views.edges(spark, sf_dir).where("weight >= 0.75"))
-    return labels.groupBy(F.col("label").alias("cluster")).agg(count().alias("size"), F.min("node").alias("first"), F.max("node").alias("last")).where("size BETWEEN 3 AND 20")
-
-
 LEVELS = ["semantic", "episodic", "opinion", "temporal"]
 
 

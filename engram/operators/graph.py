@@ -57,13 +57,21 @@ def _sql_pagerank(rounds: int) -> str:
     for i in range(rounds):
         parts.append(f"g{i} AS (SELECT dst AS node, sum(p * rank) AS got FROM sh JOIN r{i} ON node = src GROUP BY dst)")
         parts.append(f"r{i + 1} AS (SELECT r.node, 0.15 / n + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE dead) / n) AS rank, dead FROM r{i} r LEFT JOIN g{i} g ON g.node = r.node CROSS JOIN nn)")
-    return "WITH " + ", ".join(parts) + f" SELECT node, round(rank, 8) AS rank FROM r{rounds}"
+    return "WITH " + ", ".join(parts) + f" SELECT node, rank FROM r{rounds}"
 
 
-@query("G2_pagerank", _sql_pagerank(5))
-def g2_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: PageRank of the nodes after five rounds.
+views.SQL["pageranks"] = _sql_pagerank(5)
+
+
+def pageranks(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
     nodes = views.nodes(spark, sf_dir).select(F.col("node_id").alias("node"))
-    return pagerank(nodes, views.edges(spark, sf_dir), 5).withColumn("rank", F.round("rank", 8))
+    return pagerank(nodes, views.edges(spark, sf_dir) if edges is None else edges, 5)
+
+
+@query("G2_pagerank", "SELECT node, round(rank, 8) AS rank FROM pageranks")
+def g2_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageranks(spark, sf_dir).withColumn("rank", F.round("rank", 8))
 
 
 def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
@@ -128,15 +136,6 @@ def distances(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 _STRONG = "SELECT src, dst FROM edges WHERE weight >= 0.5 UNION SELECT dst, src FROM edges WHERE weight >= 0.5"
 
 
-@query(
-    "G6_shortest_path",
-    f"WITH RECURSIVE b AS ({_STRONG}), p AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM p JOIN b ON b.src = p.node WHERE hops < 4) SELECT node, min(hops)::INT AS hops FROM p GROUP BY node",
-)
-def g6_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path lengths from node 0 over strong edges, up to four."""
-    return distances(views.edges(spark, sf_dir).where("weight >= 0.5"), spark.range(1).select(F.col("id").alias("node")), 4)
-
-
 @query("G8_cap_degree", "SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM edges) WHERE n <= 5")
 def g8_cap_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heaviest out-edges of each node (five here)."""
@@ -144,18 +143,6 @@ def g8_cap_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.edges(spark, sf_dir).withColumn("n", n).where("n <= 5").select("src", "dst", "weight")
 
 
-_SUP = "s AS (SELECT src, dst FROM edges WHERE edge_type = 'supersedes' AND weight >= 0.5)"
-
-
-@query("G9_collapse_supersedes", f"WITH {_SUP} SELECT DISTINCT a.src, b.dst FROM s a JOIN s b ON a.dst = b.src UNION SELECT src, dst FROM s WHERE src NOT IN (SELECT dst FROM s)")
-def g9_collapse_supersedes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a -> b -> c becomes a -> c and b -> c goes."""
-    s = views.edges(spark, sf_dir).where("edge_type = 'supersedes' AND weight >= 0.5").select("src", "dst")
-    longer = s.alias("a").join(s.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-    heads = s.join(s.select(F.col("dst").alias("src")), "src", "left_anti")
-    return longer.union(heads.select("src", "dst")).distinct()
-
-
 @query(
     "G10_collapse_triangles",
     "WITH s AS (SELECT src, dst, weight FROM edges WHERE weight >= 0.5) SELECT src, dst FROM s x WHERE NOT EXISTS (SELECT 1 FROM s ab JOIN s ac ON ab.src = ac.src WHERE ab.dst = x.src AND ac.dst = x.dst AND ac.weight >= 0.8 * x.weight)",

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram import views
-from engram.operators.entities import below_hub, both_ways, links, mentions, standing
+from engram.operators.entities import mentions, standing
+from engram.operators.graph import pageranks
 from engram.operators.fusion import SQL_CHANNELS, channels
 from engram.operators.lifecycle import SQL_RETENTION, _retention
 from engram.operators.mining import _PART
@@ -229,14 +230,14 @@ def a46_association_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "A47_community_report",
-    """WITH m AS (SELECT community, count(*) AS members, avg(pr) AS pr FROM standing GROUP BY community), e AS (SELECT session_id AS community, name, count(*) AS n, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, name) AS k FROM named JOIN facts USING (fact_id) GROUP BY session_id, name)
+    """WITH m AS (SELECT community, count(*) AS members, avg(pr) AS pr FROM standing GROUP BY community), e AS (SELECT session_id AS community, name, count(*) AS n, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, name) AS k FROM mentions JOIN facts USING (fact_id) GROUP BY session_id, name)
     SELECT m.community, members, round(pr, 9) AS pagerank, string_agg(name, ',' ORDER BY k) AS top_entities, any_value(CASE WHEN k = 1 THEN name END) AS label FROM m JOIN e ON e.community = m.community WHERE k <= 3 GROUP BY m.community, members, pr""",
 )
 def a47_community_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members and mean rank of each community, its three most named entities, the first of which labels it."""
     facts = views.facts(spark, sf_dir)
-    info = standing(facts, both_ways(links(spark, sf_dir))).groupBy("community").agg(count().alias("members"), F.avg("pr").alias("pr"))
-    named = below_hub(mentions(facts), 200).join(facts.select("fact_id", F.col("session_id").alias("community")), "fact_id").groupBy("community", "name").agg(count().alias("n"))
+    info = standing(facts, pageranks(spark, sf_dir)).groupBy("community").agg(count().alias("members"), F.avg("pr").alias("pr"))
+    named = mentions(facts).join(facts.select("fact_id", F.col("session_id").alias("community")), "fact_id").groupBy("community", "name").agg(count().alias("n"))
     top = named.withColumn("k", F.row_number().over(W.partitionBy("community").orderBy(F.desc("n"), "name"))).where("k <= 3")
     got = top.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("k", "name"))).alias("x"))
     names = F.transform("x", lambda z: z["name"])

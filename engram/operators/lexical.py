@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram import fixed, views
+from engram.operators.index import Index, look_up, stored
 from engram.operators.text import sql_list
 from engram.registry import query
 
@@ -19,29 +20,28 @@ def tokens(text: str):
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(fixed.STOP_WORDS))
 
 
-def postings(facts: DataFrame) -> DataFrame:
-    """Inverted index (term, fact_id, tf, length)."""
-    each = facts.select("fact_id", tokens("content").alias("t")).select("fact_id", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return each.groupBy("term", "fact_id", "length").agg(F.count("*").alias("tf"))
+def term_index(facts: DataFrame) -> Index:
+    """The stored inverted index of the facts' tokens."""
+    return stored(facts, "terms", tokens("content"))
+
+
+def scores(queries: DataFrame, index: Index, k1: float = 1.2, b: float = 0.75, delta: float = 0.0) -> DataFrame:
+    """(query_id, fact_id, score, matched): BM25 (BM25+ with a delta) of all facts with any term of a query, and the number
+    of its distinct terms that they have. Postings come from their buckets; corpus statistics are one row."""
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("key"))
+    hits = look_up(terms, index).crossJoin(F.broadcast(index.stats))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    w = idf * (delta + F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))))
+    return hits.select("query_id", "fact_id", w.alias("w")).groupBy("query_id", "fact_id").agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
 
 
 def bm25(queries: DataFrame, facts: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, delta: float = 0.0) -> DataFrame:
-    """(query_id, fact_id, score, rank): the k best facts of each query by BM25 (BM25+ with a delta), any term matches.
+    """(query_id, fact_id, score, rank): the k best facts of each query, any term matches.
 
-    Query terms filter the postings before anything is grouped; corpus statistics are one row. Ranks of the
-    hits run in two steps, within hash parts of a query and then over the parts' best, so that no query's hits meet in
-    one task.
+    Ranks of the hits run in two steps, within hash parts of a query and then over the parts' best, so that no query's
+    hits meet in one task.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    index = postings(facts)
-    wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    stats = facts.select(F.size(tokens("content")).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = idf * (delta + F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))))
-    scored = weighted.select("term", "fact_id", w.alias("w")).join(terms, "term").groupBy("query_id", "fact_id").agg(F.sum("w").alias("score"))
-    return best(scored, k)
+    return best(scores(queries, term_index(facts), k1, b, delta).drop("matched"), k)
 
 
 def best(scored: DataFrame, k: int, parts: int = 16) -> DataFrame:
@@ -83,24 +83,3 @@ def l4_keyword_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.filter(F.array(*[F.when(low.contains(k), F.lit(k)) for k in keywords]), lambda x: x.isNotNull())
     hits = views.facts(spark, sf_dir).select("fact_id", F.col("access_count").cast("double").alias("score"), F.explode(hit).alias("query_id"))
     return best(hits, 10).select(F.col("query_id").alias("word"), "fact_id", "rank")
-
-
-@query(
-    "L5_temporal_channel",
-    """WITH q AS (SELECT DISTINCT date_trunc('day', ts) AS asked FROM events), d AS (SELECT fact_id, date_trunc('day', accessed_at) AS day, count(*) AS n FROM access GROUP BY ALL),
-    s AS (SELECT q.asked, fact_id, max(exp(-power(date_diff('day', day, q.asked), 2) / 1800.0)) AS score FROM q JOIN d ON abs(date_diff('day', day, q.asked)) <= 365 GROUP BY q.asked, fact_id)
-    SELECT strftime(asked, '%Y-%m-%d') AS asked, count(*) AS facts, round(sum(score), 6) AS score FROM s GROUP BY asked""",
-)
-def l5_temporal_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proximity of each fact's nearest day to each asked day, exp(-days squared / 1800), none beyond 365 days.
-
-    Both sides are days, so their number is bounded by the calendar and not by the rows.
-    """
-    access = views.access(spark, sf_dir)
-    asked = access.select(F.to_date("accessed_at").alias("asked")).distinct()
-    days = access.select("fact_id", F.to_date("accessed_at").alias("day")).distinct()
-    apart = F.abs(F.datediff("asked", "day"))
-    near = days.join(F.broadcast(asked), apart <= 365).groupBy("asked", "fact_id").agg(F.max(F.exp(-F.pow(apart, 2) / 1800.0)).alias("score"))
-    return near.groupBy(F.date_format("asked", "yyyy-MM-dd").alias("asked")).agg(F.count("*").alias("facts"), F.round(F.sum("score"), 6).alias("score"))
-
-

@@ -53,13 +53,6 @@ def j7_sheaf_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("query_id", "fact_id", F.round(F.sqrt("dd") / (r("aa", "ad") + r("bb", "bd")), 6).alias("severity"))
 
 
-@query("J10_valid_at", "SELECT fact_id FROM validity WHERE valid_from <= TIMESTAMP '1998-06-01' AND (valid_until IS NULL OR valid_until > TIMESTAMP '1998-06-01')")
-def j10_valid_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-open: valid from its beginning up to, not at, its end."""
-    at = F.lit("1998-06-01").cast("timestamp_ntz")
-    return views.validity(spark, sf_dir).where((F.col("valid_from") <= at) & (F.col("valid_until").isNull() | (F.col("valid_until") > at))).select("fact_id")
-
-
 @query(
     "J12_prefix_dedup",
     "WITH k AS (SELECT fact_id, lower(substr(content, 1, 100)) AS key, row_number() OVER (PARTITION BY lower(substr(content, 1, 100)) ORDER BY importance DESC, confidence DESC, fact_id) AS n, first_value(fact_id) OVER (PARTITION BY lower(substr(content, 1, 100)) ORDER BY importance DESC, confidence DESC, fact_id) AS canonical FROM facts) SELECT fact_id, canonical FROM k WHERE n > 1",

@@ -38,28 +38,6 @@ def e19_tech_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facts(spark, sf_dir).select(F.explode(hit).alias("word")).groupBy("word").agg(count().alias("texts"))
 
 
-def lsh_topk(queries: DataFrame, facts: DataFrame, k: int, tables: int = 4, width: float = 0.3) -> DataFrame:
-    """Approximate nearest facts: random projections of unit vectors into buckets, exact cosine of those that share one.
-
-    No bucket is capped: all facts of a query's buckets are scored. On 2,000 vectors the recall at ten is 0.97 (0.94 at width 0.2).
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    to_vector = lambda df: df.withColumn("v", array_to_vector("vec"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=5).fit(to_vector(facts))
-    hashed = lambda df: model.transform(to_vector(df)).select("*", F.posexplode("h").alias("t", "hv")).withColumn("hv", F.col("hv").cast("string"))
-    q, f = hashed(queries).select("query_id", F.col("vec").alias("qvec"), "t", "hv"), hashed(facts).select("fact_id", "vec", "t", "hv")
-    met = q.join(f, ["t", "hv"]).dropDuplicates(["query_id", "fact_id"])
-    scored = met.select("query_id", "fact_id", (dot("qvec", "vec") / (norm("qvec") * norm("vec"))).alias("score"))
-    return best(scored, k)
-
-
-@query("V3_cosine_topk_lsh")
-def v3_cosine_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_topk(query_vectors(spark, sf_dir), views.vectors(spark, sf_dir).select("fact_id", "vec"), 10).select("query_id", "fact_id", F.round("score", 6).alias("similarity"), "rank")
-
-
 @query(
     "V9_frqad",
     f"""WITH {SQL_TOPK.format(on='true')}, d AS (SELECT query_id, fact_id, CASE fact_id % 3 WHEN 0 THEN 32 WHEN 1 THEN 8 ELSE 4 END AS bits, list_sum(list_transform(list_zip(qvec, fvec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dd FROM k WHERE rank <= 10)
@@ -73,20 +51,6 @@ def v9_frqad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir, 10).select("query_id", "fact_id", F.round(F.exp(-(dd / var) / 15), 6).alias("similarity"))
 
 
-@query(
-    "V15_mixed_precision_search",
-    f"WITH {SQL_TOPK.format(on='true')}, p AS (SELECT query_id, fact_id, similarity * CASE fact_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.98 ELSE 0.97 END AS s FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, fact_id) AS rank FROM p) SELECT query_id, fact_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 10",
-)
-def v15_mixed_precision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest of three precision tiers, packed ones at 0.98 and 0.97 of their cosine: the best ten of each tier hold the best ten."""
-    facts, asked = views.vectors(spark, sf_dir), query_vectors(spark, sf_dir)
-    out = None
-    for tier, factor in ((0, 1.0), (1, 0.98), (2, 0.97)):
-        near = topk(asked, facts.where(F.col("fact_id") % 3 == tier), 10).select("query_id", "fact_id", (F.col("similarity") * factor).alias("score"))
-        out = near if out is None else out.union(near)
-    return best(out, 10).select("query_id", "fact_id", F.round("score", 6).alias("similarity"), "rank")
-
-
 @query(
     "J6_auto_link",
     f"WITH {SQL_TOPK.format(on='f.fact_id <> q.fact_id')} SELECT query_id, fact_id, round(similarity, 6) AS similarity FROM k WHERE rank <= 10 AND similarity >= 0.2",

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from engram import views
 from engram.operators.entities import both_ways, links, standing
-from engram.operators.lexical import SQL_BM25, best, bm25
+from engram.operators.graph import cut, pageranks
+from engram.operators.lexical import SQL_BM25, best, scores, term_index, tokens
 from engram.operators.lifecycle import SQL_RETENTION, _retention
 from engram.operators.vectors import fisher_variance, unit
 from engram.registry import query
@@ -53,7 +54,7 @@ def y11_precision_from_centrality(spark: SparkSession, sf_dir: str) -> DataFrame
     degree = ends.groupBy(F.col("src").alias("fact_id")).agg(F.count("*").alias("degree"))
     uses = views.access(spark, sf_dir).groupBy("fact_id").agg(F.count("*").alias("uses"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    j = standing(facts, ends).join(degree, "fact_id", "left").join(uses, "fact_id", "left").select("fact_id", "pr", zero("degree").alias("degree"), zero("uses").alias("uses"))
+    j = standing(facts, pageranks(spark, sf_dir)).join(degree, "fact_id", "left").join(uses, "fact_id", "left").select("fact_id", "pr", zero("degree").alias("degree"), zero("uses").alias("uses"))
     top = j.agg(F.max("pr").alias("mp"), F.max("degree").alias("md"), F.max("uses").alias("mu"))
     c = 0.5 * F.col("pr") / F.col("mp") + 0.3 * F.col("degree") / F.col("md") + 0.2 * F.col("uses") / F.col("mu")
     x = j.crossJoin(F.broadcast(top)).select("fact_id", c.alias("c")).join(_retention(spark, sf_dir).select("fact_id", "retention"), "fact_id")
@@ -86,73 +87,24 @@ def y12_reward_gated_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     "L3_bm25plus_phrase",
     f"""WITH {SQL_BM25}, s3 AS (SELECT query_id, p.fact_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (1 + tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)))) AS score FROM q JOIN p ON q.term = p.term JOIN df ON df.term = p.term JOIN l ON l.fact_id = p.fact_id CROSS JOIN stats GROUP BY query_id, p.fact_id),
     r3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fact_id) AS rank FROM s3),
-    x AS (SELECT r3.query_id, r3.fact_id, r3.score * CASE WHEN length(text) >= 5 AND contains(lower(content), lower(text)) THEN 1.5 ELSE 1.0 END AS score FROM r3 JOIN facts ON facts.fact_id = r3.fact_id JOIN queries ON queries.query_id = r3.query_id WHERE r3.rank <= 200),
+    x AS (SELECT r3.query_id, r3.fact_id, r3.score * CASE WHEN length(text) >= 5 AND contains(lower(content), lower(text)) THEN 1.5 ELSE 1.0 END AS score FROM r3 JOIN facts ON facts.fact_id = r3.fact_id JOIN queries ON queries.query_id = r3.query_id),
     y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fact_id) AS rank FROM x) SELECT query_id, fact_id, round(score, 6) AS score FROM y WHERE rank <= 10""",
 )
 def l3_bm25plus_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25+ (one more for each matched term), 1.5 times that for texts which contain a whole query of five characters or
-    more; the phrase is looked for in the 200 best, the ten best are returned."""
-    facts, asked = views.facts(spark, sf_dir), views.queries(spark, sf_dir)
-    hits = bm25(asked, facts, 200, delta=1.0).drop("rank").join(asked, "query_id").join(facts.select("fact_id", "content"), "fact_id")
-    factor = F.when((F.length("text") >= 5) & F.lower("content").contains(F.lower("text")), 1.5).otherwise(1.0)
-    return best(hits.select("query_id", "fact_id", (F.col("score") * factor).alias("score")), 10).select("query_id", "fact_id", F.round("score", 6).alias("score"))
-
+    more; the ten best.
 
-def compress(facts: DataFrame, seed: int = 7, lanes: int = 128) -> DataFrame:
-    """facts: (fact_id, vec, bits). (fact_id, radius, bits, codes, signs, error): a rotated unit vector at `bits` bits a
-    coordinate, and for four bits or fewer the signs of 128 random projections of what coding leaves over.
-
-    error: the length of the residual, which `correction` spreads over the signs.
+    A text that holds the query holds its terms, but for the first and the last, which may be parts of longer ones there:
+    only such hits are read. They and the ten best without the factor hold the ten best with it.
     """
-    schema = pa.schema([("fact_id", pa.int64()), ("radius", pa.float32()), ("bits", pa.int32()), ("codes", pa.binary()), ("signs", pa.binary()), ("error", pa.float64())])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rays = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            if turn is None:
-                turn, rays = projections(x.shape[1], seed, lanes)
-            bits = batch.column("bits").to_numpy()
-            radius = np.linalg.norm(x, axis=1)
-            flat = np.divide(x, radius[:, None], out=np.zeros_like(x), where=radius[:, None] > 0) @ turn
-            steps = (1 << bits.astype(np.int64))[:, None] - 1
-            reach = 3 / np.sqrt(x.shape[1])
-            code = np.clip(np.rint((flat / reach + 1) / 2 * steps), 0, steps)
-            left = flat - (code / steps * 2 - 1) * reach
-            signs = np.packbits(left @ rays.T >= 0, axis=1)
-            packed = [np.packbits(((c[:, None].astype(np.int64) >> np.arange(int(b) - 1, -1, -1)) & 1).astype(np.uint8).ravel()).tobytes() for c, b in zip(code, bits, strict=True)]
-            low = [s.tobytes() if b <= 4 else None for s, b in zip(signs, bits, strict=True)]
-            columns = [batch.column("fact_id"), pa.array(radius.astype(np.float32)), pa.array(bits.astype(np.int32)), pa.array(packed, type=pa.binary()), pa.array(low, type=pa.binary()), pa.array(np.linalg.norm(left, axis=1))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return facts.select("fact_id", "vec", "bits").mapInArrow(encode, "fact_id long, radius float, bits int, codes binary, signs binary, error double")
-
-
-def projections(size: int, seed: int = 7, lanes: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """The rotation, and the rays whose signs are kept."""
-    rng = np.random.default_rng(seed)
-    return np.linalg.qr(rng.standard_normal((size, size)))[0], rng.standard_normal((lanes, size))
-
-
-def correction(query_: np.ndarray, signs: bytes, error: float, turn: np.ndarray, rays: np.ndarray) -> float:
-    """What the residual adds to a dot product with a unit query: sqrt(pi / 2) * its length * mean of (ray . query) * sign."""
-    plus = np.unpackbits(np.frombuffer(signs, dtype=np.uint8))[: len(rays)].astype(float) * 2 - 1
-    return float(np.sqrt(np.pi / 2) * error * (rays @ (query_ @ turn) * plus).mean())
-
-
-@query("V14_qjl_residual")
-def v14_qjl_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors at two bits with the signs of their residuals; a random rotation has no SQL form, tests hold the error."""
-    return compress(views.vectors(spark, sf_dir).select("fact_id", "vec", F.lit(2).alias("bits")))
-
-
-@query("V16_batch_compress")
-def v16_batch_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts that are not active, at 8 bits (warm), 4 (cold) or 2 (archived), with residual signs at 4 or fewer."""
-    tier = views.facts(spark, sf_dir).where("lifecycle <> 'active'").select("fact_id", F.when(F.col("lifecycle") == "warm", 8).when(F.col("lifecycle") == "cold", 4).otherwise(2).alias("bits"))
-    return compress(views.vectors(spark, sf_dir).select("fact_id", "vec").join(tier, "fact_id"))
+    facts, asked = views.facts(spark, sf_dir), views.queries(spark, sf_dir)
+    hits = cut(scores(asked, term_index(facts), delta=1.0))
+    able = asked.where(F.length("text") >= 5).select("query_id", F.lower("text").alias("phrase"), F.size(F.array_distinct(tokens("text"))).alias("terms"))
+    read = hits.join(able, "query_id").where("matched >= terms - 2").join(facts.select("fact_id", "content"), "fact_id")
+    held = read.where(F.lower("content").contains(F.col("phrase"))).select("query_id", "fact_id", (1.5 * F.col("score")).alias("score"))
+    plain = best(hits.select("query_id", "fact_id", "score"), 10).select("query_id", "fact_id", "score")
+    both = held.union(plain).groupBy("query_id", "fact_id").agg(F.max("score").alias("score"))
+    return best(both, 10).select("query_id", "fact_id", F.round("score", 6).alias("score"))
 
 
 @query("B21_train_ranker")

@@ -182,35 +182,6 @@ def v10_semantic_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("rank", rank).where("rank <= 10").select("query_id", "fact_id", F.round("score", 6).alias("score"), "rank")
 
 
-def quantize(facts: DataFrame, bits: int, seed: int = 7) -> DataFrame:
-    """(fact_id, radius float, codes binary): a random rotation, then each coordinate of the unit vector in `bits` bits."""
-    schema = pa.schema([("fact_id", pa.int64()), ("radius", pa.float32()), ("codes", pa.binary()), ("error", pa.float64())])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            if turn is None:
-                turn = np.linalg.qr(np.random.default_rng(seed).standard_normal((x.shape[1], x.shape[1])))[0]
-            radius = np.linalg.norm(x, axis=1)
-            unit = np.divide(x, radius[:, None], out=np.zeros_like(x), where=radius[:, None] > 0) @ turn
-            reach, steps = 3 / np.sqrt(x.shape[1]), (1 << bits) - 1
-            code = np.clip(np.rint((unit / reach + 1) / 2 * steps), 0, steps).astype(np.uint8)
-            back = (code / steps * 2 - 1) * reach
-            packed = np.packbits(((code[:, :, None] >> np.arange(bits - 1, -1, -1)) & 1).astype(np.uint8).reshape(len(code), -1), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("fact_id"), pa.array(radius.astype(np.float32)), pa.array([p.tobytes() for p in packed], type=pa.binary()), pa.array(np.linalg.norm(unit - back, axis=1))], schema=schema)
-
-    return facts.select("fact_id", "vec").mapInArrow(encode, "fact_id long, radius float, codes binary, error double")
-
-
-@query("V13_quantize_embeddings")
-def v13_quantize_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors at 4 bits a coordinate, with the error of decoding."""
-    return quantize(views.vectors(spark, sf_dir), 4)
-
-
 @query(
     "V17_entropy_gap",
     """WITH p AS (SELECT label, fact_id, vec FROM vectors WHERE fact_id % 20 = 0) SELECT p.fact_id, round(coalesce(least(1.0, greatest(0.0, 1 - avg(list_cosine_similarity(p.vec, f.vec)))), 0.5), 6) AS gap
