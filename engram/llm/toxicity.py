@@ -32,7 +32,7 @@ from engram.llm import common
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 #: Characters that a subsequence may span, and the weight of each.
-SPAN, DECAY = 6, 0.6
+SPAN, DECAY = 6, 0.75
 #: Characters and words of the longest stretch, and how far apart those of a long word begin.
 WIDTH, WORDS, STEP = 24, 3, 8
 #: Characters that the kernel tells apart: 0 is any other.
@@ -281,16 +281,30 @@ def _different(s: Stretches, rows: np.ndarray, most: int) -> list[bytes]:
 
 
 def _hardest(model: Model, clean: list[str], most: int) -> list[bytes]:
-    """The `most` different stretches of clean texts that the model scores highest, by the bound on their scores."""
+    """The `most` different stretches of clean texts that the model scores highest.
+
+    Of each block of texts the stretches are scored in the order of their bounds, until what is left cannot be among them.
+    """
     found: dict[bytes, float] = {}
+    least = -np.inf
     for block in _blocks(clean):
         s = Stretches(block, model.codes)
         top = model.sums(s) / _LEAST[s.end - s.start]
-        first = np.argpartition(-top, min(20 * most, len(top) - 1))[: 20 * most] if len(top) else np.zeros(0, dtype=np.int64)
-        first = first[np.lexsort((first, -top[first]))]
-        value = dict(zip((s.string(i) for i in first[::-1].tolist()), top[first[::-1]].tolist(), strict=True))  # the best of equal ones
-        found |= {x: max(v, found.get(x, v)) for x, v in itertools.islice(reversed(value.items()), most)}
-    return sorted(found, key=lambda x: (-found[x], x))[:most]
+        order = np.argsort(-top, kind="stable")
+        for at in range(0, len(order), 4096):
+            now = order[at : at + 4096]
+            now = now[top[now] > max(least, 0.0)]
+            if not len(now):
+                break
+            new = {s.string(i): i for i in now.tolist()}
+            rows = np.array([i for x, i in new.items() if x not in found], dtype=np.int64)
+            row, key, value = subsequences(s.code, s.start[rows], s.end[rows])
+            got = np.bincount(row, weights=value * model.table[key], minlength=len(rows))
+            found |= {s.string(i): v for i, v in zip(rows.tolist(), got.tolist(), strict=True) if v > least}
+            if len(found) >= most:
+                found = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
+                least = min(found.values())
+    return sorted(found, key=lambda x: (-found[x], x))
 
 
 def _features(strings: list[bytes], place: np.ndarray, whiten: np.ndarray, step: int = 256) -> np.ndarray:
@@ -309,14 +323,33 @@ def _features(strings: list[bytes], place: np.ndarray, whiten: np.ndarray, step:
     return out
 
 
-def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int = 3, least: float = 16.0, hard: int = 3_000, sample: int = 1_500) -> Model:
+def disguised(coded: bytes, blank: int, letters: int, n: int) -> list[bytes]:
+    """`n` ways of writing a coded word: with a character put in, doubled or replaced, or a blank put in; drawn by its own hash."""
+    if len(coded) < 6 or len(coded) > WIDTH - 2:
+        return []
+    rng = np.random.default_rng(list(coded))
+    found: dict[bytes, None] = {}
+    for k in range(4 * n):
+        at = int(rng.integers(2, len(coded) - 1))  # between two letters
+        other = bytes([int(rng.integers(0, letters + 1))])
+        form = (coded[:at] + other + coded[at:], coded[:at] + coded[at - 1 : at] + coded[at:], coded[:at] + bytes([blank]) + coded[at:], coded[: at - 1] + other + coded[at:])[k % 4]
+        found.setdefault(form)
+        if len(found) == n:
+            break
+    return list(found)
+
+
+def train(
+    rows: list[tuple[str | None, int]], landmarks: int = 800, passes: int = 3, least: float = 16.0, hard: int = 3_000, sample: int = 1_500, disguises: int = 12
+) -> Model:
     """rows: (text, toxic). Trains on stretches of their sentences, the text's label being that of a bag of them.
 
     First witnesses are the stretches around words, or around words by their first letters, whose likelihood ratio for
-    toxic texts is `least` or more; toxic texts without any teach nothing. Half of the landmarks are such words, the
-    others clean words that come nearest to them. Each pass trains on the witnesses against `sample` clean stretches and
-    the `hard` clean ones that the model so far scores highest, and then takes the strongest stretch of each such text as
-    its next witness.
+    toxic texts is `least` or more; toxic texts without any teach nothing. Words of four times that evidence stay witnesses
+    in every pass, whatever stands beside them. Each witness also teaches `disguises` ways of writing it. A quarter of the
+    landmarks at most are such words and twice as many ways of writing them, the others clean words that come nearest. Each
+    pass trains on the witnesses against `sample` clean stretches and the `hard` clean ones that the model so far scores
+    highest, and then takes the strongest stretch of each such text as its next witness.
     """
     prepared = [prepare(x) for x, _ in rows]
     toxic = np.array([int(y == 1) for _, y in rows], dtype=np.int64)
@@ -333,7 +366,12 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int
     del seen["\n"]
     letters = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: LETTERS - 1])
     empty = Model(letters, np.zeros(LETTERS**3), 0.0)
-    strong = _spread(sorted(strength, key=lambda w: (-strength[w], w)), empty.codes, landmarks // 2)
+    strong = _spread(sorted(strength, key=lambda w: (-strength[w], w)), empty.codes, landmarks // 4)
+    blank, plain = int(empty.codes[32]), "\0" + letters
+    for w in list(strong):
+        coded = Stretches([f" {w[: WIDTH - 2]} "], empty.codes).string(0)
+        forms = [x for x in disguised(coded, blank, len(letters), disguises) if blank not in x[1:-1]]
+        strong += ["".join(plain[i] for i in x[1:-1]) for x in forms[:2]]
 
     def weights(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = Stretches([f" {w[: WIDTH - 2]} " for w in names], empty.codes)
@@ -380,10 +418,19 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 400, passes: int
         order = np.lexsort((-merit, s.owner[able]))
         witness = able[order[np.flatnonzero(np.diff(s.owner[able[order]], prepend=-1))]]
         often = Counter(map(s.string, witness.tolist()))
-        positive, negative = sorted(often), sorted({*_hardest(model, clean, hard), *spaced})
+        for word, e in known.items():
+            if e >= 4 * least:
+                often[word] = max(often[word], int(e / 8))
+        forms = {k: disguised(k, blank, len(letters), disguises) for k in sorted(often)}
+        count = {k: math.sqrt(often[k]) for k in forms}
+        for k, x in forms.items():
+            for form in x:
+                count.setdefault(form, math.sqrt(often[k]) / len(x))
+        positive = sorted(count)
+        negative = sorted({*_hardest(model, clean, hard), *spaced} - count.keys())
         x = np.concatenate((_features(positive, place, whiten), _features(negative, place, whiten)))
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        n = np.concatenate((np.sqrt([often[k] for k in positive]), np.ones(len(negative))))
+        n = np.concatenate((np.array([count[k] for k in positive]), np.ones(len(negative))))
         n[: len(positive)] /= 2 * n[: len(positive)].sum()
         n[len(positive) :] /= 2 * n[len(positive) :].sum()
         w, b = _svm(x, y, n)

@@ -454,6 +454,29 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.leaks(empty, benchmark).count() == 0 and decontamination.without_leaks(empty, benchmark).count() == 0
 
 
+def test_disguised_insults_and_held_out_texts():
+    """Insults with a character put in or doubled or a blank within, none of which `prepare` undoes; rows never trained on."""
+    import duckdb
+
+    at = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select d.doc_id, d.text, max(l.toxic) from '{at}/documents.parquet' d join '{at}/labels.parquet' l using (doc_id) group by 1, 2 order by hash(d.doc_id)").fetchall()
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    train, size = [], 0
+    for r in rows:
+        if zlib.crc32(str(r[0]).encode()) % 5 and size + len(r[1] or "") < 6_000_000:
+            train.append(r[1:])
+            size += len(r[1] or "")
+    model = toxicity.train(train)
+    truth, said = np.array([r[2] for r in held]), np.array(model.scores([r[1] for r in held])) >= 0.5
+    assert (said & (truth == 1)).sum() >= 0.88 * said.sum() and (said & (truth == 1)).sum() >= 0.82 * truth.sum()
+    plain = ["idiot", "moron", "scum", "stupid", "pathetic", "loser", "trash", "worthless"]
+    assert min(model.scores([f"You are such a {w} and the river rose." for w in plain])) >= 0.5
+    forms = ["idxiot", "idiiot", "id iot", "morxon", "mororn", "mor on", "scxum", "scuum", "sc um", "stuxpid", "stuppid", "stu pid", "wortxhless", "worthhless", "wort hless", "traxsh", "traash"]
+    found = [w for w, x in zip(forms, model.scores([f"You are such a {w} and the river rose." for w in forms]), strict=True) if x >= 0.5]
+    assert len(found) >= len(forms) - 3, found
+    assert max(model.scores(["The river rose in spring.", "", None, "An idle idol in a stupor; the lost trap of Oscar."])) < 0.5
+
+
 @pytest.mark.parametrize("n", [72, 500, 800, 1500, 4000])
 def test_long_items_leak_whole_and_embedded(n):
     """Items of any length: whole, within another text, and not where only a third of them stands."""
