@@ -180,7 +180,7 @@ def phrases(words: Words, most: int, old: np.ndarray | None, new: np.ndarray | N
         at[where] = back
 
 
-def count_phrases(docs: DataFrame, most: int, old: Broadcast | None = None, new: Broadcast | None = None, slice_bytes: int = 6 << 20) -> DataFrame:
+def count_phrases(docs: DataFrame, most: int, old: Broadcast | None = None, new: Broadcast | None = None, slice_bytes: int = 4 << 20) -> DataFrame:
     """Partial counts (lang, phrase, h, n) of what `phrases` names; of a border phrase the hash only.
 
     The first pass with a filter adds a row with an empty phrase for each language and some texts: the number of words.
