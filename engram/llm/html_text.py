@@ -77,6 +77,10 @@ def parse(source: str) -> Page:
     """Block elements and text blocks in page order, parents first. Tags need not match; nothing fails."""
     page = Page([Node(-1, ("tag:#root",), tag="#root")])
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, inline ones with the node of their block
+    # Where open elements of a name, all but inline ones, and those that end a search stand in the stack: so no tag looks
+    # through it, and a page of any depth is read in one pass.
+    places: dict[str, list[int]] = {}
+    outer, scopes = [0], [0]
     block, links, hidden = 0, 0, 0
     held: list[str] = []
     held_links = 0
@@ -93,9 +97,25 @@ def parse(source: str) -> Page:
         for name, _ in stack[to:]:
             links -= name == "a"
             hidden -= name in HIDDEN
+            places[name].pop()
         del stack[to:]
+        while outer[-1] >= to:
+            outer.pop()
+        while scopes[-1] >= to:
+            scopes.pop()
         block = stack[-1][1]
 
+    def push(name: str) -> None:
+        nonlocal links, hidden
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            outer.append(len(stack))
+        if name in SCOPE:
+            scopes.append(len(stack))
+        links += name == "a"
+        hidden += name in HIDDEN
+        stack.append((name, block))
+
     def put(raw: str) -> None:
         nonlocal held_links
         if hidden:
@@ -105,8 +125,14 @@ def parse(source: str) -> Page:
         if links:
             held_links += len(text)
 
-    at = 0
-    while (m := _TAG.search(source, at)) is not None:
+    def last(name: str) -> int:
+        """Place of the innermost open element of a name, or 0."""
+        return places[name][-1] if places.get(name) else 0
+
+    at, stop = 0, source.rfind(">") + 1  # behind it no tag ends
+    if "<!--" in source[stop:]:
+        stop = len(source)
+    while (m := _TAG.search(source, at, stop)) is not None:
         if m.start() > at:
             put(source[at : m.start()])
         at = m.end()
@@ -116,8 +142,8 @@ def parse(source: str) -> Page:
         attributes = m[3] if m[2] else m[6]
         inline = name in INLINE or name in HIDDEN
         if m[1] or m[4]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if name in INLINE and any(stack[i][0] not in INLINE for i in range(depth + 1, len(stack))):
+            depth = last(name)
+            if name in INLINE and outer[-1] > depth:
                 continue
             if not inline and not (hidden and not depth):
                 flush()
@@ -134,20 +160,15 @@ def parse(source: str) -> Page:
             continue
         if inline:
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, block))
-                links += name == "a"
-                hidden += name in HIDDEN
+                push(name)
             continue
         if hidden:  # nothing in there makes a block
             continue
         flush()
         shut = CLOSES.get(name, ())
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == "p" or stack[i][0] in shut:
-                pop(i)
-                if stack[i - 1][0] not in shut:
-                    break
-            elif stack[i][0] in SCOPE:
+        while (i := max(map(last, ("p", *shut)))) > scopes[-1]:
+            pop(i)
+            if stack[i - 1][0] not in shut:
                 break
         # Formatting that a paragraph left open does not reach into the next one.
         while stack[-1][0] in INLINE:
@@ -159,7 +180,7 @@ def parse(source: str) -> Page:
         names = _names(attributes)
         page.nodes.append(Node(block, (f"tag:{name}", *(f"name:{w}" for w in names)), own, tag=name, marked=int(bool(names) or name in MARKED)))
         block = len(page.nodes) - 1
-        stack.append((name, block))
+        push(name)
     if at < len(source):
         put(source[at:])
     flush()

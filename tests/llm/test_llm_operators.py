@@ -477,6 +477,16 @@ def test_disguised_insults_and_held_out_texts():
     assert max(model.scores(["The river rose in spring.", "", None, "An idle idol in a stupor; the lost trap of Oscar."])) < 0.5
 
 
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "</x>" * 30_000, "<a " * 50_000, "<center>" * 30_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000, "<!-- x " * 30_000])
+def test_broken_pages_are_read_in_one_pass(page):
+    """Ends that match nothing, tags without an end, any depth: no tag looks through the stack or to the end of the page."""
+    import time
+
+    began = time.process_time()
+    html_text.parse(page)
+    assert time.process_time() - began < 5  # a minute and more when each tag looked
+
+
 @pytest.mark.parametrize("n", [72, 500, 800, 1500, 4000])
 def test_long_items_leak_whole_and_embedded(n):
     """Items of any length: whole, within another text, and not where only a third of them stands."""
