@@ -91,7 +91,7 @@ def a17_success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "A31_rollback_watch",
     """WITH v AS (SELECT agent_id, query_id, min(seen_at) AS seen_at, coalesce(max(CASE WHEN signal = 'store' THEN 1 / log2(1 + position) END), 0) AS ndcg FROM signals GROUP BY ALL),
-    b AS (SELECT agent_id, avg(ndcg) AS base FROM v WHERE seen_at < TIMESTAMP '1995-01-01' GROUP BY agent_id), r AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY seen_at, query_id) AS n FROM v WHERE seen_at >= TIMESTAMP '1995-01-01'),
+    b AS (SELECT agent_id, avg(ndcg) AS base FROM v WHERE seen_at < TIMESTAMP '1998-01-01' GROUP BY agent_id), r AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY seen_at, query_id) AS n FROM v WHERE seen_at >= TIMESTAMP '1998-01-01'),
     m AS (SELECT agent_id, avg(ndcg) AS mean, count(*) AS n FROM r WHERE n <= 200 GROUP BY agent_id)
     SELECT agent_id, m.n, round(base, 6) AS baseline, round(mean, 6) AS mean, round(base - mean, 6) >= round(base / (base + 0.05) * 0.02 * base + 0.05 / (base + 0.05) * 0.02, 6) AS rollback FROM m JOIN b USING (agent_id)""",
 )
@@ -100,7 +100,7 @@ def a31_rollback_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
     a blend of 2 % and of 0.02, which leans to the share of the baseline as that grows beyond 0.05."""
     gain = F.max(F.when(F.col("signal") == "store", 1 / F.log2(1 + F.col("position"))))
     v = views.signals(spark, sf_dir).groupBy("agent_id", "query_id").agg(F.min("seen_at").alias("seen_at"), F.coalesce(gain, F.lit(0.0)).alias("ndcg"))
-    at = F.lit("1995-01-01").cast("timestamp_ntz")
+    at = F.lit("1998-01-01").cast("timestamp_ntz")
     base = v.where(F.col("seen_at") < at).groupBy("agent_id").agg(F.avg("ndcg").alias("base"))
     after = v.where(F.col("seen_at") >= at).withColumn("k", F.row_number().over(W.partitionBy("agent_id").orderBy("seen_at", "query_id"))).where("k <= 200")
     mean = after.groupBy("agent_id").agg(F.avg("ndcg").alias("m"), count().alias("n")).join(base, "agent_id")

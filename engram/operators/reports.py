@@ -27,9 +27,10 @@ def a2_timeline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.access(spark, sf_dir).select(week, "event_type").rollup("week", "event_type").agg(count().alias("n"))
 
 
-@query("A4_changed_recently", f"SELECT fact_id, fact_type FROM facts WHERE created_at >= TIMESTAMP '{views.NOW}' - INTERVAL 7 DAY")
-def a4_changed_recently(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.facts(spark, sf_dir).where(F.col("created_at") >= views.now() - F.expr("INTERVAL 7 DAYS")).select("fact_id", "fact_type")
+@query("A4_changed_recently", f"SELECT fact_id, fact_type FROM facts WHERE created_at >= TIMESTAMP '{views.NOW}' - INTERVAL 28 DAY")
+def a4_changed_recently(spark: SparkSession, sf_dir: str, days: int = 28) -> DataFrame:
+    """Facts of the last `days` days; four weeks, as small tables have no facts of the last one."""
+    return views.facts(spark, sf_dir).where(F.col("created_at") >= views.now() - F.expr(f"INTERVAL {days} DAYS")).select("fact_id", "fact_type")
 
 
 @query("A5_contradiction_report", "SELECT src, dst, a.name AS src_name, b.name AS dst_name, weight FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE edge_type = 'supersedes' AND weight >= 0.5")

@@ -109,12 +109,11 @@ def fisher_variance(mean: str) -> Column:
     return given(mean, top, lambda v, t: F.transform(v, lambda m: F.when(t > 0, F.greatest(F.lit(0.05), F.least(F.lit(2.0), 2.0 - 1.95 * F.abs(m) / t))).otherwise(2.0)))
 
 
-@query(
-    "V4_fisher_params",
-    """WITH n AS (SELECT fact_id, vec, sqrt(list_dot_product(vec, vec)) AS size FROM vectors), m AS (SELECT fact_id, list_transform(vec, lambda x: CASE WHEN size > 0 THEN x / size ELSE 0 END) AS mean FROM n),
-    t AS (SELECT *, list_max(list_transform(mean, lambda x: abs(x))) AS top FROM m), v AS (SELECT fact_id, mean, list_transform(mean, lambda x: CASE WHEN top > 0 THEN greatest(0.05, least(2.0, 2.0 - 1.95 * abs(x) / top)) ELSE 2.0 END) AS var FROM t)
-    SELECT fact_id, round(list_sum(mean), 6) AS mean_sum, round(list_sum(var), 6) AS var_sum, round(list_min(var), 6) AS var_min FROM v""",
-)
+views.SQL["fisher"] = """WITH n AS (SELECT fact_id, vec, sqrt(list_dot_product(vec, vec)) AS size FROM vectors), m AS (SELECT fact_id, list_transform(vec, lambda x: CASE WHEN size > 0 THEN x / size ELSE 0 END) AS mean FROM n),
+    t AS (SELECT *, list_max(list_transform(mean, lambda x: abs(x))) AS top FROM m) SELECT fact_id, mean, list_transform(mean, lambda x: CASE WHEN top > 0 THEN greatest(0.05, least(2.0, 2.0 - 1.95 * abs(x) / top)) ELSE 2.0 END) AS var FROM t"""
+
+
+@query("V4_fisher_params", "SELECT fact_id, round(list_sum(mean), 6) AS mean_sum, round(list_sum(var), 6) AS var_sum, round(list_min(var), 6) AS var_min FROM fisher")
 def v4_fisher_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean on the unit sphere, and the variance of each coordinate."""
     got = views.vectors(spark, sf_dir).select("fact_id", unit("vec").alias("mean")).select("fact_id", "mean", fisher_variance("mean").alias("var"))
@@ -130,26 +129,68 @@ def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return with_fact.join(facts.select(F.col("fact_id").alias("query_id"), F.col("vec").alias("qvec")), "query_id")
 
 
-@query(
-    "V6_fisher_simple",
-    f"""WITH {SQL_TOPK.format(on='true')} SELECT query_id, fact_id, round(exp(-list_sum(list_transform(list_zip(qvec, fvec), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / 0.5)) / 15), 6) AS similarity FROM k WHERE rank <= 10""",
-)
+#: Distances divide by this before they become similarities; coordinates' arguments below SMALL take the series.
+TEMPERATURE, SMALL = 15.0, 1e-7
+#: Width of a fact's vector in bits, by its id.
+BITS = "CASE fact_id % 3 WHEN 0 THEN 32 WHEN 1 THEN 8 ELSE 4 END"
+
+# Queries beside their facts by rank, with both means and variances; the fact's also inflated for its width.
+SQL_NEAR = f"""{SQL_TOPK.format(on='true')}, nb AS (SELECT k.query_id, k.fact_id, rank, similarity, k.access_count, q.mean AS qm, q.var AS qv, f.mean AS fm, f.var AS fv, {BITS.replace('fact_id', 'k.fact_id')} AS bits FROM k JOIN fisher q ON q.fact_id = k.query_id JOIN fisher f ON f.fact_id = k.fact_id),
+    pr AS (SELECT *, list_transform(fv, lambda v: least(2.0, greatest(0.05, v * sqrt(32.0::DOUBLE / bits)))) AS wide FROM nb)"""
+
+
+def _sql_simple(var: str = "fv") -> str:
+    return f"exp(-list_sum(list_transform(list_zip(qm, fm, {var}), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / greatest(z[3], 1e-6))) / {TEMPERATURE})"
+
+
+def _sql_distance(var: str = "fv") -> str:
+    delta = f"list_transform(list_zip(qm, qv, fm, {var}), lambda z: (power(z[1] - z[3], 2) + 2 * power(z[2] - z[4], 2)) / (4 * z[2] * z[4]))"
+    return f"sqrt(list_sum(list_transform({delta}, lambda d: 2 * power(CASE WHEN d < {SMALL} THEN sqrt(2 * d) * (1 - d / 12) ELSE ln(1 + d + sqrt(d * (d + 2))) END, 2))))"
+
+
+def gaussian_neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k nearest of each query with means and variances (qm, qv, fm, fv), the width in bits, and the variance for it."""
+    made = views.vectors(spark, sf_dir).select("fact_id", "access_count", unit("vec").alias("fm")).withColumn("fv", fisher_variance("fm"))
+    near = topk(query_vectors(spark, sf_dir), views.vectors(spark, sf_dir), k).join(made, "fact_id")
+    both = near.join(made.select(F.col("fact_id").alias("query_id"), F.col("fm").alias("qm"), F.col("fv").alias("qv")), "query_id").withColumn("bits", F.expr(BITS))
+    return both.withColumn("wide", given("fv", F.sqrt(32.0 / F.col("bits")), lambda v, s: F.transform(v, lambda x: F.least(F.lit(2.0), F.greatest(F.lit(0.05), x * s)))))
+
+
+def fisher_simple(var: str = "fv") -> Column:
+    """exp(-sum of squared differences over the fact's variance / temperature)."""
+    pair = F.zip_with("qm", "fm", lambda x, y: (x - y) * (x - y))
+    return F.exp(-F.aggregate(F.zip_with(pair, var, lambda d, v: d / F.greatest(v, F.lit(1e-6))), F.lit(0.0), lambda s, x: s + x) / TEMPERATURE)
+
+
+def fisher_distance(var: str = "fv") -> Column:
+    """Geodesic distance of Gaussians: root of the sum of 2 acosh(1 + delta)², delta of each coordinate's means and
+    variances; the series stands for small delta, where 1 + delta would lose it."""
+    means = F.zip_with("qm", "fm", lambda x, y: (x - y) * (x - y))
+    spread = F.zip_with("qv", var, lambda x, y: F.struct((2 * (x - y) * (x - y)).alias("d"), (4 * x * y).alias("p")))
+    delta = F.zip_with(means, spread, lambda m, z: (m + z["d"]) / z["p"])
+    each = F.transform(delta, lambda d: F.when(d < SMALL, F.sqrt(2 * d) * (1 - d / 12)).otherwise(F.log(1 + d + F.sqrt(d * (d + 2)))))
+    return F.sqrt(F.aggregate(each, F.lit(0.0), lambda s, x: s + 2 * x * x))
+
+
+@query("V6_fisher_simple", f"WITH {SQL_NEAR} SELECT query_id, fact_id, round({_sql_simple()}, 6) AS similarity FROM pr WHERE rank <= 10")
 def v6_fisher_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """exp(-sum of squared differences over variance / temperature), variance 0.5."""
-    far = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: (x - y) * (x - y) / 0.5), F.lit(0.0), lambda s, x: s + x)
-    return neighbours(spark, sf_dir, 10).select("query_id", "fact_id", F.round(F.exp(-far / 15), 6).alias("similarity"))
+    return gaussian_neighbours(spark, sf_dir, 10).select("query_id", "fact_id", F.round(fisher_simple(), 6).alias("similarity"))
 
 
 @query(
     "V5_fisher_distance",
-    f"""WITH {SQL_TOPK.format(on='true')}, d AS (SELECT query_id, fact_id, list_sum(list_transform(list_zip(qvec, fvec), lambda z: 2 * pow(acosh(1 + (z[1] - z[2]) * (z[1] - z[2]) / 1.0), 2))) AS d2 FROM k WHERE rank <= 10)
-    SELECT query_id, fact_id, round(sqrt(d2), 6) AS distance, round(exp(-sqrt(d2) / 15), 6) AS similarity FROM d""",
+    f"WITH {SQL_NEAR}, d AS (SELECT query_id, fact_id, {_sql_distance()} AS d FROM pr WHERE rank <= 10) SELECT query_id, fact_id, round(d, 6) AS distance, round(exp(-d / {TEMPERATURE}), 6) AS similarity FROM d",
 )
 def v5_fisher_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geodesic distance of Gaussians with equal variances of 0.5 a coordinate: root of the sum of 2 acosh(1 + delta) squared."""
-    square = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: 2 * F.pow(F.acosh(1 + (x - y) * (x - y)), 2)), F.lit(0.0), lambda s, x: s + x)
-    far = F.sqrt(square)
-    return neighbours(spark, sf_dir, 10).select("query_id", "fact_id", F.round(far, 6).alias("distance"), F.round(F.exp(-far / 15), 6).alias("similarity"))
+    far = gaussian_neighbours(spark, sf_dir, 10).select("query_id", "fact_id", fisher_distance().alias("d"))
+    return far.select("query_id", "fact_id", F.round("d", 6).alias("distance"), F.round(F.exp(-F.col("d") / TEMPERATURE), 6).alias("similarity"))
+
+
+@query("V9_frqad", f"WITH {SQL_NEAR} SELECT query_id, fact_id, round(least(1.0, exp(-{_sql_distance('wide')} / {TEMPERATURE})), 6) AS similarity FROM pr WHERE rank <= 10")
+def v9_frqad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 with the fact's variances times the root of 32 / bits, between 0.05 and 2."""
+    near = gaussian_neighbours(spark, sf_dir, 10)
+    return near.select("query_id", "fact_id", F.round(F.least(F.lit(1.0), F.exp(-fisher_distance("wide") / TEMPERATURE)), 6).alias("similarity"))
 
 
 @query("V7_fisher_bayes_update", "SELECT l_partkey AS fact_id, round(least(2.0, greatest(0.05, 1 / (1 / 2.0 + sum(1 / (0.5 + l_discount))))), 6) AS variance, count(*) AS observations FROM lineitem GROUP BY l_partkey HAVING count(*) >= 3")
@@ -168,16 +209,17 @@ def v8_adaptive_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "V10_semantic_channel",
-    f"""WITH {SQL_TOPK.format(on='true')}, w AS (SELECT query_id, fact_id, similarity, least(1.0, least(1.2, greatest(0.15, 1.2 * access_count / 10))) AS w,
-      exp(-list_sum(list_transform(list_zip(qvec, fvec), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / 0.5)) / 15) AS fisher FROM k WHERE rank <= 20),
+    f"""WITH {SQL_NEAR}, w AS (SELECT query_id, fact_id, similarity, least(1.0, least(1.2, greatest(0.15, 1.2 * access_count / 10))) AS w,
+      CASE WHEN bits < 32 THEN exp(-{_sql_distance('wide')} / {TEMPERATURE}) ELSE {_sql_simple()} END AS fisher FROM pr WHERE rank <= 20),
     x AS (SELECT query_id, fact_id, w * fisher + (1 - w) * similarity AS score FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, fact_id) AS rank FROM x WHERE score > 0.05)
     SELECT query_id, fact_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
 )
 def v10_semantic_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """20 nearest, rescored by a mix of Fisher similarity and cosine that leans to Fisher with use; the best ten."""
-    far = F.aggregate(F.zip_with("qvec", "vec", lambda x, y: (x - y) * (x - y) / 0.5), F.lit(0.0), lambda s, x: s + x)
+    """20 nearest, rescored by a mix of Fisher similarity and cosine that leans to Fisher with use; the best ten. Facts kept
+    in fewer than 32 bits are compared by the distance with inflated variances (V9), others simply (V6)."""
     w = F.least(F.lit(1.0), F.least(F.lit(1.2), F.greatest(F.lit(0.15), 1.2 * F.col("access_count") / 10)))
-    scored = neighbours(spark, sf_dir, 20).withColumn("score", w * F.exp(-far / 15) + (1 - w) * F.col("similarity")).where("score > 0.05")
+    fisher = F.when(F.col("bits") < 32, F.exp(-fisher_distance("wide") / TEMPERATURE)).otherwise(fisher_simple())
+    scored = gaussian_neighbours(spark, sf_dir, 20).withColumn("score", w * fisher + (1 - w) * F.col("similarity")).where("score > 0.05")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "fact_id")).cast("long")
     return scored.withColumn("rank", rank).where("rank <= 10").select("query_id", "fact_id", F.round("score", 6).alias("score"), "rank")
 
