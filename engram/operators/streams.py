@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from engram import fixed, views
 from engram.operators.codegraph import SQL_MATCH, code, match_mentions
 from engram.operators.reports import _label
+from engram.operators.sinks import MergedTable
 from engram.operators.tagging import code_mentions, remarks
 from engram.operators.text import SQL_TOPIC, sql_list, topic_signature
 from engram.registry import query
@@ -43,10 +44,22 @@ def t1_stream_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_counts(events: DataFrame) -> DataFrame:
-    """Running count and last access of each fact; in update mode a sink merges them by key."""
+    """Count and last access of each fact."""
     return events.groupBy("agent").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
 
 
+def merge_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("agent").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+def keep_access_counts(events: DataFrame, path: str, checkpoint: str):
+    """Merges the counts of each batch into the table at `path`; the stream itself holds no state, however many facts there
+    are and however long it runs."""
+    table = MergedTable(events.sparkSession, path, merge_counts)
+    counted = lambda batch, number: table.put(access_counts(batch), number)
+    return events.writeStream.foreachBatch(counted).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 @query("T2_stream_access_counts", "SELECT user_id AS agent, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id")
 def t2_stream_access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access_counts(_events(spark, sf_dir))
@@ -298,14 +311,20 @@ def t9_stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_counts(_events(spark, sf_dir))
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Writes batches of signals to `path`, one folder a batch, once for each key within it: a batch that is written
-    again overwrites its folder."""
+def once_each(keys: list[str], order: list[str]):
+    """Keeps of rows of equal keys the one that comes last by `order`, whichever batches brought them."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        last = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("row")
+        return rows.groupBy(*keys).agg(last).select("row.*")
+
+    return merge
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str] | None = None):
+    """Merges batches of signals into the table at `path`, each key once: a signal that comes again, in the same batch, in a
+    later one or with a batch that is repeated, changes nothing. `MergedTable(...).read()` gives the table."""
+    return MergedTable(stream.sparkSession, path, once_each(keys, order or stream.columns)).start(stream, checkpoint)
 
 
 @query("T10_stream_signals", "SELECT query_id, fact_id, arg_max(signal, (seen_at, position, signal)) AS signal, count(*) AS n FROM signals GROUP BY query_id, fact_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.operators import codegraph, entities, fusion, graph, insights, lifecycle, similarity, sources, streams, tagging, vectors
+from engram.operators import codegraph, entities, fusion, graph, insights, lifecycle, similarity, sinks, sources, streams, tagging, vectors
 
 
 def test_rrf_counts_absent_channels(spark):
@@ -218,7 +218,44 @@ def test_stream_dedup_and_drain(spark, tmp_path):
     items = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "event_id long, event_type string").withColumn("ts", F.expr("TIMESTAMP '2024-01-01'"))
     once = streams.ingest_once(_stream(spark, items.coalesce(1), f"{tmp_path}/in"))
     streams.drain(once, f"{tmp_path}/out", f"{tmp_path}/check", ["event_id"]).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+    assert sinks.MergedTable(spark, f"{tmp_path}/out", streams.once_each(["event_id"], ["ts", "event_type"])).read().count() == 2
+
+
+def test_replayed_batches_change_nothing(spark, tmp_path):
+    """Counts and signals over batches that repeat, before and after the batches are folded, and with a broken fold."""
+    rows = lambda *x: spark.createDataFrame(x, "agent long, ts timestamp")
+    at = lambda d: __import__("datetime").datetime(2024, 1, d)
+    table = sinks.MergedTable(spark, f"{tmp_path}/counts", streams.merge_counts, fold_after=2)
+    assert table.read() is None
+    batches = [rows((1, at(1)), (1, at(2)), (2, at(1))), rows((1, at(1))), rows((3, at(4))), rows((2, at(9)))]
+    want = {1: (3, 2), 2: (2, 9), 3: (1, 4)}
+    def got():
+        return {r.agent: (r.n, r["last"].day) for r in table.read().collect()}
+    for n, b in enumerate(batches):
+        table.put(streams.access_counts(b), n)
+        table.put(streams.access_counts(b), n)
+    assert got() == want and table.through() == 2
+    for n, b in enumerate(batches):
+        table.put(streams.access_counts(b), n)
+    assert got() == want
+    rows((9, at(9))).write.parquet(f"{tmp_path}/counts/base/7")
+    __import__("os").remove(f"{tmp_path}/counts/base/7/_SUCCESS")  # a fold that did not end
+    assert got() == want
+    table.fold()
+    table.clean()
+    assert got() == want and table._numbers("batch") == [] and table._numbers("base") == [3]
+    signals = spark.createDataFrame([(1, 1, "a", 1), (1, 2, "b", 1)], "query_id long, fact_id long, signal string, seen_at int")
+    kept = sinks.MergedTable(spark, f"{tmp_path}/signals", streams.once_each(["query_id", "fact_id"], ["seen_at", "signal"]))
+    kept.put(signals, 0)
+    kept.put(signals.union(spark.createDataFrame([(1, 1, "c", 2)], signals.schema)), 1)  # delivered again with a later one
+    assert sorted(map(tuple, kept.read().collect())) == [(1, 1, "c", 2), (1, 2, "b", 1)]
+
+
+def test_access_counts_on_a_stream(spark, sf_dir, tmp_path):
+    events = streams._events(spark, sf_dir)
+    streams.keep_access_counts(_stream(spark, events.repartition(4), f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = sinks.MergedTable(spark, f"{tmp_path}/out", streams.merge_counts).read()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, streams.access_counts(events).collect()))
 
 
 def test_near_duplicate_gate(spark, tmp_path):
