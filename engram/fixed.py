@@ -76,7 +76,7 @@ VAGUE_TERMS = {"yesterday": -1, "today": 0, "tomorrow": 1, "recently": -7, "a wh
 #: First month of a season.
 SEASONS = {"spring": 3, "summer": 6, "autumn": 9, "fall": 9, "winter": 12}
 
-#: Kind and pattern of secrets in order; the last group is what stays readable.
+#: Kind and pattern of secrets in order, in our own form; the last group is what stays readable.
 SECRETS = [
     ("ANTHROPIC", r"sk-ant-[A-Za-z0-9_-]{16,}([A-Za-z0-9_-]{4})"),
     ("OPENAI", r"sk-[A-Za-z0-9_-]{16,}([A-Za-z0-9_-]{4})"),
@@ -89,9 +89,35 @@ SECRETS = [
 SECRET_LENGTH, SECRET_ENTROPY = 32, 4.5
 
 #: Words and phrases that class a query.
-MULTI_HOP_PHRASES = ["and then", "after that", "because", "how did", "as a result", "led to", "connection between", "relationship between"]
-TEMPORAL_QUERY = ["when", "date", "time", "year", "month", "ago", "before", "after", "during", "last", "next", "recently", "earlier", "later", "since", "until", "while", "between"]
-AGGREGATION_QUERY = ["all", "list", "every", "everything", "various", "different", "many", "several", "multiple", "summarize", "overview"]
+MULTI_HOP_PHRASES = [
+    "and then", "after that", "because", "how did", "as a result", "led to", "connection between", "relationship between", "what happened when",
+    "what was happening", "during the time", "at the same time", "how did it affect", "what changed after", "what did they do after",
+    "what did they do before", "what was the result", "what was the outcome", "what was the reason", "why did they", "in response to",
+    "as a consequence", "prior to", "following that", "subsequent to", "in the meantime", "at that point", "which led to", "which caused",
+    "which resulted in",
+]
+#: With two names in a query these make it multi-hop.
+CAUSAL_QUERY = (
+    "before after when while because then during since until once affect cause change happen result influence impact lead meet start stop begin "
+    "end move leave join visit return"
+).split()
+TEMPORAL_QUERY = (
+    "when date time year month ago before after during last next recently earlier later since until while between january february march april "
+    "may june july august september october november december"
+).split()
+AGGREGATION_QUERY = (
+    "all list every everything various different many several multiple summarize overview activities events hobbies instruments types things "
+    "places jobs skills interests pets"
+).split()
+AGGREGATION_PATTERNS = [
+    r"what (?:\w+ )?(?:activities|events|hobbies|types|things|places|jobs)",
+    r"what (?:\w+ )?has .+ (?:done|visited|attended|participated|played|practiced)",
+    r"how many (?:\w+ )?(?:times|events|things|places)",
+    r"what are .+(?:'s|s') (?:\w+ )?(?:hobbies|interests|activities|skills)",
+]
+#: Capitalised words that begin a sentence and name nothing.
+SENTENCE_STARTERS = "What Where Who Which How When Does Did Can Could Would Should Are Is Was Were Has Have The Tell".split()
+FACTUAL_BEGINNINGS = ["what ", "where ", "who ", "which ", "how "]
 OPINION_QUERY = ["think", "feel", "opinion", "prefer", "favorite", "best", "worst", "believe", "like about", "dislike", "enjoy", "hate", "love"]
 VAGUE_QUERY = ["something about", "i think", "maybe", "not sure", "vaguely remember", "partially recall", "sort of", "kind of", "i forgot", "what was that"]
 #: Channel weights by class of query, in the order of CHANNEL_WEIGHTS.
