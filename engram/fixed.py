@@ -131,3 +131,12 @@ PRESETS = {
     "general": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
     "vague": [0.8, 0.5, 0.6, 0.3, 1.5, 1.1],
 }
+
+#: Words that no topic consists of.
+TOPIC_STOP_WORDS = (
+    "a about above after again against all am an and any are as at be because been before being below between both but by can cannot could did do "
+    "does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its "
+    "itself just let me more most my myself no nor not now of off on once only or other ought our ours ourselves out over own same she should so "
+    "some such than that the their theirs them themselves then there these they this those through to too under until up use using very was we "
+    "were what when where which while who whom why will with would you your yours yourself yourselves"
+).split()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -190,13 +193,50 @@ def sql_secrets(text: str) -> str:
     return text
 
 
+_BLANK = r" \t\n\r\f\x0B"
+#: Kinds of tokens that make a topic, as patterns with what stands in their first group; whole words are tested by themselves.
+_WORD_RUN, _IDENTIFIER = r"([\p{L}\p{N}_]+)", "^[A-Z][a-zA-Z0-9]+[A-Z][a-zA-Z0-9]*$"
+_LINKS = [rf"(https?://[^{_BLANK}<>]+)", rf"(/[^{_BLANK}/<>]+(?:/[^{_BLANK}/<>]+)*(?:\.[A-Za-z0-9]+)?)"]
+_QUOTED = [r'"([^"]{1,200})"', "'([^']{1,200})'"]
+_TOPIC_WORD = r"([A-Za-z0-9][A-Za-z0-9'-]{2,})"
+#: Characters of a text that its signature reads.
+TOPIC_CHARS = 4_000
+
+
 def topic_signature(text: Column) -> Column:
-    """First 16 hex digits of the SHA-256 over the sorted distinct content words."""
-    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(fixed.STOP_WORDS))
-    return F.substring(F.sha2(F.array_join(F.array_sort(F.array_distinct(found)), "\n"), 256), 1, 16)
+    """First 16 hex digits of the SHA-256 over six groups of a text's first 4,000 characters, each sorted and distinct:
+    identifiers of two humps, addresses, paths, quotations, content words, and pairs of content words in a row.
 
+    Texts are composed (NFC) first, for which only those beyond ASCII go to a Python worker. Empty and null texts have 0s.
+    """
 
-SQL_TOPIC = "substr(sha256(coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) >= 4 AND NOT list_contains(" + sql_list(fixed.STOP_WORDS) + ", w)))), chr(10)), '')), 1, 16)"
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+    cut = F.substring(text, 1, TOPIC_CHARS)
+    beyond = cut.rlike(r"[^\x00-\x7F]")
+    t = F.coalesce(composed(F.when(beyond, cut)), cut)
+    found = lambda p, of=t: F.regexp_extract_all(of, F.lit(p), F.lit(1))
+    words = F.filter(found(_TOPIC_WORD, F.lower(t)), lambda w: ~w.isin(fixed.TOPIC_STOP_WORDS))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, 1_000_000), lambda x, y: F.concat_ws("_", x, y))
+    groups = [F.filter(found(_WORD_RUN), lambda w: w.rlike(_IDENTIFIER)), *map(found, _LINKS), F.concat(*map(found, _QUOTED)), words, pairs]
+    canon = F.concat_ws("\0\0", *[F.array_join(F.array_sort(F.array_distinct(g)), "\0") for g in groups])
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "0" * 16).otherwise(F.substring(F.sha2(canon, 256), 1, 16))
+
+
+def _sql_topic() -> str:
+    t = f"nfc_normalize(substr({{0}}, 1, {TOPIC_CHARS}))"
+    quoted = lambda p: p.replace("{", "{{").replace("}", "}}")
+    found = lambda p, of=t: f"regexp_extract_all({of}, {quoted(sql_text(p))}, 1)"
+    words = f"list_filter({found(_TOPIC_WORD, f'lower({t})')}, lambda w: NOT list_contains({sql_list(fixed.TOPIC_STOP_WORDS)}, w))"
+    pairs = f"(SELECT list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]) FROM (SELECT {words} AS w))"
+    groups = [f"list_filter({found(_WORD_RUN)}, lambda w: regexp_matches(w, {quoted(sql_text(_IDENTIFIER))}))", *map(found, _LINKS), f"list_concat({', '.join(map(found, _QUOTED))})", words, pairs]
+    canon = " || chr(0) || chr(0) || ".join(f"coalesce(array_to_string(list_sort(list_distinct({g})), chr(0)), '')" for g in groups)
+    return f"CASE WHEN coalesce({{0}}, '') = '' THEN '{'0' * 16}' ELSE substr(sha256({canon}), 1, 16) END"
+
+
+SQL_TOPIC = _sql_topic()
 
 
 @query("E15_topic_signature", f"SELECT session_id, turn, {SQL_TOPIC.format('content')} AS signature FROM turns")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from engram.operators import text as text_
 from engram.operators import codegraph, entities, fusion, graph, insights, lifecycle, similarity, sinks, sources, streams, tagging, vectors
 
 
@@ -167,6 +168,22 @@ def test_dates_by_hand(spark):
     assert {r.content: tuple(x and str(x) for x in (r.referenced_date, r.interval_start, r.interval_end)) for r in got} == cases
 
 
+def test_topic_signatures_by_hand(spark):
+    """Against the groups put together by hand; composed and decomposed letters sign alike, order and stop words of little weight."""
+    import hashlib
+
+    def sign(*groups):
+        return hashlib.sha256("\0\0".join("\0".join(sorted(set(g))) for g in groups).encode()).hexdigest()[:16]
+
+    text = """Fix FooBar in /srv/app/main.py, see https://a.b/c?d "the plan" and 'x y': river stone-bridge the River a_BarBaz CamelX2"""
+    words = ["fix", "foobar", "srv", "app", "main", "see", "https", "plan", "river", "stone-bridge", "river", "barbaz", "camelx2"]
+    pairs = [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)]
+    want = sign(["FooBar", "CamelX2"], ["https://a.b/c?d"], ["/srv/app/main.py,", "/a.b/c?d"], ["the plan", "x y"], words, pairs)
+    cases = [(1, text), (2, ""), (3, None), (4, "caf\u00e9 noir"), (5, "cafe\u0301 noir"), (6, "noir caf\u00e9"), (7, "x" * 5000), (8, "x" * 4000)]
+    got = {r.i: r.s for r in spark.createDataFrame(cases, "i int, t string").select("i", text_.topic_signature(F.col("t")).alias("s")).collect()}
+    assert got[1] == want and got[2] == got[3] == "0" * 16 and got[4] == got[5] != got[6] and got[7] == got[8]
+
+
 def test_query_classes_by_hand(spark):
     cases = {
         "What happened when the dam broke?": "multi_hop", "What did Alice study before moving to Boston?": "multi_hop", "Tell me of Alice in January?": "temporal", "What did Alice study before moving?": "temporal",
