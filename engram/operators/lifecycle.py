@@ -99,16 +99,6 @@ def y7_time_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.facts(spark, sf_dir).select("fact_id", state.alias("state"))
 
 
-@query(
-    "Y9_coupled_weight",
-    f"WITH {SQL_RETENTION} SELECT fact_id, round(importance * CASE zone WHEN 'active' THEN 1.0 WHEN 'warm' THEN 0.7 WHEN 'cold' THEN 0.3 ELSE 0 END, 6)::DOUBLE AS weight, round(15 * (1 + 0.5 * (1 - retention)), 6)::DOUBLE AS temperature FROM ret",
-)
-def y9_coupled_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = F.col("zone")
-    factor = F.when(z == "active", 1.0).when(z == "warm", 0.7).when(z == "cold", 0.3).otherwise(0.0)
-    return _retention(spark, sf_dir).select("fact_id", F.round(F.col("importance") * factor, 6).alias("weight"), F.round(15 * (1 + 0.5 * (1 - F.col("retention"))), 6).alias("temperature"))
-
-
 @query("Y10_precision_from_retention", f"WITH {SQL_RETENTION} SELECT fact_id, (CASE WHEN retention > 0.8 THEN 32 WHEN retention > 0.5 THEN 8 WHEN retention > 0.2 THEN 4 WHEN retention > 0.05 THEN 2 ELSE 0 END)::INT AS bits FROM ret")
 def y10_precision_from_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("retention")

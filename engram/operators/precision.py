@@ -39,6 +39,21 @@ def y8_fisher_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("fact_id", F.round("c", 6).alias("confidence"), band("stabilise", "neutral", "fade").alias("band"), F.round(weight, 6).alias("weight"))
 
 
+@query(
+    "Y9_coupled_weight",
+    f"""WITH {SQL_RETENTION}, {_SQL_VARIANCE}, c AS (SELECT fact_id, 1 / (1 + list_sum(var) / len(var)) + least(0.02 * access_count, 0.2) AS c, 0.3 + 0.06 * access_count AS radius FROM v),
+    y AS (SELECT fact_id, round(CASE WHEN c > 0.55 THEN 1.2 WHEN c > 0.42 THEN 1.0 ELSE 0.7 END * CASE WHEN radius > 0.85 THEN 0.8 ELSE 1.0 END, 6)::DOUBLE AS w FROM c)
+    SELECT ret.fact_id, round(coalesce(w, 1.0) * CASE zone WHEN 'active' THEN 1.0 WHEN 'warm' THEN 0.7 WHEN 'cold' THEN 0.3 ELSE 0 END, 6)::DOUBLE AS weight,
+      round(15 * (1 + 0.5 * (1 - retention)), 6)::DOUBLE AS temperature FROM ret LEFT JOIN y ON y.fact_id = ret.fact_id""",
+)
+def y9_coupled_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact's weight by confidence (Y8; 1 without a vector) times that of its zone, and a temperature that forgetting raises."""
+    z = F.col("zone")
+    factor = F.when(z == "active", 1.0).when(z == "warm", 0.7).when(z == "cold", 0.3).otherwise(0.0)
+    rows = _retention(spark, sf_dir).select("fact_id", "zone", "retention").join(y8_fisher_confidence(spark, sf_dir).select("fact_id", "weight"), "fact_id", "left")
+    return rows.select("fact_id", F.round(F.coalesce("weight", F.lit(1.0)) * factor, 6).alias("weight"), F.round(15 * (1 + 0.5 * (1 - F.col("retention"))), 6).alias("temperature"))
+
+
 @query(
     "Y11_precision_from_centrality",
     f"""WITH {SQL_RETENTION}, dg AS (SELECT src AS fact_id, count(*) AS degree FROM ends GROUP BY src), ac AS (SELECT fact_id, count(*) AS uses FROM access GROUP BY fact_id),

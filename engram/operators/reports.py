@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -207,10 +207,24 @@ def a27_retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.access(spark, sf_dir).where(F.col("accessed_at") >= views.now() - F.expr("INTERVAL 7 DAYS")).select("event_id")
 
 
-@query("A28_position_label", "SELECT query_id, position, fact_id, (CASE WHEN position <= 1 THEN 4 WHEN position <= 2 THEN 3 WHEN position <= 4 THEN 2 WHEN position <= 9 THEN 1 ELSE 0 END)::INT AS relevance FROM signals")
+def relevance(reward: Column, place: Column) -> Column:
+    """0 to 4 by the reward of an outcome, or by the place at which a fact was shown (from 0) where there is none."""
+    by_reward = F.when(reward >= 0.9, 4).when(reward >= 0.6, 3).when(reward >= 0.3, 2).when(reward > 0, 1).otherwise(0)
+    by_place = F.when(place == 0, 4).when(place <= 2, 3).when(place <= 4, 2).when(place <= 9, 1).otherwise(0)
+    return F.when(reward.isNotNull() & ~F.isnan(reward), by_reward).otherwise(by_place)
+
+
+@query(
+    "A28_position_label",
+    """SELECT s.query_id, position, s.fact_id, (CASE WHEN reward >= 0.9 THEN 4 WHEN reward >= 0.6 THEN 3 WHEN reward >= 0.3 THEN 2 WHEN reward > 0 THEN 1 WHEN reward IS NOT NULL THEN 0
+      WHEN position <= 1 THEN 4 WHEN position <= 3 THEN 3 WHEN position <= 5 THEN 2 WHEN position <= 10 THEN 1 ELSE 0 END)::INT AS relevance
+    FROM signals s LEFT JOIN (SELECT outcome_id, fact_id, reward FROM outcomes WHERE status = 'F') o ON o.outcome_id = s.query_id AND o.fact_id = s.fact_id""",
+)
 def a28_position_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("position")
-    return views.signals(spark, sf_dir).select("query_id", "position", "fact_id", F.when(p <= 1, 4).when(p <= 2, 3).when(p <= 4, 2).when(p <= 9, 1).otherwise(0).alias("relevance"))
+    """Labels of what queries were shown; finished orders have a reward. Positions count from 1 here."""
+    settled = views.outcomes(spark, sf_dir).where("status = 'F'").select(F.col("outcome_id").alias("query_id"), "fact_id", "reward")
+    shown = views.signals(spark, sf_dir).select("query_id", "position", "fact_id").join(settled, ["query_id", "fact_id"], "left")
+    return shown.select("query_id", "position", "fact_id", relevance(F.col("reward"), F.col("position") - 1).alias("relevance"))
 
 
 @query(
