@@ -175,8 +175,8 @@ class Model:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-5, rounds: int = 60) -> tuple[np.ndarray, float]:
     """The optimum of sum(weight * max(0, 1 - y (x w + b)) ** 2) + reg / 2 * |w| ** 2, by Newton steps on the rows that
-    lie within the margin; y in -1, 1, weight: of each row, sum 1."""
-    x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    lie within the margin; the last column of x is 1 and stands for b, y in -1, 1, weight: of each row, sum 1. Rows within
+    the margin are copied a few at a time."""
     ridge = np.full(x.shape[1], reg)
     ridge[-1] = 1e-9
 
@@ -187,10 +187,13 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-5, ro
     now = loss(u)
     for _ in range(rounds):
         slack = np.maximum(0.0, 1 - y * (x @ u))
-        inside = slack > 0
-        slope = ridge * u - 2 * x.T @ (weight * y * slack)
-        held = x[inside]
-        step = np.linalg.solve(2 * (held * weight[inside, None]).T @ held + np.diag(ridge), slope)
+        inside = np.flatnonzero(slack > 0)
+        slope = ridge * u - x.T @ (2 * weight * y * slack)
+        curve = np.diag(ridge)
+        for at in range(0, len(inside), 512):
+            held = x[inside[at : at + 512]]
+            curve += (held * (2 * weight[inside[at : at + 512], None])).T @ held
+        step = np.linalg.solve(curve, slope)
         size = 1.0
         while (new := loss(u - size * step)) > now - 1e-4 * size * float(slope @ step) and size > 1e-6:
             size /= 2
@@ -307,19 +310,27 @@ def _hardest(model: Model, clean: list[str], most: int) -> list[bytes]:
     return sorted(found, key=lambda x: (-found[x], x))
 
 
-def _features(strings: list[bytes], place: np.ndarray, whiten: np.ndarray, step: int = 256) -> np.ndarray:
-    """Nystroem features of coded stretches, a few at a time. place: subsequence -> row of whiten, or -1."""
+def _features(strings: list[bytes], place: np.ndarray, whiten: np.ndarray, step: int = 256, few: int = 16) -> np.ndarray:
+    """Nystroem features of coded stretches, and a last one of 1. place: subsequence -> row of whiten, or -1.
+
+    Subsequences are found for `step` stretches at a time; their rows of whiten, some 500 kB a stretch, are copied for `few`.
+    """
     code = np.frombuffer(b"".join(strings), dtype=np.uint8).astype(np.int32)
     end = np.cumsum([len(x) for x in strings])
     start = end - np.array([len(x) for x in strings])
-    out = np.zeros((len(strings), whiten.shape[1]))
+    out = np.zeros((len(strings), whiten.shape[1] + 1))
+    out[:, -1] = 1
     for at in range(0, len(strings), step):
         row, key, value = subsequences(code, start[at : at + step], end[at : at + step])
         known = place[key] >= 0
         row, key, value = row[known], key[known], value[known]
-        if len(row):
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            out[at + row[first]] = np.add.reduceat(whiten[place[key]] * value[:, None].astype(np.float32), first, axis=0)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        for k in range(0, len(first), few):
+            some = first[k : k + few]
+            part = slice(some[0], first[k + few] if k + few < len(first) else len(row))
+            rows = whiten[place[key[part]]]
+            rows *= value[part, None].astype(np.float32)
+            out[at + row[some], :-1] = np.add.reduceat(rows, some - some[0], axis=0)
     return out
 
 
@@ -396,10 +407,14 @@ def train(
     place[names] = np.arange(len(names))
     base = np.zeros((len(marks), len(names)), dtype=np.float32)
     base[row, place[key]] = value
-    spectrum, vectors = np.linalg.eigh(base.astype(np.float64) @ base.astype(np.float64).T)
+    gram = np.zeros((len(marks), len(marks)))
+    for at in range(0, len(names), 1024):
+        part = base[:, at : at + 1024].astype(np.float64)
+        gram += part @ part.T
+    spectrum, vectors = np.linalg.eigh(gram)
     keep = spectrum > 1e-4
     whiten = base.T @ (vectors[:, keep] / np.sqrt(spectrum[keep])).astype(np.float32)  # subsequences -> Nystroem features
-    del base
+    del base, gram, vectors
     # Witnesses are stretches of one strong word in toxic texts, the strongest evidence of a text first.
     s = Stretches([x for x, y in zip(prepared, toxic, strict=True) if y], empty.codes)
     known = {Stretches([f" {w[: WIDTH - 2]} "], empty.codes).string(0): e for w, e in strength.items()}
@@ -428,17 +443,21 @@ def train(
                 count.setdefault(form, math.sqrt(often[k]) / len(x))
         positive = sorted(count)
         negative = sorted({*_hardest(model, clean, hard), *spaced} - count.keys())
-        x = np.concatenate((_features(positive, place, whiten), _features(negative, place, whiten)))
+        x = _features(positive + negative, place, whiten)
         y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
         n = np.concatenate((np.array([count[k] for k in positive]), np.ones(len(negative))))
         n[: len(positive)] /= 2 * n[: len(positive)].sum()
         n[len(positive) :] /= 2 * n[len(positive) :].sum()
         w, b = _svm(x, y, n)
         table = np.zeros(LETTERS**3)
-        table[names] = whiten @ w
+        del x  # before the next pass makes its own
+        for at in range(0, len(names), 1024):
+            table[names[at : at + 1024]] = whiten[at : at + 1024] @ w
         model = Model(letters, table, float(b))
-        row, key, value = subsequences(s.code, s.start[able], s.end[able])
-        merit = np.bincount(row, weights=value * table[key], minlength=len(able))
+        for at in range(0, len(able), 1024):
+            now = able[at : at + 1024]
+            row, key, value = subsequences(s.code, s.start[now], s.end[now])
+            merit[at : at + 1024] = np.bincount(row, weights=value * table[key], minlength=len(now))
     margin = np.concatenate([model.margins(block) for block in _blocks(prepared)])
     model.slope, model.shift = _calibrate(margin, toxic)
     return model

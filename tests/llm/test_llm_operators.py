@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with every awkward row."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -383,6 +384,20 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.train([]).scores(["x"])[0] < 1 and toxicity.train([("x", 0)]).scores(["x"])[0] < 0.5
 
 
+def test_toxicity_trains_without_copies():
+    """The driver holds one matrix of landmarks and one of features; copies for a step are small. It took 236 MB before."""
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(5, 10, 3000)]
+    rows = [(" ".join([*rng.choice(words, 20), *(["you", "moron"] if i % 10 == 0 else [])]), int(i % 10 == 0)) for i in range(1000)]
+    tracemalloc.start()
+    model = toxicity.train(rows, passes=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 160e6
+    insult, word = model.scores(["you moron", words[0]])
+    assert insult > 0.9 and word < 0.1
+
+
 def explicit_features(text):
     """Weights of all gapped subsequences of a string, by enumeration, scaled to length 1."""
     import itertools
