@@ -36,3 +36,12 @@ def test_channel_credit_of_odd_texts(spark, sf_dir, tmp_path):
     documents = given.set_column(given.schema.get_field_index("text"), "text", texts)
     got, want = against_sql("A12_channel_credit", spark, sf_dir, tmp_path, documents=documents)
     assert got == want and len({r[0] for r in got}) == 3
+
+
+def odd_queries():
+    return pa.table({"item_id": pa.array(range(len(ODD)), pa.int64()), "text": pa.array(ODD, pa.string())})
+
+
+def test_query_habits_of_odd_queries(spark, sf_dir, tmp_path):
+    got, want = against_sql("B16_query_habits", spark, sf_dir, tmp_path, benchmark=odd_queries())
+    assert got == want
