@@ -45,3 +45,8 @@ def odd_queries():
 def test_query_habits_of_odd_queries(spark, sf_dir, tmp_path):
     got, want = against_sql("B16_query_habits", spark, sf_dir, tmp_path, benchmark=odd_queries())
     assert got == want
+
+
+def test_query_terms_of_odd_queries(spark, sf_dir, tmp_path):
+    got, want = against_sql("E21_query_terms", spark, sf_dir, tmp_path, benchmark=odd_queries())
+    assert got == want and len(got) == len(ODD)
