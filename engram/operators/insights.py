@@ -258,8 +258,9 @@ def a47_community_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b7_skill_effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """+1 if a success follows within ten events, -1 for the same tool again within an hour (300 s by default), -1 for an
     error within three events; clipped to one, then (positive - negative) / uses."""
-    w = W.partitionBy("session_id").orderBy("ts", "id")
-    soon = W.partitionBy("session_id", "tool_name").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(1, 3600)
+    w = W.partitionBy("session_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
+    second = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")  # the nearest one, as in the SQL
+    soon = W.partitionBy("session_id", "tool_name").orderBy(second.asc_nulls_last()).rangeBetween(1, 3600)
     flag = lambda c, frame: F.coalesce(F.max(c.cast("int")).over(frame), F.lit(0))
     good, bad = flag(F.col("tool_name").isin("purchase", "signup"), w.rowsBetween(1, 10)), flag(F.col("failed"), w.rowsBetween(1, 3))
     again = (F.count(F.lit(1)).over(soon) > 0).cast("int")

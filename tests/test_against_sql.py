@@ -50,3 +50,15 @@ def test_query_habits_of_odd_queries(spark, sf_dir, tmp_path):
 def test_query_terms_of_odd_queries(spark, sf_dir, tmp_path):
     got, want = against_sql("E21_query_terms", spark, sf_dir, tmp_path, benchmark=odd_queries())
     assert got == want and len(got) == len(ODD)
+
+
+def test_skill_effectiveness_of_parts_of_seconds_and_unknown_times(spark, sf_dir, tmp_path):
+    noon = dt.datetime(2024, 1, 10, 12)
+    # Session, seconds after noon (None: unknown) and tool; that lie within a second by one way to round and not by the other.
+    cases = [(1, 0.4, "view"), (1, 0.6, "view"), (2, 0.5, "view"), (2, 1.5, "view"), (3, 0.6, "view"), (3, 3600.7, "view"), (4, 0.4, "click"), (4, 3600.6, "click"), (5, None, "view"), (5, 1.0, "error"), (5, 2.0, "signup")]
+    cases += [(6, None, "error"), (6, 7.0, "click"), (6, None, "click"), (7, 1.0, None), (7, 2.0, "purchase"), (8, 10.6, "click"), (8, 10.9, "click"), (9, None, "view"), (9, 5.0, "view"), (9, 6.0, "purchase")]
+    at = [None if s is None else noon + dt.timedelta(seconds=s) for _, s, _ in cases]
+    n = len(cases)
+    events = pa.table({"event_id": range(n), "ts": pa.array(at, pa.timestamp("us")), "user_id": [s for s, _, _ in cases], "event_type": pa.array([t for *_, t in cases], pa.string()), "value": [1.0] * n, "props": ["{}"] * n})
+    got, want = against_sql("B7_skill_effectiveness", spark, sf_dir, tmp_path, events=events)
+    assert got == want
