@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,10 +100,61 @@ views.SQL["known"] = """SELECT l_orderkey * 10 + l_linenumber AS fact_id, o_orde
     o_orderdate::DATE + 7 AS known_from, CASE WHEN l_linestatus = 'F' THEN l_shipdate::DATE + 30 END AS known_until FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 
-def holding(asked: DataFrame, facts: DataFrame, begins: str, ends: str) -> DataFrame:
-    """(query_id, fact_id) of the facts that hold at each instant: from `begins` up to, not at, `ends`; null: always."""
-    spans = facts.select("fact_id", F.coalesce(begins, F.lit("0001-01-01").cast("date")).alias("first"), F.date_sub(ends, 1).alias("last"))
-    return near_spans(asked, spans.where("last IS NULL OR first <= last")).select("query_id", "fact_id")
+#: What a day changes: facts valid and known at once (pairs of their rows), only valid, only known; sums of ids of both kinds.
+CHANGES = pa.schema([("day", pa.int32()), ("paired", pa.int64()), ("valid_only", pa.int64()), ("known_only", pa.int64()), ("paired_ids", pa.int64()), ("single_ids", pa.int64())])
+
+
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By day, how the counts of `counts_at` change, over whole facts; batches: (fact_id, valid_from, valid_until, known_from, known_until), days."""
+    table = pa.Table.from_batches(list(batches), schema=HELD)
+    fact = table["fact_id"].to_numpy()
+    ids, days, steps = [], [], []
+    for first, last, step in (("valid_from", "valid_until", (1, 0)), ("known_from", "known_until", (0, 1))):
+        begins, ends = (table[c].to_numpy().astype(np.float64) for c in (first, last))  # unknown: NaN
+        holds = ~np.isnan(begins) & ~(ends <= begins)
+        for at, sign, some in ((begins, 1, holds), (ends, -1, holds & ~np.isnan(ends))):
+            ids.append(fact[some])
+            days.append(at[some].astype(np.int32))
+            steps.append(np.tile(np.array(step, dtype=np.int64) * sign, (int(some.sum()), 1)))
+    fact, day, step = np.concatenate(ids), np.concatenate(days), np.concatenate(steps)
+    if not len(fact):
+        return
+    order = np.lexsort((day, fact))
+    fact, day, state = fact[order], day[order], step[order].cumsum(axis=0)
+    new = np.concatenate(([True], fact[1:] != fact[:-1]))
+    start = np.nonzero(new)[0]
+    before = np.concatenate((np.zeros((1, 2), dtype=np.int64), state))[start]
+    state = state - np.repeat(before, np.diff(np.append(start, len(fact))), axis=0)
+    last = np.append(new[1:] | (day[1:] != day[:-1]), True)  # of a fact's steps of one day
+    fact, day, (valid, known) = fact[last], day[last], state[last].T
+    paired, valid_only, known_only = valid * known, valid * (known == 0), known * (valid == 0)
+    values = np.stack((paired, valid_only, known_only, fact * paired, fact * (valid_only + known_only)))
+    same = np.concatenate(([False], fact[1:] == fact[:-1]))
+    values[:, 1:] -= np.where(same[1:], values[:, :-1], 0)
+    each, place = np.unique(day, return_inverse=True)
+    out = np.zeros((len(each), len(values)), dtype=np.int64)
+    np.add.at(out, place, values.T)
+    yield pa.RecordBatch.from_arrays([pa.array(each), *map(pa.array, out.T.copy())], schema=CHANGES)
+
+
+HELD = pa.schema([("fact_id", pa.int64()), *((c, pa.int32()) for c in ("valid_from", "valid_until", "known_from", "known_until"))])
+
+
+def counts_at(asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, valid, known, both, ids): how many rows hold at each instant, from their begin up to, not at, their end (null: open).
+
+    asked: (query_id, at), facts: (fact_id, valid_from, valid_until, known_from, known_until), dates. Rows of a fact that are valid
+    and rows of it that are known meet each other, as in a full join by query and fact; ids is the sum over what results. No
+    fact meets an instant: rows of a fact come together once and say by day how the counts change, and an instant sums up the
+    changes until then, of which there is a row a day.
+    """
+    dates = [F.unix_date(c).alias(c) for c in HELD.names[1:]]
+    changes = facts.where("fact_id IS NOT NULL").select("fact_id", *dates).repartition("fact_id").mapInArrow(_changes, ", ".join(f"{f.name} {'int' if f.name == 'day' else 'long'}" for f in CHANGES))
+    by_day = changes.groupBy("day").agg(*(F.sum(c).alias(c) for c in CHANGES.names[1:]))
+    times = asked.groupBy("query_id", F.unix_date("at").alias("at")).agg(F.count("*").alias("n"))
+    held = times.join(F.broadcast(by_day), F.col("day") <= F.col("at")).groupBy("query_id", "n").agg(*(F.sum(c).alias(c) for c in CHANGES.names[1:])).where("paired + valid_only + known_only > 0")
+    both, once = F.col("n") * F.col("n") * F.col("paired"), lambda c: F.col("n") * F.col(c)  # an instant that comes n times
+    return held.select("query_id", (both + once("valid_only")).alias("valid"), (both + once("known_only")).alias("known"), both.alias("both"), (F.col("n") * F.col("n") * F.col("paired_ids") + once("single_ids")).alias("ids"))
 
 
 @query(
@@ -110,13 +165,10 @@ def holding(asked: DataFrame, facts: DataFrame, begins: str, ends: str) -> DataF
 )
 def j10_valid_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each instant of a table, how many facts are valid at it in event time, known to the system, and both."""
-    lines = views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ship"), "l_linestatus")
+    lines = views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ship"), (F.col("l_linestatus") == "F").alias("over"))
     orders = views.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("valid_from"))
-    over = F.col("l_linestatus") == "F"
+    over = F.col("over")
     facts = lines.join(orders, "l_orderkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fact_id"), "valid_from", F.when(over, F.col("ship")).alias("valid_until"), F.date_add("valid_from", 7).alias("known_from"), F.when(over, F.date_add("ship", 30)).alias("known_until")
     )
-    asked = instants(spark, sf_dir)
-    valid, known = (holding(asked, facts, f"{x}_from", f"{x}_until").withColumn(x, F.lit(1)) for x in ("valid", "known"))
-    both = valid.join(known, ["query_id", "fact_id"], "full")
-    return both.groupBy("query_id").agg(F.count("valid").alias("valid"), F.count("known").alias("known"), F.count(F.col("valid") + F.col("known")).alias("both"), F.sum("fact_id").alias("ids"))
+    return counts_at(instants(spark, sf_dir), facts)

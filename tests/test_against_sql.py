@@ -3,7 +3,9 @@
 import datetime as dt
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
 from engram.catalog import QUERIES
@@ -62,3 +64,22 @@ def test_skill_effectiveness_of_parts_of_seconds_and_unknown_times(spark, sf_dir
     events = pa.table({"event_id": range(n), "ts": pa.array(at, pa.timestamp("us")), "user_id": [s for s, _, _ in cases], "event_type": pa.array([t for *_, t in cases], pa.string()), "value": [1.0] * n, "props": ["{}"] * n})
     got, want = against_sql("B7_skill_effectiveness", spark, sf_dir, tmp_path, events=events)
     assert got == want
+
+
+def odd_orders(sf_dir):
+    """lineitem and orders with repeated keys, unknown dates and states, and lines that ship before their order."""
+    rng = np.random.default_rng(3)
+    lines, orders = pq.read_table(f"{sf_dir}/lineitem.parquet").slice(0, 3000), pq.read_table(f"{sf_dir}/orders.parquet")
+    hole = lambda column, share: pc.if_else(pa.array(rng.random(len(column)) < share), pa.scalar(None, column.type), column)
+    put = lambda table, name, column: table.set_column(table.schema.get_field_index(name), name, column)
+    shift = pc.add(lines["l_shipdate"], pa.array(rng.integers(-200, 30, len(lines)) * 86_400_000_000, pa.duration("us")))
+    lines = put(put(lines, "l_shipdate", hole(shift, 0.05)), "l_linestatus", hole(lines["l_linestatus"], 0.05))
+    lines = put(lines, "l_linenumber", pa.array(rng.integers(1, 14, len(lines)), lines["l_linenumber"].type))
+    orders = pa.concat_tables([orders, orders.slice(0, 200)])
+    return {"lineitem": lines, "orders": put(orders, "o_orderdate", hole(orders["o_orderdate"], 0.05))}
+
+
+def test_valid_at_of_repeated_facts_and_unknown_dates(spark, sf_dir, tmp_path):
+    items = pq.read_table(f"{sf_dir}/benchmark.parquet")
+    got, want = against_sql("J10_valid_at", spark, sf_dir, tmp_path, benchmark=pa.concat_tables([items, items.slice(0, 5)]), **odd_orders(sf_dir))
+    assert got == want and want
