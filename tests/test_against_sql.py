@@ -7,8 +7,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import pytest
 
 from engram.catalog import QUERIES
+from engram.operators import intervals
+from engram.operators.lexical import best
 from test_oracles import TABLES, rows
 
 #: Letters beyond ASCII beside names, white space and line ends that patterns of Java and of the SQL could tell apart.
@@ -83,3 +86,20 @@ def test_valid_at_of_repeated_facts_and_unknown_dates(spark, sf_dir, tmp_path):
     items = pq.read_table(f"{sf_dir}/benchmark.parquet")
     got, want = against_sql("J10_valid_at", spark, sf_dir, tmp_path, benchmark=pa.concat_tables([items, items.slice(0, 5)]), **odd_orders(sf_dir))
     assert got == want and want
+
+
+def test_temporal_channel_of_unknown_dates_and_intervals_with_one_bound(spark, sf_dir, tmp_path):
+    got, want = against_sql("L5_temporal_channel", spark, sf_dir, tmp_path, **odd_orders(sf_dir))
+    assert got == want and want
+
+
+def test_nearest_in_time_is_the_best_of_the_channel(spark):
+    rng = np.random.default_rng(11)
+    day = lambda k: dt.date(2000, 1, 1) + dt.timedelta(int(k))
+    some = lambda k: None if rng.random() < 0.4 else day(k)
+    events = [(int(rng.integers(0, 90)), some(rng.integers(-500, 900)), some(rng.integers(-500, 900)), *((day(a), day(a + rng.integers(-5, 300))) if (a := rng.integers(-500, 900)) % 3 else (None, None))) for _ in range(400)]
+    asked = spark.createDataFrame([(i, day(rng.integers(0, 300))) for i in range(12)] + [(50, day(5000)), (51, None)], "query_id long, at date")
+    frame = spark.createDataFrame(events, "fact_id long, observed date, referenced date, begins date, ends date")
+    got = sorted((r.query_id, r.fact_id, r.rank, r.score) for r in intervals.nearest_in_time(asked, frame, 7).collect())
+    want = sorted((r.query_id, r.fact_id, r.rank, r.score) for r in best(intervals.temporal_channel(asked, frame), 7).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want]) and len(want) == 84
