@@ -109,7 +109,8 @@ def _sql_typed(depth: int = 4) -> str:
 @query("L11_typed_activation", f"WITH {_sql_typed()} SELECT query_id, node, round(a, 6) AS activation FROM o WHERE rank <= 50")
 def l11_typed_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four hops from the three nearest facts of each query."""
-    found = typed_activation(nearest_seeds(spark, sf_dir, 3), views.edges(spark, sf_dir))
+    seeds = cut(nearest_seeds(spark, sf_dir, 3))
+    found = typed_activation(seeds, edges_around(spark, sf_dir, seeds, 3))
     return found.select("query_id", "node", F.round("a", 6).alias("activation"))
 
 

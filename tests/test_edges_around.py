@@ -70,3 +70,11 @@ def test_hop_decay_walks_near_edges(spark, sparse, monkeypatch):
             front = set(step)
     got = {(r.query_id, r.node): r.score for r in codegraph.l12_hop_decay_activation(spark, sparse).collect()}
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()} and len(want) > 10
+
+
+def test_typed_activation_walks_near_edges(spark, sparse, monkeypatch):
+    seeds = codegraph.nearest_seeds(spark, sparse, 3)
+    want = codegraph.typed_activation(seeds, views.edges(spark, sparse)).select("query_id", "node", F.round("a", 6).alias("activation"))
+    want = sorted(map(tuple, want.collect()))
+    near_only(monkeypatch)
+    assert sorted(map(tuple, codegraph.l11_typed_activation(spark, sparse).collect())) == want and want
