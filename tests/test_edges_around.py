@@ -78,3 +78,10 @@ def test_typed_activation_walks_near_edges(spark, sparse, monkeypatch):
     want = sorted(map(tuple, want.collect()))
     near_only(monkeypatch)
     assert sorted(map(tuple, codegraph.l11_typed_activation(spark, sparse).collect())) == want and want
+
+
+def test_synapse_walks_near_edges(spark, sparse, monkeypatch):
+    seeds = codegraph.nearest_seeds(spark, sparse, 10)
+    want = sorted(map(tuple, codegraph.synapse(seeds, views.edges(spark, sparse)).withColumn("gate", F.round("gate", 6)).collect()))
+    near_only(monkeypatch)
+    assert sorted(map(tuple, codegraph.l10_synapse_activation(spark, sparse).collect())) == want and want
