@@ -192,22 +192,37 @@ def kind_boost(kind: Column) -> Column:
 )
 def l15_code_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by words of a query: 3 for the name itself, 2 for its begin, 1 within, 0.5 in the qualified name; times a
-    factor for the kind, and 1.5 if the query's naming style is the node's (here: even queries, no tests).
+    factor for the kind, and 1.5 if the query's naming style is the node's (here: even queries, no tests)."""
+    nodes = views.nodes(spark, sf_dir)
+    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split(F.lower("name"), " ")))))
+    asked = nodes.where("node_id % 20 = 0").groupBy(F.col("node_id").alias("query_id")).agg(words.alias("words")).withColumn("style", F.col("query_id") % 40 == 0)
+    return keyword_search(asked, nodes, 10).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
+
 
-    The different words of all queries are looked up once in all nodes; only hits are joined with queries.
+def keyword_search(asked: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(query_id, node_id, score, rank): the k best nodes of each query; asked: (query_id, words, style).
+
+    Queries of the same words and style have one result, and nodes that agree in name, path, kind and test score alike,
+    so of these the k least are enough, and each such class stands first by its least node: what is among the k best nodes
+    is in the k best classes. The different words of all queries are looked up once in the classes.
     """
-    nodes = views.nodes(spark, sf_dir)
-    asked = nodes.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), (F.col("node_id") % 40 == 0).alias("style"), F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("word"))
-    low = F.lower("name")
-    s = F.when(low == F.col("word"), 3.0).when(low.startswith(F.col("word")), 2.0).when(low.contains(F.col("word")), 1.0).otherwise(0.0)
-    s = s + F.when(F.lower(F.concat("file_path", F.lit("."), F.replace("name", F.lit(" "), F.lit("_")))).contains(F.col("word")), 0.5).otherwise(0.0)
-    words = asked.select("word").distinct()
+    same = ["texts", "kind", "is_test"]
+    whole = nodes.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("name", "file_path"))).alias("texts"), F.min("kind").alias("kind"), F.min("is_test").alias("is_test"))
+    few = whole.withColumn("n", F.row_number().over(W.partitionBy(*same).orderBy("node_id"))).where(F.col("n") <= k)
+    few = cut(few.withColumn("least", F.min("node_id").over(W.partitionBy(*same))))
+    asked = cut(asked.withColumn("like", F.min("query_id").over(W.partitionBy("words", "style"))))
+    forms = asked.where("query_id = like").select("like", "style", F.explode("words").alias("word"))
+    words = forms.select("word").distinct()
     words = F.broadcast(words) if words.count() <= 100_000 else words
-    hits = nodes.join(words, F.lower("name").contains(F.col("word")) | F.lower("file_path").contains(F.col("word"))).select("word", "node_id", "kind", "is_test", s.alias("s")).where("s > 0")
-    got = asked.join(hits, "word").groupBy("query_id", "node_id", "kind", "is_test", "style").agg(F.sum("s").alias("s"))
+    texts = few.where("n = 1").select("least", "kind", "is_test", F.explode("texts").alias("t")).select("least", "kind", "is_test", F.lower("t.name").alias("low"), F.lower(F.concat("t.file_path", F.lit("."), F.replace("t.name", F.lit(" "), F.lit("_")))).alias("qualified"))
+    low, word = F.col("low"), F.col("word")
+    s = F.when(low == word, 3.0).when(low.startswith(word), 2.0).when(low.contains(word), 1.0).otherwise(0.0) + F.when(F.col("qualified").contains(word), 0.5).otherwise(0.0)
+    hits = texts.join(words, low.contains(word) | F.col("qualified").contains(word)).groupBy("word", "least", "kind", "is_test").agg(F.sum(s).alias("s"))
+    got = forms.join(hits, "word").groupBy("like", "least", "kind", "is_test", "style").agg(F.sum("s").alias("s"))
     score = F.col("s") * kind_boost(F.col("kind")) * F.when(F.col("style") & ~F.col("is_test"), 1.5).otherwise(1.0)
-    found = best(got.select("query_id", F.col("node_id").alias("fact_id"), score.alias("score")), 10)
-    return found.select("query_id", F.col("fact_id").alias("node_id"), F.round("score", 6).alias("score"), "rank")
+    classes = best(got.select(F.col("like").alias("query_id"), F.col("least").alias("fact_id"), score.alias("score")), k).select("query_id", F.col("fact_id").alias("least"), "score")
+    found = best(classes.join(few.select("least", F.col("node_id").alias("fact_id")), "least").select("query_id", "fact_id", "score"), k)
+    return asked.select("query_id", "like").join(found.select(F.col("query_id").alias("like"), F.col("fact_id").alias("node_id"), "score", "rank"), "like").drop("like")
 
 
 SQL_MATCH = f"""WITH {SQL_CODE_MENTIONS}, a AS (SELECT fact_id, mention, max(CASE WHEN kind IN ('backtick', 'call', 'snake_call') THEN 0.05 ELSE 0 END) AS bonus FROM m GROUP BY fact_id, mention), u AS (SELECT DISTINCT mention FROM a),

@@ -103,3 +103,14 @@ def test_nearest_in_time_is_the_best_of_the_channel(spark):
     got = sorted((r.query_id, r.fact_id, r.rank, r.score) for r in intervals.nearest_in_time(asked, frame, 7).collect())
     want = sorted((r.query_id, r.fact_id, r.rank, r.score) for r in best(intervals.temporal_channel(asked, frame), 7).collect())
     assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want]) and len(want) == 84
+
+
+def test_code_keyword_search_of_repeated_nodes_and_words_across_parts(spark, sf_dir, tmp_path):
+    names = ["large ring", "large ring", "ring", "7.large ring", "hot_bolt", "hot bolt bolt", "", " ", None, "bolt", "Large RING", "old.plate x"]
+    n = 400
+    part = pq.read_table(f"{sf_dir}/part.parquet").slice(0, 1)
+    columns = {"p_partkey": [*range(n), 0, 20, 21], "p_name": [names[i * 7 % 12] for i in range(n)] + ["old bolt", "ring", "ring"], "p_brand": [None if i % 31 == 0 else f"Brand#{i % 3 + 6}" for i in range(n + 3)], "p_size": [i % 10 if i < n else i % n * 20 % 10 for i in range(n + 3)]}
+    columns["p_size"][n + 2] = 21 % 10  # as of its namesake: the SQL takes any of them
+    table = pa.table({f.name: pa.array(columns.get(f.name, part[f.name].to_pylist() * (n + 3)), f.type) for f in part.schema})
+    got, want = against_sql("L15_code_keyword_search", spark, sf_dir, tmp_path, part=table)
+    assert got == want and len(got) > 100
