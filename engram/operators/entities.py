@@ -10,7 +10,7 @@ from engram import fixed, views
 from engram.operators.graph import cut, pageranks
 from engram.operators.index import Index, look_up, places, stored
 from engram.operators.lexical import SQL_BM25, SQL_TOKENS, best, bm25, tokens
-from engram.operators.similarity import similar_names
+from engram.operators.similarity import most_similar
 from engram.operators.text import SQL_ENTITIES, entities, phrase_pattern, sql_list, sql_text
 from engram.registry import query
 
@@ -423,8 +423,8 @@ def resolve(mentioned: DataFrame, canonical: DataFrame, aliases: DataFrame, leas
     """(mention, entity_id, how): exact, else alias, else the most similar name by Jaro-Winkler >= `least`, else new.
 
     mentioned: (mention string), canonical: (entity_id, name), aliases: (entity_id, alias). Pronouns, names of up to two or
-    over 100 letters and version numbers are no mentions. Names meet by letters that two such names must share, so no
-    similar pair is lost; see `similar_names`.
+    over 100 letters and version numbers are no mentions. Names meet only those that by their letters can be the most
+    similar ones; see `most_similar`.
     """
     low = F.lower(F.trim("mention"))
     asked = mentioned.select("mention", low.alias("key")).distinct()
@@ -433,11 +433,8 @@ def resolve(mentioned: DataFrame, canonical: DataFrame, aliases: DataFrame, leas
     by_alias = aliases.groupBy(F.lower("alias").alias("key")).agg(F.min("entity_id").alias("alias"))
     known = asked.join(exact, "key", "left").join(by_alias, "key", "left")
     left = known.where("exact IS NULL AND alias IS NULL").select("key")
-    names = canonical.select(F.lower("name").alias("name")).where("name <> ''")
-    near = similar_names(left.select(F.col("key").alias("name")).distinct(), names.distinct(), least)
-    owner = canonical.groupBy(F.lower("name").alias("b")).agg(F.min("entity_id").alias("entity_id"))
-    scored = near.join(owner, "b").select(F.col("a").alias("key"), "entity_id", F.round("similarity", 9).alias("s"))
-    fuzzy = scored.groupBy("key").agg(F.max_by("entity_id", F.struct("s", -F.col("entity_id"))).alias("fuzzy"))
+    names = canonical.groupBy(F.lower("name").alias("name")).agg(F.min("entity_id").alias("entity_id")).where("name <> ''")
+    fuzzy = most_similar(left.select(F.col("key").alias("name")).distinct(), names, least).select(F.col("a").alias("key"), F.col("entity_id").alias("fuzzy"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").when(F.col("fuzzy").isNotNull(), "fuzzy").otherwise("new")
     return known.join(fuzzy, "key", "left").select("mention", F.coalesce("exact", "alias", "fuzzy").alias("entity_id"), how.alias("how"))
 

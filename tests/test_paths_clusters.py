@@ -177,3 +177,26 @@ def test_draws_are_beta_and_the_same_everywhere(spark):
     asked = spark.range(3000).select(F.col("id").alias("query_id"), (F.col("id") % 3).alias("stratum"))
     one, eight = (sorted(map(tuple, clusters.choose_arms(asked.repartition(n), table).collect())) for n in (1, 8))
     assert one == eight and len(one) == 2000 and len({r[1] for r in one}) == 4
+
+
+@pytest.mark.parametrize(("least", "block"), [(0.7, 7), (0.85, 40), (0.95, 1000)])
+def test_most_similar_is_the_best_of_all_pairs(spark, least, block):
+    left, right = [*names(60), "anna", "nana", "ab", "𝔞na"], [*names(90), "anan", "naan", "ba", "𝔞an"]
+    ids = {x: int(i) for x, i in zip(right, np.random.default_rng(7).permutation(len(right)), strict=True)}
+    frames = spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame(list(ids.items()), "name string, entity_id long")
+    got = {r.a: (r.similarity, r.entity_id) for r in similarity.most_similar(*frames, least, block).collect()}
+    want = {}
+    for a in left:
+        s, i = max((round(slow_jaro_winkler(a, b), 9), -ids[b]) for b in right)
+        if s >= least:
+            want[a] = (pytest.approx(s), -i)
+    assert got == want and len(want) > 20
+
+
+def test_most_similar_compares_few_of_many_names_alike(spark, monkeypatch):
+    seen, scored = [], similarity._scored
+    monkeypatch.setattr(similarity, "_scored", lambda met, least: seen.append(met.count()) or scored(met, least))
+    left = spark.range(200).select(F.format_string("customer#0%05d", F.col("id") * 37 % 10_000).alias("name"))
+    right = spark.range(10_000).select(F.format_string("customer#0000%05d", "id").alias("name"), F.col("id").alias("entity_id"))
+    rows = similarity.most_similar(left, right).collect()
+    assert len(rows) == 200 and sum(seen) < 200_000  # all pairs: 2,000,000, nearly all of them alike enough
