@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engram import fixed, views
-from engram.operators.graph import cut, pageranks
+from engram.operators.graph import FEW, cut, pageranks
 from engram.operators.index import Index, look_up, places, stored
 from engram.operators.lexical import SQL_BM25, SQL_TOKENS, best, bm25, tokens
 from engram.operators.similarity import most_similar
@@ -131,16 +134,71 @@ def pairs_within(groups: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
 def j8_sheaf_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """|b - a| / (|a| + |b|) of all pairs of facts within an entity group, of any size.
 
-    Pairs are found on ids, made distinct, and only then meet their vectors.
+    Facts are dealt into blocks that meet two by two, so a pair is found once, whatever its names, with both vectors at hand.
     """
-    from engram.operators.vectors import dot, norm
-
-    vectors = views.vectors(spark, sf_dir).select("fact_id", "vec")
-    pairs = pairs_within(mentions(views.facts(spark, sf_dir)).join(vectors.select("fact_id"), "fact_id", "left_semi"))
-    met = pairs.join(vectors.select(F.col("fact_id").alias("a"), F.col("vec").alias("va")), "a").join(vectors.select(F.col("fact_id").alias("b"), F.col("vec").alias("vb")), "b")
-    apart = F.sqrt(F.greatest(dot("va", "va") + dot("vb", "vb") - 2 * dot("va", "vb"), F.lit(0.0)))
-    size = norm("va") + norm("vb")
-    return met.where(size > 0).select("a", "b", F.round(apart / size, 6).alias("severity"))
+    vectors = views.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("fact_id"), F.col("embedding").alias("vec")).where("vec IS NOT NULL")
+    known = cut(vectors.select("fact_id").distinct())
+    known = F.broadcast(known) if known.count() <= FEW else known
+    named = mentions(views.facts(spark, sf_dir).join(known, "fact_id", "left_semi"))
+    return apart_within(named, vectors.dropDuplicates(["fact_id"])).select("a", "b", F.round("severity", 6).alias("severity"))
+
+
+#: Facts of a block; a task holds two blocks and their pairs.
+FACT_BLOCK = 4_500
+
+
+def apart_within(named: DataFrame, vectors: DataFrame, block: int = FACT_BLOCK) -> DataFrame:
+    """(a, b, severity): |vb - va| / (|va| + |vb|) of all pairs a < b of facts that share a name, each once, but for two zero vectors.
+
+    named: (fact_id, name), vectors: (fact_id, vec), each fact once. Each fact goes to the pairs of blocks that its own is part of.
+    """
+    number = cut(named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.monotonically_increasing_id().alias("k")))
+    sets = named.join(number, "name").groupBy("fact_id").agg(F.collect_set("k").alias("names"))
+    held = cut(sets.join(vectors, "fact_id"))
+    blocks = max(1, -(-held.count() // block))
+    own = held.withColumn("own", F.pmod(F.xxhash64("fact_id"), F.lit(blocks)).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fact_id", "names", "vec")
+    return met.groupBy("i", "j").applyInArrow(_apart, "a long, b long, severity double")
+
+
+APART = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("severity", pa.float64())])
+
+
+def _apart(table: pa.Table) -> pa.Table:
+    """The pairs of two blocks, or within one."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    sides = []
+    for own in (i, j):
+        side = table.filter(pc.equal(table["own"], own)).combine_chunks()
+        names, vec = side["names"].combine_chunks(), side["vec"].combine_chunks()
+        ids, flat = side["fact_id"].to_numpy(), vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(names).to_numpy())
+        sides.append((ids, flat.reshape(len(ids), -1 if len(flat) else 0), row, names.flatten().to_numpy()))
+    if not len(sides[0][0]) or not len(sides[1][0]):
+        return APART.empty_table()
+    (a, x, row_a, name_a), (b, y, row_b, name_b) = sides
+    shared = np.zeros((len(a), len(b)), dtype=bool)
+    order = np.argsort(name_b, kind="stable")
+    row_b, name_b = row_b[order], name_b[order]
+    by = np.argsort(name_a, kind="stable")
+    each, start = np.unique(name_a[by], return_index=True)
+    for name, rows in zip(each, np.split(row_a[by], start[1:]), strict=True):
+        low, high = np.searchsorted(name_b, [name, name + 1])
+        if low < high:
+            shared[np.ix_(rows, row_b[low:high])] = True
+    shared &= a[:, None] < b[None, :] if i == j else True
+    xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    out = []
+    for at in range(0, len(a), 256):
+        r, c = np.nonzero(shared[at : at + 256])
+        xy = (x[at : at + 256] @ y.T)[r, c]
+        r += at
+        size = np.sqrt(xx[r]) + np.sqrt(yy[c])
+        some = size > 0
+        r, c, xy, size = r[some], c[some], xy[some], size[some]
+        severity = np.sqrt(np.maximum(xx[r] + yy[c] - 2 * xy, 0.0)) / size
+        out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(a[r], b[c])), pa.array(np.maximum(a[r], b[c])), pa.array(severity)], schema=APART))
+    return pa.Table.from_batches(out, schema=APART)
 
 
 # --- channels over entities ------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram import views
+from engram.catalog import QUERIES
 from engram.operators import codec, entities, index, lexical, vectors
 
 FACTS = "fact_id long, content string, created_at timestamp"
@@ -159,3 +160,31 @@ def test_recall_of_mixed_precision(spark):
     found = {(r.query_id, r.fact_id) for r in codec.mixed_search(vectors.query_vectors(spark, at), *codec.tiers(spark, at), 10).collect()}
     shown = {(q, f) for q, f in true if factor(f) > 0}
     assert len(found & shown) >= 0.85 * len(shown)
+
+
+@pytest.mark.parametrize("block", [5, 17, 3000])
+def test_apart_within_is_all_pairs_of_a_name(spark, block):
+    rng = np.random.default_rng(block)
+    rows = sorted({(f"n{int(k)}", int(f) * 10**12) for k, f in zip(rng.integers(0, 12, 150), rng.integers(-20, 40, 150), strict=True)} | {("all", f * 10**12) for f in range(6)})
+    facts = sorted({f for _, f in rows})
+    vec = {f: [0.0] * 3 if i % 9 == 0 else [float(x) for x in rng.integers(-3, 4, 3)] for i, f in enumerate(facts)}
+    vec.pop(facts[4])
+    got = {}
+    for r in entities.apart_within(spark.createDataFrame(rows, "name string, fact_id long"), spark.createDataFrame(list(vec.items()), "fact_id long, vec array<float>"), block).collect():
+        assert (r.a, r.b) not in got
+        got[r.a, r.b] = r.severity
+    want = {}
+    for a, b in {(a, b) for n, a in rows for m, b in rows if n == m and a < b and a in vec and b in vec}:
+        x, y = np.array(vec[a]), np.array(vec[b])
+        size = np.linalg.norm(x) + np.linalg.norm(y)
+        if size:
+            want[a, b] = pytest.approx(np.linalg.norm(x - y) / size, abs=1e-7)
+    assert got == want and want
+
+
+def test_sheaf_batch_shuffles_facts_not_pairs(spark, sf_dir, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("pairs are shuffled")
+
+    monkeypatch.setattr(entities, "pairs_within", refuse)
+    assert QUERIES["J8_sheaf_batch"][0](spark, sf_dir).count() > 0
